@@ -6,8 +6,9 @@
    give bucket keys. At a similarity of 0.75 a pair misses all buckets with a
    probability of about 5e-6.
 2. Documents of equal sets become one representative, by a pre-aggregated count.
-3. In each bucket the least representative is the centre of a star; only edges
-   from the centre are candidates, so a bucket of n gives n - 1 pairs.
+3. In each bucket one representative is the centre of a star: the one that meets most
+   others over all its buckets, as what copies were made from does. Only edges from
+   the centre are candidates, so a bucket of n gives n - 1 pairs.
 4. Candidates are confirmed on the full sets; confirmed edges give components.
 5. What a star can miss: two documents of a bucket that are similar to each other
    but not to its centre. Only buckets whose members are in several components can
@@ -134,25 +135,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     prints = ["n_shingles", "print1", "print2"]
     # a node is a distinct set: the least id that has it, with its print
     groups = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    groups = durable(groups.select(*prints, F.struct("id", F.col("print1").alias("print")).alias("node"), "bands"))
-    member = groups.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    centre = durable(member.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "centre"))
-    shared = durable(member.join(centre, ["band", "key"]))  # members of buckets of two and more
-    stars = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    edges = confirm(stars, rows)
+    groups = durable(groups)
+    member = groups.select(F.explode("bands").alias("key"), "id", "print1")  # a key holds its band
+    crowd = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = durable(member.join(crowd, "key"))  # members of buckets of two and more
+    # What copies were made from meets each of them more often than they meet each other: it makes the best centre.
+    met = shared.groupBy("id", "print1").agg(F.sum("n").alias("met"))
+    node, rank = F.struct("id", F.col("print1").alias("print")), F.struct("met", F.negative("id").alias("lower"), "print1")
+    centre = shared.join(met, ["id", "print1"]).groupBy("key").agg(F.max_by(node, rank).alias("centre"))
+    shared = durable(shared.join(centre, "key").select("key", node.alias("node"), "centre"))
+    edges = confirm(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), rows)
     label = components(docs.sparkSession, edges)
     # buckets in which several components meet: what the stars left open
-    labelled = shared.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = durable(labelled)
-    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    rest = labelled.join(mixed, ["band", "key"])
+    labelled = durable(shared.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    sizes = groups.select(node.alias("node"), "n_shingles")
+    rest = labelled.where("node <> centre").join(mixed, "key").join(sizes, "node")  # a pair with the centre was confirmed or refused before
     x, y = rest.alias("x"), rest.alias("y")
     fits = (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * SIMILARITY_PERCENT) & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * SIMILARITY_PERCENT)
-    # a pair with the centre was confirmed or refused before
-    open_pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits & (F.col("x.node") != F.col("x.centre")))
+    open_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits)
     more = confirm(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), rows)
     if more.limit(1).count():
         label = components(docs.sparkSession, edges.union(more))
+    groups = groups.select(*prints, node.alias("node"))
     found = groups.join(label.withColumnRenamed("id", "node"), "node", "left").select(*prints, F.coalesce("component.id", "node.id").alias("component_id"))
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return signed.select("doc_id", *prints).join(found, prints, "left").select("doc_id", "n_shingles", linked.alias("component_id"))
