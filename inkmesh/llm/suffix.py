@@ -8,16 +8,17 @@ Each run that a document shares with one of a lesser id is found. Steps:
    alone, so equal runs have theirs at the same offset. Suffixes are kept at them.
 2. Suffixes whose first gram occurs in one document only are let go; the rest carry
    the words to their right and left that runs over that place can use.
-3. The suffixes are sorted over the cluster, ties by id, and neighbours compared:
-   the common prefix to the right, extended by the common words to the left. Equal
-   runs of neighbours form a chain, of which the least id is kept in view and all
-   others are marked. A suffix shares with no other more to the right than with a
-   neighbour, so runs that would need more are let go.
-4. What chains cannot tell (equal runs apart in the order, or in two partitions)
-   is settled by the chains' least members alone, grouped by the run's hash.
+3. The suffixes are dealt out by first gram, a gram with many of them to several
+   tasks, and sorted there. Neighbours are compared: the common prefix to the right,
+   extended by the common words to the left. Equal runs of neighbours form a chain,
+   of which the least id is kept in view and all others are marked. A suffix shares
+   with no other more to the right than with a neighbour, so runs that would need
+   more are let go (not where a gram was dealt to several tasks).
+4. What chains cannot tell (equal runs apart in the order, or in two tasks) is
+   settled by the chains' least members alone, grouped by the run's hash.
 
 A chain holds constant memory, so a passage in a third of all documents takes no
-more than any other; with the id in the sort key it spreads over partitions.
+more than any other.
 
 Defined results: null and empty texts, those under ``LENGTH`` words and rows of a null
 id hold no passage. Rows that repeat an id are one document, never copies of each
@@ -40,6 +41,8 @@ from inkmesh.llm.common import durable, table
 from inkmesh.llm.wordhash import WordHashes, hash_words, mix, runs, word_list
 
 LENGTH, GRAM = 50, 8
+#: Suffixes of one gram that go to one task; more are dealt out by id.
+HEAP = 2_000
 WINDOW = LENGTH - GRAM + 1  # grams of a run
 
 
@@ -49,10 +52,19 @@ def minimisers(words: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.nd
         none = np.empty(0, np.int64)
         return none, none.view(np.uint64), none, none
     grams = runs(hash_words(words, cache), GRAM)
-    least = np.arange(len(words) - LENGTH + 1) + np.lib.stride_tricks.sliding_window_view(mix(grams), WINDOW).argmin(1)
-    change = np.flatnonzero(np.diff(least)) + 1
-    first = np.concatenate([[0], change])
-    return least[first], grams[least[first]], first, np.concatenate([change, [len(least)]]) - 1
+    # the place in the low bits: the least value also says where, and the first of equals
+    bits = np.uint64(max(1, len(grams)).bit_length())
+    value = (mix(grams) >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while 2 * width <= WINDOW:
+        value = np.minimum(value[:-width], value[width:])
+        width *= 2
+    rest = WINDOW - width
+    if rest:
+        value = np.minimum(value[:-rest], value[rest:])
+    least = (value & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    return least[first], grams[least[first]], first, np.concatenate([first[1:], [len(least)]]) - 1
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,120 +77,143 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 KEY = "struct<id:bigint,text:bigint>"
-SUFFIX = "suffix binary, id bigint, text bigint, at int, low int, high int, before binary"
+_SUFFIX = pa.schema([("gram", pa.int64()), ("heap", pa.int32()), ("split", pa.bool_()), ("suffix", pa.binary()), ("id", pa.int64()), ("text", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("before", pa.binary())])
+SUFFIX = "gram bigint, heap int, split boolean, suffix binary, id bigint, text bigint, at int, low int, high int, before binary"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``low`` and ``high``: the least and greatest offset of the place in runs that have it as minimiser."""
     cache = WordHashes()
-    schema = pa.schema([("suffix", pa.binary()), ("id", pa.int64()), ("text", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("before", pa.binary())])
     for batch in batches:
         out, size = [], 0
         for key, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            key, words = key.as_py(), word_list(text.as_py())
+            key, words, heaps = key.as_py(), word_list(text.as_py()), {w["gram"]: w["heaps"] for w in wanted.as_py()}
             places, grams, first, last = minimisers(words, cache)
-            for k in np.flatnonzero(np.isin(grams.view(np.int64), wanted.values.to_numpy())).tolist():
-                p, low, high = int(places[k]), int(first[k]), int(last[k])
-                right = b" ".join(words[p : high + LENGTH]) + b" "
-                left = b" ".join(words[low:p][::-1])
-                out.append((right, key["id"], key["text"], p, p - high, p - low, left))
-                size += len(right) + len(left)
+            for p, gram, low, high in zip(places.tolist(), grams.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+                if n := heaps.get(gram):
+                    right = b" ".join(words[p : high + LENGTH]) + b" "
+                    left = b"".join([w + b" " for w in words[low:p][::-1]])
+                    out.append((gram, key["id"] % n, n > 1, right, key["id"], key["text"], p, p - high, p - low, left))
+                    size += len(right) + len(left)
             if size > 8_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(out, _SUFFIX)
                 out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield _batch(out, _SUFFIX)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Words in common at the start; each word ends in a space."""
+    if a == b:
+        return a.count(b" ")
+    low, high = 0, min(len(a), len(b))  # a and b agree in the first ``low`` bytes
+    while low < high:
+        half = (low + high + 1) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half - 1
+    return a.count(b" ", 0, low)
+
+
+class _Suffix:
+    __slots__ = ("gram", "split", "right", "id", "text", "at", "low", "high", "left", "words")
 
+    def __init__(self, gram, heap, split, right, doc, text, at, low, high, left) -> None:  # noqa: ANN001
+        self.gram, self.split, self.right, self.id, self.text, self.at, self.low, self.high, self.left, self.words = (gram, heap), split, right, doc, text, at, low, high, left, None
 
-def _common(a: list[bytes], b: list[bytes]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+    def run_hash(self, offset: int) -> bytes:
+        """Of the run in which the place has this offset."""
+        if self.words is None:
+            self.words = self.left.split()[::-1] + self.right.split()
+        start = len(self.words) - self.right.count(b" ") - offset
+        return xxhash.xxh3_128_digest(b" ".join(self.words[start : start + LENGTH]))
 
 
 class _Chains:
-    """Walks over sorted suffixes, one at a time.
+    """Walks over sorted suffixes, one at a time; for each offset there is a chain of equal runs.
 
-    ``low`` and ``high`` of a suffix are the least and greatest offset of its place in
-    runs that have it as minimiser. For each offset there is a chain of equal runs.
-    Rows out: (id, text, first start, last start, hash, chain end), where a chain end
-    is the chain's least member, which only all chains together can judge.
+    Rows out: (id, text, first start, last start, hash, chain end). A chain end is the
+    chain's least member, which only all chains together can judge.
     """
 
     def __init__(self) -> None:
-        self.before = None
-        self.chains: dict[int, tuple[int, list[tuple[int, int]], bytes]] = {}  # offset: least id, its (text, start), hash
+        self.chains: dict[int, list] = {}  # offset: [least id, its (text, start)s, hash]
+        self.span = self.least = None  # first and last offset, if there is a chain at each between; no chain's least id is above
         self.rows: list[tuple] = []
 
-    def run_hash(self, x: tuple, offset: int) -> bytes:
-        return xxhash.xxh3_128_digest(b" ".join(x[6][:offset][::-1] + x[0][: LENGTH - offset]))
+    def end(self, offsets: list[int]) -> None:
+        for offset in offsets:
+            least, places, h = self.chains.pop(offset)
+            self.rows += [(least, text, start, start, h, True) for text, start in places]
 
-    def end(self, offset: int) -> None:
-        least, places, h = self.chains.pop(offset)
-        self.rows += [(least, text, start, start, h, True) for text, start in places]
+    def mark(self, x: _Suffix, low: int, high: int) -> None:
+        self.rows.append((x.id, x.text, x.at - high, x.at - low, self.chains[high][2], False))
 
-    def mark(self, x: tuple, offsets: list[int]) -> None:
-        """Runs of one suffix, as spans of starts that follow each other."""
-        start = 0
-        for k in range(1, len(offsets) + 1):
-            if k == len(offsets) or offsets[k] != offsets[k - 1] + 1:
-                high = offsets[k - 1]
-                self.rows.append((x[1], x[2], x[3] - high, x[3] - offsets[start], self.chains[high][2], False))
-                start = k
-
-    def take(self, x: tuple, right: int, left: int, reach: int) -> None:
+    def take(self, x: _Suffix, right: int, left: int, reach: int) -> None:
         """``right``, ``left``: words in common with the suffix before; ``reach``: the most to the right that it shares with a neighbour."""
-        joined = range(max(x[4], LENGTH - right), min(x[5], left) + 1)
-        for offset in [o for o in self.chains if o not in joined]:
-            self.end(offset)
-        marked = []
-        for offset in joined:
-            if offset not in self.chains:  # cannot be, unless the pair's own reach left it out
+        low, high = max(x.low, LENGTH - right), min(x.high, left)
+        own = max(x.low, LENGTH - reach)
+        if self.span == (low, high) and low == own and high == x.high and x.id > self.least:
+            self.mark(x, low, high)  # every run goes on with a greater id
+            return
+        if self.chains:
+            self.end([o for o in self.chains if not low <= o <= high])
+        start = None
+        for offset in range(low, high + 1):
+            chain = self.chains.get(offset)
+            if chain is not None and x.id > chain[0]:
+                start = offset if start is None else start
+                continue
+            if start is not None:
+                self.mark(x, start, offset - 1)
+                start = None
+            place = (x.text, x.at - offset)
+            if chain is None:
                 continue
-            least, places, h = self.chains[offset]
-            if x[1] > least:
-                marked.append(offset)
-            elif x[1] == least:
-                if (x[2], x[3] - offset) not in places:
-                    places.append((x[2], x[3] - offset))
-            else:
-                self.rows += [(least, text, start, start, h, False) for text, start in places]
-                self.chains[offset] = (x[1], [(x[2], x[3] - offset)], h)
-        if marked:
-            self.mark(x, marked)
-        for offset in range(max(x[4], LENGTH - reach), x[5] + 1):
+            if x.id < chain[0]:
+                self.rows += [(chain[0], text, at, at, chain[2], False) for text, at in chain[1]]
+                chain[:2] = [x.id, [place]]
+            elif place not in chain[1]:
+                chain[1].append(place)
+        if start is not None:
+            self.mark(x, start, high)
+        for offset in range(own, x.high + 1):
             if offset not in self.chains:
-                self.chains[offset] = (x[1], [(x[2], x[3] - offset)], self.run_hash(x, offset))
+                self.chains[offset] = [x.id, [(x.text, x.at - offset)], x.run_hash(offset)]
+        if self.chains:
+            first, last = min(self.chains), max(self.chains)
+            self.span = (first, last) if len(self.chains) == last - first + 1 else None
+            self.least = max(c[0] for c in self.chains.values())
+        else:
+            self.span = None
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("text", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("run", pa.binary()), ("open", pa.bool_())])
-    walk = _Chains()
+_RUNS = pa.schema([("id", pa.int64()), ("text", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("run", pa.binary()), ("open", pa.bool_())])
 
-    def out() -> pa.RecordBatch:
-        rows, walk.rows = walk.rows, []
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    held, right, left = None, LENGTH, 0  # the first suffix may go on one of the partition before
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    walk, held, right, left, common = _Chains(), None, 0, 0, 0
     for batch in batches:
-        for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = (x[0].split(), *x[1:6], x[6].split())
-            if held is None:
-                held, to_left, seen = x, -1, 0
-                continue
-            common = _common(held[0], x[0])
-            walk.take(held, seen, to_left, max(right, common))
-            right, seen, to_left, held = common, common, _common(held[6], x[6]), x
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x = _Suffix(*row)
+            together = held is not None and x.gram == held.gram
+            common = _common(held.right, x.right) if together else 0
+            if held is not None:
+                walk.take(held, right, left, LENGTH if held.split else max(right, common))
+            right, left, held = common, _common(held.left, x.left) if together else -1, x
         if len(walk.rows) > 20_000:
-            yield out()
+            yield _batch(walk.rows, _RUNS)
+            walk.rows = []
     if held is not None:
-        walk.take(held, seen, to_left, LENGTH)  # it may go on in the next partition
-        for offset in list(walk.chains):
-            walk.end(offset)
+        walk.take(held, right, left, LENGTH if held.split else right)
+        walk.end(list(walk.chains))
         if walk.rows:
-            yield out()
+            yield _batch(walk.rows, _RUNS)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,13 +225,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).cast("binary").alias("body"))
     places = durable(rows.mapInArrow(_grams, f"key {KEY}, grams array<bigint>").where(F.size("grams") > 0))
     each = places.select("key", F.explode("grams").alias("gram"))
-    several = each.groupBy("gram").agg(F.min("key.id").alias("low"), F.max("key.id").alias("high")).where("low < high").select("gram")
-    wanted = each.join(several, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    several = each.groupBy("gram").agg(F.min("key.id").alias("first"), F.max("key.id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    several = several.select("gram", F.ceil(F.col("n") / HEAP).cast("int").alias("heaps"))
+    wanted = each.join(several, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "heaps")).alias("grams"))
     found = rows.join(wanted, "key").mapInArrow(_suffixes, SUFFIX)
-    found = durable(found.dropDuplicates(["id", "text", "at"]))
-    order = ["suffix", "id", "text", "at"]
-    partitions = max(found.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    compared = durable(found.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(_compare, "id bigint, text bigint, low int, high int, run binary, open boolean"))
+    order = ["gram", "heap", "suffix", "id", "text", "at"]
+    dealt = found.repartition("gram", "heap").sortWithinPartitions(*order)
+    compared = durable(dealt.mapInArrow(_compare, "id bigint, text bigint, low int, high int, run binary, open boolean"))
     least = compared.where("open").groupBy("run").agg(F.min("id").alias("first_id"))
     hit = compared.join(least, "run").where("id > first_id")
     per_text = hit.groupBy(F.struct("id", "text").alias("key")).agg(F.sort_array(F.collect_list(F.struct("low", "high", "first_id"))).alias("hits"))

@@ -42,9 +42,10 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mix(hashes[j : j + n] + np.uint64(j + 1))
+    out = hashes[:n].copy()
+    for j in range(1, size):  # the words' hashes are well spread already
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[j : j + n]
     return mix(out + np.uint64(size))
 
 
