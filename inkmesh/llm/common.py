@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable
 
@@ -52,9 +53,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that no data frame in use needs.
+
+    Spark does so when the driver's garbage is collected, which on its own happens
+    seldom, so the files of a job of many steps would pile up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the shared folder, with the lineage cut."""
     shared_folder(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

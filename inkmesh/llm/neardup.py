@@ -9,7 +9,8 @@
 3. In each bucket one representative is the centre of a star: the one that meets most
    others over all its buckets, as what copies were made from does. Only edges from
    the centre are candidates, so a bucket of n gives n - 1 pairs.
-4. Candidates are confirmed on the full sets; confirmed edges give components.
+4. Candidates are confirmed on the full sets, first one for each member, to its best
+   centre, then those that would join two components; confirmed edges give components.
 5. What a star can miss: two documents of a bucket that are similar to each other
    but not to its centre. Only buckets whose members are in several components can
    hold such pairs; their pairs across components are confirmed in the same way
@@ -118,16 +119,17 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NODE = "struct<id:bigint,print:bigint>"
 
 
-def confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose full sets are linked; ``rows(doc_id, text)``."""
-    pairs = durable(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().select(F.col("node.id").alias("doc_id"), "node")
-    hashed = rows.join(wanted, "doc_id").select("doc_id", "node", "text").mapInArrow(_sets, f"doc_id long, node {NODE}, shingles binary")
-    sets = durable(hashed.dropDuplicates(["doc_id", "node"]).select("node", "shingles"))
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose full sets are linked; ``sets(node, shingles)``."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     return durable(both.select("a", "b", "x", "y").mapInArrow(_confirmed, f"a {NODE}, b {NODE}"))
 
 
+def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """``members`` with the component of their node."""
+    return members.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -142,19 +144,32 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # What copies were made from meets each of them more often than they meet each other: it makes the best centre.
     met = shared.groupBy("id", "print1").agg(F.sum("n").alias("met"))
     node, rank = F.struct("id", F.col("print1").alias("print")), F.struct("met", F.negative("id").alias("lower"), "print1")
-    centre = shared.join(met, ["id", "print1"]).groupBy("key").agg(F.max_by(node, rank).alias("centre"))
-    shared = durable(shared.join(centre, "key").select("key", node.alias("node"), "centre"))
-    edges = confirm(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), rows)
+    centre = shared.join(met, ["id", "print1"]).groupBy("key").agg(F.max_by(node, rank).alias("centre"), F.max("met").alias("met"))
+    shared = durable(shared.join(centre, "key").select("key", node.alias("node"), "centre", "met"))
+    wanted = shared.select("node").distinct().select(F.col("node.id").alias("doc_id"), "node")
+    hashed = rows.join(wanted, "doc_id").select("doc_id", "node", "text").mapInArrow(_sets, f"doc_id long, node {NODE}, shingles binary")
+    sets = durable(hashed.dropDuplicates(["doc_id", "node"]).select("node", "shingles"))
+    # the best centre of each node, then the other stars, as far as they join components
+    best = shared.where("node <> centre").groupBy("node").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre"))
+    edges = confirm(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets)
     label = components(docs.sparkSession, edges)
+    stars = durable(labelled(shared.select("node", "centre", "key"), label))
+    hubs = stars.where("node = centre").select("key", F.col("component").alias("hub"))
+    other = stars.where("node <> centre").join(hubs, "key").where("component <> hub").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    other = other.join(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
+    more = confirm(other, sets)
+    if more.limit(1).count():
+        edges = edges.union(more)
+        label = components(docs.sparkSession, edges)
+        stars = durable(labelled(shared.select("node", "centre", "key"), label))
     # buckets in which several components meet: what the stars left open
-    labelled = durable(shared.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    mixed = stars.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     sizes = groups.select(node.alias("node"), "n_shingles")
-    rest = labelled.where("node <> centre").join(mixed, "key").join(sizes, "node")  # a pair with the centre was confirmed or refused before
+    rest = stars.where("node <> centre").join(mixed, "key").join(sizes, "node")  # a pair with the centre was confirmed or refused before
     x, y = rest.alias("x"), rest.alias("y")
     fits = (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * SIMILARITY_PERCENT) & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * SIMILARITY_PERCENT)
     open_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits)
-    more = confirm(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), rows)
+    more = confirm(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets)
     if more.limit(1).count():
         label = components(docs.sparkSession, edges.union(more))
     groups = groups.select(*prints, node.alias("node"))
