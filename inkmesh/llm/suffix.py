@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import durable, table
+from inkmesh.llm.common import durable, release, table
 from inkmesh.llm.wordhash import WordHashes, hash_words, mix, runs, word_list
 
 LENGTH, GRAM = 50, 8
-#: Suffixes of one gram that go to one task; more are dealt out by id.
+#: Suffixes of one gram that go to one task at least; beyond it, and an even share of all, they are dealt out by id.
 HEAP = 2_000
 WINDOW = LENGTH - GRAM + 1  # grams of a run
 
@@ -226,12 +226,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     places = durable(rows.mapInArrow(_grams, f"key {KEY}, grams array<bigint>").where(F.size("grams") > 0))
     each = places.select("key", F.explode("grams").alias("gram"))
     several = each.groupBy("gram").agg(F.min("key.id").alias("first"), F.max("key.id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
-    several = several.select("gram", F.ceil(F.col("n") / HEAP).cast("int").alias("heaps"))
+    several = durable(several.select("gram", "n"))
+    total = several.agg(F.sum("n")).first()[0] or 0
+    share = max(HEAP, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    several = several.select("gram", F.ceil(F.col("n") / share).cast("int").alias("heaps"))
     wanted = each.join(several, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "heaps")).alias("grams"))
     found = rows.join(wanted, "key").mapInArrow(_suffixes, SUFFIX)
     order = ["gram", "heap", "suffix", "id", "text", "at"]
     dealt = found.repartition("gram", "heap").sortWithinPartitions(*order)
     compared = durable(dealt.mapInArrow(_compare, "id bigint, text bigint, low int, high int, run binary, open boolean"))
+    release(docs.sparkSession)
     least = compared.where("open").groupBy("run").agg(F.min("id").alias("first_id"))
     hit = compared.join(least, "run").where("id > first_id")
     per_text = hit.groupBy(F.struct("id", "text").alias("key")).agg(F.sort_array(F.collect_list(F.struct("low", "high", "first_id"))).alias("hits"))
