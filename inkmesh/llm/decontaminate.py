@@ -54,6 +54,16 @@ def grams(word_array: Column, size: Column | int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_grams(word_array: Column, k: int) -> Column:
+    """64-bit hashes of all runs of ``k`` words; each word is hashed once."""
+
+    def of(h: Column) -> Column:
+        runs = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+        return F.slice(runs, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0)))
+
+    return let(F.transform(word_array, lambda x: F.xxhash64(x)), of)
+
+
 def simhash(shingles: Column) -> Column:
     """Bit b is set if more shingles, counted as often as they occur, hash to 1 there than to 0."""
 
@@ -111,11 +121,11 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 def _matches_of(texts: DataFrame, items: DataFrame, k: int, radius: int) -> DataFrame:
     # 1. anchors. The shingle's hash joins; step 3 compares the words themselves.
-    item_grams = items.select("item_id", "size", F.explode(F.array_distinct(F.transform("item_shingles", lambda s: F.xxhash64(F.split(s, " ").getItem(0), *[F.split(s, " ").getItem(j) for j in range(1, k)])))).alias("gram"))
-    hashes = let(F.col("words"), lambda w: F.slice(F.transform(w, lambda x, i: F.struct(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]).alias("gram"), i.alias("at"))), F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0))))
-    split = texts.select("key", words(lower_ascii(F.col("text"))).alias("words"))
-    probes = split.select("key", F.size("words").alias("n_words"), F.explode(hashes).alias("g")).select("key", "n_words", "g.gram", "g.at")
-    anchors = probes.join(item_grams, "gram").select("key", "n_words", "item_id", "size", "at")
+    item_grams = items.select("item_id", "size", F.explode(F.array_distinct(hashed_grams(F.col("item_words"), k))).alias("gram"))
+    split = texts.select("key.id", F.col("key.text").alias("hash"), words(lower_ascii(F.col("text"))).alias("words"))
+    # two plain columns and positions: nothing is built for a place but its hash
+    probes = split.select("id", "hash", F.size("words").alias("n_words"), F.posexplode(hashed_grams(F.col("words"), k)).alias("at", "gram"))
+    anchors = probes.join(item_grams, "gram").select(F.struct("id", F.col("hash").alias("text")).alias("key"), "n_words", "item_id", "size", "at")
     # A group is the anchors of one item in one text, so no more than the words of that text.
     grouped = anchors.groupBy("key", "item_id").agg(F.first("n_words").alias("n_words"), F.first("size").alias("size"), F.array_sort(F.collect_set("at")).alias("ats"))
     last = F.greatest(F.col("n_words") - F.col("size"), F.lit(0))
@@ -130,7 +140,8 @@ def _matches_of(texts: DataFrame, items: DataFrame, k: int, radius: int) -> Data
     # the words of those texts alone: the join moves the raw text, which is split behind it
     per_text = windows.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("ws"))
     chosen = texts.join(per_text, "key").dropDuplicates(["key"]).select("key", "ws", words(lower_ascii(F.col("text"))).alias("words"))
-    cut = chosen.select("key", F.explode(F.transform("ws", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice(F.col("words"), w["start"] + 1, w["size"]).alias("words")))).alias("w"))
+    slices = let(F.col("words"), lambda all_words: F.transform("ws", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice(all_words, w["start"] + 1, w["size"]).alias("words"))))
+    cut = chosen.select("key", F.explode(slices).alias("w"))
     cut = cut.select("key", F.col("w.start").alias("start"), F.col("w.size").alias("size"), grams(F.col("w.words"), k).alias("shingles")).where(F.size("shingles") > 0)
     # 2. fingerprints within the radius, by multi-index blocks
     cut_blocks = blocks(radius)
