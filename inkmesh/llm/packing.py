@@ -23,7 +23,9 @@ pieces. Other columns are not read.
 from __future__ import annotations
 
 import os
-import re
+import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -37,8 +39,8 @@ from inkmesh.llm.common import durable, table
 
 LENGTH, END, OPEN = 2048, 0, 256
 GROUP = 100_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker process keeps; about 200 bytes each.
+KEPT_WORDS = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -49,25 +51,35 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
 
 
 class Ids:
-    """Little-endian 32-bit ids of texts, kept by word."""
+    """Little-endian 32-bit ids of texts (UTF-8), kept by word."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [re.split("[\x20\x09-\x0d]+", t) for t in texts]
+        self.kept: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def of_worker(path: str) -> Ids:
+        """That of this process: a worker that runs several tasks keeps its words."""
+        kept = sys.modules.setdefault("_inkmesh_worker", types.ModuleType("_inkmesh_worker")).__dict__
+        if ("ids", path) not in kept:
+            kept["ids", path] = Ids(path)
+        return kept["ids", path]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        # The tokenizer lower-cases, so a word need not be kept in several cases; special tokens are told by case.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = list(set().union(*split) - self.kept.keys())
         if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
+            self.kept.clear()
             new = list(set().union(*split))
         for i in range(0, len(new), 5000):
             part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                ids = e.ids
+                self.kept[w] = struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join(map(self.kept.__getitem__, words)) for words in split]
 
 
@@ -125,14 +137,14 @@ def _table(placed: list, still_open: bool) -> pa.RecordBatch:
 
 def _packs(path: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer = Ids(path), Packer(most, first=TaskContext.get().partitionId() << 33)
+        ids, packer = Ids.of_worker(path), Packer(most, first=TaskContext.get().partitionId() << 33)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             done = []
             step = max(1, int(len(batch) * 4e6 / max(4e6, batch.column(1).nbytes)))  # about 4 MB of text at a time
             for i in range(0, len(batch), step):
                 part = batch.slice(i, step)
-                for doc_id, raw in zip(part.column(0).to_pylist(), ids.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc_id, raw in zip(part.column(0).to_pylist(), ids.of([t or b"" for t in part.column(1).to_pylist()]), strict=True):
                     raw += end
                     for piece, at in enumerate(range(0, len(raw), 4 * LENGTH)):
                         own = raw[at : at + 4 * LENGTH]
@@ -162,7 +174,7 @@ def _again(first: int, most: int):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, open_bins: int = OPEN) -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     first = durable(rows.mapInArrow(_packs(tokenizer or tokenizer_file(), open_bins), COLUMNS + ", open boolean"))
     columns = [c for c in first.columns if c != "open"]
     left = first.where("open").select(*columns)
