@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What counts as white space at the ends of a name.
 WHITE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -35,7 +36,7 @@ def handle_py(name: str) -> str:
     return unicodedata.normalize("NFC", trim_py(name).lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -151,7 +152,7 @@ def title_stem_py(title: str) -> str:
     return bound_title_py(sanitize_title_py(title))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_stem(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else title_stem_py(x))
 
@@ -205,6 +206,6 @@ def truncate_tail_py(text: str, tokens: int, marker: str = MARKER) -> str:
     return re.sub(rf"[{WHITE}]+\Z", "", units[: 2 * room].decode("utf-16-le", "surrogatepass")) + ending
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def truncate_tail(text: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else truncate_tail_py(t, int(n)) for t, n in zip(text, tokens, strict=True)], dtype=object)
