@@ -13,9 +13,8 @@
    centre, then those that would join two components; confirmed edges give components.
 5. What a star can miss: two documents of a bucket that are similar to each other
    but not to its centre. Only buckets whose members are in several components can
-   hold such pairs; their pairs across components are confirmed in the same way
-   (pairs whose sizes rule a link out are left out), and components formed anew.
-   Nothing is capped.
+   hold such pairs. Those that what is known of the centre does not rule out
+   (``open_pairs``) are confirmed, and components formed anew. Nothing is capped.
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing, like rows of a null id, whose component is null. Repeated rows are copies
@@ -119,6 +118,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NODE = "struct<id:bigint,print:bigint>"
 
 
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``(centre, node, component, linked, x, y)``: what of the node's set ``y`` the centre's set ``x`` holds, and the rest."""
+    for batch in batches:
+        inside, sizes, rest = [], [], []
+        for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            own = np.frombuffer(y.as_py(), np.uint64)
+            out = np.setdiff1d(own, np.frombuffer(x.as_py(), np.uint64), assume_unique=True)
+            sizes.append(len(own))
+            inside.append(len(own) - len(out))
+            rest.append(out.view(np.int64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(sizes, pa.int64()), pa.array(inside, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["centre", "node", "component", "linked", "n", "inside", "outside"])
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)`` of nodes whose full sets are linked; ``sets(node, shingles)``."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -130,6 +142,56 @@ def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     return members.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs that share a bucket, lie in different components, and can be linked for all that their bucket's centre tells.
+
+    Split each set at the centre c of the bucket: inside c, and outside. Two sets share
+    inside at most the lesser inside, and outside only shingles that both have. So a
+    pair can reach the similarity only if
+
+    * it has a shingle outside c in common, found by an equi-join on it, and the lesser
+      inside plus the lesser count of outside shingles that any other set of the group
+      has suffices; or
+    * the lesser inside alone suffices. One of the two is not linked with c, so it is
+      much smaller there, and only sets of few sizes can meet that: an equi-join
+      on size classes.
+
+    Buckets of a group of copies hold very many pairs of different components that are
+    well apart; the first count rules out nearly all of them without looking at a pair.
+    """
+    others = stars.where("node <> centre")
+    mixed = others.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    group = others.join(mixed, "key").select("centre", "node", "component").distinct()
+    hub = label.select(F.col("id").alias("centre"), F.col("component").alias("hub"))
+    group = group.join(hub, "centre", "left").withColumn("linked", F.col("component") == F.coalesce("hub", "centre"))
+    both = group.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("x")), "centre").join(sets.select("node", F.col("shingles").alias("y")), "node")
+    split = durable(both.select("centre", "node", "component", "linked", "x", "y").mapInArrow(_outside, f"centre {NODE}, node {NODE}, component {NODE}, linked boolean, n bigint, inside bigint, outside array<bigint>"))
+    facts = split.select("centre", "node", "component", "linked", "n", "inside")
+    shingle = split.select("centre", "node", F.explode("outside").alias("shingle"))
+    several = shingle.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("centre", "shingle")
+    shingle = durable(shingle.join(several, ["centre", "shingle"]))
+    counted = shingle.groupBy("centre", "node").agg(F.count(F.lit(1)).alias("common")).join(facts, ["centre", "node"])
+    rows = shingle.join(counted, ["centre", "node"])
+    p, q = SIMILARITY_PERCENT, 100 + SIMILARITY_PERCENT
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
+    reach = F.least("x.inside", "y.inside") + F.least("x.common", "y.common")
+    by_shingle = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & (q * reach >= p * (F.col("x.n") + F.col("y.n"))))
+
+    def size_class(n):
+        return F.floor(F.log(n.cast("double")) * 10)
+
+    # q * inside(x) >= p * (n(x) + n(y)) bounds the size of y from above, the similarity itself from below
+    least, most = F.ceil(F.col("n") * p / F.lit(100.0)), F.floor(F.col("inside") * q / F.lit(float(p))) - F.col("n")
+    small = facts.where("NOT linked").withColumns({"least": least, "most": most}).where("least <= most")
+    x = small.withColumn("class", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most"))))).alias("x")
+    y = facts.withColumn("class", size_class(F.col("n"))).alias("y")
+    fits = q * F.least("x.inside", "y.inside") >= p * (F.col("x.n") + F.col("y.n"))
+    by_size = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & fits)
+    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    return by_shingle.select(*ends).union(by_size.select(*ends)).distinct()
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -162,14 +224,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         edges = edges.union(more)
         label = components(docs.sparkSession, edges)
         stars = durable(labelled(shared.select("node", "centre", "key"), label))
-    # buckets in which several components meet: what the stars left open
-    mixed = stars.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    sizes = groups.select(node.alias("node"), "n_shingles")
-    rest = stars.where("node <> centre").join(mixed, "key").join(sizes, "node")  # a pair with the centre was confirmed or refused before
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * SIMILARITY_PERCENT) & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * SIMILARITY_PERCENT)
-    open_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits)
-    more = confirm(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets)
+    more = confirm(open_pairs(stars, label, sets), sets)
     if more.limit(1).count():
         label = components(docs.sparkSession, edges.union(more))
     groups = groups.select(*prints, node.alias("node"))
