@@ -8,12 +8,14 @@ Each run that a document shares with one of a lesser id is found. Steps:
    alone, so equal runs have theirs at the same offset. Suffixes are kept at them.
 2. Suffixes whose first gram occurs in one document only are let go; the rest carry
    the words to their right and left that runs over that place can use.
-3. The suffixes are dealt out by first gram, a gram with many of them to several
-   tasks, and sorted there. Neighbours are compared: the common prefix to the right,
-   extended by the common words to the left. Equal runs of neighbours form a chain,
-   of which the least id is kept in view and all others are marked. A suffix shares
-   with no other more to the right than with a neighbour, so runs that would need
-   more are let go (not where a gram was dealt to several tasks).
+3. The suffixes are dealt out by first gram, a gram with very many of them to several
+   tasks, and sorted there. A suffix shares with no other more words to the right than
+   with a neighbour; those that share too few for any run are let go. The others are
+   sorted by the words to their left, and neighbours compared again: words in common
+   to the left, extended by those to the right. Equal runs of neighbours form a chain,
+   of which the least id is kept in view and all others are marked. Runs that would
+   need more words on a side than a neighbour shares are let go (not where a gram was
+   dealt to several tasks).
 4. What chains cannot tell (equal runs apart in the order, or in two tasks) is
    settled by the chains' least members alone, grouped by the run's hash.
 
@@ -81,6 +83,36 @@ _SUFFIX = pa.schema([("gram", pa.int64()), ("heap", pa.int32()), ("split", pa.bo
 SUFFIX = "gram bigint, heap int, split boolean, suffix binary, id bigint, text bigint, at int, low int, high int, before binary"
 
 
+def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes in order, those that share enough to the right with a neighbour; ``low`` becomes the least offset that this allows."""
+    last = None  # the row before: its batch, place, key, suffix, words in common with the one before it
+
+    def reach(row: tuple, common: int) -> int:
+        return LENGTH if row[2].column(2)[row[3]].as_py() else max(row[4], common)
+
+    def chosen(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for batch in {id(r[2]): r[2] for r, _ in rows}.values():
+            own = [(r[3], low) for r, low in rows if r[2] is batch]
+            out = batch.take(pa.array([i for i, _ in own], pa.int64()))
+            yield out.set_column(7, "low", pa.array([low for _, low in own], pa.int32()))
+
+    for batch in batches:
+        rows = []
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        for i, (gram, heap, suffix) in enumerate(keys):
+            key = (gram, heap)
+            common = _common(last[1], suffix) if last and last[0] == key else 0
+            if last:
+                rows.append((last, reach(last, common)))
+            last = (key, suffix, batch, i, common)
+        lows = [(r, max(r[2].column(7)[r[3]].as_py(), LENGTH - most)) for r, most in rows]
+        yield from chosen([(r, low) for r, low in lows if low <= r[2].column(8)[r[3]].as_py()])
+    if last:
+        low = max(last[2].column(7)[last[3]].as_py(), LENGTH - reach(last, 0))
+        if low <= last[2].column(8)[last[3]].as_py():
+            yield from chosen([(last, low)])
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -134,61 +166,83 @@ class _Suffix:
         return xxhash.xxh3_128_digest(b" ".join(self.words[start : start + LENGTH]))
 
 
+class _Chain:
+    """Equal runs of suffixes that follow each other: the least id and its (text, start)s; ``whole`` while no other suffix can have the run."""
+
+    __slots__ = ("least", "places", "of", "offset", "whole", "named", "_hash")
+
+    def __init__(self, x: _Suffix, offset: int, whole: bool) -> None:
+        self.least, self.places, self.of, self.offset, self.whole, self.named, self._hash = x.id, [(x.text, x.at - offset)], x, offset, whole, False, None
+
+    @property
+    def hash(self) -> bytes:
+        if self._hash is None:
+            self._hash = self.of.run_hash(self.offset)
+        return self._hash
+
+
 class _Chains:
-    """Walks over sorted suffixes, one at a time; for each offset there is a chain of equal runs.
+    """Walks over suffixes sorted by what is to their left, one at a time; for each offset there is a chain of equal runs.
 
-    Rows out: (id, text, first start, last start, hash, chain end). A chain end is the
-    chain's least member, which only all chains together can judge.
+    Suffixes that share the words of a run to the left of its place stand together. A
+    chain that takes up the whole of such a stretch is all there is of its run, and its
+    least member needs no more judging.
+
+    Rows out: (id, text, first start, last start, hash, open). An open row is a chain's
+    least member: others of the same run may have a lesser one, or marks name its hash.
     """
 
     def __init__(self) -> None:
-        self.chains: dict[int, list] = {}  # offset: [least id, its (text, start)s, hash]
+        self.chains: dict[int, _Chain] = {}
         self.span = self.least = None  # first and last offset, if there is a chain at each between; no chain's least id is above
         self.rows: list[tuple] = []
 
-    def end(self, offsets: list[int]) -> None:
+    def end(self, offsets: list[int], left: int = -1) -> None:
         for offset in offsets:
-            least, places, h = self.chains.pop(offset)
-            self.rows += [(least, text, start, start, h, True) for text, start in places]
+            c = self.chains.pop(offset)
+            if c.named or not c.whole or left >= offset:
+                self.rows += [(c.least, text, start, start, c.hash, True) for text, start in c.places]
 
     def mark(self, x: _Suffix, low: int, high: int) -> None:
-        self.rows.append((x.id, x.text, x.at - high, x.at - low, self.chains[high][2], False))
+        c = self.chains[high]
+        c.named = True
+        self.rows.append((x.id, x.text, x.at - high, x.at - low, c.hash, False))
 
     def take(self, x: _Suffix, right: int, left: int, reach: int) -> None:
-        """``right``, ``left``: words in common with the suffix before; ``reach``: the most to the right that it shares with a neighbour."""
+        """``right``, ``left``: words in common with the suffix before; ``reach``: the most to the left that it shares with a neighbour."""
         low, high = max(x.low, LENGTH - right), min(x.high, left)
-        own = max(x.low, LENGTH - reach)
-        if self.span == (low, high) and low == own and high == x.high and x.id > self.least:
+        most = min(x.high, reach)
+        if self.span == (low, high) and low == x.low and high == most and x.id > self.least:
             self.mark(x, low, high)  # every run goes on with a greater id
             return
         if self.chains:
-            self.end([o for o in self.chains if not low <= o <= high])
+            self.end([o for o in self.chains if not low <= o <= high], left)
         start = None
         for offset in range(low, high + 1):
-            chain = self.chains.get(offset)
-            if chain is not None and x.id > chain[0]:
+            c = self.chains.get(offset)
+            if c is not None and x.id > c.least:
                 start = offset if start is None else start
                 continue
             if start is not None:
                 self.mark(x, start, offset - 1)
                 start = None
-            place = (x.text, x.at - offset)
-            if chain is None:
+            if c is None:
                 continue
-            if x.id < chain[0]:
-                self.rows += [(chain[0], text, at, at, chain[2], False) for text, at in chain[1]]
-                chain[:2] = [x.id, [place]]
-            elif place not in chain[1]:
-                chain[1].append(place)
+            place = (x.text, x.at - offset)
+            if x.id < c.least:
+                self.rows += [(c.least, text, at, at, c.hash, False) for text, at in c.places]
+                c.least, c.places, c.named = x.id, [place], True
+            elif place not in c.places:
+                c.places.append(place)
         if start is not None:
             self.mark(x, start, high)
-        for offset in range(own, x.high + 1):
+        for offset in range(x.low, most + 1):
             if offset not in self.chains:
-                self.chains[offset] = [x.id, [(x.text, x.at - offset)], x.run_hash(offset)]
+                self.chains[offset] = _Chain(x, offset, left < offset and not x.split)
         if self.chains:
             first, last = min(self.chains), max(self.chains)
             self.span = (first, last) if len(self.chains) == last - first + 1 else None
-            self.least = max(c[0] for c in self.chains.values())
+            self.least = max(c.least for c in self.chains.values())
         else:
             self.span = None
 
@@ -202,15 +256,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x = _Suffix(*row)
             together = held is not None and x.gram == held.gram
-            common = _common(held.right, x.right) if together else 0
+            common = _common(held.left, x.left) if together else -1
             if held is not None:
-                walk.take(held, right, left, LENGTH if held.split else max(right, common))
-            right, left, held = common, _common(held.left, x.left) if together else -1, x
+                walk.take(held, right, left, LENGTH if held.split else max(left, common))
+            right, left, held = _common(held.right, x.right) if together else 0, common, x
         if len(walk.rows) > 20_000:
             yield _batch(walk.rows, _RUNS)
             walk.rows = []
     if held is not None:
-        walk.take(held, right, left, LENGTH if held.split else right)
+        walk.take(held, right, left, LENGTH if held.split else left)
         walk.end(list(walk.chains))
         if walk.rows:
             yield _batch(walk.rows, _RUNS)
@@ -232,9 +286,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     several = several.select("gram", F.ceil(F.col("n") / share).cast("int").alias("heaps"))
     wanted = each.join(several, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "heaps")).alias("grams"))
     found = rows.join(wanted, "key").mapInArrow(_suffixes, SUFFIX)
-    order = ["gram", "heap", "suffix", "id", "text", "at"]
-    dealt = found.repartition("gram", "heap").sortWithinPartitions(*order)
-    compared = durable(dealt.mapInArrow(_compare, "id bigint, text bigint, low int, high int, run binary, open boolean"))
+    by_right = found.repartition("gram", "heap").sortWithinPartitions("gram", "heap", "suffix")
+    by_left = by_right.mapInArrow(_reaching, SUFFIX).sortWithinPartitions("gram", "heap", "before", "suffix", "id", "text", "at")
+    compared = durable(by_left.mapInArrow(_compare, "id bigint, text bigint, low int, high int, run binary, open boolean"))
     release(docs.sparkSession)
     least = compared.where("open").groupBy("run").agg(F.min("id").alias("first_id"))
     hit = compared.join(least, "run").where("id > first_id")
