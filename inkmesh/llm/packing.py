@@ -40,7 +40,8 @@ from inkmesh.llm.common import durable, table
 LENGTH, END, OPEN = 2048, 0, 256
 GROUP = 100_000
 #: Words whose ids a worker process keeps; about 200 bytes each.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_200_000
+MARKS = b".,;:!?|"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -71,15 +72,20 @@ class Ids:
     def of(self, texts: list[bytes]) -> list[bytes]:
         # The tokenizer lower-cases, so a word need not be kept in several cases; special tokens are told by case.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = list(set().union(*split) - self.kept.keys())
+        new = set().union(*split) - self.kept.keys()
         if len(self.kept) + len(new) > KEPT_WORDS:
             self.kept.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
+            new = set().union(*split)
+        # Marks at the end of a word are a token run of their own behind a letter or digit: many words differ in them alone.
+        ends = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core[-1:].isalnum() and b"<|" not in w}
+        rest = list({*(new - ends.keys()), *ends.values(), *(w[len(c) :] for w, c in ends.items())} - self.kept.keys())
+        for i in range(0, len(rest), 5000):
+            part = rest[i : i + 5000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 ids = e.ids
                 self.kept[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, core in ends.items():
+            self.kept[w] = self.kept[core] + self.kept[w[len(core) :]]
         return [b"".join(map(self.kept.__getitem__, words)) for words in split]
 
 
