@@ -176,4 +176,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("key.id").alias("doc_id"), "item_id", F.col("start").cast("long").alias("start_word"), F.round(F.col("shared") / F.col("total"), 6).alias("similarity"))
+    return found.select(F.col("key.id").alias("doc_id"), "item_id", F.round(F.col("shared") / F.col("total"), 6).alias("similarity"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, ws, len(ws) AS n, least(5, len(ws)) AS k FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark)
+  WHERE len(ws) > 0),
+bg AS (SELECT item_id, n, k, array_to_string(ws[i:i+k-1], ' ') AS g, count(*) AS c FROM (SELECT *, unnest(generate_series(1, n - k + 1)) AS i FROM b) GROUP BY ALL),
+dg AS (SELECT doc_id, k, i, array_to_string(ws[i:i+k-1], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM b) WHERE len(ws) >= k)),
+hit AS (SELECT DISTINCT doc_id, item_id, n, bg.k FROM dg JOIN bg ON bg.g = dg.g AND bg.k = dg.k),
+win AS (SELECT h.*, len(ws) AS m, unnest(generate_series(1, greatest(len(ws) - n + 1, 1))) AS s FROM hit h JOIN d USING (doc_id)),
+wg AS (SELECT win.doc_id, item_id, win.k, s, n, least(m, n) - win.k + 1 AS size, dg.g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.k = win.k AND dg.i BETWEEN s AND s + least(m, n) - win.k GROUP BY ALL),
+sim AS (SELECT wg.doc_id, wg.item_id, s, any_value(size) + any_value(wg.n - wg.k + 1) AS both_n, sum(least(wg.c, bg.c)) AS shared FROM wg JOIN bg ON bg.item_id = wg.item_id AND bg.g = wg.g GROUP BY ALL)
+SELECT doc_id, item_id, round(max(shared / (both_n - shared)::DOUBLE), 6) AS similarity FROM sim GROUP BY doc_id, item_id HAVING 100 * max(shared / (both_n - shared)::DOUBLE) >= 75
+"""

@@ -274,7 +274,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``key(id, text), spans[(start, n_words, first_id)]`` of documents with runs seen in one of a lesser id.
 
     ``key.text`` is a hash that tells apart texts of one id; starts count words from 0;
-    ``first_id`` is the least id that has a run of the span.
+    ``first_id`` is the least id that has the first run of the span.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).cast("binary").alias("body"))
     places = durable(rows.mapInArrow(_grams, f"key {KEY}, grams array<bigint>").where(F.size("grams") > 0))
@@ -296,7 +296,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def merge(acc, x):
         last = F.element_at(acc, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["high"] + LENGTH).alias("end"), F.least(last["first_id"], x["first_id"]).alias("first_id"))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["high"] + LENGTH).alias("end"), last["first_id"].alias("first_id"))
         own = F.struct(x["low"].alias("start"), (x["high"] + LENGTH).alias("end"), x["first_id"].alias("first_id"))
         return F.when((F.size(acc) > 0) & (x["low"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(own)))
 
@@ -347,3 +347,14 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_c
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
     return found.select(F.col("key.id").alias("doc_id"), F.explode("spans").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("start_word"), F.col("s.n_words").cast("long").alias("n_words"), F.col("s.first_id").alias("first_doc_id"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT g, min(doc_id) AS first_id FROM w GROUP BY g),
+m AS (SELECT doc_id, i, first_id, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (g) WHERE first_id < doc_id),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM m)
+SELECT doc_id, min(i) - 1 AS start_word, max(i) - min(i) + 50 AS n_words, arg_min(first_id, i) AS first_doc_id FROM s GROUP BY doc_id, span
+"""
