@@ -72,3 +72,11 @@ def citer_union(existing: DataFrame, new: DataFrame, live: DataFrame | None = No
         both = both.join(live.select("source").distinct(), "source", "left_semi")
     once = both.groupBy("page", "source").agg(F.min("at").alias("at"))
     return once.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda x: x["source"]).alias("citers"))
+
+
+def resolve_labels(labels: DataFrame, nodes: DataFrame, nfc: bool = True) -> DataFrame:
+    """``labels(pos, label)`` of a trace with ``path``: an exact node path first, else a title; null: no such node now."""
+    exact = nodes.select(F.col("path").alias("label"), F.col("path").alias("exact")).distinct()
+    titled = first_claimants(nodes.select("path", handle(F.col("title"), nfc).alias("handle")), "handle", utf16_order(F.col("path"))).withColumnRenamed("path", "titled")
+    both = labels.join(exact, "label", "left").withColumn("handle", handle(F.col("label"), nfc)).join(titled, "handle", "left")
+    return both.select("pos", "label", F.coalesce("exact", "titled").alias("path"))

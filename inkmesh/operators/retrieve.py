@@ -128,3 +128,14 @@ def overlay(nodes: DataFrame, scores: DataFrame, seeds: DataFrame, k: int = TOP_
     out = every.join(heat, ["qid", "path"], "left").join(best, ["qid", "path"], "left").join(marks, ["qid", "path"], "left")
     no = F.lit(False)
     return out.select("qid", "path", F.coalesce("is_seed", no).alias("is_seed"), F.coalesce("in_topk", no).alias("in_topk"), F.coalesce("heat", F.lit(0.0)).alias("heat")).withColumn("lit", F.col("is_seed") | F.col("in_topk") | (F.col("heat") > 0))
+
+
+def matches_filter(title: Column, path: Column, typed: Column) -> Column:
+    """What a filter box keeps: the typed text in the title or the path, whatever the case; blank keeps all."""
+    t = F.lower(trim(typed))
+    return (t == "") | F.contains(F.lower(title), t) | F.contains(F.lower(path), t)
+
+
+def opacity(lit: Column, overlaid: Column, matching: Column) -> Column:
+    """Nodes that an overlay does not light, or a filter does not match, are faint."""
+    return F.when((lit | ~overlaid) & matching, 1.0).otherwise(0.15)

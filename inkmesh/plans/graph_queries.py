@@ -233,6 +233,29 @@ def node_radius(spark, sf_dir):
     return built(spark, sf_dir)[0].select("path", F.round(graph.node_radius(F.col("degree")), 6).alias("radius"))
 
 
+def trace_labels(spark, sf_dir):
+    """Labels of a trace mapped back to nodes: paths, titles in another case, and what is gone."""
+    nodes, _ = built(spark, sf_dir)
+    labels = wiki(spark, sf_dir).select(F.concat(F.lit("t"), "path").alias("pos"), F.concat(F.lit(" "), "title", F.lit(" ")).alias("label")).union(wiki(spark, sf_dir).select("path", "path")).union(wiki(spark, sf_dir).select(F.concat(F.lit("x"), "path"), F.concat(F.lit("gone "), "path")))
+    return links.resolve_labels(labels, nodes)
+
+
+def filter_box(spark, sf_dir):
+    w = wiki(spark, sf_dir)
+    return w.where(retrieve.matches_filter(F.col("title"), F.col("path"), F.lit(" TH "))).select("path", "title")
+
+
+def mention_graph(spark, sf_dir):
+    """Each question's seeds and the pages one and two links away, with their distance."""
+    w = wiki(spark, sf_dir)
+    _, edges = built(spark, sf_dir)
+    both = graph.symmetric(edges)
+    start = retrieve.force_include(w, spark.createDataFrame(QUESTIONS, "qid string, question string")).select("qid", "path", F.lit(0).alias("distance"))
+    one = start.join(both, F.col("path") == F.col("a")).select("qid", F.col("b").alias("path"), (F.col("distance") + 1).alias("distance")).distinct()
+    two = one.join(both, F.col("path") == F.col("a")).select("qid", F.col("b").alias("path"), (F.col("distance") + 1).alias("distance")).distinct()
+    return start.union(one).union(two).groupBy("qid", "path").agg(F.min("distance").cast("long").alias("distance"))
+
+
 QUESTIONS = [("q1", "What of the page en-1 and the fr-4?"), ("q2", "de-2 or es-2 or en-2 or fr-2"), ("q3", "nothing here")]
 
 
@@ -288,6 +311,9 @@ QUERIES = [
     (scrubber_frames, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ONE, STEPS)}, r AS (SELECT i::BIGINT AS frame, path, round(score, 6) AS score FROM v WHERE i > 0) SELECT * FROM (SELECT frame, path, round(score / max(score) OVER (PARTITION BY frame), 5) AS heat, row_number() OVER (PARTITION BY frame ORDER BY score DESC, path) AS rank FROM r WHERE score > 0) WHERE rank <= 3"),
     (label_choice, f"WITH {WIKI} SELECT path, degree, row_number() OVER (ORDER BY degree DESC, path) AS rank FROM dg ORDER BY degree DESC, path LIMIT 10"),
     (node_radius, f"WITH {WIKI} SELECT path, round(3.0::DOUBLE + 2.6::DOUBLE * ln(degree + 1), 6) AS radius FROM dg"),
+    (trace_labels, f"WITH {WIKI}, fc AS (SELECT handle, path FROM (SELECT nfc_normalize(lower(title)) AS handle, path, row_number() OVER (PARTITION BY nfc_normalize(lower(title)) ORDER BY path) AS r FROM pg) WHERE r = 1 AND handle <> '') SELECT 't' || pg.path AS pos, ' ' || title || ' ' AS label, fc.path AS path FROM pg LEFT JOIN fc ON fc.handle = nfc_normalize(lower(title)) UNION ALL SELECT path, path, path FROM pg UNION ALL SELECT 'x' || path, 'gone ' || path, NULL FROM pg"),
+    (filter_box, f"WITH {WIKI} SELECT path, title FROM pg WHERE contains(lower(title), 'th') OR contains(lower(path), 'th')"),
+    (mention_graph, f"WITH {WIKI}, d0 AS (SELECT qid, path, 0 AS d FROM ({FORCED})), d1 AS (SELECT DISTINCT qid, sy.b AS path, 1 AS d FROM d0 JOIN sy ON sy.a = d0.path), d2 AS (SELECT DISTINCT qid, sy.b AS path, 2 AS d FROM d1 JOIN sy ON sy.a = d1.path) SELECT qid, path, min(d)::BIGINT AS distance FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY ALL"),
     (force_include, f"WITH {WIKI} {FORCED}"),
     (mode_b_rank, MODE_B_SQL),
 ]
