@@ -291,7 +291,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     compared = durable(by_left.mapInArrow(_compare, "id bigint, text bigint, low int, high int, run binary, open boolean"))
     release(docs.sparkSession)
     least = compared.where("open").groupBy("run").agg(F.min("id").alias("first_id"))
-    hit = compared.join(least, "run").where("id > first_id")
+    hit = durable(compared.join(least, "run").where("id > first_id"))  # alone, so that Spark can split a run that very many hold
     per_text = hit.groupBy(F.struct("id", "text").alias("key")).agg(F.sort_array(F.collect_list(F.struct("low", "high", "first_id"))).alias("hits"))
 
     def merge(acc, x):
