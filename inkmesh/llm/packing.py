@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import struct
 import sys
+import threading
 import types
 import zlib
 from collections.abc import Iterator
@@ -39,8 +40,8 @@ from inkmesh.llm.common import durable, table
 
 LENGTH, END, OPEN = 2048, 0, 256
 GROUP = 100_000
-#: Words whose ids a worker process keeps; about 200 bytes each.
-KEPT_WORDS = 1_200_000
+#: Words whose ids a worker process keeps, about 200 bytes each, and seconds without a task after which it lets them go.
+KEPT_WORDS, IDLE_S = 800_000, 5
 MARKS = b".,;:!?|"
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,6 +61,10 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
+        self.timer = None
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def of_worker(path: str) -> Ids:
@@ -67,7 +72,16 @@ class Ids:
         kept = sys.modules.setdefault("_inkmesh_worker", types.ModuleType("_inkmesh_worker")).__dict__
         if ("ids", path) not in kept:
             kept["ids", path] = Ids(path)
-        return kept["ids", path]
+        own = kept["ids", path]
+        if own.timer:
+            own.timer.cancel()
+        return own
+
+    def rest(self) -> None:
+        """The task is over: if no other comes, the memory is for other work."""
+        self.timer = threading.Timer(IDLE_S, self.kept.clear)
+        self.timer.daemon = True
+        self.timer.start()
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         # The tokenizer lower-cases, so a word need not be kept in several cases; special tokens are told by case.
@@ -79,8 +93,22 @@ class Ids:
         # Marks at the end of a word are a token run of their own behind a letter or digit: many words differ in them alone.
         ends = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core[-1:].isalnum() and b"<|" not in w}
         rest = list({*(new - ends.keys()), *ends.values(), *(w[len(c) :] for w, c in ends.items())} - self.kept.keys())
-        for i in range(0, len(rest), 5000):
-            part = rest[i : i + 5000]
+        # Words of letters alone are one run of tokens each, which a last token ends: they go in lines, the others one by one.
+        plain = [(w, t) for w in rest if (t := w.decode()).lower().isalpha()]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            lines = [part[k : k + 100] for k in range(0, len(part), 100)]
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(t for _, t in line) for line in lines], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                stops = (np.flatnonzero(self.last[ids]) + 1) * 4
+                if len(stops) == len(line):
+                    raw, at = ids.tobytes(), 0
+                    for (w, _), stop in zip(line, stops.tolist(), strict=True):
+                        self.kept[w] = raw[at:stop]
+                        at = stop
+        single = [w for w in rest if w not in self.kept]
+        for i in range(0, len(single), 5000):
+            part = single[i : i + 5000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 ids = e.ids
                 self.kept[w] = struct.pack(f"<{len(ids)}I", *ids)
@@ -157,6 +185,7 @@ def _packs(path: str, most: int):
                         done += packer.put((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)), len(own) // 4)
             if done:
                 yield _table(done, False)
+        ids.rest()
         if left := packer.flush():
             yield _table(left, True)
 
