@@ -66,18 +66,36 @@ def hashed_grams(word_array: Column, k: int) -> Column:
 
 def simhash(shingles: Column) -> Column:
     """Bit b is set if more shingles, counted as often as they occur, hash to 1 there than to 0."""
+    zero = F.lit(0).cast("long")
+    # four counters of 16 bits in a long; the table spreads four bits over them
+    spread = F.array(*[F.lit(sum((v >> k & 1) << 16 * k for k in range(4))).cast("long") for v in range(16)])
 
-    def of(hashes: Column) -> Column:
+    def few(hashes: Column) -> Column:
+        def counted(start: int) -> Column:
+            sums = F.aggregate(hashes, zero, lambda acc, h: acc + F.get(spread, F.shiftrightunsigned(h, start).bitwiseAND(F.lit(15).cast("long")).cast("int")))
+            return let(sums, lambda c: _any([F.when(2 * F.shiftrightunsigned(c, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")) > F.size(hashes), F.lit(_signed(1 << start + k)).cast("long")).otherwise(zero) for k in range(4)]))
+
+        return _any([counted(start) for start in range(0, BITS, 4)])
+
+    def many(hashes: Column) -> Column:
         def bit(b: int) -> Column:
-            ones = F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long")))
-            return F.when(2 * ones > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+            ones = F.aggregate(hashes, zero, lambda acc, h: acc + F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long")))
+            return F.when(2 * ones > F.size(hashes), F.lit(_signed(1 << b)).cast("long")).otherwise(zero)
+
+        return _any([bit(b) for b in range(BITS)])
+
+    return let(F.transform(shingles, lambda s: F.xxhash64(s)), lambda h: F.when(F.size(h) < 1 << 15, few(h)).otherwise(many(h)))
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
-        out = bit(0)
-        for b in range(1, BITS):
-            out = out.bitwiseOR(bit(b))
-        return out
 
-    return let(F.transform(shingles, lambda s: F.xxhash64(s)), of)
+def _any(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:

@@ -164,6 +164,14 @@ def test_blocks_find_all_within_the_radius(spark):
         assert any((apart >> s) & ((1 << w) - 1) == 0 for s, w in cut)
 
 
+@pytest.mark.parametrize("n", [1, 30, 40_000])
+def test_prints_bit_by_bit(spark, n):
+    r = random.Random(n)
+    row = spark.createDataFrame([([f"s{r.randrange(n)}" for _ in range(n)],)], "s array<string>").select(decontaminate.simhash(F.col("s")).alias("p"), F.transform("s", lambda x: F.xxhash64(x)).alias("h")).first()
+    want = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in row.h) > n)
+    assert row.p % (1 << 64) == want
+
+
 def test_prints_of_similar_windows_are_within_the_radius(spark):
     r = random.Random(2)
     rows = []
