@@ -88,7 +88,9 @@ def http_parts(block: Column) -> tuple[Column, Column]:
 
 def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of the response records; further columns go along."""
-    kept = [c for c in records.columns if c not in ("type", "record_id", "target_uri", "date", "headers", "block")]
+    own = ("type", "record_id", "target_uri", "date", "headers", "block")
+    kept = ["kept"]
+    records = records.select(F.struct(F.lit(1).alias("_"), *[F.col(c) for c in records.columns if c not in own]).alias("kept"), *own)
     head, body = http_parts(F.col("block"))
     source = records.where("type = 'response'").select(*kept, "record_id", "target_uri", "date", "headers", head.alias("http_head"), body.alias("http_body"))
     source = source.select(*kept, "record_id", "target_uri", "date", "headers", "http_head", plain_text(F.col("http_body")).alias("text"), F.regexp_extract("http_body", r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"), F.array_distinct(F.regexp_extract_all("http_body", F.lit(r"(?i)<a [^>]*href=\"([^\"]*)\""), F.lit(1))).alias("links"))
@@ -107,7 +109,8 @@ def derive(records: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("type"), record_id.alias("record_id"), "target_uri", "date", named.alias("headers"), block.alias("block"))
 
     both = F.array(record("metadata", urn(F.lit("metadata"), F.col("record_id")), "application/warc-fields", fields), record("conversion", conversion_id, "text/plain; charset=utf-8", F.col("text")))
-    return source.select(*kept, F.explode(both).alias("r")).select(*kept, "r.*")
+    carried = [f"kept.{f}" for f in records.schema["kept"].dataType.names if f != "_"]
+    return source.select(*kept, F.explode(both).alias("r")).select(*carried, "r.*")
 
 
 def to_bytes(records: DataFrame) -> DataFrame:

@@ -159,6 +159,8 @@ def test_derivatives_are_linked_and_readable(spark, tmp_path):
     again = warc.read_warc(spark, str(tmp_path / "a.warc"))
     assert sorted(bytes(r.block) for r in again.where("type <> 'response'").collect()) == sorted(bytes(r.block) for r in by.values())
     assert warc.derive(again).count() == 8
+    odd = warc.derive(again.withColumns({"text": F.lit("x"), "title": F.lit("y"), "r": F.lit(1), "kept": F.lit(2)}))
+    assert odd.count() == 8 and {r.text for r in odd.collect()} == {"x"}
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
