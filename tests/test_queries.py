@@ -52,3 +52,13 @@ def test_entry_imports_without_a_session():
 
     root = Path(__file__).resolve().parent.parent
     assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, timeout=120).returncode == 0
+
+
+def test_entry_does_without_the_training_data_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
