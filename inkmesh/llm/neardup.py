@@ -38,7 +38,6 @@ from inkmesh.llm.wordhash import WordHashes, mix, shingle_set
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 ATTEMPTS = 256
-EMPTY = np.uint64(0)
 
 
 def donors() -> np.ndarray:
