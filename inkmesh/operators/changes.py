@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import is_under, utf16_order
@@ -32,17 +32,6 @@ def diff(found: DataFrame, manifest: DataFrame, skipped: DataFrame | None = None
     return out
 
 
-def _folder(path: Column) -> Column:
-    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
-
-
-def rename_score(old: Column, new: Column) -> Column:
-    """Same folder 2, a deeper one 1; same name 1 more."""
-    a, b = _folder(old), _folder(new)
-    near = F.when(a == b, 2).when(((a == "") & (b != "")) | b.startswith(F.concat(a, F.lit("/"))), 1).otherwise(0)
-    return near + (F.substring_index(old, "/", -1) == F.substring_index(new, "/", -1)).cast("int")
-
-
 def rename_pairs(changed: DataFrame) -> DataFrame:
     """``old, new``: deleted files met by new ones of the same content, greedily, each once.
 

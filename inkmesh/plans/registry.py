@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkmesh.plans import data_queries, graph_queries
+from inkmesh.plans import data_queries, graph_queries, text_queries
 
-_ALL = [*graph_queries.QUERIES, *data_queries.QUERIES]
+_ALL = [*graph_queries.QUERIES, *data_queries.QUERIES, *text_queries.QUERIES]
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL if sql}
 
