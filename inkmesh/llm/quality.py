@@ -137,16 +137,15 @@ def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
     gained (kept only because the rule is left out), total. The ledger is first
     counted by bit pattern, at most 2 to the number of rules rows.
     """
-    spark = entries.sparkSession
     counts = entries.groupBy("failed_bits").agg(F.count(F.lit(1)).alias("n"))
-    masks = spark.createDataFrame([(None, policy.mask)] + [(r, policy.mask & ~(1 << RULES[r][0])) for r in policy.rules], "without string, mask long")
-    kept = F.when(F.col("failed_bits").bitwiseAND(F.col("mask")) == 0, F.col("n")).otherwise(0)
-    gained = F.when((F.col("failed_bits").bitwiseAND(F.col("mask")) == 0) & (F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) != 0), F.col("n")).otherwise(0)
-    # masks: one row per rule of a policy, a fixed handful
-    return (
-        counts.join(F.broadcast(masks))
-        .groupBy(F.lit(policy.version).alias("version"), "without")
-        .agg(F.sum(kept).alias("kept_docs"), F.sum(gained).alias("gained"), F.sum("n").alias("total"))
+    masks = [(None, policy.mask), *((r, policy.mask & ~(1 << RULES[r][0])) for r in policy.rules)]
+    each = counts.select("*", F.explode(F.array(*[F.struct(F.lit(r).cast("string").alias("without"), F.lit(m).cast("long").alias("mask")) for r, m in masks])).alias("m")).select("failed_bits", "n", "m.*")
+    passes = F.col("failed_bits").bitwiseAND(F.col("mask")) == 0
+    whole = F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
+    return each.groupBy(F.lit(policy.version).alias("version"), "without").agg(
+        F.sum(F.when(passes, F.col("n")).otherwise(0)).alias("kept_docs"),
+        F.sum(F.when(passes & ~whole, F.col("n")).otherwise(0)).alias("gained"),
+        F.sum("n").alias("total"),
     )
 
 
