@@ -50,14 +50,20 @@ def lexical_scores(pages: DataFrame, keywords: DataFrame, nfc: bool = True) -> D
     return own.join(words).select("qid", "path", "title", "kind", total.cast("long").alias("score"))
 
 
-def ranked(scores: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """Adds ``rank``: by falling score, then path. Rows without a score go, but for ``seeds(qid, path)``."""
+def ranked(scores: DataFrame, seeds: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Adds ``rank``: by falling score, then path. Rows without a score go, but for ``seeds(qid, path)``.
+
+    With a ``limit``, each task keeps so many rows of a question before the shuffle.
+    """
     if seeds is not None:
         marked = scores.join(seeds.select("qid", "path", F.lit(True).alias("seed")).distinct(), ["qid", "path"], "left")
         scores = marked.where("score > 0 OR seed").drop("seed")
     else:
         scores = scores.where("score > 0")
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), utf16_order(F.col("path")))).cast("long"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), utf16_order(F.col("path"))))
+    out = scores.withColumn("rank", place)
+    out = out if limit is None else out.where(F.col("rank") <= limit)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def mode_a(pages: DataFrame, keywords: DataFrame, seeds: DataFrame, nfc: bool = True) -> DataFrame:
