@@ -29,7 +29,7 @@ RULES = {
     "too_few_words": (0, "n_words < 50"),
     "repeated_words": (1, "100 * n_repeat_words > 50 * n_words"),
     "symbols": (2, "10 * n_symbols > n_words"),
-    "duplicate_lines": (3, "100 * n_dup_lines > 30 * n_lines"),
+    "duplicate_lines": (3, "100 * n_dup_lines > 50 * n_lines"),
     "capitals": (4, "10 * n_upper > 3 * word_chars"),
     "short_words": (5, "word_chars < 3 * n_words"),
     "long_words": (6, "word_chars > 12 * n_words"),
@@ -185,7 +185,7 @@ m AS (
   FROM w LEFT JOIN cov USING (k)),
 b AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN 10 * n_upper > 3 * word_chars THEN 16 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 32 ELSE 0 END
     + CASE WHEN word_chars > 12 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
