@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import SIMILARITY_PERCENT, components, durable, table
-from inkmesh.llm.wordhash import WordHashes, mix, shingle_set
+from inkmesh.llm.wordhash import WordHashes, frugal, mix, shingle_set
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -133,7 +133,7 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)`` of nodes whose full sets are linked; ``sets(node, shingles)``."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return durable(both.select("a", "b", "x", "y").mapInArrow(_confirmed, f"a {NODE}, b {NODE}"))
+    return durable(both.select("a", "b", "x", "y").mapInArrow(frugal(_confirmed), f"a {NODE}, b {NODE}"))
 
 
 def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame
     hub = label.select(F.col("id").alias("centre"), F.col("component").alias("hub"))
     group = group.join(hub, "centre", "left").withColumn("linked", F.col("component") == F.coalesce("hub", "centre"))
     both = group.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("x")), "centre").join(sets.select("node", F.col("shingles").alias("y")), "node")
-    split = durable(both.select("centre", "node", "component", "linked", "x", "y").mapInArrow(_outside, f"centre {NODE}, node {NODE}, component {NODE}, linked boolean, n bigint, inside bigint, outside array<bigint>"))
+    split = durable(both.select("centre", "node", "component", "linked", "x", "y").mapInArrow(frugal(_outside), f"centre {NODE}, node {NODE}, component {NODE}, linked boolean, n bigint, inside bigint, outside array<bigint>"))
     facts = split.select("centre", "node", "component", "linked", "n", "inside")
     shingle = split.select("centre", "node", F.explode("outside").alias("shingle"))
     several = shingle.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("centre", "shingle")
@@ -194,7 +194,7 @@ def open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = durable(rows.mapInArrow(_signed, "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"))
+    signed = durable(rows.mapInArrow(frugal(_signed), "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"))
     prints = ["n_shingles", "print1", "print2"]
     # a node is a distinct set: the least id that has it, with its print
     groups = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
@@ -208,7 +208,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     centre = shared.join(met, ["id", "print1"]).groupBy("key").agg(F.max_by(node, rank).alias("centre"), F.max("met").alias("met"))
     shared = durable(shared.join(centre, "key").select("key", node.alias("node"), "centre", "met"))
     wanted = shared.select("node").distinct().select(F.col("node.id").alias("doc_id"), "node")
-    hashed = rows.join(wanted, "doc_id").select("doc_id", "node", "text").mapInArrow(_sets, f"doc_id long, node {NODE}, shingles binary")
+    hashed = rows.join(wanted, "doc_id").select("doc_id", "node", "text").mapInArrow(frugal(_sets), f"doc_id long, node {NODE}, shingles binary")
     sets = durable(hashed.dropDuplicates(["doc_id", "node"]).select("node", "shingles"))
     # the best centre of each node, then the other stars, as far as they join components
     best = shared.where("node <> centre").groupBy("node").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre"))

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import durable, table
+from inkmesh.llm.wordhash import frugal, let_go
 
 LENGTH, END, OPEN = 2048, 0, 256
 GROUP = 100_000
@@ -79,7 +80,12 @@ class Ids:
 
     def rest(self) -> None:
         """The task is over: if no other comes, the memory is for other work."""
-        self.timer = threading.Timer(IDLE_S, self.kept.clear)
+
+        def clear() -> None:
+            self.kept.clear()
+            let_go()
+
+        self.timer = threading.Timer(IDLE_S, clear)
         self.timer.daemon = True
         self.timer.start()
 
@@ -210,12 +216,12 @@ def _again(first: int, most: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, open_bins: int = OPEN) -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    first = durable(rows.mapInArrow(_packs(tokenizer or tokenizer_file(), open_bins), COLUMNS + ", open boolean"))
+    first = durable(rows.mapInArrow(frugal(_packs(tokenizer or tokenizer_file(), open_bins)), COLUMNS + ", open boolean"))
     columns = [c for c in first.columns if c != "open"]
     left = first.where("open").select(*columns)
     groups = left.count() // GROUP + 1
     by_size = left.repartition(groups, "sequence_id").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
-    second = by_size.mapInArrow(_again(1 << 62, open_bins), COLUMNS + ", open boolean")
+    second = by_size.mapInArrow(frugal(_again(1 << 62, open_bins)), COLUMNS + ", open boolean")
     return first.where("NOT open").select(*columns).unionByName(second.select(*columns))
 
 

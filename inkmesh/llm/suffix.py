@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import durable, release, table
-from inkmesh.llm.wordhash import WordHashes, hash_words, mix, runs, word_list
+from inkmesh.llm.wordhash import WordHashes, frugal, hash_words, mix, runs, word_list
 
 LENGTH, GRAM = 50, 8
 #: Suffixes of one gram that go to one task at least; beyond it, and an even share of all, they are dealt out by id.
@@ -277,7 +277,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ``first_id`` is the least id that has the first run of the span.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).cast("binary").alias("body"))
-    places = durable(rows.mapInArrow(_grams, f"key {KEY}, grams array<bigint>").where(F.size("grams") > 0))
+    places = durable(rows.mapInArrow(frugal(_grams), f"key {KEY}, grams array<bigint>").where(F.size("grams") > 0))
     each = places.select("key", F.explode("grams").alias("gram"))
     several = each.groupBy("gram").agg(F.min("key.id").alias("first"), F.max("key.id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
     several = durable(several.select("gram", "n"))
@@ -285,10 +285,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     share = max(HEAP, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     several = several.select("gram", F.ceil(F.col("n") / share).cast("int").alias("heaps"))
     wanted = each.join(several, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "heaps")).alias("grams"))
-    found = rows.join(wanted, "key").mapInArrow(_suffixes, SUFFIX)
+    found = rows.join(wanted, "key").mapInArrow(frugal(_suffixes), SUFFIX)
     by_right = found.repartition("gram", "heap").sortWithinPartitions("gram", "heap", "suffix")
-    by_left = by_right.mapInArrow(_reaching, SUFFIX).sortWithinPartitions("gram", "heap", "before", "suffix", "id", "text", "at")
-    compared = durable(by_left.mapInArrow(_compare, "id bigint, text bigint, low int, high int, run binary, open boolean"))
+    by_left = by_right.mapInArrow(frugal(_reaching), SUFFIX).sortWithinPartitions("gram", "heap", "before", "suffix", "id", "text", "at")
+    compared = durable(by_left.mapInArrow(frugal(_compare), "id bigint, text bigint, low int, high int, run binary, open boolean"))
     release(docs.sparkSession)
     least = compared.where("open").groupBy("run").agg(F.min("id").alias("first_id"))
     hit = durable(compared.join(least, "run").where("id > first_id"))  # alone, so that Spark can split a run that very many hold

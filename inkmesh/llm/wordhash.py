@@ -9,6 +9,31 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
 
+def let_go() -> None:
+    """Gives unused memory back to the machine: Python workers live on between tasks, and what they hold is missing elsewhere."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with this C library
+        pass
+
+
+def frugal(batches_to_batches):  # noqa: ANN001, ANN201
+    """A function over batches that gives its memory back when it is through."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        yield from batches_to_batches(batches)
+        let_go()
+
+    return run
+
+
 class WordHashes(dict):
     """Hash of a word, kept for the next time; emptied when it holds ``most``."""
 
