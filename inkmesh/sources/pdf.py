@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,6 @@ def tidy_page(text: Column) -> Column:
 
 def extract(files: DataFrame, extractor: Callable[[bytes], list[str]]) -> DataFrame:
     """``files(path, content)`` -> ``path, pages, error``: a file that fails costs itself alone."""
-    import pandas as pd
-
     @F.pandas_udf("struct<pages:array<string>,error:string>")
     def pages(content: pd.Series) -> pd.DataFrame:
         out = []
