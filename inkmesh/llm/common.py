@@ -58,11 +58,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows and bytes that go to a Python worker at once: texts may be long, and workers share a machine with the JVM.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the shared folder, with the lineage cut."""
-    shared_folder(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    release(spark)
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        return df.checkpoint(eager=True)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Rows up to which a table of narrow rows (some 64 bytes, so 8 MB) is sent to all executors rather than shuffled.
+FEW = 125_000
+
+
+def few_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has ``FEW`` rows at most, by a count made before."""
+    return F.broadcast(df) if rows <= FEW else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

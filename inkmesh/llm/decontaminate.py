@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import SHINGLE, SIMILARITY_PERCENT, let, lower_ascii, table, words
+from inkmesh.llm.common import SHINGLE, SIMILARITY_PERCENT, durable, few_or_shuffled, let, lower_ascii, table, words
 
 RADIUS = 24
 BITS = 64
@@ -155,8 +155,9 @@ def _matches_of(texts: DataFrame, items: DataFrame, k: int, radius: int) -> Data
     n_grams = length - k + 1
     counted = F.transform(starts, lambda s: F.struct(s.alias("start"), F.size(F.filter("ats", lambda a: (a >= s) & (a < s + n_grams))).alias("n")))
     windows = grouped.select("key", "size", "item_id", F.explode(F.filter(counted, lambda c: c["n"] >= need)).alias("c")).select("key", "size", F.col("c.start").alias("start")).distinct()
-    # the words of those texts alone: the join moves the raw text, which is split behind it
-    per_text = windows.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("ws"))
+    # the words of those texts alone: where they are many, the join moves the raw text, which is split behind it
+    windows = durable(windows)
+    per_text = few_or_shuffled(windows.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("ws")), windows.count())
     chosen = texts.join(per_text, "key").dropDuplicates(["key"]).select("key", "ws", words(lower_ascii(F.col("text"))).alias("words"))
     slices = let(F.col("words"), lambda all_words: F.transform("ws", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice(all_words, w["start"] + 1, w["size"]).alias("words"))))
     cut = chosen.select("key", F.explode(slices).alias("w"))
@@ -186,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; their columns as they are."""
-    bad = matches(docs, benchmark, id_col, text_col).select("key").distinct()
+    bad = durable(matches(docs, benchmark, id_col, text_col).select("key").distinct())
+    bad = few_or_shuffled(bad, bad.count())
     rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("row_key"))
     same = F.col("row_key.id").eqNullSafe(F.col("key.id")) & (F.col("row_key.text") == F.col("key.text"))
     return rows.join(bad, same, "left_anti").select("row.*")

@@ -42,7 +42,7 @@ from inkmesh.llm.wordhash import frugal, let_go
 LENGTH, END, OPEN = 2048, 0, 256
 GROUP = 100_000
 #: Words whose ids a worker process keeps, about 200 bytes each, and seconds without a task after which it lets them go.
-KEPT_WORDS, IDLE_S = 800_000, 5
+KEPT_WORDS, IDLE_S = 500_000, 5
 MARKS = b".,;:!?|"
 TOKENIZER = "word_bpe_49k.json"
 
