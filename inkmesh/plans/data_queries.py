@@ -204,7 +204,7 @@ def blocked_sources(spark, sf_dir):
 
 
 def citer_union(spark, sf_dir):
-    """Old citers before new ones, each once, those still there."""
+    """Old citers before new ones, each once, those still there; six old and five new at most, as its SQL says."""
     c = citations(spark, sf_dir)
     old = c.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("source")))).where("pos <= 6")
     new = c.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("source"))).where("pos <= 5")
@@ -212,6 +212,17 @@ def citer_union(spark, sf_dir):
     return links.citer_union(old.select("page", "pos", "source"), new.select("page", "pos", "source"), live).select("page", F.array_join("citers", ",").alias("citers"))
 
 
+def citer_union_all(spark, sf_dir):
+    """All citers: those recorded at the last build before those discovered now, each once, those still there."""
+    c = citations(spark, sf_dir)
+    old = c.join(recorded(spark, sf_dir).select(F.col("path").alias("source")).distinct(), "source", "left_semi")
+    new = c.join(discovered(spark, sf_dir).select(F.col("path").alias("source")).distinct(), "source", "left_semi")
+    old = old.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("source"))))
+    new = new.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("source")))
+    live = changed(spark, sf_dir).where("status <> 'deleted'").select(F.col("path").alias("source"))
+    return links.citer_union(old.select("page", "pos", "source"), new.select("page", "pos", "source"), live).select("page", F.array_join("citers", ",").alias("citers"))
+
+
 def health_dangling(spark, sf_dir):
     return health.dangling_citations(citations(spark, sf_dir), recorded(spark, sf_dir))
 
@@ -403,6 +414,7 @@ QUERIES = [
     (next_manifest, f"WITH {CHANGE_SQL}, {LONE_SQL}, {CITE_SQL}, hl AS (SELECT DISTINCT source FROM ci WHERE page IN ('wiki/3', 'wiki/205')), v AS (SELECT path, CASE WHEN status IN ('new', 'modified') THEN CASE WHEN path IN (SELECT source FROM hl) THEN old_hash ELSE hash END WHEN status = 'unchanged' THEN hash WHEN path IN (SELECT source FROM hl) AND path NOT IN (SELECT old FROM ren) THEN 'cascade-pending' END AS hash FROM dd) SELECT path, hash FROM v WHERE hash IS NOT NULL"),
     (blocked_sources, f"WITH {CITE_SQL} SELECT source, string_agg(DISTINCT page, ',' ORDER BY page) AS pages FROM ci WHERE page IN ('wiki/3', 'wiki/205') GROUP BY source"),
     (citer_union, f"WITH {CHANGE_SQL}, {CITE_SQL}, a AS (SELECT page, source, row_number() OVER (PARTITION BY page ORDER BY source DESC) AS x, row_number() OVER (PARTITION BY page ORDER BY source) AS y FROM ci), b AS (SELECT page, source, 0 AS g, x AS p FROM a WHERE x <= 6 UNION ALL SELECT page, source, 1, y FROM a WHERE y <= 5), c AS (SELECT page, source, min(g * 1000 + p) AS o FROM b WHERE source IN (SELECT path FROM dd WHERE status <> 'deleted') GROUP BY ALL) SELECT page, string_agg(source, ',' ORDER BY o) AS citers FROM c GROUP BY page"),
+    (citer_union_all, f"WITH {CHANGE_SQL}, {CITE_SQL}, b AS (SELECT page, source, 0 AS g, row_number() OVER (PARTITION BY page ORDER BY source DESC) AS p FROM ci WHERE source IN (SELECT path FROM rec) UNION ALL SELECT page, source, 1, row_number() OVER (PARTITION BY page ORDER BY source) FROM ci WHERE source IN (SELECT path FROM now)), c AS (SELECT page, source, min(g * 1000000000 + p) AS o FROM b WHERE source IN (SELECT path FROM dd WHERE status <> 'deleted') GROUP BY ALL) SELECT page, string_agg(source, ',' ORDER BY o) AS citers FROM c GROUP BY page"),
     (health_dangling, f"WITH {CHANGE_SQL}, {CITE_SQL} SELECT page, source FROM ci WHERE starts_with(source, 'raw/') AND source NOT IN (SELECT path FROM rec)"),
     (content_hash, "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents"),
     (repo_identity, "WITH f AS (SELECT source AS repo, 'docs/' || doc_id || '.txt' AS path, coalesce(text, '') AS t FROM documents), d AS (SELECT repo, path, sha256(length(path) || ':' || path || ':' || strlen(t) || ':' || t) AS h FROM f) SELECT repo, sha256(string_agg(h, chr(10) ORDER BY path)) AS identity FROM d GROUP BY repo"),

@@ -7,7 +7,7 @@ import pytest
 
 from inkmesh.plans.registry import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
 
@@ -31,3 +31,12 @@ def rows(spark, duck, name):
 def test_every_supplier_is_a_question(spark, duck):
     got = rows(spark, duck, "seeds_validated_all")
     assert len({r.qid for r in got}) == duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey * 2 IN (SELECT p_partkey FROM part)").fetchone()[0] > 20
+
+
+def test_no_citer_is_lost(spark, duck):
+    from inkmesh.plans import data_queries as q
+
+    live = q.changed(spark, SF).where("status <> 'deleted'").select("path")
+    cited = q.citations(spark, SF).join(live, q.F.col("source") == live.path, "left_semi").distinct().groupBy("page").count().collect()
+    found = {r.page: len(r.citers.split(",")) for r in rows(spark, duck, "citer_union_all")}
+    assert found == {r.page: r["count"] for r in cited} and max(found.values()) > 11
