@@ -38,10 +38,15 @@ def lexical_score(spark, sf_dir):
     return retrieve.lexical_scores(parts(spark, sf_dir), keywords(spark)).where("score > 0").select("qid", "path", "score")
 
 
-def mode_a_rank(spark, sf_dir):
-    """Lexical ranking with two seeds kept though they score nothing."""
+def mode_a_rank_all(spark, sf_dir):
+    """Lexical ranking of every page that scores, with two seeds kept though they score nothing."""
     seeds = spark.createDataFrame([("k1", "wiki/part-1"), ("k2", "wiki/part-2")], "qid string, path string")
-    return retrieve.mode_a(parts(spark, sf_dir), keywords(spark), seeds).where("rank <= 50 OR score = 0").select("qid", "rank", "path", "title", "score")
+    return retrieve.mode_a(parts(spark, sf_dir), keywords(spark), seeds).select("qid", "rank", "path", "title", "score")
+
+
+def mode_a_rank(spark, sf_dir):
+    """The first fifty of that ranking, as its SQL says, and the seeds."""
+    return mode_a_rank_all(spark, sf_dir).where("rank <= 50 OR score = 0")
 
 
 def _seeds(lineitem: DataFrame, pages: DataFrame) -> DataFrame:
@@ -399,6 +404,7 @@ def eval_force_included(spark, sf_dir):
 QUERIES = [
     (lexical_score, f"WITH {SCORE_SQL} SELECT qid, path, score FROM lx WHERE score > 0"),
     (mode_a_rank, f"WITH {SCORE_SQL}, r AS (SELECT lx.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM lx WHERE score > 0 OR (qid = 'k1' AND path = 'wiki/part-1') OR (qid = 'k2' AND path = 'wiki/part-2')) SELECT qid, rank, path, title, score FROM r WHERE rank <= 50 OR score = 0"),
+    (mode_a_rank_all, f"WITH {SCORE_SQL}, r AS (SELECT lx.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM lx WHERE score > 0 OR (qid = 'k1' AND path = 'wiki/part-1') OR (qid = 'k2' AND path = 'wiki/part-2')) SELECT qid, rank, path, title, score FROM r"),
     (seeds_validated, "WITH p AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos, l_partkey * 2 AS k FROM lineitem WHERE l_suppkey <= 20), o AS (SELECT 's' || l_suppkey AS qid, 'wiki/part-' || k AS path, min(pos) AS pos FROM p WHERE k IN (SELECT p_partkey FROM part) GROUP BY ALL) SELECT qid, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS r FROM o) WHERE r <= 8"),
     (seeds_validated_all, "WITH p AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos, l_partkey * 2 AS k FROM lineitem), o AS (SELECT 's' || l_suppkey AS qid, 'wiki/part-' || k AS path, min(pos) AS pos FROM p WHERE k IN (SELECT p_partkey FROM part) GROUP BY ALL) SELECT qid, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS r FROM o) WHERE r <= 8"),
     (token_estimate, "SELECT doc_id, ceil((length(text) + length(regexp_replace(text, '[\\x00-\\x{FFFF}]', '', 'g'))) / 4.0)::BIGINT AS tokens, (length(text) + length(regexp_replace(text, '[\\x00-\\x{FFFF}]', '', 'g')))::BIGINT AS units FROM documents"),

@@ -40,3 +40,9 @@ def test_no_citer_is_lost(spark, duck):
     cited = q.citations(spark, SF).join(live, q.F.col("source") == live.path, "left_semi").distinct().groupBy("page").count().collect()
     found = {r.page: len(r.citers.split(",")) for r in rows(spark, duck, "citer_union_all")}
     assert found == {r.page: r["count"] for r in cited} and max(found.values()) > 11
+
+
+def test_every_page_that_scores_is_ranked(spark, duck):
+    got = rows(spark, duck, "mode_a_rank_all")
+    scored = duck.execute("SELECT count(*) FROM part WHERE contains(lower(p_brand), 'brand')").fetchone()[0]
+    assert sum(r.qid == "k3" for r in got) == max(r.rank for r in got) == scored > 50
