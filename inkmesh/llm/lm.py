@@ -7,9 +7,9 @@ from counts over all documents. Classes are made of these counts, so that all ha
 about the same mass.
 
 The network (embeddings of the four words, one hidden layer, a softmax over classes) is
-trained in numpy. One window in ``RATE``, by a hash of place and words, of every
-document goes into the training rows, so they grow with the corpus. They are dealt
-to shards; each shard trains from the same start, and the shards' weights are averaged
+trained in numpy on the windows of all words of every document (``rate`` above 1 takes
+one in so many, by a hash of place and words), so the training rows grow with the
+corpus. They are dealt to shards; each shard trains from the same start, and the shards' weights are averaged
 in groups, level by level, so no task and not the driver ever holds more than ``FAN``
 of them.
 
@@ -35,7 +35,7 @@ from inkmesh.llm.wordhash import WordHashes, frugal, hash_words, mix, word_list
 
 BUCKETS, CONTEXTS, CLASSES = 1 << 16, 1 << 12, 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-RATE, ROUNDS, BATCH, STEP, FAN = 16, 2, 512, 0.15, 32
+RATE, ROUNDS, BATCH, STEP, FAN = 1, 2, 512, 0.15, 32
 
 
 @dataclass
@@ -172,12 +172,13 @@ def _trained(net_bytes: bytes, seed: int):
         square = [np.zeros_like(p) for p in net.parts()]
         rng = np.random.default_rng(seed)
         for batch in batches:
-            rows = np.concatenate([rest, *(np.frombuffer(x.as_py(), np.uint16).reshape(-1, 2 * SIDE + 1) for x in batch.column(1))]).astype(np.int64)
+            rows = np.concatenate([rest, *(np.frombuffer(x.as_py(), np.uint16).reshape(-1, 2 * SIDE + 1) for x in batch.column(1))])
             rows = rows[rng.permutation(len(rows))]
             whole = len(rows) // BATCH * BATCH
             for i in range(0, whole, BATCH):
-                net.train(rows[i : i + BATCH, :-1], rows[i : i + BATCH, -1], square)
-            rest, n = rows[whole:].astype(np.uint16), n + len(rows) - len(rest)
+                step = rows[i : i + BATCH].astype(np.int64)  # only these: a batch of windows is many times as large in 64 bits
+                net.train(step[:, :-1], step[:, -1], square)
+            rest, n = rows[whole:].copy(), n + len(rows) - len(rest)
         if len(rest):
             net.train(rest[:, :-1].astype(np.int64), rest[:, -1].astype(np.int64), square)
         if n:
@@ -253,4 +254,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs))
+    return durable(score(docs, fit(docs)))  # scored here, so that texts go to workers in small batches

@@ -221,6 +221,15 @@ def test_model_learns_from_both_sides_and_scores_held_out_text(docs_of):
     assert rows[0].log_prob == pytest.approx(total, rel=1e-4)
 
 
+def test_every_word_trains_the_model():
+    import pyarrow as pa
+
+    texts = ["one", "ten words are a short text but each of them", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([t and t.encode() for t in texts], pa.binary()), pa.array([1, 2, 3], pa.int64())], ["text", "doc_id"])
+    (out,) = lm._windows(np.zeros(lm.BUCKETS, np.int64), lm.RATE)(iter([batch]))
+    assert sorted(len(w.as_py()) // (2 * (2 * lm.SIDE + 1)) for w in out.column(1)) == [1, 10]
+
+
 def test_shares_of_each_class_sum_to_one():
     counts = np.random.default_rng(1).integers(0, 50, lm.BUCKETS)
     word_class, log_share = lm.classes(counts)
