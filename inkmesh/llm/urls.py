@@ -1,8 +1,11 @@
 """URL filters: a list of host and path rules, then mined association rules.
 
-A URL becomes a set of tokens (host labels, path segments, query keys). FP-growth
-over labelled URLs finds token combinations that go with bad pages; a rule stays
-if its confidence and support suffice and no shorter rule inside it is as sure.
+A URL becomes a set of tokens (host labels, path segments, query keys). Labelled URLs
+are mined for token combinations that go with bad pages; a rule stays if its
+confidence and support suffice and no shorter rule inside it is as sure. Sets grow
+by a token at a time, from frequent ones. A token that lets no further good URL go
+cannot make a set surer, nor any set that contains it, so such sets are not grown:
+no rule is lost, and deep URLs of one template stay few sets rather than a power of 2.
 The rules match by an inverted index: each is filed under its rarest token, so a
 URL only meets rules whose rarest token it has, and is then held against all
 their tokens.
@@ -15,7 +18,8 @@ results, other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +30,12 @@ LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "ex
 
 #: Labelled URLs that mining takes at most, chosen by a hash of the id.
 MAX_LABELLED = 500_000
-#: Host labels, path segments and query keys of a URL that mining takes, so that no URL has more than 2 to their sum combinations. Matching takes all.
-MINED_PARTS = 4
+#: Host labels, path segments and query keys of a URL that mining takes: all, as matching does.
+MINED_PARTS = None
 MIN_SUPPORT = 0.005
 #: A rule has to be seen in so many labelled URLs at least, however few there are.
 MIN_ROWS = 8
 MIN_CONFIDENCE = 0.5
-BAD = "label=bad"
 
 
 def host(url: Column) -> Column:
@@ -76,13 +79,27 @@ def _contained(rules: DataFrame, sets: DataFrame) -> DataFrame:
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``labelled(url, bad boolean)`` -> ``rule_id, items, rarest, confidence, support``."""
-    items = tokens(F.col("url"), MINED_PARTS)
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items).alias("items")).where(F.size("items") > 0)
-    baskets = durable(baskets)
-    least = max(min_support, MIN_ROWS / max(MIN_ROWS, baskets.count()))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
+    bad = F.coalesce("bad", F.lit(False))
+    rows = labelled.select(tokens(F.col("url"), MINED_PARTS).alias("items"), bad.alias("bad")).where(F.col("bad") | (F.size("items") > 0))
+    sets = durable(rows.groupBy("items").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).withColumn("id", F.monotonically_increasing_id()))
+    n = sets.agg(F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0))).first()[0]
+    least = max(math.ceil(min_support * n), min(MIN_ROWS, n), 1)
+    counts = [F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good")]
+    # frequent tokens, then sets of one token more from two that differ in their last
+    holders = sets.select("id", "bad", "good", F.array().cast("array<string>").alias("rest"), F.explode("items").alias("last"))
+    level = durable(holders.groupBy("rest", "last").agg(*counts).where(F.col("n_bad") >= least))
+    single = level.select(F.col("last").alias("token"), (F.col("n_bad") + F.col("n_good")).alias("freq"))
+    frequent = level
+    while True:
+        # what no good URL has is sure already
+        held = durable(holders.join(level.where("n_good > 0").select("rest", "last", "n_good"), ["rest", "last"]))
+        a, b = held.alias("a"), held.select("id", "rest", F.col("last").alias("next"), F.col("n_good").alias("next_good")).alias("b")
+        holders = a.join(b, ["id", "rest"]).where(F.col("last") < F.col("next")).select("id", "bad", "good", F.array_append("rest", F.col("last")).alias("rest"), F.col("next").alias("last"), F.least("n_good", "next_good").alias("before"))
+        level = durable(holders.groupBy("rest", "last").agg(*counts, F.min("before").alias("before")).where((F.col("n_bad") >= least) & (F.col("n_good") < F.col("before"))).drop("before"))
+        if not level.limit(1).count():
+            break
+        holders, frequent = holders.drop("before"), frequent.union(level)
+    found = frequent.select(F.array_append("rest", F.col("last")).alias("items"), (F.col("n_bad") / (F.col("n_bad") + F.col("n_good"))).alias("confidence"), (F.col("n_bad") / F.lit(max(n, 1))).alias("support")).where(F.col("confidence") >= min_confidence)
     found = found.withColumn("rule_id", F.xxhash64(F.array_join("items", "\n")))
     rarest = found.select("rule_id", F.explode("items").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token"))["token"].alias("rarest"))
     rules = found.join(rarest, "rule_id")

@@ -124,6 +124,22 @@ def test_mined_rules_against_a_count(spark, rng):
     assert got == {i: "block" if any(set(r.items) <= tokens[u] for r in found) else "allow" for i, u in pages.collect()}
 
 
+def test_signs_deep_in_a_url_are_mined(spark):
+    deep = ["http://x.a.b.c.d.io/1?ref=x", "http://a.io/1/b/c/d/e/x?ref=x", "http://a.io/1?k=1&l=2&m=3&n=4&x=5"]
+    good = [u.replace("x.a", "a").replace("/x?", "?").replace("&x=5", "") for u in deep]
+    labelled = spark.createDataFrame([(u, True) for u in deep for _ in range(10)] + [(u, False) for u in good for _ in range(20)], "url string, bad boolean")
+    rules = urls.mine_rules(labelled)
+    assert sorted(tuple(r.items) for r in rules.collect()) == [("h:x",), ("p:x",), ("q:x",)]
+    pages = spark.createDataFrame(list(enumerate(deep + good)), "page_id bigint, url string")
+    assert [r.verdict for r in urls.judge(pages, rules, ()).orderBy("page_id").collect()] == ["block"] * 3 + ["allow"] * 3
+
+
+def test_long_urls_of_one_template_are_mined(spark):
+    chain = [("http://a.io/" + "/".join("abcdefghijklmnopqrstuvwxyz"[:k]) + "?" + "&".join(f"k{'x' * i}=1" for i in range(40)), k > 20) for k in range(1, 27) for _ in range(10)]
+    found = urls.mine_rules(spark.createDataFrame(chain, "url string, bad boolean")).collect()
+    assert ("p:u",) in [tuple(r.items) for r in found] and all(len(r.items) == 1 for r in found)
+
+
 def test_no_labels_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.io/x"), (None, None)], "page_id bigint, url string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
