@@ -322,12 +322,12 @@ def events_age(spark, sf_dir):
 # --- evaluation ------------------------------------------------------------------------------
 
 
-def outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for each source: documents by length are the ranking, those of good quality are expected."""
+def outcomes_of(spark: SparkSession, sf_dir: str, every: int = 9) -> DataFrame:
+    """A query for each source: documents by length are the ranking, those of good quality and an id that ``every`` divides are expected."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     by = d.groupBy("source").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.negative("n_chars").alias("o"), "doc_id"))), lambda x: x["doc_id"]).alias("ranked"),
-        F.collect_list(F.when((F.col("quality") == 1) & (F.col("doc_id") % 9 == 0), F.col("doc_id"))).alias("expected"),
+        F.collect_list(F.when((F.col("quality") == 1) & (F.col("doc_id") % every == 0), F.col("doc_id"))).alias("expected"),
     )
     return by.withColumn("seeded", F.col("source").endswith("1"))
 
@@ -344,18 +344,46 @@ o AS (
 MEANS_SQL = "SELECT round(coalesce(avg(recall5), 0), 6) AS recall_at_5, round(coalesce(avg(recall10), 0), 6) AS recall_at_10, round(coalesce(avg(rr), 0), 6) AS mrr, round(coalesce(avg(recall5) FILTER (WHERE NOT seeded), 0), 6) AS ranking_recall_at_5, round(coalesce(avg(recall10) FILTER (WHERE NOT seeded), 0), 6) AS ranking_recall_at_10, round(coalesce(avg(rr) FILTER (WHERE NOT seeded), 0), 6) AS ranking_mrr, count(*) AS n, count(*) FILTER (WHERE NOT seeded) AS ranking_n FROM o"
 
 
+def _per_query(outcomes: DataFrame) -> DataFrame:
+    return evaluate.outcomes(outcomes).select("source", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "rr")])
+
+
+def _recall_mrr(outcomes: DataFrame) -> DataFrame:
+    out = evaluate.summary(evaluate.outcomes(outcomes))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
+def _floors(outcomes: DataFrame) -> DataFrame:
+    measured = evaluate.summary(evaluate.outcomes(outcomes))
+    return evaluate.under_floors(measured, {"recall_at_5": 0.99, "recall_at_10": 0.0, "mrr": 0.95, "ranking_mrr": float("nan")}).select("metric", F.round("value", 6).alias("value"))
+
+
 def eval_per_query(spark, sf_dir):
-    return evaluate.outcomes(outcomes_of(spark, sf_dir)).select("source", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "rr")])
+    return _per_query(outcomes_of(spark, sf_dir))
 
 
 def eval_recall_mrr(spark, sf_dir):
-    out = evaluate.summary(evaluate.outcomes(outcomes_of(spark, sf_dir)))
-    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+    return _recall_mrr(outcomes_of(spark, sf_dir))
 
 
 def eval_floors(spark, sf_dir):
-    measured = evaluate.summary(evaluate.outcomes(outcomes_of(spark, sf_dir)))
-    return evaluate.under_floors(measured, {"recall_at_5": 0.99, "recall_at_10": 0.0, "mrr": 0.95, "ranking_mrr": float("nan")}).select("metric", F.round("value", 6).alias("value"))
+    return _floors(outcomes_of(spark, sf_dir))
+
+
+# The same with every document of good quality expected.
+EVAL_ALL_SQL = EVAL_SQL.replace("quality = 1 AND doc_id % 9 = 0 AS e", "quality = 1 AS e")
+
+
+def eval_per_query_all(spark, sf_dir):
+    return _per_query(outcomes_of(spark, sf_dir, every=1))
+
+
+def eval_recall_mrr_all(spark, sf_dir):
+    return _recall_mrr(outcomes_of(spark, sf_dir, every=1))
+
+
+def eval_floors_all(spark, sf_dir):
+    return _floors(outcomes_of(spark, sf_dir, every=1))
 
 
 # --- names -----------------------------------------------------------------------------------
@@ -436,6 +464,9 @@ QUERIES = [
     (eval_per_query, f"WITH {EVAL_SQL} SELECT source, round(recall5, 6) AS recall5, round(recall10, 6) AS recall10, round(rr, 6) AS rr FROM o"),
     (eval_recall_mrr, f"WITH {EVAL_SQL} {MEANS_SQL}"),
     (eval_floors, f"WITH {EVAL_SQL}, m AS ({MEANS_SQL}) SELECT 'recall_at_5' AS metric, recall_at_5 AS value FROM m WHERE recall_at_5 < 0.99 UNION ALL SELECT 'mrr', mrr FROM m WHERE mrr < 0.95 UNION ALL SELECT 'ranking_mrr', ranking_mrr FROM m"),
+    (eval_per_query_all, f"WITH {EVAL_ALL_SQL} SELECT source, round(recall5, 6) AS recall5, round(recall10, 6) AS recall10, round(rr, 6) AS rr FROM o"),
+    (eval_recall_mrr_all, f"WITH {EVAL_ALL_SQL} {MEANS_SQL}"),
+    (eval_floors_all, f"WITH {EVAL_ALL_SQL}, m AS ({MEANS_SQL}) SELECT 'recall_at_5' AS metric, recall_at_5 AS value FROM m WHERE recall_at_5 < 0.99 UNION ALL SELECT 'mrr', mrr FROM m WHERE mrr < 0.95 UNION ALL SELECT 'ranking_mrr', ranking_mrr FROM m"),
     (sanitize_title, "WITH t AS (SELECT page_id, nfc_normalize(' ._' || regexp_extract(html, '<title>([^<]*)</title>', 1) || ' #1?. ') AS t FROM pages), u AS (SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(t, '[\\[\\]#^|\\\\/:?*\"<>\\x00-\\x1f]', '', 'g'), '\\s+', ' ', 'g'), '^[_. ]+', '')), '[. ]+$', '') AS t FROM t) SELECT page_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title FROM u"),
     (title_stem, None),
     (slug, "WITH t AS (SELECT page_id, regexp_replace(regexp_replace(lower(nfc_normalize(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS t FROM pages), u AS (SELECT page_id, regexp_replace(t[1:60], '-+$', '') AS t FROM t) SELECT page_id, CASE WHEN t = '' THEN 'answer' ELSE t END AS slug FROM u"),

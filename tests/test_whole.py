@@ -46,3 +46,12 @@ def test_every_page_that_scores_is_ranked(spark, duck):
     got = rows(spark, duck, "mode_a_rank_all")
     scored = duck.execute("SELECT count(*) FROM part WHERE contains(lower(p_brand), 'brand')").fetchone()[0]
     assert sum(r.qid == "k3" for r in got) == max(r.rank for r in got) == scored > 50
+
+
+def test_every_good_document_is_expected(spark, duck):
+    from inkmesh.plans import data_queries as q
+
+    expected = q.outcomes_of(spark, SF, every=1).select(q.F.sum(q.F.size("expected"))).first()[0]
+    assert expected == duck.execute("SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1").fetchone()[0]
+    assert len(rows(spark, duck, "eval_per_query_all")) == 20
+    rows(spark, duck, "eval_recall_mrr_all"), rows(spark, duck, "eval_floors_all")
