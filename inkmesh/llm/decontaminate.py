@@ -139,13 +139,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 def _matches_of(texts: DataFrame, items: DataFrame, k: int, radius: int) -> DataFrame:
     # 1. anchors. The shingle's hash joins; step 3 compares the words themselves.
-    item_grams = items.select("item_id", "size", F.explode(F.array_distinct(hashed_grams(F.col("item_words"), k))).alias("gram"))
+    # An item is its id and text: ids may repeat or be missing.
+    item_grams = items.select(F.xxhash64("item_id", F.array_join("item_words", " ")).alias("item"), "size", F.explode(F.array_distinct(hashed_grams(F.col("item_words"), k))).alias("gram"))
     split = texts.select("key.id", F.col("key.text").alias("hash"), words(lower_ascii(F.col("text"))).alias("words"))
     # two plain columns and positions: nothing is built for a place but its hash
     probes = split.select("id", "hash", F.size("words").alias("n_words"), F.posexplode(hashed_grams(F.col("words"), k)).alias("at", "gram"))
-    anchors = probes.join(item_grams, "gram").select(F.struct("id", F.col("hash").alias("text")).alias("key"), "n_words", "item_id", "size", "at")
+    anchors = probes.join(item_grams, "gram").select(F.struct("id", F.col("hash").alias("text")).alias("key"), "n_words", "item", "size", "at")
     # A group is the anchors of one item in one text, so no more than the words of that text.
-    grouped = anchors.groupBy("key", "item_id").agg(F.first("n_words").alias("n_words"), F.first("size").alias("size"), F.array_sort(F.collect_set("at")).alias("ats"))
+    grouped = anchors.groupBy("key", "item", "size").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("at")).alias("ats"))
     last = F.greatest(F.col("n_words") - F.col("size"), F.lit(0))
     length = F.least("n_words", "size")
     # shared >= 0.75 / 1.75 of both sizes together is needed for a similarity of 0.75
@@ -154,7 +155,7 @@ def _matches_of(texts: DataFrame, items: DataFrame, k: int, radius: int) -> Data
     starts = F.array_distinct(F.transform("ats", lambda a: F.least(a, last)))
     n_grams = length - k + 1
     counted = F.transform(starts, lambda s: F.struct(s.alias("start"), F.size(F.filter("ats", lambda a: (a >= s) & (a < s + n_grams))).alias("n")))
-    windows = grouped.select("key", "size", "item_id", F.explode(F.filter(counted, lambda c: c["n"] >= need)).alias("c")).select("key", "size", F.col("c.start").alias("start")).distinct()
+    windows = grouped.select("key", "size", F.explode(F.filter(counted, lambda c: c["n"] >= need)).alias("c")).select("key", "size", F.col("c.start").alias("start")).distinct()
     # the words of those texts alone: where they are many, the join moves the raw text, which is split behind it
     windows = durable(windows)
     per_text = few_or_shuffled(windows.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("ws")), windows.count())

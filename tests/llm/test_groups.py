@@ -155,6 +155,17 @@ def test_contamination_of_odd_rows(spark, docs_of):
     assert decontaminate.clean(docs, bench.limit(0)).count() == 5 and decontaminate.clean(docs_of([]), bench).count() == 0
 
 
+@pytest.mark.parametrize("item_id", [1, None])
+def test_items_of_one_id_are_each_found(spark, docs_of, item_id):
+    r = random.Random(3)
+    items = [" ".join(f"{n}w{r.randrange(500)}" for _ in range(n)) for n in (20, 60, 120)]
+    pad = lambda: " ".join(f"p{r.randrange(10_000)}" for _ in range(200))
+    docs = docs_of([f"{pad()} {x} {pad()}" for x in items] + [" ".join([pad(), *items, pad()])])
+    bench = spark.createDataFrame([(item_id, x) for x in items], "item_id bigint, text string")
+    found = {r.start for r in decontaminate.matches(docs, bench).select("start").collect()}
+    assert decontaminate.clean(docs, bench).count() == 0 and {200, 220, 280} <= found
+
+
 def test_blocks_find_all_within_the_radius(spark):
     r = random.Random(1)
     cut = decontaminate.blocks()
