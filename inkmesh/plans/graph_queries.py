@@ -119,6 +119,8 @@ def part_supplier_degree(spark, sf_dir):
 # --- walks over pages and the terms they link -----------------------------------------
 
 STEPS = 20
+#: The operator's most steps; 0.85 to this power is 9e-8.
+SETTLED = 100
 
 
 def term_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -263,16 +265,25 @@ def force_include(spark, sf_dir):
     return retrieve.force_include(wiki(spark, sf_dir), spark.createDataFrame(QUESTIONS, "qid string, question string"))
 
 
-def mode_b_rank(spark, sf_dir):
-    """Seeds named by a question, a walk from them over the page graph, the ranking, the pack."""
+def _mode_b(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
     w = wiki(spark, sf_dir)
     nodes, edges = built(spark, sf_dir)
     asked = retrieve.force_include(w, spark.createDataFrame(QUESTIONS, "qid string, question string"))
-    scores = _rounded(ppr.run(nodes, edges, asked, max_iter=STEPS, eps=0.0).select("qid", "path", "score"))
+    scores = _rounded(ppr.run(nodes, edges, asked, max_iter=steps, eps=0.0).select("qid", "path", "score"))
     rank = retrieve.mode_b(nodes, scores)
     return retrieve.assemble(rank, w.select("path", F.concat_ws(" ", "title", "summary", "text").alias("text")), 12, 500).select("qid", "rank", "path", "kind", "score", "cost", "used", "truncated")
 
 
+def mode_b_rank(spark, sf_dir):
+    """Seeds named by a question, a walk from them over the page graph, the ranking, the pack."""
+    return _mode_b(spark, sf_dir, STEPS)
+
+
+def mode_b_rank_settled(spark, sf_dir):
+    """The same with as many steps as six decimals need to settle."""
+    return _mode_b(spark, sf_dir, SETTLED)
+
+
 QS = "(VALUES ('q1', 'What of the page en-1 and the fr-4?'), ('q2', 'de-2 or es-2 or en-2 or fr-2'), ('q3', 'nothing here')) q(qid, question)"
 FORCED = f"SELECT DISTINCT qid, path FROM {QS} JOIN cl ON name <> '' AND contains(nfc_normalize(lower(question)), nfc_normalize(lower(name)))"
 MODE_B_SQL = (
@@ -286,6 +297,7 @@ pk AS (SELECT qid, rank, path, kind, score, cost, row_number() OVER w AS n, sum(
 SELECT qid, rank, path, kind, score, cost, used::BIGINT AS used, used > 500 AS truncated FROM pk WHERE n <= 12 AND (used <= 500 OR n = 1)
 """
 )
+MODE_B_SETTLED_SQL = MODE_B_SQL.replace(walk_sql(FORCED, STEPS), walk_sql(FORCED, SETTLED)).replace(f"WHERE i = {STEPS})", f"WHERE i = {SETTLED})")
 
 QUERIES = [
     (link_extract, f"WITH {WIKI} SELECT path, pos, target FROM tgt"),
@@ -316,4 +328,5 @@ QUERIES = [
     (mention_graph, f"WITH {WIKI}, d0 AS (SELECT qid, path, 0 AS d FROM ({FORCED})), d1 AS (SELECT DISTINCT qid, sy.b AS path, 1 AS d FROM d0 JOIN sy ON sy.a = d0.path), d2 AS (SELECT DISTINCT qid, sy.b AS path, 2 AS d FROM d1 JOIN sy ON sy.a = d1.path) SELECT qid, path, min(d)::BIGINT AS distance FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY ALL"),
     (force_include, f"WITH {WIKI} {FORCED}"),
     (mode_b_rank, MODE_B_SQL),
+    (mode_b_rank_settled, MODE_B_SETTLED_SQL),
 ]

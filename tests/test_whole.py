@@ -55,3 +55,11 @@ def test_every_good_document_is_expected(spark, duck):
     assert expected == duck.execute("SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1").fetchone()[0]
     assert len(rows(spark, duck, "eval_per_query_all")) == 20
     rows(spark, duck, "eval_recall_mrr_all"), rows(spark, duck, "eval_floors_all")
+
+
+def test_the_walk_has_settled(spark, duck):
+    from inkmesh.plans import graph_queries as q
+
+    got = {(r.qid, r.path): r.score for r in rows(spark, duck, "mode_b_rank_settled")}
+    more = {(r.qid, r.path): r.score for r in q._mode_b(spark, SF, 2 * q.SETTLED).collect()}
+    assert got.keys() == more.keys() and all(abs(got[k] - more[k]) < 1.5e-6 for k in got)
