@@ -12,8 +12,8 @@ left open at the ends of partitions are then packed again, pieces in order of fa
 length, in groups of ``GROUP`` pieces.
 
 Ids come from a public tokenizer whose file is a parameter. It drops white space and
-never joins across it, so ids are kept per word, which tests hold against the
-tokenizer over whole texts.
+never joins across it, so each distinct word of a batch is encoded once and its ids
+are gathered by place, which tests hold against the tokenizer over whole texts.
 
 Defined results: a null text is empty; an empty one has the token ``END`` alone. Rows
 are packed one by one, also repeated ones and those of null ids. Empty tables give no
@@ -23,28 +23,32 @@ pieces. Other columns are not read.
 from __future__ import annotations
 
 import os
-import struct
 import sys
-import threading
 import types
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import durable, table
-from inkmesh.llm.wordhash import frugal, let_go
+from inkmesh.llm.wordhash import frugal
 
 LENGTH, END, OPEN = 2048, 0, 256
 GROUP = 100_000
-#: Words whose ids a worker process keeps, about 200 bytes each, and seconds without a task after which it lets them go.
-KEPT_WORDS, IDLE_S = 500_000, 5
-MARKS = b".,;:!?|"
+#: Words whose ids a worker process keeps, about 150 bytes each.
+KEPT_WORDS = 1_000_000
+#: Marks that may follow a word, and words of letters (lower-case but for those beyond ASCII) that need no normalizer: one form, one case.
+MARKS, LETTERS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "^[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: How a byte-level vocabulary spells the bytes that are no visible Latin-1 character: those from 256 on, in order.
+SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes of text whose words are looked up together.
+STEP = 16e6
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -53,19 +57,28 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def joined(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Ids:
-    """Little-endian 32-bit ids of texts (UTF-8), kept by word."""
+    """Ids of texts (UTF-8), each distinct word of a batch looked up once. What a word becomes is kept for the next time."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
-        self.timer = None
+        # For words of lower-case letters in the tokenizer's own spelling: to split and merge is all that is left.
+        self.spelt = Tokenizer.from_file(path)
+        self.spelt.normalizer, self.spelt.pre_tokenizer = None, WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
 
     @staticmethod
     def of_worker(path: str) -> Ids:
@@ -73,54 +86,81 @@ class Ids:
         kept = sys.modules.setdefault("_inkmesh_worker", types.ModuleType("_inkmesh_worker")).__dict__
         if ("ids", path) not in kept:
             kept["ids", path] = Ids(path)
-        own = kept["ids", path]
-        if own.timer:
-            own.timer.cancel()
-        return own
-
-    def rest(self) -> None:
-        """The task is over: if no other comes, the memory is for other work."""
-
-        def clear() -> None:
-            self.kept.clear()
-            let_go()
-
-        self.timer = threading.Timer(IDLE_S, clear)
-        self.timer.daemon = True
-        self.timer.start()
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
+        return kept["ids", path]
+
+    def forget(self) -> None:
+        """Keeps nothing but no word and the end of a text."""
+        self.row = {"": 0, " ": 1}
+        self.ids, self.sizes = np.array([END], "<u4"), np.array([0, 1], np.int64)
+        self.starts = np.zeros(2, np.int64)
+
+    def _spelt(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters are one run of tokens each, which a last token ends, so they go in lines."""
+        own = [w if w.isascii() else w.encode().decode("latin-1").translate(SPELLING) for w in new]
+        lines = [" ".join(own[k : k + 100]) for k in range(0, len(own), 100)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.spelt.encode_batch_fast(lines, add_special_tokens=False)])
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+    def _whole(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.concatenate(encoded), np.array([len(e) for e in encoded], np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        letters = np.asarray(pc.match_substring_regex(pa.array(new, pa.string()), LETTERS))
+        parts = [(self.ids, self.sizes)]
+        for kind, encode, step in ((letters, self._spelt, 20_000), (~letters, self._whole, 5000)):
+            own = [new[i] for i in np.flatnonzero(kind).tolist()]
+            for i in range(0, len(own), step):
+                words = own[i : i + step]
+                ids, sizes = encode(words)
+                if len(sizes) != len(words) or sizes.sum() != len(ids):
+                    ids, sizes = self._whole(words)
+                self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
+                parts.append((ids, sizes))
+        self.ids, self.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > KEPT_WORDS:
+            self.forget()
+            new = [w for w in words if w not in self.row]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, ``END`` after each, and how many each text has."""
+        texts = pc.fill_null(texts, "")
         # The tokenizer lower-cases, so a word need not be kept in several cases; special tokens are told by case.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split) - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = set().union(*split)
-        # Marks at the end of a word are a token run of their own behind a letter or digit: many words differ in them alone.
-        ends = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core[-1:].isalnum() and b"<|" not in w}
-        rest = list({*(new - ends.keys()), *ends.values(), *(w[len(c) :] for w, c in ends.items())} - self.kept.keys())
-        # Words of letters alone are one run of tokens each, which a last token ends: they go in lines, the others one by one.
-        plain = [(w, t) for w in rest if (t := w.decode()).lower().isalpha()]
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            lines = [part[k : k + 100] for k in range(0, len(part), 100)]
-            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(t for _, t in line) for line in lines], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                stops = (np.flatnonzero(self.last[ids]) + 1) * 4
-                if len(stops) == len(line):
-                    raw, at = ids.tobytes(), 0
-                    for (w, _), stop in zip(line, stops.tolist(), strict=True):
-                        self.kept[w] = raw[at:stop]
-                        at = stop
-        single = [w for w in rest if w not in self.kept]
-        for i in range(0, len(single), 5000):
-            part = single[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.kept[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, core in ends.items():
-            self.kept[w] = self.kept[core] + self.kept[w[len(core) :]]
-        return [b"".join(map(self.kept.__getitem__, words)) for words in split]
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary
+        # Marks behind letters are a run of tokens of their own, and many words differ in them alone.
+        core = pc.utf8_rtrim(distinct, MARKS)
+        letters = pc.match_substring_regex(core, LETTERS)
+        n_marks = np.asarray(pc.binary_length(distinct)) - np.asarray(pc.binary_length(core))
+        marked = np.flatnonzero(np.asarray(letters) & (n_marks > 0))
+        core = pc.if_else(letters, pc.utf8_lower(core), distinct).dictionary_encode()
+        marks = [w[-n:] for w, n in zip(distinct.take(pa.array(marked)).to_pylist(), n_marks[marked].tolist(), strict=True)]
+        units = core.dictionary.to_pylist()
+        rows = self._rows([*units, *set(marks)])  # all at once, as the rows of a call may be forgotten in the next
+        parts = np.zeros((len(distinct) + 1, 2), np.int64)
+        parts[:-1, 0] = rows[: len(units)][np.asarray(core.indices)]
+        parts[marked, 1] = np.fromiter(map(self.row.__getitem__, marks), np.int64, len(marks))
+        parts[-1, 0] = self.row[" "]
+        flat = parts.ravel()
+        own, sizes = joined(self.ids, self.starts[flat], self.sizes[flat]), self.sizes[parts].sum(1)
+        # the place of each word, with an end behind each text
+        counts = np.diff(np.asarray(lists.offsets))
+        places = np.full(len(words) + len(texts), len(distinct), np.int64)
+        ends = np.cumsum(counts + 1) - 1
+        inside = np.ones(len(places), bool)
+        inside[ends] = False
+        places[inside] = np.asarray(words.indices)
+        n = sizes[places]
+        total = np.cumsum(n)[ends] if len(ends) else np.empty(0, np.int64)
+        return joined(own, (np.cumsum(sizes) - sizes)[places], n), np.diff(total, prepend=0)
 
 
 class Packer:
@@ -178,20 +218,21 @@ def _table(placed: list, still_open: bool) -> pa.RecordBatch:
 def _packs(path: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, packer = Ids.of_worker(path), Packer(most, first=TaskContext.get().partitionId() << 33)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             done = []
-            step = max(1, int(len(batch) * 4e6 / max(4e6, batch.column(1).nbytes)))  # about 4 MB of text at a time
+            step = max(1, int(len(batch) * STEP / max(STEP, batch.column(1).nbytes)))
             for i in range(0, len(batch), step):
                 part = batch.slice(i, step)
-                for doc_id, raw in zip(part.column(0).to_pylist(), ids.of([t or b"" for t in part.column(1).to_pylist()]), strict=True):
-                    raw += end
-                    for piece, at in enumerate(range(0, len(raw), 4 * LENGTH)):
-                        own = raw[at : at + 4 * LENGTH]
-                        done += packer.put((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)), len(own) // 4)
+                flat, sizes = ids.of(part.column(1))
+                raw, first = memoryview(flat.astype("<u4", copy=False)).cast("B"), 0
+                for doc_id, size in zip(part.column(0).to_pylist(), sizes.tolist(), strict=True):
+                    for piece, start in enumerate(range(0, size, LENGTH)):
+                        length = min(LENGTH, size - start)
+                        at = 4 * (first + start)
+                        done += packer.put((doc_id, piece, start, length, zlib.crc32(raw[at : at + 4 * length])), length)
+                    first += size
             if done:
                 yield _table(done, False)
-        ids.rest()
         if left := packer.flush():
             yield _table(left, True)
 
@@ -215,7 +256,7 @@ def _again(first: int, most: int):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, open_bins: int = OPEN) -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = durable(rows.mapInArrow(frugal(_packs(tokenizer or tokenizer_file(), open_bins)), COLUMNS + ", open boolean"))
     columns = [c for c in first.columns if c != "open"]
     left = first.where("open").select(*columns)

@@ -6,6 +6,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import components, contaminated, prose, repeated, shingles, words
 from pyspark.sql import functions as F
@@ -302,7 +303,7 @@ def test_pipeline_against_brute_force(spark, docs_of, tmp_path):
         assert seen[name].columns == docs.columns
     out = seen["best_fit_packing"].collect()
     assert {x.doc_id for x in out} == set(clean)
-    want = {i: len(x) // 4 + 1 for i, x in zip(clean, packing.Ids(packing.tokenizer_file()).of([t.encode() for t in clean.values()]), strict=True)}
+    want = dict(zip(clean, packing.Ids(packing.tokenizer_file()).of(pa.array(list(clean.values()), pa.string()))[1].tolist(), strict=True))
     have = Counter()
     for x in out:
         have[x.doc_id] += x.length
