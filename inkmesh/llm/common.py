@@ -62,15 +62,15 @@ def release(spark: SparkSession) -> None:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` in the shared folder, with the lineage cut."""
+def durable(df: DataFrame, batch: int = 1000) -> DataFrame:
+    """The rows of ``df`` in the shared folder, with the lineage cut. ``batch``: rows that go to a Python worker at once."""
     spark = df.sparkSession
     shared_folder(spark)
     release(spark)
     before = {k: spark.conf.get(k, None) for k in BATCH}
     try:
         for k, v in BATCH.items():
-            spark.conf.set(k, v)
+            spark.conf.set(k, str(batch) if k.endswith("RecordsPerBatch") else v)
         return df.checkpoint(eager=True)
     finally:
         for k, v in before.items():

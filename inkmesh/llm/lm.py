@@ -1,25 +1,35 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 Each word of a text is predicted from the two words on either side of it, and the
-log-probabilities of all words are summed. A word is one of ``BUCKETS`` hash values;
-its probability is that of its class, from the network, times its share of the class,
-from counts over all documents. Classes are made of these counts, so that all have
-about the same mass.
-
-The network (embeddings of the four words, one hidden layer, a softmax over classes) is
-trained in numpy on the windows of all words of every document (``rate`` above 1 takes
-one in so many, by a hash of place and words), so the training rows grow with the
-corpus. They are dealt to shards; each shard trains from the same start, and the shards' weights are averaged
-in groups, level by level, so no task and not the driver ever holds more than ``FAN``
-of them.
+log-probabilities of all words are summed.
+
+Words. Each word of every document is counted. The most frequent ones, ``HEAD`` at
+most, are words of the model; each other word belongs to one of ``TAIL`` groups by its
+hash and has an even share of its group, by the number of words counted in it. So a
+rare or unseen word never stands for a frequent one. Counts go by 32 bits of hash.
+
+Network. The embeddings of the four words around go through one hidden layer, whose
+output gives each word of the model a score of its own. The odds of a word against all
+others are those of its share of the corpus, times exp(its score) over the mean of
+exp(score) of others, taken over words that are drawn evenly from the counted mass (an
+importance-sampled softmax). A network of zeros is the unigram model.
+
+Training, in numpy, is on the windows of all words of all documents. Documents are
+dealt by a hash to shards of about ``SHARD`` words, so the number of shards grows with
+the corpus and depends on nothing else. Each shard starts alike and makes one pass of
+row-wise Adagrad. The shards' tables are averaged row by row, weighted by how often
+each shard met the row, block by block in a stream, so that no task holds more than a
+block and the driver no more than one network (about 18 MB, a fixed bound).
 
 Defined results: null and empty texts have no words and a score of 0. Rows are scored
-one by one, repeated ones alike. Without any words the weights stay at their start.
-Empty tables give empty results. Other columns are not read.
+one by one, repeated ones and null ids alike; a row that is repeated very often is spread
+over shards. Without any words the network stays at its start. Empty tables give empty
+results. Of other columns none is read. A text may have 500 million words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,227 +41,326 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import durable, table
-from inkmesh.llm.wordhash import WordHashes, frugal, hash_words, mix, word_list
+from inkmesh.llm.wordhash import frugal, hash_distinct, split_words
 
-BUCKETS, CONTEXTS, CLASSES = 1 << 16, 1 << 12, 64
-SIDE, WIDTH, HIDDEN = 2, 16, 32
-RATE, ROUNDS, BATCH, STEP, FAN = 1, 2, 512, 0.15, 32
+HEAD, TAIL = 1 << 16, 1 << 16
+SIDE, WIDTH, HIDDEN = 2, 16, 16
+#: Words drawn against a word in training, and for the mean over others in scoring.
+DRAWN, SEEN = 128, 256
+SHARD, MOST_SHARDS = 1 << 22, 1 << 13
+BATCH, POOL, STEP = 8192, 1 << 18, 0.05
+#: Rows of a table that are averaged at a time, and how often a task meets a row before it goes to other shards.
+BLOCK, TWINS = 2048, 16
 
 
-@dataclass
-class Net:
-    """``embed[CONTEXTS]`` stands for the end of a text."""
-
-    embed: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-
-    @staticmethod
-    def start(seed: int = 7) -> Net:
-        r = np.random.default_rng(seed)
-        f = lambda *shape: r.normal(0, 1, shape).astype(np.float32)
-        return Net(f(CONTEXTS + 1, WIDTH) * 0.3, f(2 * SIDE * WIDTH, HIDDEN) / 8, np.zeros(HIDDEN, np.float32), f(HIDDEN, CLASSES) / 6, np.zeros(CLASSES, np.float32))
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.w1, self.b1, self.w2, self.b2]
-
-    def to_bytes(self) -> bytes:
-        return b"".join(p.tobytes() for p in self.parts())
-
-    @staticmethod
-    def of_bytes(raw: bytes) -> Net:
-        flat, out = np.frombuffer(raw, np.float32).copy(), []
-        for p in Net.start().parts():
-            out.append(flat[: p.size].reshape(p.shape))
-            flat = flat[p.size :]
-        return Net(*out)
-
-    def hidden_tables(self) -> np.ndarray:
-        """What each word adds to the hidden layer in each of the places around."""
-        return np.stack([self.embed @ self.w1[k * WIDTH : (k + 1) * WIDTH] for k in range(2 * SIDE)])
-
-    def log_probs(self, around: np.ndarray, target: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
-        """Log-probability of each target class; ``around``: (n, 2 SIDE) context words."""
-        tables = self.hidden_tables() if tables is None else tables
-        h = self.b1 + tables[0][around[:, 0]]
-        for k in range(1, 2 * SIDE):
-            h += tables[k][around[:, k]]
-        logits = np.tanh(h, out=h) @ self.w2 + self.b2
-        top = logits.max(1)
-        own = logits[np.arange(len(target)), target] - top
-        logits -= top[:, None]
-        return own - np.log(np.exp(logits, out=logits).sum(1))
-
-    def train(self, around: np.ndarray, target: np.ndarray, square: list[np.ndarray]) -> None:
-        """One step of Adagrad on the mean log-loss."""
-        n = len(target)
-        x = self.embed[around].reshape(n, -1)
-        h = np.tanh(x @ self.w1 + self.b1)
-        logits = h @ self.w2 + self.b2
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
-        dh = (p @ self.w2.T) * (1 - h * h)
-        dx = (dh @ self.w1.T).reshape(-1, WIDTH)
-        words, at = np.unique(around.ravel(), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        d_embed = np.add.reduceat(dx[order], np.searchsorted(at[order], np.arange(len(words))), axis=0)
-        square[0][words] += d_embed * d_embed
-        self.embed[words] -= STEP * d_embed / np.sqrt(square[0][words] + 1e-8)
-        for k, (own, grad) in enumerate(((self.w1, x.T @ dh), (self.b1, dh.sum(0)), (self.w2, h.T @ p), (self.b2, p.sum(0))), 1):
-            square[k] += grad * grad
-            own -= STEP * 0.3 * grad / np.sqrt(square[k] + 1e-8)
+# --- words ---------------------------------------------------------------------------------
 
 
-@dataclass
-class Model:
-    net: Net
-    word_class: np.ndarray  # (BUCKETS,) class of each word
-    log_share: np.ndarray  # (BUCKETS,) log of its share of the class
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = Counter()
+    for batch in batches:
+        distinct, places, counts = split_words(batch.column(1))
+        words = (hash_distinct(distinct) >> np.uint64(32)).astype("<u4")[places]
+        ends = np.cumsum(counts)
+        raw = [words[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        salts = []
+        for doc_id, own in zip(batch.column(0).to_pylist(), raw, strict=True):
+            salt = xxhash.xxh3_64_intdigest(own, seed=(doc_id or 0) & 0xFFFFFFFFFFFFFFFF)
+            met[salt] += 1
+            if met[salt] > TWINS:
+                salt = xxhash.xxh3_64_intdigest(f"{TaskContext.get().partitionId()} {met[salt]}".encode(), seed=salt)
+            salts.append(salt >> 1)
+        if len(met) > 1 << 16:
+            met.clear()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salts, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "salt", "words"])
 
 
-def _buckets(text: bytes | None, cache: WordHashes) -> np.ndarray:
-    return (mix(hash_words(word_list(text), cache)) >> np.uint64(48)).astype(np.int64)
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, salt, words`` of each row: 32-bit hashes of its words in order, four bytes each."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(frugal(_encoded), "doc_id bigint, salt bigint, words binary")
 
 
-def around(words: np.ndarray) -> np.ndarray:
-    """(n, 2 SIDE) context words of each place, nearest places in text order."""
-    padded = np.full(len(words) + 2 * SIDE, CONTEXTS, np.int64)
-    padded[SIDE : SIDE + len(words)] = words % CONTEXTS
-    n = len(words)
-    return np.stack([padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], 1)
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column ``words``, and how many each row has."""
+    raw = words.to_pylist()
+    return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, total = WordHashes(), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for i in range(0, len(batch), 256):
-            words = [_buckets(t.as_py(), cache) for t in batch.column(0).slice(i, 256)]
-            total += np.bincount(np.concatenate(words), minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["word", "n"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
 
+    def counts() -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int32)), pa.array(n)], ["word", "n"])
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word, from the most frequent on, each class closed once it has its share of the mass; log of each word's share."""
-    smooth = counts.astype(np.float64) + 0.5
-    order = np.argsort(-smooth, kind="stable")
-    before = np.cumsum(smooth[order]) - smooth[order]
-    word_class = np.zeros(BUCKETS, np.int64)
-    word_class[order] = np.minimum(before * CLASSES / smooth.sum(), CLASSES - 1).astype(np.int64)
-    mass = np.bincount(word_class, smooth, CLASSES)
-    return word_class, np.log(smooth / mass[word_class]).astype(np.float32)
+    for batch in batches:
+        held.append(_hashes(batch.column(0))[0])
+        n += len(held[-1])
+        if n > 8_000_000:
+            yield counts()
+            held, n = [], 0
+    if n:
+        yield counts()
 
 
-def _windows(word_class: np.ndarray, rate: int):
-    small = word_class.astype(np.uint16)
+@dataclass
+class Words:
+    """``head``: sorted hashes of the model's words, their counts in ``counts``, behind these the counts of the groups of all others."""
+
+    head: np.ndarray
+    counts: np.ndarray
+    distinct: np.ndarray  # words of each group
+
+    def __post_init__(self) -> None:
+        self.size = len(self.counts)
+        self.log_share = np.zeros(self.size, np.float32)
+        self.log_share[len(self.head) :] = -np.log(np.maximum(self.distinct, 1))
+        self.first = np.searchsorted(self.head, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(14))
+        self.most = int(np.diff(self.first).max())
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        out = (len(self.head) + hashes % TAIL).astype(np.int32)
+        at = self.first[hashes >> 14]
+        for k in range(self.most):
+            place = np.minimum(at + k, len(self.head) - 1)
+            hit = self.head[place] == hashes
+            out[hit] = place[hit]
+        return out
+
+
+def count(encoded: DataFrame) -> tuple[Words, int]:
+    """The words of a corpus, and how many it has in all. To the driver come ``HEAD + TAIL`` rows at most."""
+    counts = durable(encoded.select("words").mapInArrow(frugal(_counted), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    size = F.floor(F.log2("n") * 16)
+    sizes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("n")).orderBy(F.desc("size")).collect()  # some hundreds
+    least, taken = 1 << 30, 0
+    for r in sizes:
+        if (taken := taken + r.distinct) > HEAD:
+            break
+        least = r["size"]
+    head = counts.where(size >= least).select("word", "n").toArrow().sort_by("word")
+    rest = counts.where(size < least).groupBy(F.pmod("word", F.lit(TAIL)).alias("of")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).toArrow()
+    words = np.asarray(head["word"].combine_chunks() if head.num_rows else pa.array([], pa.int32())).astype(np.int32).view(np.uint32)
+    order, group = np.argsort(words), np.zeros((2, TAIL), np.int64)
+    for k, c in enumerate(("n", "distinct")):
+        group[k][np.asarray(rest["of"])] = np.asarray(rest[c])
+    return Words(words[order], np.concatenate([np.asarray(head["n"])[order], group[0]]), group[1]), sum(r.n for r in sizes)
+
+
+# --- network -------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            shard, rows = [], []
-            for doc_id, t in zip(batch.column(1), batch.column(0), strict=True):
-                raw = t.as_py()
-                words = _buckets(raw, cache)
-                salt = np.uint64(xxhash.xxh3_64_intdigest(raw or b"", seed=(doc_id.as_py() or 0) & 0xFFFFFFFF))  # copies go to different shards
-                chosen = np.flatnonzero(mix(np.arange(len(words), dtype=np.uint64) + salt) % np.uint64(rate) == 0)
-                if len(chosen):
-                    shard.append(int(salt >> np.uint64(1)))
-                    rows.append(np.concatenate([around(words)[chosen].astype(np.uint16), small[words[chosen]][:, None]], 1).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(rows, pa.binary())], ["shard", "windows"])
 
-    return run
+class Net:
+    """Tables of rows: ``embed`` (its last row is the end of a text), ``out`` (the last column is the bias), ``dense`` (hidden layer, the last row is the bias).
+
+    ``share``: each word's share of all counted words. The odds of a word against all others are those of its share, times
+    exp(its score) over the mean of exp(score) of others. A network of zeros is the unigram model.
+    """
+
+    NAMES = ("embed", "out", "dense")
+
+    def __init__(self, counts: np.ndarray, seed: int = 7) -> None:
+        n, r = len(counts), np.random.default_rng(seed)
+        mass = counts + 0.5
+        self.until = np.cumsum(mass) / mass.sum()
+        self.share = mass / mass.sum()
+        self.embed = r.standard_normal((n + 1, WIDTH), np.float32) * np.float32(0.3)
+        self.out = np.zeros((n, HIDDEN + 1), np.float32)
+        self.dense = np.concatenate([r.standard_normal((2 * SIDE * WIDTH, HIDDEN), np.float32) / 8, np.zeros((1, HIDDEN), np.float32)]).astype(np.float32)
+
+    def tables(self) -> list[np.ndarray]:
+        return [getattr(self, n) for n in self.NAMES]
+
+    def others(self, n: int, offset: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+        """Words drawn evenly from the counted mass, and how often each is drawn, ``n`` in all."""
+        drawn = np.searchsorted(self.until, (np.arange(n) + offset) / n)
+        return np.unique(np.minimum(drawn, len(self.until) - 1), return_counts=True)
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """With a column of ones for the bias of words."""
+        return np.concatenate([np.tanh(x @ self.dense[:-1] + self.dense[-1]), np.ones((len(x), 1), np.float32)], 1)
+
+    def log_probs(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log-probability of each word; ``around``: (n, 2 SIDE) context words. The mean over others is that over ``SEEN`` drawn words."""
+        hidden = self.hidden(self.embed[around].reshape(len(around), -1))
+        drawn, times = self.others(SEEN)
+        rest = np.exp(hidden @ self.out[drawn].T)
+        place = np.searchsorted(drawn, word)
+        own = np.flatnonzero(drawn[np.minimum(place, len(drawn) - 1)] == word)
+        rest[own, place[own]] = 0  # a word is not among the others
+        n = np.full(len(word), times.sum())
+        n[own] -= times[place[own]]
+        share = self.share[word]
+        score = np.einsum("ij,ij->i", hidden, self.out[word]).astype(np.float64)
+        mean = np.where(n > 0, rest @ times.astype(np.float32) / np.maximum(n, 1), 1)
+        return -np.log1p((1 - share) / share * mean * np.exp(-score))
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of equal keys side by side, the distinct keys, and where each begins in that order."""
+    both = np.sort(keys.astype(np.int64) << 32 | np.arange(len(keys)))
+    word = (both >> 32).astype(np.int32)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    return both & 0xFFFFFFFF, word[first], first
+
+
+class Trainer:
+    """Row-wise Adagrad on a net; ``met``: how often each row of each table was used."""
+
+    def __init__(self, net: Net) -> None:
+        self.net, self.rng = net, np.random.default_rng(11)
+        self.square = [np.zeros(len(t), np.float32) for t in net.tables()]
+        self.met = [np.zeros(len(t), np.float32) for t in net.tables()]
+
+    def _step(self, k: int, rows, grad: np.ndarray, n) -> None:  # noqa: ANN001
+        """Up the gradient of the log-likelihood at ``rows`` of table k, met ``n`` times."""
+        square = self.square[k][rows] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        self.square[k][rows] = square
+        self.net.tables()[k][rows] += grad * (np.float32(STEP) / np.sqrt(square + np.float32(1e-12)))[:, None]
+        self.met[k][rows] += n
+
+    def take(self, around: np.ndarray, word: np.ndarray) -> None:
+        """One step: each word against ``DRAWN`` words from the counted mass, which all windows share."""
+        net, n = self.net, len(word)
+        order, words, first = groups(word)
+        around, many = around[order], np.diff(first, append=n)
+        x = net.embed[around].reshape(n, -1)
+        hidden = net.hidden(x)
+        own = np.repeat(net.out[words], many, axis=0)
+        drawn, times = net.others(DRAWN, self.rng.random())
+        table = net.out[drawn]
+        score = np.exp(np.einsum("ij,ij->i", hidden, own))
+        rest = np.exp(hidden @ table.T) * times.astype(np.float32)
+        both, at, there = np.intersect1d(words, drawn, assume_unique=True, return_indices=True)
+        for i, j in zip(at.tolist(), there.tolist(), strict=True):
+            rest[first[i] : first[i] + many[i], j] = 0  # a word is not drawn against itself
+        total = score + rest.sum(1)
+        miss = ((total - score) / total)[:, None]
+        rest /= -total[:, None]
+        own *= miss
+        own += rest @ table
+        back = own[:, :HIDDEN] * (1 - hidden[:, :HIDDEN] ** 2)
+        self._step(1, words, np.add.reduceat(hidden * miss, first, axis=0), many)
+        self._step(1, drawn, rest.T @ hidden, times)
+        dx = (back @ net.dense[:-1].T).reshape(-1, WIDTH)
+        self._step(2, slice(None), np.concatenate([x.T @ back, back.sum(0)[None]]), n)
+        order, words, first = groups(around.ravel())
+        self._step(0, words, np.add.reduceat(dx[order], first, axis=0), np.diff(first, append=len(order)))
+
+
+def windows(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(around, word) of each place of texts that stand in a row."""
+    places = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(counts)), counts))
+    padded = np.full(len(ids) + SIDE * (len(counts) + 1), end, np.int32)
+    padded[places] = ids
+    return np.stack([padded[places + k] for k in range(-SIDE, SIDE + 1) if k], 1), ids
+
+
+def _trained(words: Words):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, held, n = Trainer(Net(words.counts)), [], 0
 
+        def train(around: np.ndarray, word: np.ndarray) -> None:
+            order = trainer.rng.permutation(len(word))
+            for i in range(0, len(word), BATCH):
+                trainer.take(around[order[i : i + BATCH]], word[order[i : i + BATCH]])
 
-def _trained(net_bytes: bytes, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n, rest = Net.of_bytes(net_bytes), 0, np.empty((0, 2 * SIDE + 1), np.uint16)
-        square = [np.zeros_like(p) for p in net.parts()]
-        rng = np.random.default_rng(seed)
         for batch in batches:
-            rows = np.concatenate([rest, *(np.frombuffer(x.as_py(), np.uint16).reshape(-1, 2 * SIDE + 1) for x in batch.column(1))])
-            rows = rows[rng.permutation(len(rows))]
-            whole = len(rows) // BATCH * BATCH
-            for i in range(0, whole, BATCH):
-                step = rows[i : i + BATCH].astype(np.int64)  # only these: a batch of windows is many times as large in 64 bits
-                net.train(step[:, :-1], step[:, -1], square)
-            rest, n = rows[whole:].copy(), n + len(rows) - len(rest)
-        if len(rest):
-            net.train(rest[:, :-1].astype(np.int64), rest[:, -1].astype(np.int64), square)
+            hashes, counts = _hashes(batch.column(1))
+            held.append(windows(words.ids(hashes), counts, words.size))
+            n += len(hashes)
+            if n >= POOL:  # pools of one size, however the rows come
+                around, word = (np.concatenate(x) for x in zip(*held, strict=True))
+                for i in range(0, n - POOL + 1, POOL):
+                    train(around[i : i + POOL], word[i : i + POOL])
+                held, n = [(around[n // POOL * POOL :].copy(), word[n // POOL * POOL :].copy())], n % POOL
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([net.to_bytes()], pa.binary())], ["part", "n", "net"])
+            train(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        part = TaskContext.get().partitionId()
+        for k, (own, met) in enumerate(zip(trainer.net.tables(), trainer.met, strict=True)):
+            for block in range(0, len(own), BLOCK):
+                rows = np.flatnonzero(met[block : block + BLOCK]).astype(np.int32)
+                if len(rows):
+                    raw = [x.tobytes() for x in (rows, met[block + rows], own[block + rows])]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (k, block, part)), *(pa.array([x]) for x in raw)], ["table", "block", "part", "rows", "met", "own"])
 
     return run
 
 
-def _mean(rows: list[tuple[int, int, bytes]]) -> tuple[int, bytes]:
-    """Mean of nets by the windows that each has seen, added in order of their parts."""
-    total, out = sum(r[1] for r in rows), None
-    for _, n, raw in sorted(rows, key=lambda r: r[0]):
-        x = np.frombuffer(raw, np.float32).astype(np.float64) * (n / total)
-        out = x if out is None else out + x
-    return total, out.astype(np.float32).tobytes()
-
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks that come in order, the mean of each row by how often it was met."""
+    held = None
 
-def _averaged(nets: DataFrame, parts: int) -> bytes | None:
-    import pandas as pd
+    def done() -> pa.RecordBatch:
+        (k, block), weight, total = held
+        rows = np.flatnonzero(weight)
+        out = (total[rows] / weight[rows, None]).astype(np.float32)
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (k, block)), *(pa.array([x]) for x in (rows.astype(np.int32).tobytes(), out.tobytes()))], ["table", "block", "rows", "own"])
 
-    def level(pdf):
-        n, raw = _mean(list(zip(pdf["part"], pdf["n"], pdf["net"], strict=True)))
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN], "n": [n], "net": [raw]})
-
-    while parts > FAN:
-        nets = durable(nets.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(level, "part bigint, n bigint, net binary"))
-        parts = -(-parts // FAN)
-    rows = [tuple(r) for r in nets.select("part", "n", "net").collect()]  # FAN rows at most
-    return _mean(rows)[1] if rows else None
+    for batch in batches:
+        for k, block, _, rows, met, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held is None or held[0] != (k, block):
+                if held is not None:
+                    yield done()
+                held = (k, block), np.zeros(BLOCK), np.zeros((BLOCK, len(own) // len(met)))
+            rows, met = np.frombuffer(rows, np.int32), np.frombuffer(met, np.float32).astype(np.float64)
+            held[1][rows] += met
+            held[2][rows] += np.frombuffer(own, np.float32).reshape(len(rows), -1) * met[:, None]
+    if held is not None:
+        yield done()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = RATE, rounds: int = ROUNDS) -> Model:
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("bigint").alias("doc_id"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in rows.select("text").mapInArrow(frugal(_counts), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
-        counts[r.word] = r.n
-    word_class, log_share = classes(counts)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    windows = durable(rows.mapInArrow(frugal(_windows(word_class, rate)), "shard bigint, windows binary").repartition(parts, "shard").sortWithinPartitions("shard"))
-    net = Net.start().to_bytes()
-    for k in range(rounds):
-        trained = durable(windows.mapInArrow(frugal(_trained(net, k)), "part bigint, n bigint, net binary"))
-        net = _averaged(trained, parts) or net
-    return Model(Net.of_bytes(net), word_class, log_share)
+@dataclass
+class Model:
+    words: Words
+    tables: list[np.ndarray]
+
+    def net(self) -> Net:
+        out = Net(self.words.counts)
+        for name, own in zip(Net.NAMES, self.tables, strict=True):
+            setattr(out, name, own)
+        return out
+
+
+def fit(encoded: DataFrame) -> Model:
+    """A model of all rows of ``encode(docs)``, which should be durable, as it is read twice."""
+    words, total = count(encoded)
+    shards = min(MOST_SHARDS, -(-total // SHARD) or 1)
+    dealt = encoded.select("salt", "words").repartition(shards, "salt").sortWithinPartitions("salt")
+    nets = dealt.mapInArrow(frugal(_trained(words)), "table int, block int, part int, rows binary, met binary, own binary")
+    means = nets.repartition("table", "block").sortWithinPartitions("table", "block", "part").mapInArrow(frugal(_mean), "table int, block int, rows binary, own binary")
+    net = Net(words.counts)
+    for r in durable(means).toLocalIterator():  # one network
+        own, rows = net.tables()[r["table"]], np.frombuffer(r["rows"], np.int32) + r["block"]
+        own[rows] = np.frombuffer(r["own"], np.float32).reshape(len(rows), -1)
+    return Model(words, net.tables())
 
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, tables = WordHashes(), model.net.hidden_tables()
+        net = model.net()
         for batch in batches:
-            n, total = [], []
-            for t in batch.column(1):
-                words = _buckets(t.as_py(), cache)
-                near, own = around(words) if len(words) else None, 0.0
-                for i in range(0, len(words), 8192):
-                    w = words[i : i + 8192]
-                    own += float((model.net.log_probs(near[i : i + 8192], model.word_class[w], tables) + model.log_share[w]).sum(dtype=np.float64))
-                n.append(len(words))
-                total.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_words", "log_prob"])
+            hashes, counts = _hashes(batch.column(1))
+            around, own = windows(model.words.ids(hashes), counts, model.words.size)
+            each = np.zeros(len(own) + 1)
+            for i in range(0, len(own), BATCH):
+                w = own[i : i + BATCH]
+                each[i : i + len(w)] = net.log_probs(around[i : i + BATCH], w) + model.words.log_share[w]
+            ends = np.cumsum(counts)
+            total = np.where(counts > 0, np.add.reduceat(each, ends - counts), 0.0) if len(counts) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(total, pa.float64())], ["doc_id", "n_words", "log_prob"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_prob, mean_log_prob`` for every row."""
-    # The model travels with the function: its size is fixed, about 1.2 MB.
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    scored = rows.mapInArrow(frugal(_scored(model)), "doc_id bigint, n_words bigint, log_prob double")
+def score(encoded: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_words, log_prob, mean_log_prob`` for every row of ``encode(docs)``."""
+    # The model travels with the function, in a broadcast of fixed size.
+    scored = encoded.select("doc_id", "words").mapInArrow(frugal(_scored(model)), "doc_id bigint, n_words bigint, log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).otherwise(0.0))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return durable(score(docs, fit(docs)))  # scored here, so that texts go to workers in small batches
+    encoded = durable(encode(table(spark, sf_dir, "documents")), 4000)
+    return durable(score(encoded, fit(encoded)))  # scored here, so that texts go to workers in small batches

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -14,10 +16,8 @@ def let_go() -> None:
     import ctypes
     import gc
 
-    import pyarrow
-
     gc.collect()
-    pyarrow.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not with this C library
@@ -80,3 +80,39 @@ def shingle_set(text: bytes | None, cache: WordHashes, size: int = 5) -> np.ndar
     if not words:
         return np.empty(0, np.uint64)
     return np.unique(runs(hash_words(words, cache), min(size, len(words))))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of strings, the place among them of each word in order, and how many words each text has; null: none.
+
+    A-Z is lower-cased and ASCII white space splits, as in :func:`word_list`, but each distinct word is made once.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().dictionary_encode()
+    places, distinct = np.asarray(words.indices), words.dictionary
+    counts = np.diff(np.asarray(lists.offsets))
+    blank = pc.index(distinct, "").as_py()  # white space at the ends of a text leaves empty words
+    if blank >= 0:
+        empty = places == blank
+        counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts), empty, len(counts)).astype(counts.dtype)
+        places = places[~empty]
+    return distinct, places, counts
+
+
+#: Random values of each byte in each of 64 places.
+_BYTES = mix(np.arange(1, 1 + (64 << 8), dtype=np.uint64))
+
+
+def hash_distinct(distinct: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings: the sum of a random value for each byte in its place, mixed with the length."""
+    ends = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1]
+    raw = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(distinct) else np.empty(0, np.uint8)
+    sizes = np.diff(ends)
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(ends[:-1] - ends[:1], sizes)
+    values = _BYTES[(place & 63) << 8 | raw]
+    if sizes.max(initial=0) > 64:
+        values *= (2 * (place >> 6) + 1).astype(np.uint64)
+    total = np.zeros(len(distinct), np.uint64)
+    full = np.flatnonzero(sizes)
+    total[full] = np.add.reduceat(values, (ends[:-1] - ends[:1])[full]) if len(full) else 0
+    return mix(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -12,7 +12,7 @@ from conftest_llm import components, contaminated, prose, repeated, shingles, wo
 from pyspark.sql import functions as F
 
 from inkmesh.llm import decontaminate, lm, neardup, packing, quality, suffix
-from inkmesh.llm.wordhash import WordHashes, shingle_set
+from inkmesh.llm.wordhash import WordHashes, hash_distinct, shingle_set, split_words
 
 ITEM = "item_id bigint, text string"
 
@@ -207,58 +207,134 @@ def language(r, n):
     return " ".join(w[:n])
 
 
-def test_model_learns_from_both_sides_and_scores_held_out_text(docs_of):
+def small_model(monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 64)
+    monkeypatch.setattr(lm, "TAIL", 16)
+    monkeypatch.setattr(lm, "BATCH", 128)
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+
+
+def test_model_learns_from_both_sides_and_scores_held_out_text(docs_of, monkeypatch):
+    small_model(monkeypatch)
     r = random.Random(4)
-    docs = docs_of([language(r, 300) for _ in range(150)] + [None, ""])
-    model = lm.fit(docs, rate=2, rounds=3)
+    model = lm.fit(lm.encode(docs_of([language(r, 300) for _ in range(150)] + [None, ""])))
     held = [language(r, 300) for _ in range(20)]
     shuffled = [" ".join(random.Random(9).sample(t.split(), 300)) for t in held]
-    odd = [None, "", "a1", "a1 b1 c1 " * 5000]
-    rows = {x.doc_id: x for x in lm.score(docs_of([*held, *shuffled, *odd]), model).collect()}
+    odd = [None, "", "a1", "a1 b1 c1 " * 5000, " never seen words\n"]
+    docs = lm.encode(docs_of([*held, *shuffled, *odd]).withColumns({"words": F.lit("x"), "salt": F.lit(1)}))
+    rows = {x.doc_id: x for x in lm.score(docs, model).collect()}
     good, bad = (np.mean([rows[i + k].mean_log_prob for i in range(20)]) for k in (0, 20))
-    flat = lm.Model(lm.Net.start(), model.word_class, model.log_share)
-    flat.net.w2[:] = 0
-    base = np.mean([x.mean_log_prob for x in lm.score(docs_of(held), flat).collect()])
+    flat = lm.Model(model.words, lm.Net(model.words.counts).tables())
+    base = np.mean([x.mean_log_prob for x in lm.score(lm.encode(docs_of(held)), flat).collect()])
     assert good > base + 0.5 and good > bad + 0.5
     assert [(rows[40 + k].n_words, rows[40 + k].log_prob) for k in (0, 1)] == [(0, 0.0), (0, 0.0)] and rows[43].n_words == 15_000
-    # the sum, term by term
-    text = held[0]
-    ids = lm._buckets(text.encode(), WordHashes())
+    assert rows[44].n_words == 3 and rows[44].mean_log_prob < good
+    # the sum, term by term, from words and tables alone
+    text, words, net = held[0].split(), model.words, model.net()
+    ids = [int(words.ids((hash_distinct(pa.array([w])) >> np.uint64(32)).astype(np.uint32))[0]) for w in text]
+    share = (words.counts + 0.5) / (words.counts + 0.5).sum()
+    drawn = [min(int(np.flatnonzero(np.cumsum(share) >= (k + 0.5) / lm.SEEN)[0]), len(share) - 1) for k in range(lm.SEEN)]
     total = 0.0
-    for i, w in enumerate(ids.tolist()):
-        near = [int(ids[j]) % lm.CONTEXTS if 0 <= j < len(ids) else lm.CONTEXTS for j in (i - 2, i - 1, i + 1, i + 2)]
-        h = np.tanh(np.concatenate([model.net.embed[n] for n in near]).astype(float) @ model.net.w1 + model.net.b1)
-        z = h @ model.net.w2 + model.net.b2
-        total += z[model.word_class[w]] - math.log(np.exp(z).sum()) + model.log_share[w]
+    for i, w in enumerate(ids):
+        near = [ids[j] if 0 <= j < len(ids) else words.size for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.append(np.tanh(np.concatenate([net.embed[n] for n in near]).astype(float) @ net.dense[:-1] + net.dense[-1]), 1.0)
+        others = np.mean([math.exp(h @ net.out[d]) for d in drawn if d != w])
+        own = share[w] * math.exp(h @ net.out[w])
+        total += math.log(own / (own + (1 - share[w]) * others)) + words.log_share[w]
     assert rows[0].log_prob == pytest.approx(total, rel=1e-4)
 
 
-def test_every_word_trains_the_model():
-    import pyarrow as pa
-
-    texts = ["one", "ten words are a short text but each of them", None]
-    batch = pa.RecordBatch.from_arrays([pa.array([t and t.encode() for t in texts], pa.binary()), pa.array([1, 2, 3], pa.int64())], ["text", "doc_id"])
-    (out,) = lm._windows(np.zeros(lm.BUCKETS, np.int64), lm.RATE)(iter([batch]))
-    assert sorted(len(w.as_py()) // (2 * (2 * lm.SIDE + 1)) for w in out.column(1)) == [1, 10]
-
-
-def test_shares_of_each_class_sum_to_one():
-    counts = np.random.default_rng(1).integers(0, 50, lm.BUCKETS)
-    word_class, log_share = lm.classes(counts)
-    assert np.allclose(np.bincount(word_class, np.exp(log_share.astype(float)), lm.CLASSES), 1, atol=1e-3)
-    assert word_class.max() < lm.CLASSES
-
-
-def test_model_of_nothing(docs_of):
-    model = lm.fit(docs_of([None, ""]))
-    assert lm.score(docs_of([]), model).count() == 0 and lm.score(docs_of(["a b"]), model).first().n_words == 2
-
-
-def test_many_nets_are_averaged_by_levels(spark):
-    rows = [(i, i + 1, bytearray(np.full(4, float(i), np.float32).tobytes())) for i in range(70)]
-    raw = lm._averaged(spark.createDataFrame(rows, "part bigint, n bigint, net binary"), 70)
-    weights = np.arange(1, 71)
-    assert np.allclose(np.frombuffer(raw, np.float32), (weights * np.arange(70)).sum() / weights.sum(), rtol=1e-5)
+def test_training_is_gradient_ascent():
+    """One step of the numpy trainer against numerical gradients of the sampled log-likelihood."""
+    r = np.random.default_rng(5)
+    counts = r.integers(1, 50, 30)
+    around, word = r.integers(0, 31, (40, 4)).astype(np.int32), r.integers(0, 30, 40).astype(np.int32)
+    net = lm.Net(counts)
+    net.out[:] = r.normal(0, 0.5, net.out.shape)
+    before = [t.astype(float).copy() for t in net.tables()]
+    trainer = lm.Trainer(net)
+    drawn, times = net.others(lm.DRAWN, np.random.default_rng(11).random())
+
+    def likelihood(embed, out, dense):
+        total = 0.0
+        for near, w in zip(around, word, strict=True):
+            h = np.append(np.tanh(np.concatenate([embed[n] for n in near]) @ dense[:-1] + dense[-1]), 1.0)
+            rest = sum(t * math.exp(h @ out[d]) for d, t in zip(drawn, times, strict=True) if d != w)
+            total += h @ out[w] - math.log(math.exp(h @ out[w]) + rest)
+        return total
+
+    def slope(table, *place):
+        up, down = ([t.copy() for t in before] for _ in range(2))
+        up[table][place] += 1e-5
+        down[table][place] -= 1e-5
+        return (likelihood(*up) - likelihood(*down)) / 2e-5
+
+    steps = []
+    trainer._step = lambda k, rows, grad, n: steps.append((k, rows, grad))
+    trainer.take(around, word)
+    grads = [np.zeros(t.shape) for t in before]
+    for k, rows, grad in steps:
+        grads[k][rows] += grad
+    for table, place in [(0, (3, 2)), (0, (30, 0)), (1, (5, 1)), (1, (7, lm.HIDDEN)), (1, (int(drawn[0]), 0)), (2, (10, 3)), (2, (64, 2))]:
+        assert grads[table][place] == pytest.approx(slope(table, *place), rel=1e-3, abs=1e-4)
+
+
+def test_every_word_trains_the_model_and_shards_follow_words_alone(spark, docs_of, monkeypatch):
+    small_model(monkeypatch)
+    r = random.Random(6)
+    texts = ["one", "ten words are a short text but each of them", None, *[language(r, 400) for _ in range(120)], *["the same text again and again"] * 300]
+    encoded = lm.encode(docs_of(texts, [*range(123), *[None] * 300]))
+    n = sum(len(words(t)) for t in texts)
+    trained = []
+    for parts in ("3", "7"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found, total = lm.count(encoded)
+        assert total == n and found.counts.sum() == n and found.distinct.sum() + len(found.head) == len({w for t in texts for w in words(t)})
+        trained.append(lm.score(encoded, lm.fit(encoded)).orderBy("doc_id", "n_words").collect())
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert trained[0] == trained[1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([np.arange(10, dtype="<u4").tobytes()], pa.binary())], ["salt", "words"])
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda _: 0})())
+    blocks = list(lm._trained(lm.Words(np.arange(10, dtype=np.uint32), np.ones(26, np.int64), np.ones(16, np.int64)))(iter([batch])))
+    assert {b.column(0)[0].as_py(): np.frombuffer(b.column(4)[0].as_py(), np.float32).max() for b in blocks}[2] == 10
+
+
+def test_words_of_the_model_are_the_most_frequent(docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 20)
+    counts = {f"w{k}": 1 + k * k for k in range(60)}
+    found, total = lm.count(lm.encode(docs_of([" ".join(w for w, n in counts.items() for _ in range(n)), None])))
+    h = lambda w: int((hash_distinct(pa.array([w])) >> np.uint64(32))[0])
+    by = {h(w): n for w, n in counts.items()}
+    assert total == sum(counts.values()) and 10 < len(found.head) <= 20
+    assert [by[x] for x in found.head.tolist()] == found.counts[: len(found.head)].tolist()
+    assert min(by[x] for x in found.head.tolist()) > max(n for x, n in by.items() if x not in set(found.head.tolist()))
+    assert found.ids(found.head).tolist() == list(range(len(found.head))) and (found.ids(np.array([h("w1"), 5], np.uint32)) >= len(found.head)).all()
+
+
+def test_model_of_nothing(docs_of, monkeypatch):
+    small_model(monkeypatch)
+    model = lm.fit(lm.encode(docs_of([None, ""])))
+    assert lm.score(lm.encode(docs_of([])), model).count() == 0 and lm.score(lm.encode(docs_of(["a b"])), model).first().n_words == 2
+
+
+def test_shards_are_averaged_by_what_they_met():
+    rows = [np.array([0, 2], np.int32), np.array([2], np.int32)]
+    met, own = [np.array([1, 1], np.float32), np.array([3], np.float32)], [np.full((2, 3), 4, np.float32), np.full((1, 3), 8, np.float32)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([0, 0], [2048, 2048], [0, 1], *([a.tobytes() for a in x] for x in (rows, met, own)))], ["table", "block", "part", "rows", "met", "own"])
+    (out,) = lm._mean(iter([batch]))
+    assert np.frombuffer(out.column(2)[0].as_py(), np.int32).tolist() == [0, 2] and np.frombuffer(out.column(3)[0].as_py(), np.float32).tolist() == [4.0] * 3 + [7.0] * 3
+
+
+def test_split_words_and_their_hashes(rng):
+    texts = [None, "", " \t", " a  B\x0b\x0cc\x1cd ", "É é", "x" * 200, " ".join(rng.choices(["a", "b", "ab", "é"], k=50)), "y" * 65, "\xa0z"]
+    distinct, places, counts = split_words(pa.array(texts))
+    found = distinct.to_pylist()
+    assert counts.tolist() == [len(words(t)) for t in texts] and [found[k] for k in places] == [w.decode() for t in texts for w in words(t)]
+    hashes = hash_distinct(distinct)
+    alone = {w: int(hash_distinct(pa.array([w]))[0]) for w in found}
+    assert hashes.tolist() == [alone[w] for w in found] and len(set(hashes.tolist())) == len(found)
+    assert hash_distinct(pa.array(["skip", "a", "b"])[1:]).tolist() == [alone["a"], alone["b"]] and len(hash_distinct(pa.array([], pa.string()))) == 0
 
 
 # --- pipeline ------------------------------------------------------------------------------
