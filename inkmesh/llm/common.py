@@ -86,6 +86,30 @@ def few_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW else df
 
 
+#: A key with more rows than this, and than one in ``KEYS`` of all, goes to several tasks.
+PIECE, KEYS = 500, 2000
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
+    """``on, heaps`` for keys that hold too many of ``rows`` for one task: ``KEYS`` at most, as each has over one in ``KEYS`` of all rows."""
+    sizes = durable(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE))
+    if not sizes.limit(1).count():
+        return None
+    piece = max(PIECE, rows.count() // KEYS)
+    return sizes.where(F.col("n") > piece).select(*on, F.ceil(F.col("n") / piece).cast("int").alias("heaps"))
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """``rows.join(facts, on)`` where ``facts`` has a row for each key: rows of a hot key are dealt out by ``by``, its fact is repeated for each heap."""
+    hot = hot_keys(rows, on)
+    if hot is None:
+        return rows.join(facts, on)
+    hot = F.broadcast(hot)
+    left = rows.join(hot, on, "left").withColumn("heap", F.coalesce(F.pmod(F.xxhash64(*by), F.col("heaps")), F.lit(0))).drop("heaps")
+    right = facts.join(hot, on, "left").withColumn("heap", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("heaps"), F.lit(1)) - 1))).drop("heaps")
+    return left.join(right, [*on, "heap"]).drop("heap")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

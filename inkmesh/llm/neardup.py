@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import SIMILARITY_PERCENT, components, durable, table
-from inkmesh.llm.wordhash import WordHashes, frugal, mix, shingle_set
+from inkmesh.llm.common import SIMILARITY_PERCENT, components, dealt_join, durable, table
+from inkmesh.llm.wordhash import frugal, mix, shingle_sets
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -46,21 +46,24 @@ def donors() -> np.ndarray:
     return (mix(at + np.uint64(0x51ED27)) % np.uint64(BINS)).astype(np.int64)
 
 
-def signature(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Least hash of each bin, densified; ``shingles``: sorted, distinct, not empty."""
-    bins = (shingles >> np.uint64(57)).astype(np.int64)
-    first = np.searchsorted(bins, np.arange(BINS))
-    full = np.zeros(BINS, bool)
-    full[bins] = True
-    out = np.zeros(BINS, np.uint64)
-    out[full] = shingles[first[full]]
-    if not full.all():
-        empty = np.flatnonzero(~full)
-        lends = full[order[empty]]
-        pick = order[empty, lends.argmax(1)]
-        for k in np.flatnonzero(~lends.any(1)):  # none of the attempts: the next full bin
-            pick[k] = (empty[k] + 1 + np.argmax(np.roll(full, -empty[k] - 1))) % BINS
-        out[empty] = out[pick]
+def signatures(sets: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Least hash of each bin, densified, for each of ``sets``: sorted, distinct, not empty."""
+    values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    place = np.repeat(np.arange(len(sets)) * BINS, [len(s) for s in sets]) + (values >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    own, full = np.zeros((len(sets), BINS), np.uint64), np.zeros((len(sets), BINS), bool)
+    own.ravel()[place[first]], full.ravel()[place[first]] = values[first], True
+    out = own.copy()
+    row, empty = np.nonzero(~full)
+    for k in range(ATTEMPTS):
+        lender = order[empty, k]
+        lends = full[row, lender]
+        out[row[lends], empty[lends]] = own[row[lends], lender[lends]]
+        row, empty = row[~lends], empty[~lends]
+        if not len(row):
+            break
+    for r, b in zip(row.tolist(), empty.tolist(), strict=True):  # none of the attempts: the next full bin
+        out[r, b] = own[r, (b + 1 + np.argmax(np.roll(full[r], -b - 1))) % BINS]
     return out
 
 
@@ -74,24 +77,22 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, order = WordHashes(), donors()
+    order = donors()
     for batch in batches:
-        sets = [shingle_set(t.as_py(), cache) for t in batch.column(1)]
+        sets = shingle_sets(batch.column(1))
         n = np.array([len(s) for s in sets], np.int64)
         one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         two = np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-        keys = np.zeros((len(sets), BANDS), np.int64)
-        if full := np.flatnonzero(n).tolist():
-            keys[full] = band_keys(np.stack([signature(sets[i], order) for i in full])).view(np.int64)
+        keys, full = np.zeros((len(sets), BANDS), np.int64), np.flatnonzero(n)
+        keys[full] = band_keys(signatures([sets[i] for i in full.tolist()], order)).view(np.int64)
         offsets = pa.array(np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["doc_id", "n_shingles", "print1", "print2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of ``(doc_id, node, text)`` whose print is that of the node."""
-    cache = WordHashes()
     for batch in batches:
-        sets = [shingle_set(t.as_py(), cache) for t in batch.column(2)]
+        sets = shingle_sets(batch.column(2))
         own = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         right = np.flatnonzero(own == batch.column(1).field(1).to_numpy()).tolist()
         yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(right, pa.int64())) for k in (0, 1)), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["doc_id", "node", "shingles"])
@@ -131,8 +132,9 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose full sets are linked; ``sets(node, shingles)``."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    """The ``pairs(a, b)`` of nodes whose full sets are linked; ``sets(node, shingles)``. A centre of very many pairs is dealt out."""
+    both = dealt_join(durable(pairs), sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"], ["b"])
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return durable(both.select("a", "b", "x", "y").mapInArrow(frugal(_confirmed), f"a {NODE}, b {NODE}"))
 
 
@@ -148,8 +150,8 @@ def open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame
     inside at most the lesser inside, and outside only shingles that both have. So a
     pair can reach the similarity only if
 
-    * it has a shingle outside c in common, found by an equi-join on it, and the lesser
-      inside plus the lesser count of outside shingles that any other set of the group
+    * it has a shingle outside c in common, found by an equi-join on the rarer ones, which
+      two linked sets cannot lack (prefix filter), and the lesser inside plus the lesser count of outside shingles that any other set of the group
       has suffices; or
     * the lesser inside alone suffices. One of the two is not linked with c, so it is
       much smaller there, and only sets of few sizes can meet that: an equi-join
@@ -160,18 +162,21 @@ def open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame
     """
     others = stars.where("node <> centre")
     mixed = others.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    group = others.join(mixed, "key").select("centre", "node", "component").distinct()
-    hub = label.select(F.col("id").alias("centre"), F.col("component").alias("hub"))
-    group = group.join(hub, "centre", "left").withColumn("linked", F.col("component") == F.coalesce("hub", "centre"))
-    both = group.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("x")), "centre").join(sets.select("node", F.col("shingles").alias("y")), "node")
+    group = durable(others.join(mixed, "key").select("centre", "node", "component").distinct())
+    hub = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("x")).join(label.select(F.col("id").alias("centre"), F.col("component").alias("hub")), "centre", "left")
+    both = dealt_join(group, hub, ["centre"], ["node"]).withColumn("linked", F.col("component") == F.coalesce("hub", "centre"))
+    both = both.join(sets.select("node", F.col("shingles").alias("y")), "node")
     split = durable(both.select("centre", "node", "component", "linked", "x", "y").mapInArrow(frugal(_outside), f"centre {NODE}, node {NODE}, component {NODE}, linked boolean, n bigint, inside bigint, outside array<bigint>"))
     facts = split.select("centre", "node", "component", "linked", "n", "inside")
     shingle = split.select("centre", "node", F.explode("outside").alias("shingle"))
-    several = shingle.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("centre", "shingle")
-    shingle = durable(shingle.join(several, ["centre", "shingle"]))
-    counted = shingle.groupBy("centre", "node").agg(F.count(F.lit(1)).alias("common")).join(facts, ["centre", "node"])
-    rows = shingle.join(counted, ["centre", "node"])
+    several = shingle.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shingle = shingle.join(several, ["centre", "shingle"])
+    own = Window.partitionBy("centre", "node")  # no more than the shingles of a document
+    shingle = durable(shingle.withColumns({"common": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("c", "shingle"))}))
     p, q = SIMILARITY_PERCENT, 100 + SIMILARITY_PERCENT
+    # A set needs so many common shingles outside for any link that two linked ones share one of all but the last so many less one, from rare to common.
+    needed = F.greatest(F.ceil(F.col("n") * p / F.lit(100.0)) - F.col("inside"), F.lit(1))
+    rows = shingle.join(facts, ["centre", "node"]).where(F.col("place") <= F.col("common") - needed + 1)
     x, y = rows.alias("x"), rows.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
     reach = F.least("x.inside", "y.inside") + F.least("x.common", "y.common")
@@ -193,7 +198,7 @@ def open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = durable(rows.mapInArrow(frugal(_signed), "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"))
     prints = ["n_shingles", "print1", "print2"]
     # a node is a distinct set: the least id that has it, with its print

@@ -1,7 +1,8 @@
 """Suffix-array dedup over sparse suffixes.
 
 A passage is a run of ``LENGTH`` words (A-Z lower-cased, split at ASCII white space).
-Each run that a document shares with one of a lesser id is found. Steps:
+Each run is found that a document shares with one of a lesser id, or that its own text
+has before, at least ``LENGTH`` words earlier. Steps:
 
 1. A run of ``LENGTH`` words has its least hash of ``GRAM`` words at one place (the
    first, if several); these minimiser places, one in about 22, depend on the words
@@ -16,6 +17,8 @@ Each run that a document shares with one of a lesser id is found. Steps:
    of which the least id is kept in view and all others are marked. Runs that would
    need more words on a side than a neighbour shares are let go (not where a gram was
    dealt to several tasks).
+   A run that one text holds twice has its minimiser's gram twice there, so texts of
+   which no such gram comes again need no look at themselves.
 4. What chains cannot tell (equal runs apart in the order, or in two tasks) is
    settled by the chains' least members alone, grouped by the run's hash.
 
@@ -24,7 +27,8 @@ more than any other.
 
 Defined results: null and empty texts, those under ``LENGTH`` words and rows of a null
 id hold no passage. Rows that repeat an id are one document, never copies of each
-other. Repeats inside one document are not touched. Extra columns are not read by
+other. What a text repeats at less than ``LENGTH`` words' distance overlaps with its first
+place and is left. Extra columns are not read by
 ``spans``; ``cut`` holds them in a struct. Empty tables give empty results.
 """
 
@@ -39,8 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import durable, release, table
-from inkmesh.llm.wordhash import WordHashes, frugal, hash_words, mix, runs, word_list
+from inkmesh.llm.common import dealt_join, durable, release, table
+from inkmesh.llm.wordhash import frugal, hash_distinct, mix, runs, split_words, word_list
 
 LENGTH, GRAM = 50, 8
 #: Suffixes of one gram that go to one task at least; beyond it, and an even share of all, they are dealt out by id.
@@ -48,12 +52,12 @@ HEAP = 2_000
 WINDOW = LENGTH - GRAM + 1  # grams of a run
 
 
-def minimisers(words: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places, their gram hashes, and the first and last start of the runs that have their minimiser there."""
-    if len(words) < LENGTH:
+def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, their gram hashes, and the first and last start of the runs that have their minimiser there; ``hashes``: of the words."""
+    if len(hashes) < LENGTH:
         none = np.empty(0, np.int64)
         return none, none.view(np.uint64), none, none
-    grams = runs(hash_words(words, cache), GRAM)
+    grams = runs(hashes, GRAM)
     # the place in the low bits: the least value also says where, and the first of equals
     bits = np.uint64(max(1, len(grams)).bit_length())
     value = (mix(grams) >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -70,12 +74,34 @@ def minimisers(words: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.nd
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
+    """Minimisers' grams of each text, and the starts of its runs that it has before, clear of them."""
     for batch in batches:
-        found = [np.unique(minimisers(word_list(t.as_py()), cache)[1]) for t in batch.column(1)]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        values = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["key", "grams"])
+        distinct, places, counts = split_words(batch.column(1))
+        hashes = hash_distinct(distinct)[places]
+        found, again, end = [], [], 0
+        for n in counts.tolist():
+            end += n
+            grams = np.sort(minimisers(hashes[end - n : end])[1])
+            new = np.diff(grams, prepend=~grams[:1]) != 0
+            found.append(grams[new])
+            again.append(repeats(places[end - n : end], hashes[end - n : end]) if not new.all() else np.empty(0, np.int32))
+        lists = []
+        for values, kind in ((found, np.uint64), (again, np.int32)):
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+            values = np.concatenate([*values, np.empty(0, kind)])
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if kind is np.uint64 else values)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "grams", "again"])
+
+
+def repeats(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Starts of the runs of a text that stand in it before, at least ``LENGTH`` words earlier; ``words``: a number for each word."""
+    every = runs(hashes, LENGTH)
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]))
+    earliest = np.empty(len(every), np.int64)
+    earliest[order] = np.repeat(order[first], np.diff(first, append=len(every)))
+    start = np.flatnonzero(np.arange(len(every)) - earliest >= LENGTH)
+    return np.array([i for i in start.tolist() if (words[i : i + LENGTH] == words[(k := earliest[i]) : k + LENGTH]).all()], np.int32)
 
 
 KEY = "struct<id:bigint,text:bigint>"
@@ -119,12 +145,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``low`` and ``high``: the least and greatest offset of the place in runs that have it as minimiser."""
-    cache = WordHashes()
     for batch in batches:
         out, size = [], 0
         for key, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            key, words, heaps = key.as_py(), word_list(text.as_py()), {w["gram"]: w["heaps"] for w in wanted.as_py()}
-            places, grams, first, last = minimisers(words, cache)
+            key, words, heaps = key.as_py(), word_list(text.as_py().encode()), {w["gram"]: w["heaps"] for w in wanted.as_py()}
+            places, grams, first, last = minimisers(hash_distinct(pa.array(words, pa.binary())))
             for p, gram, low, high in zip(places.tolist(), grams.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
                 if n := heaps.get(gram):
                     right = b" ".join(words[p : high + LENGTH]) + b" "
@@ -271,13 +296,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key(id, text), spans[(start, n_words, first_id)]`` of documents with runs seen in one of a lesser id.
+    """``key(id, text), spans[(start, n_words, first_id)]`` of documents with runs seen in one of a lesser id, or before in the same text.
 
     ``key.text`` is a hash that tells apart texts of one id; starts count words from 0;
     ``first_id`` is the least id that has the first run of the span.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).cast("binary").alias("body"))
-    places = durable(rows.mapInArrow(frugal(_grams), f"key {KEY}, grams array<bigint>").where(F.size("grams") > 0))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).cast("string").alias("body"))
+    places = durable(rows.mapInArrow(frugal(_grams), f"key {KEY}, grams array<bigint>, again array<int>").where(F.size("grams") > 0), 4000)
     each = places.select("key", F.explode("grams").alias("gram"))
     several = each.groupBy("gram").agg(F.min("key.id").alias("first"), F.max("key.id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
     several = durable(several.select("gram", "n"))
@@ -290,9 +315,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     by_left = by_right.mapInArrow(frugal(_reaching), SUFFIX).sortWithinPartitions("gram", "heap", "before", "suffix", "id", "text", "at")
     compared = durable(by_left.mapInArrow(frugal(_compare), "id bigint, text bigint, low int, high int, run binary, open boolean"))
     release(docs.sparkSession)
+    # The first holder of a run: a run that very many hold is dealt to several tasks. Repeated rows give the same hits.
     least = compared.where("open").groupBy("run").agg(F.min("id").alias("first_id"))
-    hit = durable(compared.join(least, "run").where("id > first_id"))  # alone, so that Spark can split a run that very many hold
-    per_text = hit.groupBy(F.struct("id", "text").alias("key")).agg(F.sort_array(F.collect_list(F.struct("low", "high", "first_id"))).alias("hits"))
+    hit = dealt_join(compared, least, ["run"], ["id", "text", "low"]).where("id > first_id").select("id", "text", "low", "high", "first_id")
+    own = places.select("key.id", "key.text", F.explode("again").alias("low")).select("id", "text", "low", F.col("low").alias("high"), F.col("id").alias("first_id"))
+    hit = durable(hit.union(own).distinct())
+    per_text = hit.groupBy(F.struct("id", "text").alias("key")).agg(F.sort_array(F.collect_list(F.struct("low", "first_id", "high"))).alias("hits"))
 
     def merge(acc, x):
         last = F.element_at(acc, -1)
@@ -354,7 +382,9 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
 f AS (SELECT g, min(doc_id) AS first_id FROM w GROUP BY g),
-m AS (SELECT doc_id, i, first_id, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (g) WHERE first_id < doc_id),
+o AS (SELECT doc_id, g, min(i) AS first_i FROM w GROUP BY doc_id, g),
+h AS (SELECT doc_id, i, first_id FROM w JOIN f USING (g) JOIN o USING (doc_id, g) WHERE first_id < doc_id OR first_i <= i - 50),
+m AS (SELECT doc_id, i, first_id, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM h),
 s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM m)
 SELECT doc_id, min(i) - 1 AS start_word, max(i) - min(i) + 50 AS n_words, arg_min(first_id, i) AS first_doc_id FROM s GROUP BY doc_id, span
 """

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -34,18 +33,6 @@ def frugal(batches_to_batches):  # noqa: ANN001, ANN201
     return run
 
 
-class WordHashes(dict):
-    """Hash of a word, kept for the next time; emptied when it holds ``most``."""
-
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit over all."""
     x = (x ^ (x >> _S)) * _M1
@@ -58,10 +45,6 @@ def word_list(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def hash_words(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words; fewer words: none."""
     n = len(hashes) - size + 1
@@ -74,14 +57,6 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
-def shingle_set(text: bytes | None, cache: WordHashes, size: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words: the whole sequence as one; no words: none."""
-    words = word_list(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(runs(hash_words(words, cache), min(size, len(words))))
-
-
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of strings, the place among them of each word in order, and how many words each text has; null: none.
 
@@ -116,3 +91,14 @@ def hash_distinct(distinct: pa.Array) -> np.ndarray:
     full = np.flatnonzero(sizes)
     total[full] = np.add.reduceat(values, (ends[:-1] - ends[:1])[full]) if len(full) else 0
     return mix(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
+    """For each text its sorted distinct shingle hashes; fewer words: the whole sequence as one; no words: none."""
+    distinct, places, counts = split_words(texts)
+    hashes = hash_distinct(distinct)[places]
+    every, ends, out = runs(hashes, size), np.cumsum(counts).tolist(), []
+    for end, n in zip(ends, counts.tolist(), strict=True):
+        own = np.sort(every[end - n : end - size + 1] if n >= size else runs(hashes[end - n : end], n) if n else every[:0])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+    return out

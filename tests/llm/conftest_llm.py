@@ -60,7 +60,7 @@ def contaminated(text, items):
 
 
 def repeated(rows, length=50):
-    """Word places of (id, text) rows in runs that a lesser id has too; by row."""
+    """Word places of (id, text) rows in runs that a lesser id has too, or the text itself ``length`` words before; by row."""
     first = {}
     for i, t in rows:
         w = words(t)
@@ -69,6 +69,10 @@ def repeated(rows, length=50):
             first[g] = min(first.get(g, i), i)
     out = []
     for i, t in rows:
-        w = words(t)
-        out.append({p for k in range(len(w) - length + 1) if first[tuple(w[k : k + length])] < i for p in range(k, k + length)})
+        w, own, gone = words(t), {}, set()
+        for k in range(len(w) - length + 1):
+            g = tuple(w[k : k + length])
+            if first[g] < i or own.setdefault(g, k) <= k - length:
+                gone.update(range(k, k + length))
+        out.append(gone)
     return out

@@ -11,8 +11,8 @@ import pytest
 from conftest_llm import components, contaminated, prose, repeated, shingles, words
 from pyspark.sql import functions as F
 
-from inkmesh.llm import decontaminate, lm, neardup, packing, quality, suffix
-from inkmesh.llm.wordhash import WordHashes, hash_distinct, shingle_set, split_words
+from inkmesh.llm import common, decontaminate, lm, neardup, packing, quality, suffix
+from inkmesh.llm.wordhash import hash_distinct, shingle_sets, split_words
 
 ITEM = "item_id bigint, text string"
 
@@ -47,8 +47,9 @@ def near_texts(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_near_duplicates_against_all_pairs(docs_of, seed):
+@pytest.mark.parametrize(("seed", "piece"), [(0, common.PIECE), (1, 3), (2, 1)])
+def test_near_duplicates_against_all_pairs(docs_of, monkeypatch, seed, piece):
+    monkeypatch.setattr(common, "PIECE", piece)
     texts = near_texts(seed)
     docs = docs_of(texts).withColumns({c: F.lit("x") for c in ("node", "key", "component_id", "row")})
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(docs).collect()}
@@ -67,15 +68,32 @@ def test_near_duplicates_of_odd_ids(docs_of, rng):
 
 
 def test_signatures_agree_as_often_as_sets_do():
-    r, cache, order = random.Random(3), WordHashes(), neardup.donors()
+    r, order = random.Random(3), neardup.donors()
     for n in (8, 40, 400):
         base = prose(r, n + 4, 10**6)
         other = edited(r, base, max(1, n // 40))
-        a, b = shingle_set(base.encode(), cache), shingle_set(other.encode(), cache)
+        a, b = shingle_sets(pa.array([base, other]))
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        agree = (neardup.signature(a, order) == neardup.signature(b, order)).mean()
-        assert abs(agree - true) < 0.35
-        assert (neardup.signature(a, order) == neardup.signature(a, order)).all()
+        both = neardup.signatures([a, b], order)
+        assert abs((both[0] == both[1]).mean() - true) < 0.35
+        assert (neardup.signatures([b], order)[0] == both[1]).all()
+
+
+def test_signatures_by_the_plain_rule(rng):
+    order, sets = neardup.donors(), shingle_sets(pa.array(["one", prose(rng, 30), prose(rng, 300), prose(rng, 3000)]))
+    for own, got in zip(sets, neardup.signatures(sets, order), strict=True):
+        least = {}
+        for v in own.tolist():
+            least[v >> 57] = min(least.get(v >> 57, v), v)
+        want = [least[b] if b in least else next((least[x] for x in order[b].tolist() if x in least), None) for b in range(neardup.BINS)]
+        assert [g for g, w in zip(got.tolist(), want, strict=True) if w is not None] == [w for w in want if w is not None]
+
+
+def test_shingle_sets_by_the_plain_rule(rng):
+    texts = [None, "", " ", "one", "a b c d", "A b  c d e", "a a a a a a a", prose(rng, 50)]
+    sets = shingle_sets(pa.array(texts))
+    assert [len(s) for s in sets] == [len(shingles(t)) for t in texts] and all((np.diff(s.astype(object)) > 0).all() for s in sets)
+    assert shingle_sets(pa.array(texts[4:5]))[0].tolist() == sets[4].tolist()
 
 
 # --- repeated passages ---------------------------------------------------------------------
@@ -102,12 +120,13 @@ def passage_rows(seed):
 @pytest.mark.parametrize("seed", range(2))
 def test_passages_against_all_runs(docs_of, monkeypatch, seed, heap):
     monkeypatch.setattr(suffix, "HEAP", heap)
+    monkeypatch.setattr(common, "PIECE", heap)
     rows = passage_rows(seed)
     docs = docs_of([t for _, t in rows], [i for i, _ in rows])
     got = {}
     for r in suffix.spans(docs).select("key.id", "spans").collect():
         for s in r.spans:
-            assert s.n_words >= suffix.LENGTH and s.first_id < r.id
+            assert s.n_words >= suffix.LENGTH and s.first_id <= r.id
             got.setdefault(r.id, []).append(set(range(s.start, s.start + s.n_words)))
     got = sorted((i, sorted(frozenset().union(*v))) for i, v in got.items() if i != 10)
     want = sorted((i, sorted(w)) for (i, _), w in zip(rows, repeated(rows), strict=True) if w and i != 10)
