@@ -44,13 +44,13 @@ from inkmesh.llm.common import durable, table
 from inkmesh.llm.wordhash import frugal, hash_distinct, split_words
 
 HEAD, TAIL = 1 << 16, 1 << 16
-SIDE, WIDTH, HIDDEN = 2, 16, 16
+SIDE, WIDTH, HIDDEN = 2, 16, 15
 #: Words drawn against a word in training, and for the mean over others in scoring.
 DRAWN, SEEN = 128, 256
 SHARD, MOST_SHARDS = 1 << 22, 1 << 13
 BATCH, POOL, STEP = 8192, 1 << 18, 0.05
 #: Rows of a table that are averaged at a time, and how often a task meets a row before it goes to other shards.
-BLOCK, TWINS = 2048, 16
+BLOCK, TWINS = 512, 16
 
 
 # --- words ---------------------------------------------------------------------------------
@@ -183,20 +183,33 @@ class Net:
 
     def log_probs(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log-probability of each word; ``around``: (n, 2 SIDE) context words. The mean over others is that over ``SEEN`` drawn words."""
-        hidden = self.hidden(self.embed[around].reshape(len(around), -1))
+        hidden = self.hidden(self.embed.take(around, axis=0).reshape(len(around), -1))
         drawn, times = self.others(SEEN)
-        rest = np.exp(hidden @ self.out[drawn].T)
+        rest = weighed(hidden, self.out[drawn], times)
         place = np.searchsorted(drawn, word)
         own = np.flatnonzero(drawn[np.minimum(place, len(drawn) - 1)] == word)
         rest[own, place[own]] = 0  # a word is not among the others
         n = np.full(len(word), times.sum())
         n[own] -= times[place[own]]
         share = self.share[word]
-        score = np.einsum("ij,ij->i", hidden, self.out[word]).astype(np.float64)
-        mean = np.where(n > 0, rest @ times.astype(np.float32) / np.maximum(n, 1), 1)
+        score = np.einsum("ij,ij->i", hidden, self.out.take(word, axis=0)).astype(np.float64)
+        mean = np.where(n > 0, rest.sum(1) / np.maximum(n, 1), 1)
         return -np.log1p((1 - share) / share * mean * np.exp(-score))
 
 
+def weighed(hidden: np.ndarray, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """exp(score) of each drawn word in each window, as often as it is drawn."""
+    rows = rows.copy()
+    rows[:, HIDDEN] += np.log(times)
+    out = hidden @ rows.T
+    return np.exp(out, out=out)
+
+
+def summed(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of stretches of rows, which have an even number of columns: two are added at a time, as one complex number."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+
+
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of equal keys side by side, the distinct keys, and where each begins in that order."""
     both = np.sort(keys.astype(np.int64) << 32 | np.arange(len(keys)))
@@ -217,36 +230,37 @@ class Trainer:
         """Up the gradient of the log-likelihood at ``rows`` of table k, met ``n`` times."""
         square = self.square[k][rows] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
         self.square[k][rows] = square
-        self.net.tables()[k][rows] += grad * (np.float32(STEP) / np.sqrt(square + np.float32(1e-12)))[:, None]
+        grad *= (np.float32(STEP) / np.sqrt(square + np.float32(1e-12)))[:, None]
+        self.net.tables()[k][rows] += grad
         self.met[k][rows] += n
 
     def take(self, around: np.ndarray, word: np.ndarray) -> None:
         """One step: each word against ``DRAWN`` words from the counted mass, which all windows share."""
         net, n = self.net, len(word)
         order, words, first = groups(word)
-        around, many = around[order], np.diff(first, append=n)
-        x = net.embed[around].reshape(n, -1)
+        around, many = around.take(order, axis=0), np.diff(first, append=n)
+        x = net.embed.take(around, axis=0).reshape(n, -1)
         hidden = net.hidden(x)
-        own = np.repeat(net.out[words], many, axis=0)
+        own = np.repeat(net.out.take(words, axis=0), many, axis=0)
         drawn, times = net.others(DRAWN, self.rng.random())
         table = net.out[drawn]
         score = np.exp(np.einsum("ij,ij->i", hidden, own))
-        rest = np.exp(hidden @ table.T) * times.astype(np.float32)
+        rest = weighed(hidden, table, times)
         both, at, there = np.intersect1d(words, drawn, assume_unique=True, return_indices=True)
         for i, j in zip(at.tolist(), there.tolist(), strict=True):
             rest[first[i] : first[i] + many[i], j] = 0  # a word is not drawn against itself
         total = score + rest.sum(1)
         miss = ((total - score) / total)[:, None]
-        rest /= -total[:, None]
+        rest *= (-1 / total)[:, None]
         own *= miss
         own += rest @ table
         back = own[:, :HIDDEN] * (1 - hidden[:, :HIDDEN] ** 2)
-        self._step(1, words, np.add.reduceat(hidden * miss, first, axis=0), many)
+        self._step(1, words, summed(hidden * miss, first), many)
         self._step(1, drawn, rest.T @ hidden, times)
         dx = (back @ net.dense[:-1].T).reshape(-1, WIDTH)
         self._step(2, slice(None), np.concatenate([x.T @ back, back.sum(0)[None]]), n)
         order, words, first = groups(around.ravel())
-        self._step(0, words, np.add.reduceat(dx[order], first, axis=0), np.diff(first, append=len(order)))
+        self._step(0, words, summed(dx.take(order, axis=0), first), np.diff(first, append=len(order)))
 
 
 def windows(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
