@@ -74,23 +74,23 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimisers' grams of each text, and the starts of its runs that it has before, clear of them."""
+    """Minimisers' grams of each text, at how many places each is, and the starts of its runs that it has before, clear of them."""
     for batch in batches:
         distinct, places, counts = split_words(batch.column(1))
         hashes = hash_distinct(distinct)[places]
-        found, again, end = [], [], 0
+        found, sizes, again, end = [], [], [], 0
         for n in counts.tolist():
             end += n
             grams = np.sort(minimisers(hashes[end - n : end])[1])
-            new = np.diff(grams, prepend=~grams[:1]) != 0
-            found.append(grams[new])
-            again.append(repeats(places[end - n : end], hashes[end - n : end]) if not new.all() else np.empty(0, np.int32))
+            first = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
+            found.append(grams[first].view(np.int64))
+            sizes.append(np.diff(first, append=len(grams)).astype(np.int32))
+            again.append(repeats(places[end - n : end], hashes[end - n : end]) if len(first) < len(grams) else np.empty(0, np.int32))
         lists = []
-        for values, kind in ((found, np.uint64), (again, np.int32)):
+        for values, kind in ((found, np.int64), (sizes, np.int32), (again, np.int32)):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
-            values = np.concatenate([*values, np.empty(0, kind)])
-            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if kind is np.uint64 else values)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "grams", "again"])
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.empty(0, kind)]))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "grams", "sizes", "again"])
 
 
 def repeats(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -151,10 +151,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, words, heaps = key.as_py(), word_list(text.as_py().encode()), {w["gram"]: w["heaps"] for w in wanted.as_py()}
             places, grams, first, last = minimisers(hash_distinct(pa.array(words, pa.binary())))
             for p, gram, low, high in zip(places.tolist(), grams.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                if n := heaps.get(gram):
+                if n := heaps.get(gram):  # a text may hold a gram at very many places, so the place tells the heap too
                     right = b" ".join(words[p : high + LENGTH]) + b" "
                     left = b"".join([w + b" " for w in words[low:p][::-1]])
-                    out.append((gram, key["id"] % n, n > 1, right, key["id"], key["text"], p, p - high, p - low, left))
+                    out.append((gram, (key["id"] + p * 0x9E3779B1 >> 4) % n, n > 1, right, key["id"], key["text"], p, p - high, p - low, left))
                     size += len(right) + len(left)
             if size > 8_000_000:
                 yield _batch(out, _SUFFIX)
@@ -302,9 +302,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ``first_id`` is the least id that has the first run of the span.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).cast("string").alias("body"))
-    places = durable(rows.mapInArrow(frugal(_grams), f"key {KEY}, grams array<bigint>, again array<int>").where(F.size("grams") > 0), 4000)
-    each = places.select("key", F.explode("grams").alias("gram"))
-    several = each.groupBy("gram").agg(F.min("key.id").alias("first"), F.max("key.id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    places = durable(rows.mapInArrow(frugal(_grams), f"key {KEY}, grams array<bigint>, sizes array<int>, again array<int>").where(F.size("grams") > 0), 4000)
+    each = places.select("key", F.explode(F.arrays_zip("grams", "sizes")).alias("g")).select("key", F.col("g.grams").alias("gram"), F.col("g.sizes").alias("size"))
+    several = each.groupBy("gram").agg(F.min("key.id").alias("first"), F.max("key.id").alias("last"), F.sum("size").alias("n")).where("first < last")
     several = durable(several.select("gram", "n"))
     total = several.agg(F.sum("n")).first()[0] or 0
     share = max(HEAP, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
