@@ -5,16 +5,18 @@ whole document, if that is shorter). Documents and items are lower-cased (A-Z)
 and split at ASCII white space; shingles are runs of five words, or the whole
 item if that has fewer. Steps:
 
-1. Shingles that a document has in common with an item (anchors) are found by an
-   equi-join. Windows without one cannot reach the threshold and are never made.
-   A window that begins at an anchor holds as many anchors as any other, so
-   windows are made there (moved left at the end of the text), and only where
-   enough anchors lie inside to reach the threshold.
+1. Anchors. A window can only reach the threshold if it holds one of the item's rarest
+   shingles (as many as the threshold allows to lack, and one), so an equi-join on these
+   finds the items that a text may hold; a shingle that many items share brings none in.
+   For those pairs all common shingles (anchors) are placed in the text. A window that
+   begins at an anchor holds as many anchors as any other, so windows are made there
+   (moved left at the end of the text), and only where the anchor that completes the
+   number needed still lies inside: one look for each anchor, whatever the text's length.
 2. Each window and item has a 64-bit SimHash of its shingles, weighted by how
    often they occur. The 64 bits are cut into ``RADIUS + 1`` blocks: two
    fingerprints within the radius agree in one block at least, so an equi-join by
-   item size, block and value finds all of them. A pair counts at the first block
-   in which it agrees, so none is emitted twice.
+   item, block and value finds all of them. A pair counts at the first block
+   in which it agrees, so none is emitted twice. Only ids and prints go through it.
 3. What lies within the radius is verified: weighted Jaccard similarity of the
    shingles themselves, as text, of 0.75 or more.
 
@@ -22,20 +24,24 @@ The radius is wide since windows of just that similarity differ by about 11 bits
 with a deviation of 3; 24 is over four deviations above.
 
 Defined results: null or empty texts and items hold nothing and match nothing.
-Rows are judged by their text, so repeated rows or ids are judged alike. Of equal
-matches the one of the least item id, then the first place, is reported. Empty
-tables give empty results or clean documents. Other columns are not read.
+Rows are judged by their text, so repeated rows or ids are judged alike. Items may
+share an id or have none. Of equal matches the one of the least item id, then the first
+place, is reported. A very long text is split into words in one task, and its windows
+are dealt out ``WINDOWS`` at a time. Empty tables give empty results or clean documents.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import SHINGLE, SIMILARITY_PERCENT, durable, few_or_shuffled, let, lower_ascii, table, words
 
 RADIUS = 24
 BITS = 64
+#: Windows that a task makes at a time.
+WINDOWS = 2000
 
 
 def blocks(radius: int = RADIUS, bits: int = BITS) -> list[tuple[int, int]]:
@@ -104,7 +110,12 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     def count(x: Column, s: Column) -> Column:
         return F.size(F.filter(x, lambda y: y == s))
 
-    shared = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
+    def alone(x: Column) -> Column:
+        return F.size(F.array_distinct(x)) == F.size(x)
+
+    # where one side has no shingle twice, each common one is shared once
+    some = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
+    shared = F.when(alone(a) | alone(b), F.size(F.array_intersect(a, b))).otherwise(some)
     return let(shared, lambda k: F.struct(k.alias("shared"), (F.size(a) + F.size(b) - k).alias("total")))
 
 
@@ -113,70 +124,87 @@ def _value(fingerprint: Column, start: int, width: int) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, item_words, size, k, item_shingles`` of the items that have words."""
+    """``item, item_id, size, k, item_shingles, grams`` of the items that have words. An item is its id and text: ids may repeat or be missing."""
     w = benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("item_words")).where(F.size("item_words") > 0)
     k = F.least(F.size("item_words"), F.lit(SHINGLE))
-    return w.select("item_id", "item_words", F.size("item_words").alias("size"), k.alias("k"), grams(F.col("item_words"), k).alias("item_shingles"))
+    hashed = F.coalesce(*[F.when(F.col("k") == j, hashed_grams(F.col("item_words"), j)) for j in range(1, SHINGLE + 1)])
+    w = w.select("item_id", "item_words", F.size("item_words").alias("size"), k.alias("k"))
+    return w.select(F.xxhash64("item_id", F.array_join("item_words", " ")).alias("item"), "item_id", "size", "k", grams(F.col("item_words"), F.col("k")).alias("item_shingles"), hashed.alias("grams")).dropDuplicates(["item"])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Windows that verify: ``key, item_id, start, shared, total``; ``key`` is :func:`row_key`."""
-    items = benchmark_items(benchmark)
-    gram_sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # five numbers at most
-    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    found = None
-    for k in gram_sizes:
-        one = _matches_of(texts, items.where(F.col("k") == k), k, radius)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "key struct<id: bigint, text: bigint>, item_id bigint, start int, shared int, total int")
-    return found
+def rare_grams(items: DataFrame) -> DataFrame:
+    """``item, gram``: of each item's grams, from rare to common, as many as a match may lack and one."""
+    each = items.select("item", F.size("grams").alias("n"), F.explode("grams").alias("gram")).groupBy("item", "gram", "n").agg(F.count(F.lit(1)).alias("times"))
+    common = each.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
+    order = Window.partitionBy("item").orderBy("holders", "gram").rowsBetween(Window.unboundedPreceding, -1)  # one item's grams
+    before = each.join(common, "gram").withColumn("before", F.coalesce(F.sum("times").over(order), F.lit(0)))
+    return before.where(100 * F.col("before") <= (100 - SIMILARITY_PERCENT) * F.col("n")).select("item", "gram")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
 
 
-def _matches_of(texts: DataFrame, items: DataFrame, k: int, radius: int) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Windows that verify: ``key, item_id, start, shared, total``; ``key`` is :func:`row_key`."""
+    items = durable(benchmark_items(benchmark))
+    sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # five numbers at most
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    split = words(lower_ascii(F.col("text")))
+
     # 1. anchors. The shingle's hash joins; step 3 compares the words themselves.
-    # An item is its id and text: ids may repeat or be missing.
-    item_grams = items.select(F.xxhash64("item_id", F.array_join("item_words", " ")).alias("item"), "size", F.explode(F.array_distinct(hashed_grams(F.col("item_words"), k))).alias("gram"))
-    split = texts.select("key.id", F.col("key.text").alias("hash"), words(lower_ascii(F.col("text"))).alias("words"))
-    # two plain columns and positions: nothing is built for a place but its hash
-    probes = split.select("id", "hash", F.size("words").alias("n_words"), F.posexplode(hashed_grams(F.col("words"), k)).alias("at", "gram"))
-    anchors = probes.join(item_grams, "gram").select(F.struct("id", F.col("hash").alias("text")).alias("key"), "n_words", "item", "size", "at")
+    def probes(word_array: Column) -> Column:
+        return F.concat(F.array().cast("array<bigint>"), *[hashed_grams(word_array, k) for k in sizes])
+
+    rare = durable(rare_grams(items))
+    each = texts.select("key.id", F.col("key.text").alias("hash"), split.alias("words")).select("id", "hash", F.explode(probes(F.col("words"))).alias("gram"))
+    found = each.join(few_or_shuffled(rare, rare.count()), "gram").select(F.struct("id", F.col("hash").alias("text")).alias("key"), "item").distinct()
+    found = durable(found)
+    per_text = few_or_shuffled(found.groupBy("key").agg(F.collect_set("item").alias("items")), found.count())
+    chosen = durable(texts.join(per_text, "key").dropDuplicates(["key"]).select("key", "items", split.alias("words")).where(F.size("words") > 0))
+    n_items = items.count()
+    facts = few_or_shuffled(items.select("item", "size", "k"), n_items)
+    placed = chosen.select("key", "words", F.explode("items").alias("item")).join(facts, "item")
+    hashed = F.coalesce(*[F.when(F.col("k") == k, hashed_grams(F.col("words"), k)) for k in sizes or [SHINGLE]])
+    placed = placed.select("key", "item", "size", "k", F.size("words").alias("n_words"), F.posexplode(hashed).alias("at", "gram"))
+    item_grams = items.select("item", F.explode(F.array_distinct("grams")).alias("gram"))
+    n_shingles = item_grams.count()
     # A group is the anchors of one item in one text, so no more than the words of that text.
-    grouped = anchors.groupBy("key", "item", "size").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("at")).alias("ats"))
+    grouped = placed.join(few_or_shuffled(item_grams, n_shingles), ["item", "gram"]).groupBy("key", "item", "size", "k").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_list("at")).alias("ats"))
     last = F.greatest(F.col("n_words") - F.col("size"), F.lit(0))
-    length = F.least("n_words", "size")
+    n_grams = F.least("n_words", "size") - F.col("k") + 1
     # shared >= 0.75 / 1.75 of both sizes together is needed for a similarity of 0.75
-    both = (length - k + 1) + (F.col("size") - k + 1)
-    need = F.ceil(both * F.lit(SIMILARITY_PERCENT) / F.lit(100 + SIMILARITY_PERCENT))
-    starts = F.array_distinct(F.transform("ats", lambda a: F.least(a, last)))
-    n_grams = length - k + 1
-    counted = F.transform(starts, lambda s: F.struct(s.alias("start"), F.size(F.filter("ats", lambda a: (a >= s) & (a < s + n_grams))).alias("n")))
-    windows = grouped.select("key", "size", F.explode(F.filter(counted, lambda c: c["n"] >= need)).alias("c")).select("key", "size", F.col("c.start").alias("start")).distinct()
-    # the words of those texts alone: where they are many, the join moves the raw text, which is split behind it
-    windows = durable(windows)
-    per_text = few_or_shuffled(windows.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("ws")), windows.count())
-    chosen = texts.join(per_text, "key").dropDuplicates(["key"]).select("key", "ws", words(lower_ascii(F.col("text"))).alias("words"))
-    slices = let(F.col("words"), lambda all_words: F.transform("ws", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice(all_words, w["start"] + 1, w["size"]).alias("words"))))
-    cut = chosen.select("key", F.explode(slices).alias("w"))
-    cut = cut.select("key", F.col("w.start").alias("start"), F.col("w.size").alias("size"), grams(F.col("w.words"), k).alias("shingles")).where(F.size("shingles") > 0)
+    need = F.ceil((n_grams + F.col("size") - F.col("k") + 1) * F.lit(SIMILARITY_PERCENT) / F.lit(100 + SIMILARITY_PERCENT)).cast("int")
+    enough = grouped.select("key", "item", "size", "k", "ats", last.alias("last"), n_grams.alias("n_grams"), need.alias("need"))
+    full = F.transform("ats", lambda a, i: F.when(F.get("ats", i + F.col("need") - 1) < F.least(a, F.col("last")) + F.col("n_grams"), F.least(a, F.col("last"))))
+    windows = durable(enough.select("key", "item", "size", "k", F.array_distinct(F.array_compact(full)).alias("starts")).where(F.size("starts") > 0))
     # 2. fingerprints within the radius, by multi-index blocks
+    at_once = F.transform(F.sequence(F.lit(0), F.floor((F.size("starts") - 1) / WINDOWS)), lambda j: F.slice("starts", (j * WINDOWS + 1).cast("int"), F.lit(WINDOWS)))
+    heaps = windows.select("key", "item", "size", "k", F.explode(at_once).alias("starts"))
+    tasks = (windows.agg(F.sum(F.size("starts"))).first()[0] or 0) // WINDOWS + 1
+
+    def slices(pairs: DataFrame) -> DataFrame:
+        """The shingles of the windows at ``starts``; windows are dealt out by number, as texts differ in it."""
+        cut = pairs.join(chosen.select("key", "words"), "key").repartition(tasks, "key", "item", F.get("starts", F.lit(0)))
+        run = let(F.col("words"), lambda all_words: F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice(all_words, s + 1, F.col("size")).alias("words"))))
+        return cut.select("key", "item", "k", F.explode(run).alias("w")).select("key", "item", F.col("w.start").alias("start"), grams(F.col("w.words"), F.col("k")).alias("shingles"))
+
     cut_blocks = blocks(radius)
 
     def indexed(df: DataFrame, name: str) -> DataFrame:
         index = F.array(*[F.struct(F.lit(j).alias("block"), _value(F.col(name), s, w).alias("value")) for j, (s, w) in enumerate(cut_blocks)])
         return df.withColumn("b", F.explode(index)).select("*", "b.block", "b.value").drop("b")
 
-    left = indexed(cut.withColumn("print", simhash(F.col("shingles"))), "print")
-    right = indexed(items.select("item_id", "size", "item_shingles", simhash(F.col("item_shingles")).alias("item_print")), "item_print")
+    left = indexed(durable(slices(heaps).select("key", "item", "start", simhash(F.col("shingles")).alias("print"))), "print")
+    right = indexed(items.select("item", simhash(F.col("item_shingles")).alias("item_print")), "item_print")
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     first = F.coalesce(*[F.when(_value(apart, s, w) == 0, F.lit(j)) for j, (s, w) in enumerate(cut_blocks)])
-    near = left.join(right, ["size", "block", "value"]).where((F.bit_count(apart) <= radius) & (first == F.col("block")))
+    near = left.join(few_or_shuffled(right, n_items * len(cut_blocks)), ["item", "block", "value"]).where((F.bit_count(apart) <= radius) & (first == F.col("block")))
     # 3. the shingles themselves
-    return near.select("key", "item_id", "start", weighted_similarity(F.col("shingles"), F.col("item_shingles")).alias("s")).select("key", "item_id", "start", "s.shared", "s.total").where(F.col("shared") * 100 >= F.col("total") * SIMILARITY_PERCENT)
+    starts = near.groupBy("key", "item", F.floor(F.col("start") / WINDOWS).alias("heap")).agg(F.sort_array(F.collect_list("start")).alias("starts")).drop("heap")
+    own = slices(starts.join(facts, "item")).join(few_or_shuffled(items.select("item", "item_id", "item_shingles"), n_shingles), "item")
+    both = own.select("key", "item_id", "start", weighted_similarity(F.col("shingles"), F.col("item_shingles")).alias("s"))
+    return both.select("key", "item_id", "start", "s.shared", "s.total").where(F.col("shared") * 100 >= F.col("total") * SIMILARITY_PERCENT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

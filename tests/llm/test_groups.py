@@ -186,6 +186,18 @@ def test_items_of_one_id_are_each_found(spark, docs_of, item_id):
     assert decontaminate.clean(docs, bench).count() == 0 and {200, 220, 280} <= found
 
 
+def test_items_of_one_template_and_equal_words(spark, docs_of):
+    r = random.Random(8)
+    template = "answer the question below with one of the four letters"
+    items = [(i, f"{template} {prose(r, n, 300)}") for i, n in enumerate((5, 10, 20, 30, 30))] + [(9, "z " * 40)]
+    texts = [template, f"{template} {prose(r, 40, 300)}", *[f"{prose(r, 9, 300)} {t} {template}" for _, t in items[:5]], "z " * 3000, "z " * 30, f"{prose(r, 20, 300)} {'z ' * 39}"]
+    want = {(i, x) for i, t in enumerate(texts) for x in contaminated(t, items)}
+    bench = spark.createDataFrame(items, ITEM)
+    assert {(x.id, x.item_id) for x in decontaminate.contaminated(docs_of(texts), bench).select("key.id", "item_id").collect()} == want
+    rare = decontaminate.rare_grams(decontaminate.benchmark_items(bench)).groupBy("gram").count()
+    assert rare.agg(F.max("count")).first()[0] < 5  # what all share brings no item in
+
+
 def test_blocks_find_all_within_the_radius(spark):
     r = random.Random(1)
     cut = decontaminate.blocks()
