@@ -174,6 +174,7 @@ def test_derivatives_are_linked_and_readable(spark, tmp_path):
         back = list(warc.parse_warc(io.BufferedReader(io.BytesIO((tmp_path / name).read_bytes()))))
         assert len(back) == 12 and {b[1] for b in back} == ids | {r.record_id for r in by.values()}
     again = warc.read_warc(spark, str(tmp_path / "a.warc"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, warc.read_warc(spark, str(tmp_path / "b.warc.gz"), stream=False).collect()))
     assert sorted(bytes(r.block) for r in again.where("type <> 'response'").collect()) == sorted(bytes(r.block) for r in by.values())
     assert warc.derive(again).count() == 8
     odd = warc.derive(again.withColumns({"text": F.lit("x"), "title": F.lit("y"), "r": F.lit(1), "kept": F.lit(2)}))
@@ -181,6 +182,45 @@ def test_derivatives_are_linked_and_readable(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def chunked(raw, size=7):
+    return b"".join(b"%x;x=1\r\n%s\r\n" % (len(raw[i : i + size]), raw[i : i + size]) for i in range(0, len(raw), size)) + b"0\r\n\r\n"
+
+
+def test_bodies_by_charset_and_coding(spark):
+    import gzip
+    import zlib
+
+    page = "<p>caf\u00e9 \u2019x\u2019</p>"
+    utf, win = page.encode(), page.encode("cp1252")
+    deflate = zlib.compressobj(wbits=-15)
+    raw = deflate.compress(utf) + deflate.flush()
+    own = "caf\u00e9 \u2019x\u2019"
+    cases = [
+        (b"Content-Type: text/html; charset=ISO-8859-1", win, own), (b"content-type: text/html;charset='windows-1252'", win, own), (b"Content-Type: text/html; charset=nonsense", utf, own),
+        (b"Content-Type: text/html", b"a\xffb\xc3", "a\ufffdb\ufffd"), (b"Content-Encoding: gzip", gzip.compress(utf), own), (b"Content-Encoding: gzip", gzip.compress(utf * 500)[:60], None),
+        (b"Content-Encoding: deflate", zlib.compress(utf), own), (b"Content-Encoding: deflate", raw, own), (b"Transfer-Encoding: chunked", chunked(utf), own), (b"Transfer-Encoding: chunked", utf, own),
+        (b"transfer-encoding: chunked\r\nContent-Encoding: gzip\r\nContent-Type: text/html; charset=latin1", chunked(gzip.compress(win)), own), (b"Content-Encoding: br", b"\x8b\x02", ""), (b"Content-Encoding: gzip", b"no gzip", ""),
+        (b"X: y", b"", ""),
+    ]
+    rows = [("response", f"<{i}>", "u", "d", [("WARC-Payload-Digest", "p")], b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body, i) for i, (head, body, _) in enumerate(cases)]
+    rows += [("response", "<98>", "u", "d", [], b"no empty line \xe9", 98), ("response", "<99>", "u", "d", [], b"", 99), ("response", None, None, None, None, None, 97), ("request", "<96>", "u", "d", [], b"x", 96)]
+    records = spark.createDataFrame(rows, warc.RECORD + ", http_head int")
+    made = warc.derive(records).collect()
+    got = {r.http_head: bytes(r.block).decode() for r in made if r.type == "conversion" and r.block is not None}
+    assert {i: got[i] for i, c in enumerate(cases) if c[2] is not None} == {i: c[2] for i, c in enumerate(cases) if c[2] is not None}
+    assert got[98] == "no empty line \ufffd" and got[99] == "" and 96 not in got and len(made) == 2 * (len(cases) + 3)
+    assert all(warc_header(r, "WARC-Source-Payload-Digest") == "p" for r in made if r.http_head < 90)
+
+
+def test_character_references(spark):
+    import html as standard
+
+    texts = ["&#8217;x &eacute;", "&amp;copy; &copy", "&#x1F600;&#X41;&#65;", "&nosuch; &;&#; & &&amp;", "&#xD800;&#0;&#99999999;", "&#150;&apos;&quot;&hellip;", "a&lt;b&gt;", "", None, "&amp;" * 2000]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(warc.unescaped(F.col("t")).alias("t")).collect()]
+    assert got[4] == "\ufffd" * 3 and got[1] == "&copy; &copy" and got[8] is None
+    assert [g for k, g in enumerate(got) if k not in (1, 4, 8)] == [standard.unescape(t) for k, t in enumerate(texts) if k not in (1, 4, 8)]
+
+
 def warc_header(r, name):
     return next((h["value"] for h in r.headers if h["name"] == name), None)
 
