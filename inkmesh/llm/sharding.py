@@ -4,7 +4,7 @@ A record's id hashes it into one of ``SLOTS`` virtual slots. Bytes are summed pe
 slot, and a slot map says which shard holds each slot. Maps are versioned: version
 1 deals the slots out in turn, and each rebalancing makes the next version by an
 edit that moves or swaps few slots until the shards' bytes are near equal. Stored
-maps keep all versions, so a reader may pin one.
+maps keep all versions, each written once, so a reader may pin one.
 
 The law is ``bytes``: shards have near equal sizes. Only the per-slot sums, a fixed
 number of rows, come to the driver.
@@ -13,19 +13,26 @@ Rows of a shard are numbered without gaps: within each slot and one of ``PARTS``
 of it by id, with offsets from the counts per slot and part. No task ever holds a
 whole shard, and the texts are not shuffled.
 
+An id that very many rows repeat (or few long ones), more than a slot can hold of a
+balanced shard, is found from its slot's bytes; its rows go to all slots in turn. All other
+rows of one id share its slot.
+
 Defined results: a null text has no bytes (size 8, checksum 0); a null id is a value
-like any other. Rows that repeat an id share its slot. An empty table gives none.
+like any other. Ties (equal id, checksum and size) are numbered in any order, as such
+rows are equal. Of very long texts only size and checksum are kept. Other columns are
+not read, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import table
+from inkmesh.llm.common import shared_folder, table
 
 SLOTS, PARTS, SHARDS, OVERHEAD = 4096, 16, 24, 8
 
@@ -79,32 +86,47 @@ class SlotMap:
         return SlotMap(self.version + 1, n, tuple(int(x) for x in shard))
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, self.n_shards, s, x) for s, x in enumerate(self.shards)], "version int, n_shards int, vslot int, shard int")
+        n = len(self.shards)
+        return spark.createDataFrame([(self.version, self.n_shards, n, s, x) for s, x in enumerate(self.shards)], "version int, n_shards int, n_slots int, vslot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the stored maps under ``path``."""
-        self.rows(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Adds this version to the stored maps under ``path``; a version that is there already is an error."""
+        self.rows(spark).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """A stored version, by default the latest."""
+        """A stored version, by default the latest. One that does not have each of its slots once is an error."""
         maps = spark.read.parquet(path)
         version = version or maps.agg(F.max("version")).first()[0]
-        rows = maps.where(F.col("version") == version).select("vslot", "shard", "n_shards").collect()  # one row for each slot
-        return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in sorted(rows)))
+        rows = sorted(maps.where(F.col("version") == version).select("vslot", "shard", "n_shards", "n_slots").collect())  # one row for each slot
+        if not rows or [r.vslot for r in rows] != list(range(rows[0].n_slots)) or len({r.n_shards for r in rows}) > 1 or not all(0 <= r.shard < r.n_shards for r in rows):
+            raise ValueError(f"slot map version {version} under {path} is not whole")
+        return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in rows))
 
 
-def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, vslot, part`` of each row."""
+def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS, hot: tuple = ()) -> DataFrame:
+    """``doc_id, size, text_crc32, vslot, part`` of each row; the rows of ``hot`` ids are dealt out in turn."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     h = F.xxhash64(F.col(id_col))
+    if hot:
+        own = F.coalesce(F.col(id_col).isin(*[i for i in hot if i is not None]), F.lit(None in hot)) if set(hot) - {None} else F.col(id_col).isNull()
+        h = F.when(own, F.xxhash64(F.monotonically_increasing_id())).otherwise(h)  # the place in the files, the same in each pass
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(h, F.lit(n_slots)).cast("int").alias("vslot"),
-        F.pmod(F.floor(h / n_slots), F.lit(PARTS)).cast("int").alias("part"),
-    )
+        h.alias("h"),
+    ).select("doc_id", "size", "text_crc32", F.pmod("h", F.lit(n_slots)).cast("int").alias("vslot"), F.pmod(F.floor(F.col("h") / n_slots), F.lit(PARTS)).cast("int").alias("part"))
+
+
+def hot_ids(rows: DataFrame, slot_bytes: np.ndarray, n_shards: int = SHARDS) -> tuple:
+    """Ids that alone hold more than a quarter of a shard's bytes: ``4 n_shards`` at most, looked for in slots that are so heavy."""
+    most = int(slot_bytes.sum()) // (4 * n_shards)
+    heavy = np.flatnonzero(slot_bytes > most).tolist()
+    if not heavy:
+        return ()
+    sizes = rows.where(F.col("vslot").isin(*heavy)).groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    return tuple(r.doc_id for r in sizes.where((F.col("size") > most) & (F.col("n") > 1)).select("doc_id").collect())
 
 
 def slot_sums(rows: DataFrame, n_slots: int = SLOTS) -> tuple[np.ndarray, dict[tuple[int, int], int]]:
@@ -131,7 +153,15 @@ def assign(rows: DataFrame, slot_map: SlotMap, counts: dict[tuple[int, int], int
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    rows = records(docs)
     size, counts = slot_sums(rows)
-    slot_map = SlotMap.first(SHARDS).rebalanced(size)
+    if hot := hot_ids(rows, size):
+        rows = records(docs, hot=hot)
+        size, counts = slot_sums(rows)
+    maps = f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}"
+    start = SlotMap.first(SHARDS)
+    for version in (start, start.rebalanced(size)):
+        version.save(spark, maps)
+    slot_map = SlotMap.load(spark, maps)
     return assign(rows, slot_map, counts).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(slot_map.version).alias("map_version"))

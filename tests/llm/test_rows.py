@@ -260,6 +260,61 @@ def test_maps_are_versioned_and_edits_are_few(spark, tmp_path, rng):
     assert sharding.SlotMap.load(spark, str(tmp_path / "maps")) == three and sharding.SlotMap.load(spark, str(tmp_path / "maps"), 2) == two
 
 
+    with pytest.raises(Exception, match="(?i)already.exists"):
+        two.save(spark, str(tmp_path / "maps"))
+    two.rows(spark).limit(500).drop("version").write.parquet(str(tmp_path / "maps" / "version=4"))
+    with pytest.raises(ValueError, match="not whole"):
+        sharding.SlotMap.load(spark, str(tmp_path / "maps"))
+
+
+def plainly_rebalanced(shards, sizes, n):
+    """All moves and swaps of the heaviest and the lightest shard are tried; the one nearest to half the gap is made."""
+    shards = list(shards)
+    while True:
+        weight = [sum(z for s, z in zip(shards, sizes, strict=True) if s == k) for k in range(n)]
+        high, low = weight.index(max(weight)), weight.index(min(weight))
+        gap, best = weight[high] - weight[low], None
+        for i in (i for i, s in enumerate(shards) if s == high):
+            for j in (None, *(j for j, s in enumerate(shards) if s == low)):
+                moved = sizes[i] - (sizes[j] if j is not None else 0)
+                if 0 < moved < gap and (best is None or abs(moved - gap / 2) < best[0]):
+                    best = abs(moved - gap / 2), i, j
+        if best is None:
+            return tuple(shards)
+        shards[best[1]] = low
+        if best[2] is not None:
+            shards[best[2]] = high
+
+
+def test_shards_by_the_plain_rule(docs_of, rng):
+    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(200)] + [None, "", "same", "same"]
+    docs = docs_of(texts, [*range(200), None, -5, 7, 7])
+    rows = sharding.records(docs, n_slots=40)
+    size, counts = sharding.slot_sums(rows, 40)
+    sizes = [int(z) * 1000 + k for k, z in enumerate(size)]  # no ties
+    m = sharding.SlotMap.first(4, 40).rebalanced(np.array(sizes))
+    assert m.shards == plainly_rebalanced(sharding.SlotMap.first(4, 40).shards, sizes, 4)
+    out, place = sharding.assign(rows, m, counts).collect(), Counter()
+    key = lambda r: (r.vslot, r.part, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"], r["slot"])
+    assert len(out) == len(texts)
+    for r in sorted(out, key=key):
+        assert r["shard"] == m.shards[r.vslot] and r["slot"] == place[r["shard"]]
+        place[r["shard"]] += 1
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_an_id_in_a_third_of_all_rows_is_dealt_out(spark, tmp_path, docs_of, rng, hot):
+    texts = [prose(rng, 30) for _ in range(600)]
+    docs_of(texts + ["the same"] * 300, [*range(600), *[hot] * 300]).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.op8_sharding(spark, str(tmp_path)).collect()
+    total = Counter()
+    for r in out:
+        total[r["shard"]] += r["size"]
+    assert len(out) == 900 and set(total) == set(range(24)) and max(total.values()) - min(total.values()) <= 0.05 * sum(total.values()) / 24
+    assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in range(24) for k in range(sum(r["shard"] == s for r in out))]
+    assert len({r["shard"] for r in out if r.doc_id == hot}) > 12
+
+
 def test_no_rows_to_shard(docs_of):
     rows = sharding.records(docs_of([]))
     size, counts = sharding.slot_sums(rows)
