@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import SIMILARITY_PERCENT, components, dealt_join, durable, table
-from inkmesh.llm.wordhash import frugal, mix, shingle_sets
+from inkmesh.llm.wordhash import frugal, mix, portions, shingle_sets
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -78,7 +78,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = donors()
-    for batch in batches:
+    for batch in portions(batches, 1):
         sets = shingle_sets(batch.column(1))
         n = np.array([len(s) for s in sets], np.int64)
         one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -91,7 +91,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of ``(doc_id, node, text)`` whose print is that of the node."""
-    for batch in batches:
+    for batch in portions(batches, 2):
         sets = shingle_sets(batch.column(2))
         own = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         right = np.flatnonzero(own == batch.column(1).field(1).to_numpy()).tolist()

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import dealt_join, durable, release, table
-from inkmesh.llm.wordhash import frugal, hash_distinct, mix, runs, split_words, word_list
+from inkmesh.llm.wordhash import frugal, hash_distinct, mix, portions, runs, split_words, word_list
 
 LENGTH, GRAM = 50, 8
 #: Suffixes of one gram that go to one task at least; beyond it, and an even share of all, they are dealt out by id.
@@ -75,7 +75,7 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Minimisers' grams of each text, at how many places each is, and the starts of its runs that it has before, clear of them."""
-    for batch in batches:
+    for batch in portions(batches, 1, 8e6):
         distinct, places, counts = split_words(batch.column(1))
         hashes = hash_distinct(distinct)[places]
         found, sizes, again, end = [], [], [], 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,14 @@ def frugal(batches_to_batches):  # noqa: ANN001, ANN201
     return run
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: int, most: float = 4e6) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, about ``most`` bytes of a column at a time: arrays by word are many times as large as the text."""
+    for batch in batches:
+        step = max(1, int(len(batch) * most / max(most, batch.column(column).nbytes)))
+        for i in range(0, len(batch), step):
+            yield batch.slice(i, step)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit over all."""
     x = (x ^ (x >> _S)) * _M1
