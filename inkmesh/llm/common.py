@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -44,7 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkmesh-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkmesh-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -99,15 +103,15 @@ def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
     return sizes.where(F.col("n") > piece).select(*on, F.ceil(F.col("n") / piece).cast("int").alias("heaps"))
 
 
-def dealt_join(rows: DataFrame, facts: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """``rows.join(facts, on)`` where ``facts`` has a row for each key: rows of a hot key are dealt out by ``by``, its fact is repeated for each heap."""
+def dealt_join(rows: DataFrame, facts: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows.join(facts, on, how)`` where ``facts`` has a row for each key: rows of a hot key are dealt out by ``by``, its fact is repeated for each heap."""
     hot = hot_keys(rows, on)
     if hot is None:
-        return rows.join(facts, on)
+        return rows.join(facts, on, how)
     hot = F.broadcast(hot)
     left = rows.join(hot, on, "left").withColumn("heap", F.coalesce(F.pmod(F.xxhash64(*by), F.col("heaps")), F.lit(0))).drop("heaps")
     right = facts.join(hot, on, "left").withColumn("heap", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("heaps"), F.lit(1)) - 1))).drop("heaps")
-    return left.join(right, [*on, "heap"]).drop("heap")
+    return left.join(right, [*on, "heap"], how).drop("heap")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

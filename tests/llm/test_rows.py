@@ -1,6 +1,9 @@
 """Operators that judge rows one by one: quality rules, chats, URLs, WARC, sharding, packing."""
 
 import io
+import itertools
+import math
+import random
 import zlib
 from collections import Counter
 
@@ -113,7 +116,7 @@ def test_mined_rules_against_a_count(spark, rng):
     rows = [(f"http://{s}/{i}?ref=x", s == sites[0] or rng.random() < 0.05) for i in range(400) for s in [rng.choice(sites)]]
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     found = urls.mine_rules(labelled).collect()
-    tokens = {u: set(t) for u, t in labelled.select("url", urls.tokens(F.col("url"), urls.MINED_PARTS)).distinct().collect()}
+    tokens = {u: set(t) for u, t in labelled.select("url", urls.tokens(F.col("url"))).distinct().collect()}
     assert {"h:spam", "p:buy"} in [set(r.items) for r in found]
     for r in found:
         hit = [bad for u, bad in rows if set(r.items) <= tokens[u]]
@@ -125,6 +128,31 @@ def test_mined_rules_against_a_count(spark, rng):
     assert got == {i: "block" if any(set(r.items) <= tokens[u] for r in found) else "allow" for i, u in pages.collect()}
 
 
+@pytest.mark.parametrize("wide", [0, urls.WIDE])
+def test_all_rules_over_the_thresholds_are_found(spark, wide):
+    """Every combination of tokens is counted; those as sure as none inside them are the rules, by FP-growth and level by level."""
+    r = random.Random(wide)
+    rows = []
+    for _ in range(500):
+        parts = [r.choice("abc"), r.choice("de"), r.choice(["f", "g", ""])]
+        bad = r.random() < (0.9 if {"a", "e"} <= set(parts) else 0.7 if "f" in parts and "b" in parts else 0.1)
+        rows.append((f"http://{parts[0]}.io/{parts[1]}?{parts[2]}=1", bad))
+    rows += [(None, True), ("no url", True), (None, None), ("http://a.io/d", None)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    found = {tuple(x.items): (x.confidence, x.support) for x in urls.mine_rules(labelled, wide=wide).collect()}
+    tokens = {x.url: x.t for x in labelled.select("url", urls.tokens(F.col("url")).alias("t")).distinct().collect()}
+    held, n = {}, 0
+    for url, bad in rows:
+        n += bool(bad or tokens[url])
+        for k in range(1, len(tokens[url]) + 1):
+            for own in itertools.combinations(tokens[url], k):
+                held.setdefault(own, []).append(bool(bad))
+    least = max(math.ceil(urls.MIN_SUPPORT * n), min(urls.MIN_ROWS, n), 1)
+    sure = {own: (sum(b) / len(b), sum(b) / n) for own, b in held.items() if sum(b) >= least and sum(b) / len(b) >= urls.MIN_CONFIDENCE}
+    want = {own: c for own, c in sure.items() if not any(set(x) < set(own) and y[0] >= c[0] for x, y in sure.items())}
+    assert set(found) == set(want) and len(want) > 2 and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_signs_deep_in_a_url_are_mined(spark):
     deep = ["http://x.a.b.c.d.io/1?ref=x", "http://a.io/1/b/c/d/e/x?ref=x", "http://a.io/1?k=1&l=2&m=3&n=4&x=5"]
     good = [u.replace("x.a", "a").replace("/x?", "?").replace("&x=5", "") for u in deep]
