@@ -130,19 +130,19 @@ def apply_policy(entries: DataFrame, policy: Policy, out: str = "kept") -> DataF
     return entries.withColumn(out, F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0)
 
 
-def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
-    """For each rule of the policy, and none: documents kept without that rule.
+def ablations(entries: DataFrame, *policies: Policy) -> DataFrame:
+    """For each rule of each policy, and none: documents kept without that rule.
 
     Columns: version, without (rule name; null: the whole policy), kept_docs,
     gained (kept only because the rule is left out), total. The ledger is first
     counted by bit pattern, at most 2 to the number of rules rows.
     """
     counts = entries.groupBy("failed_bits").agg(F.count(F.lit(1)).alias("n"))
-    masks = [(None, policy.mask), *((r, policy.mask & ~(1 << RULES[r][0])) for r in policy.rules)]
-    each = counts.select("*", F.explode(F.array(*[F.struct(F.lit(r).cast("string").alias("without"), F.lit(m).cast("long").alias("mask")) for r, m in masks])).alias("m")).select("failed_bits", "n", "m.*")
-    passes = F.col("failed_bits").bitwiseAND(F.col("mask")) == 0
-    whole = F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
-    return each.groupBy(F.lit(policy.version).alias("version"), "without").agg(
+    cases = [(p.version, r, p.mask & ~(1 << RULES[r][0]) if r else p.mask, p.mask) for p in policies for r in (None, *p.rules)]
+    case = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(r).cast("string").alias("without"), F.lit(m).cast("long").alias("mask"), F.lit(w).cast("long").alias("whole")) for v, r, m, w in cases]))
+    each = counts.select("failed_bits", "n", case.alias("c")).select("failed_bits", "n", "c.*")
+    passes, whole = (F.col("failed_bits").bitwiseAND(F.col(m)) == 0 for m in ("mask", "whole"))
+    return each.groupBy("version", "without").agg(
         F.sum(F.when(passes, F.col("n")).otherwise(0)).alias("kept_docs"),
         F.sum(F.when(passes & ~whole, F.col("n")).otherwise(0)).alias("gained"),
         F.sum("n").alias("total"),
@@ -164,7 +164,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP1_SQL = r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy keeps, and would keep without each of its rules."""
+    return ablations(ledger(table(spark, sf_dir, "documents")), *POLICIES.values())
+
+
+_LEDGER_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -189,8 +194,15 @@ b AS (
     + CASE WHEN 10 * n_upper > 3 * word_chars THEN 16 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 32 ELSE 0 END
     + CASE WHEN word_chars > 12 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+OP1_SQL = _LEDGER_SQL + r"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        (failed_bits = 0) AS kept, failed_bits, 2 AS policy_version
 FROM b
 """
+ABLATIONS_SQL = _LEDGER_SQL + f""", p(version, without, mask, whole) AS (
+  VALUES {", ".join(f"({p.version}, {f"'{r}'" if r else 'NULL::VARCHAR'}, {p.mask & ~(1 << RULES[r][0]) if r else p.mask}, {p.mask})" for p in POLICIES.values() for r in (None, *p.rules))})
+SELECT version, without, count(*) FILTER (failed_bits & mask = 0)::BIGINT AS kept_docs,
+       count(*) FILTER (failed_bits & mask = 0 AND failed_bits & whole <> 0)::BIGINT AS gained, count(*)::BIGINT AS total
+FROM b, p GROUP BY version, without
+"""
