@@ -9,6 +9,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
 try:
     import yaml
 except ImportError:  # pragma: no cover - an optional package
@@ -16,7 +20,8 @@ except ImportError:  # pragma: no cover - an optional package
 
 #: Fixed value: keys of a head in order; others follow by name.
 KEY_ORDER = ("kind", "ingested", "source-format", "origin-url", "derived-from", "source", "aliases", "summary", "updated", "question", "asked", "mode", "grounded", "missing")
-_HEAD = re.compile(r"\A---[ \t]*\r?\n")
+BOM = "\ufeff"
+_HEAD = re.compile(rf"\A{BOM}?---[ \t]*\r?\n")
 _CLOSE = re.compile(r"^---[ \t]*(?:\r?\n|\Z)", re.M)
 
 if yaml:
@@ -59,7 +64,7 @@ class Head:
 
 
 def parse(text: str) -> Head:
-    """``present``: a fence opens the text. ``mergeable``: it closes and holds a mapping, or nothing."""
+    """``present``: a fence opens the text, or follows its byte order mark. ``mergeable``: it closes and holds a mapping, or nothing."""
     opening = _HEAD.match(text)
     closing = _CLOSE.search(text, opening.end()) if opening else None
     if not closing:
@@ -97,7 +102,8 @@ def ensure(text: str, data: dict) -> str:
     """Adds the keys that are missing, in front; what is there keeps its bytes. A broken head stays as it is."""
     head = parse(text)
     if not head.present:
-        return f"---\n{added}---\n{text}" if (added := keys(data)) else text
+        mark, rest = (BOM, text[1:]) if text.startswith(BOM) else ("", text)
+        return f"{mark}---\n{added}---\n{rest}" if (added := keys(data)) else text
     if not head.mergeable:
         return text
     added = keys({k: v for k, v in data.items() if k not in head.data})
@@ -116,3 +122,19 @@ def replace_value(text: str, key: str, value: str) -> str | None:
         return None
     at, m = head.start, found[0]
     return text[: at + m.start()] + f"{key}: {new}" + text[at + m.end() :]
+
+
+FIELDS = StructType([StructField(n, ArrayType(StringType()) if n == "aliases" else StringType()) for n in ("kind", "aliases", "summary", "source", "derived_from", "asked", "body")])
+
+
+@F.pandas_udf(FIELDS)
+def fields(text: pd.Series) -> pd.DataFrame:
+    """What operators read of notes' heads; values of another type than wanted are null, aliases none. A null text has no head and no body."""
+    rows = []
+    for t in text:
+        head = parse(t) if t is not None else Head(body=None)
+        own = lambda k, d=head.data: d[k] if isinstance(d.get(k), str) else None
+        names = head.data.get("aliases")
+        names = [names] if isinstance(names, str) else names if isinstance(names, list) else []
+        rows.append((own("kind"), [a for a in names if isinstance(a, str)], own("summary"), own("source"), own("derived-from"), None if head.data.get("asked") is None else str(head.data["asked"]), head.body))
+    return pd.DataFrame(rows, columns=["kind", "aliases", "summary", "source", "derived_from", "asked", "body"], dtype=object)

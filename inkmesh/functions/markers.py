@@ -15,6 +15,9 @@ def marker(label: str, *parts: str) -> str:
     return f"<!-- {label}: {shown} -->" if shown else f"<!-- {label} -->"
 
 
+# The labels and payloads of the comments below.
+
+
 def image_not_fetched(name: str, why: str) -> str:
     return marker("image not fetched", name, why)
 

@@ -56,6 +56,11 @@ def utf16_order(c: Column) -> Column:
     return F.encode(c, "UTF-16BE")
 
 
+def path_key(path: str) -> bytes:
+    """The same for a string."""
+    return path.encode("utf-16-be", "surrogatepass")
+
+
 def token_estimate(c: Column) -> Column:
     """A token for each four UTF-16 units, rounded up."""
     return F.ceil(F.octet_length(F.encode(c, "UTF-16BE")) / F.lit(8)).cast("long")

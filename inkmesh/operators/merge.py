@@ -1,130 +1,185 @@
-"""Merging inventories into pages: which items name a page we have, and what new pages to make.
-
-The order of sources and items decides who owns a name, so the last step walks in
-order. What it walks over is small: Spark first finds, for each item, the handles it
-may be known by, and sends out only those of the page table that some item touches.
+"""Merging inventories into pages: which items name a page there is, and what pages to make.
+
+Items ``(source, pos, title, kind, aliases, summary)`` are taken in order of their
+source's path and place. Steps, all on DataFrames:
+
+1. :func:`names` lists the handles that an item may be known by, the surest first.
+2. :func:`matched` finds the page there is for an item: the first of its handles that the
+   name table knows, else the first that a numbered page ("Name-2") goes back to.
+3. What the order of items decides (whose page an item joins, who owns an alias) is told
+   by a walk over items that can bear on each other. :func:`clusters` finds these: items
+   that share a handle, or a title but for numbers at its end.
+4. The walk says for each item its page and the aliases that it brings; :func:`merge`
+   folds these: the first mention fixes title and kind, the last summary that is not empty
+   wins, citers and aliases stand in order of their first mention.
+
+Defined results: source and place tell items apart. Null aliases are none, a null summary is empty; blank names are passed
+over. Items of one name are mentions of one page. Without items only what is queued comes out.
+Pages of sources are matched by no item, but hold their titles.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
-from inkmesh.functions.text import handle_py, sanitize_title_py, title_stem_py, trim_py, unique_title_py
-
-
-@dataclass
-class Page:
-    path: str
-    title: str
-    kind: str = "concept"
-    aliases: list[str] = field(default_factory=list)
-
-
-@dataclass
-class Item:
-    title: str
-    kind: str
-    aliases: list[str] = field(default_factory=list)
-    summary: str = ""
-
-    def names(self) -> list[str]:
-        """Distinct trimmed aliases."""
-        seen: dict[str, str] = {}
-        for a in map(trim_py, self.aliases):
-            if a:
-                seen.setdefault(handle_py(a), a)
-        return list(seen.values())
-
-    def candidates(self) -> list[str]:
-        """Handles it may be known by, the surest first."""
-        return [handle_py(c) for c in (trim_py(self.title), sanitize_title_py(self.title), title_stem_py(self.title), *self.names()) if c]
-
-
-def path_key(path: str) -> bytes:
-    return path.encode("utf-16-be", "surrogatepass")
-
-
-@dataclass
-class Work:
-    new: list[dict] = field(default_factory=list)
-    regenerate: dict[str, dict] = field(default_factory=dict)
-
-
-class Names:
-    """Who owns which handle, over the pages at hand and those being made."""
-
-    def __init__(self, pages: list[Page], reserved: list[str]) -> None:
-        candidates = sorted((p for p in pages if p.kind != "source"), key=lambda p: (path_key(p.title), path_key(p.path)))
-        self.page_of: dict[str, Page] = {}
-        for p in candidates:
-            self.page_of.setdefault(handle_py(p.title), p)
-        for p in candidates:
-            for a in p.aliases:
-                if h := handle_py(a):
-                    self.page_of.setdefault(h, p)
-        self.owner = {h: p.path for h, p in self.page_of.items() if h}
-        self.taken = {handle_py(p.title) for p in pages} | {handle_py(r) for r in reserved}
-        for r in reserved:
-            self.owner.setdefault(handle_py(r), "reserved")
-        # a page made as "Name-2" still answers to "Name" where that name is held by no candidate
-        numbered = []
-        for p in candidates:
-            m = re.fullmatch(r"(.+)-(\d+)", p.title, re.S)
-            if m and (key := handle_py(m[1])) not in self.page_of and key in self.taken:
-                numbered.append((int(m[2]), path_key(p.path), key, p))
-        self.numbered: dict[str, Page] = {}
-        for *_, key, p in sorted(numbered, key=lambda x: x[:2]):
-            self.numbered.setdefault(key, p)
-
-    def existing(self, item: Item) -> Page | None:
-        own = item.candidates()
-        return next((t[c] for t in (self.page_of, self.numbered) for c in own if c in t), None)
-
-
-def merge(pages: list[Page], inventories: list[tuple[str, list[Item]]], requeued: list[str] = (), reserved: list[str] = ()) -> Work:
-    """Items in order of their source's path. The first mention fixes title and kind of a new page, the last summary wins."""
-    names, work, at = Names(pages, list(reserved)), Work(), {}
-    by_path = {p.path: p for p in pages}
-
-    def queue(p: Page) -> dict:
-        return work.regenerate.setdefault(p.path, {"path": p.path, "citers": [], "aliases": [], "summary": ""})
-
-    for path in requeued:
-        if path in by_path:
-            queue(by_path[path])
-    for source, items in sorted(inventories, key=lambda x: path_key(x[0])):
-        for item in items:
-            if page := names.existing(item):
-                entry, owner = queue(page), page.path
-                known = {handle_py(x) for x in (page.title, *page.aliases)}
-                offered = [trim_py(item.title), *item.names()]
-            elif (k := next((at[c] for c in item.candidates() if c in at), None)) is not None:
-                entry, owner = work.new[k], f"new:{k}"
-                known = {handle_py(entry["title"])}
-                offered = item.names()
-            else:
-                k = len(work.new)
-                title = unique_title_py(sanitize_title_py(item.title), names.taken)
-                names.taken.add(handle_py(title))
-                own = [a for a in item.names() if handle_py(a) != handle_py(title) and handle_py(a) not in names.owner]
-                work.new.append({"title": title, "kind": item.kind, "aliases": own, "summary": item.summary, "citers": [source]})
-                for a in (title, *own):
-                    names.owner[handle_py(a)] = f"new:{k}"
-                for a in (title, item.title, *own):
-                    at[handle_py(a)] = k
-                continue
-            if source not in entry["citers"]:
-                entry["citers"].append(source)
-            for alias in offered:
-                h = handle_py(alias)
-                if not h or h in known or h in {handle_py(a) for a in entry["aliases"]} or names.owner.get(h, owner) != owner:
-                    continue
-                entry["aliases"].append(alias)
-                names.owner[h] = owner
-                if owner.startswith("new:"):
-                    at[h] = k
-            if item.summary:
-                entry["summary"] = item.summary
-    work.regenerate = dict(sorted(work.regenerate.items(), key=lambda x: path_key(x[0])))
-    return work
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from inkmesh.functions.text import handle, handle_py, sanitize_title, sanitize_title_py, title_stem, trim, trim_py, unique_title_py, utf16_order
+from inkmesh.operators.links import first_claimants, title_index
+
+#: Items up to which one task walks over all of them, rather than one for each cluster.
+FEW = 2_000
+ITEM = "source string, pos int, title string, kind string, aliases array<string>, summary string"
+NEW = "new:"
+
+
+def _family(title: Column) -> Column:
+    """The handle of a title without numbers at its end: pages so named may take each other's names."""
+    return F.regexp_replace(handle(title), r"(-\d+)+$", "")
+
+
+def ordered(items: DataFrame) -> DataFrame:
+    """``items`` with ``rank``, a struct that orders them, ``key``, which tells them apart, and distinct trimmed aliases that are not blank."""
+    own = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: trim(F.coalesce(a, F.lit("")))), lambda a: a != "")
+    rank = F.struct(utf16_order(F.col("source")).alias("path"), "pos")
+    return items.select("source", "pos", "title", "kind", own.alias("aliases"), F.coalesce("summary", F.lit("")).alias("summary"), rank.alias("rank"), F.xxhash64("source", "pos").alias("key")).dropDuplicates(["key"])
+
+
+def names(items: DataFrame) -> DataFrame:
+    """``key, at, handle``: of ``ordered`` items the title as it is, as a file bears it, and cut to a file name's length, then the aliases."""
+    title = F.col("title")
+    own = items.select("key", F.concat(F.array(trim(title), sanitize_title(title), title_stem(title)), F.col("aliases")).alias("names"))
+    return own.select("key", F.posexplode("names").alias("at", "name")).select("key", "at", handle(F.col("name")).alias("handle")).where("handle <> ''")
+
+
+def numbered_pages(pages: DataFrame, held: DataFrame) -> DataFrame:
+    """``handle, path``: pages named with a number since some title holds their name, which no page answers to otherwise. The least number wins, then the path.
+
+    ``held``: handles of all titles.
+    """
+    table = title_index(pages).select("handle")
+    parts = pages.select("path", handle(F.regexp_extract("title", r"(?s)^(.+)-\d+$", 1)).alias("handle"), F.regexp_extract("title", r"-(\d+)$", 1).alias("digits"))
+    free = parts.where("handle <> ''").join(held, "handle", "left_semi").join(table, "handle", "left_anti")
+    plain = F.ltrim(F.col("digits"), F.lit("0"))
+    return first_claimants(free, "handle", F.length(plain), plain, utf16_order(F.col("path"))).select("handle", "path")
+
+
+def matched(items: DataFrame, pages: DataFrame, held: DataFrame) -> DataFrame:
+    """``key, path`` of ``ordered`` items that name one of ``pages``."""
+    table = title_index(pages).select("handle", "path", F.lit(0).alias("tier"))
+    table = table.union(numbered_pages(pages, held).select("handle", "path", F.lit(1)))
+    found = names(items).join(table, "handle")
+    return found.groupBy("key").agg(F.min_by("path", F.struct("tier", "at")).alias("path"))
+
+
+def clusters(items: DataFrame, shared: DataFrame) -> DataFrame:
+    """``key, cluster``: the least key that can be reached over handles in common; ``shared``: ``key, handle``. About log n rounds over ids alone."""
+    if items.count() <= FEW:
+        return items.select("key", F.lit(0).cast("long").alias("cluster"))
+    shared = shared.distinct().checkpoint()
+    label = items.select("key", F.col("key").alias("cluster")).checkpoint()
+    while True:
+        by_handle = shared.join(label, "key").groupBy("handle").agg(F.min("cluster").alias("cluster"))
+        near = shared.join(by_handle, "handle").groupBy("key").agg(F.min("cluster").alias("cluster"))
+        jump = label.select(F.col("key").alias("cluster"), F.col("cluster").alias("far"))
+        new = near.join(jump, "cluster", "left").select("key", F.least("cluster", F.coalesce("far", "cluster")).alias("cluster")).checkpoint()
+        moved = new.join(label.withColumnRenamed("cluster", "was"), "key").where("cluster <> was").limit(1).count()
+        label = label.join(new.withColumnRenamed("cluster", "now"), "key", "left").select("key", F.least("cluster", F.coalesce("now", "cluster")).alias("cluster")).checkpoint()
+        if not moved:
+            return label
+
+
+_TOLD = "key long, page string, made string, brings array<string>"
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """For the items of a cluster: the page each belongs to, the title of a page made for it, and the aliases it brings."""
+    rows = rows.sort_values("rank", key=lambda c: c.map(lambda r: (bytes(r["path"]), r["pos"])))
+    owner = {h: p for pairs in rows["owned"] for h, p in ((x["handle"], x["owner"]) for x in pairs)}
+    taken = {h for own in rows["taken"] for h in own}
+    answers: dict[str, str] = {}  # handles that a page made here answers to
+    called: dict[str, set[str]] = {}  # page: handles it goes by
+    told = []
+    for r in rows.itertuples():
+        own = {}
+        for alias in r.aliases:
+            own.setdefault(handle_py(alias), alias)
+        made, page = None, r.path
+        if page is not None:
+            called.setdefault(page, set(r.page_handles))
+            offered = {handle_py(r.title): trim_py(r.title)} | own
+        else:
+            page = next((answers[h] for h in r.handles if h in answers), None)
+            offered = own
+        if page is None:
+            made = unique_title_py(sanitize_title_py(r.title), taken)
+            page, h = f"{NEW}{r.key}", handle_py(made)
+            taken.add(h)
+            owner[h] = page
+            called[page] = {h}
+            answers |= {h: page, handle_py(r.title): page}
+        brings = [(h, a) for h, a in offered.items() if h and h not in called[page] and owner.get(h, page) == page]
+        for h, _ in brings:
+            owner[h] = page
+            called[page].add(h)
+            if page.startswith(NEW):
+                answers[h] = page
+        told.append((r.key, page, made, [a for _, a in brings]))
+    return pd.DataFrame(told, columns=["key", "page", "made", "brings"])
+
+
+def assigned(items: DataFrame, pages: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
+    """``ordered`` items with ``page`` (a path, or a name of a page to make), ``made`` (its title, at its first mention) and ``brings`` (aliases).
+
+    ``reserved(title)``: titles of this run that no page bears yet.
+    """
+    matchable = pages.where("kind <> 'source'")
+    titles = pages.select("title") if reserved is None else pages.select("title").union(reserved.select("title"))
+    held = titles.select(handle(F.col("title")).alias("handle"), _family(F.col("title")).alias("family")).distinct()
+    own = matched(items, matchable, held.select("handle").distinct())
+    handles = names(items)
+    # what each item has to know: owners of the names it offers, names taken in its family, what its page goes by
+    owners = title_index(matchable).select("handle", F.col("path").alias("owner"))
+    if reserved is not None:
+        owners = owners.union(reserved.select(handle(F.col("title")).alias("handle")).distinct().join(owners, "handle", "left_anti").select("handle", F.lit("reserved")))
+    owned = handles.select("key", "handle").distinct().join(owners, "handle").groupBy("key").agg(F.collect_list(F.struct("handle", "owner")).alias("owned"))
+    family = items.select("key", _family(title_stem(F.col("title"))).alias("family"))
+    taken = family.join(held, "family").groupBy("key").agg(F.collect_set("handle").alias("taken"))
+    goes_by = matchable.select("path", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select("path", handle(F.col("name")).alias("handle")).groupBy("path").agg(F.collect_set("handle").alias("page_handles"))
+    in_order = handles.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "handle"))), lambda x: x["handle"]).alias("handles"))
+    groups = clusters(items, handles.select("key", "handle").union(family.select("key", F.concat(F.lit("\n"), F.col("family")))))
+    rows = items
+    for facts in (own, in_order, owned, taken, groups):
+        rows = rows.join(facts, "key", "left")
+    rows = rows.join(goes_by, "path", "left")
+    none = F.array().cast("array<string>")
+    walked = rows.select("cluster", "key", "rank", "title", "aliases", "path", F.coalesce("handles", none).alias("handles"), F.coalesce("owned", F.array().cast("array<struct<handle:string,owner:string>>")).alias("owned"), F.coalesce("taken", none).alias("taken"), F.coalesce("page_handles", none).alias("page_handles"))
+    told = walked.groupBy("cluster").applyInPandas(lambda pdf: _walk(pdf), _TOLD)
+    return items.join(told, "key")
+
+
+def merge(pages: DataFrame, items: DataFrame, requeued: DataFrame | None = None, reserved: DataFrame | None = None) -> DataFrame:
+    """``page, made, kind, aliases, summary, citers, rank``: pages to make (``made``: their title) and to write again (null), in order of ``rank``.
+
+    ``pages(path, title, kind, aliases)``; ``requeued(path)``: pages to write again whatever the items say.
+    """
+    each = assigned(ordered(items), pages, reserved)
+    first = F.struct("rank", "source")
+    folded = each.groupBy("page").agg(
+        F.min_by("made", "rank").alias("made"), F.min_by("kind", "rank").alias("kind"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "brings"))), lambda x: x["brings"])).alias("aliases"),
+        F.max_by("summary", F.when(F.col("summary") != "", F.col("rank"))).alias("summary"),
+        F.array_distinct(F.transform(F.sort_array(F.collect_list(first)), lambda x: x["source"])).alias("citers"),
+        F.min("rank").alias("rank"),
+    )
+    folded = folded.withColumns({"summary": F.coalesce("summary", F.lit("")), "kind": F.when(F.col("made").isNotNull(), F.col("kind"))})
+    if requeued is None:
+        return folded
+    none, empty = F.array().cast("array<string>"), F.lit(None).cast("string")
+    more = requeued.select("path").distinct().join(pages.select("path"), "path", "left_semi").join(folded.select(F.col("page").alias("path")), "path", "left_anti")
+    return folded.unionByName(more.select(F.col("path").alias("page"), empty.alias("made"), empty.alias("kind"), none.alias("aliases"), F.lit("").alias("summary"), none.alias("citers"), F.lit(None).cast(folded.schema["rank"].dataType).alias("rank")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``merge`` rows with ``n``, their place: pages to make in order of first mention, then those to write again by path."""
+    return rows.withColumn("n", F.row_number().over(Window.orderBy(F.col("made").isNull(), F.when(F.col("made").isNotNull(), F.col("rank")), utf16_order(F.col("page")))))

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkmesh.plans.settings import TOKEN_CAPS, Settings
 
@@ -110,8 +111,11 @@ class Provider:
                 text = self._sent(Request(**(r.__dict__ | {"user": f"{r.user}\n\nYour previous reply could not be parsed as JSON ({e}). Reply again with only valid JSON."})))
 
 
+WORK = "key string, task string, system string, user string, json boolean, image binary"
+
+
 def call_all(work: DataFrame, make_provider: Callable[[], Provider], concurrency: int = 2) -> DataFrame:
-    """``work(key, task, system, user, json)`` -> ``key, reply, error``, made on the executors.
+    """``work(key, task, system, user, json[, image])`` -> ``key, task, reply, error, attempts``, made on the executors.
 
     The rows are dealt to ``concurrency`` tasks. A failed call costs its own row. Checkpoint
     the result before it is used, so that a task that runs again calls nobody twice.
@@ -124,14 +128,18 @@ def call_all(work: DataFrame, make_provider: Callable[[], Provider], concurrency
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
+                reply = error = None
+                before = sum(provider.attempts.values())
                 try:
-                    reply = provider.complete(Request(r.task, r.system, r.user, bool(r.json)))
-                    out.append((r.key, json.dumps(reply, ensure_ascii=False) if r.json else reply, None))
+                    reply = provider.complete(Request(r.task, r.system, r.user, bool(r.json), images=() if r.image is None else (bytes(r.image),)))
                 except CallError as e:
-                    out.append((r.key, None, str(e)))
-            yield pd.DataFrame(out, columns=["key", "reply", "error"]).astype(object)
+                    error = str(e)
+                out.append((r.key, r.task, json.dumps(reply, ensure_ascii=False) if r.json and error is None else reply, error, sum(provider.attempts.values()) - before))
+            yield pd.DataFrame(out, columns=["key", "task", "reply", "error", "attempts"]).astype({"attempts": "int64"})
 
-    return work.select("key", "task", "system", "user", "json").repartition(concurrency, "key").mapInPandas(run, "key string, reply string, error string")
+    image = F.col("image") if "image" in work.columns else F.lit(None).cast("binary")
+    rows = work.select("key", "task", "system", "user", "json", image.alias("image"))
+    return rows.repartition(concurrency, "key").mapInPandas(run, "key string, task string, reply string, error string, attempts long")
 
 
 def inventory_of(reply) -> tuple[str, list[dict]]:  # noqa: ANN001

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions import blocks, frontmatter, markers
 from inkmesh.functions import text as T
-from inkmesh.operators.merge import Item, Page, merge
 from inkmesh.sources import delimited, html, images, manifest
 
 
@@ -149,17 +148,3 @@ def test_image_decisions_and_links():
 def test_manifest():
     assert manifest.parse("not json") == [] and manifest.parse(None) == []
     assert manifest.parse('{"a": "h", "b": {"hash": "i", "derivative": "d"}, "__proto__": "x", "c": 5}') == [("a", "h", None), ("b", "i", "d")]
-
-
-def test_merge_matches_by_name_alias_and_number():
-    pages = [Page("wiki/c/PageRank.md", "PageRank", "concept", ["PR"]), Page("wiki/s/x.md", "Compiler", "source"), Page("wiki/c/Compiler-2.md", "Compiler-2")]
-    work = merge(pages, [("raw/b.md", [Item("pr", "concept", [], "second"), Item("Compiler", "concept")]), ("raw/a.md", [Item("New", "entity", ["N", "PageRank"], "one"), Item("n", "concept", ["M"], "two")])])
-    assert [(n["title"], n["kind"], n["aliases"], n["summary"], n["citers"]) for n in work.new] == [("n", "concept", ["M"], "two", ["raw/a.md"])]
-    assert work.regenerate["wiki/c/PageRank.md"]["aliases"] == ["New", "N"] and work.regenerate["wiki/c/PageRank.md"]["summary"] == "second"
-    assert work.regenerate["wiki/c/PageRank.md"]["citers"] == ["raw/a.md", "raw/b.md"]
-    assert work.regenerate["wiki/c/Compiler-2.md"]["citers"] == ["raw/b.md"]
-
-
-def test_merge_makes_pages_once_and_gives_a_name_one_owner():
-    work = merge([Page("wiki/s/x.md", "Held", "source")], [("raw/a.md", [Item("Held", "concept", ["H"], "a"), Item("Other", "entity", ["H", "O"])]), ("raw/b.md", [Item("h", "entity", ["HH"], "b")])])
-    assert work.new == [{"title": "Held-2", "kind": "concept", "aliases": ["H", "O", "HH"], "summary": "b", "citers": ["raw/a.md", "raw/b.md"]}]

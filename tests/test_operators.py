@@ -71,6 +71,14 @@ def test_smells(spark):
     assert got == {"d": ["short output for 3 pages", "repeated line on 3 pages", "high sentence-fragment ratio (100%)"], "e": []}
 
 
+def test_repository_files_read_and_not(spark):
+    names = ["a.toml", "b.yaml", "c.json", "d.txt", "e.tsx", "out/x.py", "__pycache__/k.py", "npm-shrinkwrap.json", "Gemfile.lock", "composer.lock", "README.rst", "sub/README.rst", ".git/config", "f.sh"]
+    df = spark.createDataFrame([(f"raw/r/{n}", bytearray(b"\xff\xfe x" if n == "f.sh" else b"x")) for n in names], "path string, content binary")
+    own = formats.repo_files(df, formats.repo_roots(df))
+    assert [r.path for r in own.orderBy("seq").collect()] == ["README.rst", "a.toml", "b.yaml", "c.json", "f.sh", "__pycache__/k.py"]
+    assert "```bash\n\ufffd\ufffd x\n```" in formats.repo_markdown(own).first().text
+
+
 def test_repository_as_one_source(spark):
     files = [("raw/r/.git/HEAD", b"x"), ("raw/r/src/b.py", b"bb"), ("raw/r/a.py", b"a```\n"), ("raw/r/docs/z.md", b"z"), ("raw/r/README", b"r"), ("raw/r/node_modules/m.js", b"m"), ("raw/x.md", b"x"), ("raw/r/big.md", b"b" * 200_000)]
     df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
@@ -78,6 +86,6 @@ def test_repository_as_one_source(spark):
     own = formats.repo_files(df, roots)
     assert [r.path for r in own.orderBy("seq").collect()] == ["README", "docs/z.md", "a.py", "big.md", "src/b.py"]
     text = formats.repo_markdown(own).first().text
-    assert "````\na```" in text and "repo file omitted: big.md — file too large" in text
+    assert text.startswith("# r\n\n## README\n\n```\nr\n```\n\n") and "````python\na```\n````" in text and text.endswith("```\n") and "repo file omitted: big.md — file over 100KB" in text
     found = {r.path: r["format"] for r in formats.discover(df).collect()}
     assert found == {"raw/r": "repo", "raw/x.md": "md"}

@@ -1,7 +1,9 @@
 import datetime as dt
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from inkmesh.functions import blocks, frontmatter
 from inkmesh.plans.provider import CallError, Provider, Request, retry_after, without_footer
@@ -9,6 +11,7 @@ from inkmesh.plans.settings import Settings
 from inkmesh.plans.vault import Busy, Vault
 from inkmesh.sources import images
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the transport goes to executors
 NOW = dt.datetime(2026, 3, 1, 9, 30, tzinfo=dt.UTC)
 
 
@@ -110,6 +113,36 @@ def test_a_failed_source_costs_itself_alone(vault):
     assert vault.compile().new == ["raw/b.txt"]
 
 
+def test_heads_byte_order_marks_and_other_bytes(vault, tmp_path):
+    (tmp_path / "raw/bom.md").write_bytes("\ufeff---\ningested: x\n---\nAlpha".encode())
+    (tmp_path / "raw/bare.txt").write_bytes("\ufeffBeta \ufffd".encode())
+    (tmp_path / "raw/latin.md").write_bytes(b"Gamma \xe9")
+    vault.compile()
+    assert (tmp_path / "raw/bom.md").read_bytes().decode() == "\ufeff---\nsource-format: md\ningested: x\n---\nAlpha"
+    assert (tmp_path / "raw/bare.txt").read_bytes().decode() == "\ufeff---\ningested: '2026-03-01'\nsource-format: txt\n---\nBeta \ufffd"
+    assert (tmp_path / "raw/latin.md").read_bytes() == b"Gamma \xe9"
+    assert frontmatter.parse("\ufeff---\nkind: x\n---\nb").data == {"kind": "x"} and frontmatter.parse("\ufeff---\nkind: x\n---\nb").body == "b"
+    again = vault.compile()
+    assert (again.new, again.modified, again.written) == ([], [], [])
+
+
+def test_a_derivative_that_is_lost_or_taken_is_made_again(vault, tmp_path):
+    vault.compile()
+    (tmp_path / "raw/c.md").write_text("---\nderived-from: '[[raw/other.csv]]'\n---\nmine")
+    assert vault.compile().modified == ["raw/c.csv"]
+    assert "mine" in vault.read("raw/c.md") and "derived-from" in vault.read("raw/c.csv.md")
+
+
+def test_walks_and_their_steps(vault):
+    vault.compile()
+    seed = "wiki/concepts/Turing.md"
+    scores = {r.path: r.score for r in vault.ppr([seed]).collect()}
+    assert scores[seed] == max(scores.values())
+    steps = vault.ppr([seed], snapshots=True)
+    assert "iter" in steps.columns and steps.select("iter").distinct().count() > 3
+    assert "snapshots" in vault.inspect("Who was Turing?", snapshots=True)
+
+
 def test_one_operation_at_a_time(vault):
     with vault.held("compile"), pytest.raises(Busy):
         vault.ask("x")
