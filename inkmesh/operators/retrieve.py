@@ -145,3 +145,11 @@ def matches_filter(title: Column, path: Column, typed: Column) -> Column:
 def opacity(lit: Column, overlaid: Column, matching: Column) -> Column:
     """Nodes that an overlay does not light, or a filter does not match, are faint."""
     return F.when((lit | ~overlaid) & matching, 1.0).otherwise(0.15)
+
+
+def labels(nodes: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` nodes to label, with ``rank``: of ``nodes(path, degree, score, lit)`` the lit ones by score, or all by degree where none is lit. Ties go by path."""
+    first = nodes.orderBy(F.desc("lit"), F.desc(F.when(F.col("lit"), F.col("score"))), F.desc("degree"), utf16_order(F.col("path"))).limit(n)  # so n rows from here on
+    by_score, any_lit = F.when(F.col("lit"), F.col("score")), F.max("lit").over(Window.partitionBy())
+    kept = first.withColumn("any_lit", any_lit).where(~F.col("any_lit") | F.col("lit")).drop("any_lit")
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by_score), F.when(~F.col("lit"), F.negative("degree")), utf16_order(F.col("path")))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions import text as T
-from inkmesh.operators import changes, dataset, evaluate, health, links, retrieve, smell
+from inkmesh.operators import changes, dataset, evaluate, health, links, merge, retrieve, smell
 from inkmesh.plans.graph_queries import FORCED, QUESTIONS, WIKI, table, wiki
 from inkmesh.sources import formats
 
@@ -38,31 +38,17 @@ def lexical_score(spark, sf_dir):
     return retrieve.lexical_scores(parts(spark, sf_dir), keywords(spark)).where("score > 0").select("qid", "path", "score")
 
 
-def mode_a_rank_all(spark, sf_dir):
+def mode_a_rank(spark, sf_dir):
     """Lexical ranking of every page that scores, with two seeds kept though they score nothing."""
     seeds = spark.createDataFrame([("k1", "wiki/part-1"), ("k2", "wiki/part-2")], "qid string, path string")
     return retrieve.mode_a(parts(spark, sf_dir), keywords(spark), seeds).select("qid", "rank", "path", "title", "score")
 
 
-def mode_a_rank(spark, sf_dir):
-    """The first fifty of that ranking, as its SQL says, and the seeds."""
-    return mode_a_rank_all(spark, sf_dir).where("rank <= 50 OR score = 0")
-
-
-def _seeds(lineitem: DataFrame, pages: DataFrame) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    proposed = lineitem.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("qid"), F.row_number().over(w).alias("pos"), F.concat(F.lit("wiki/part-"), (F.col("l_partkey") * 2).cast("string")).alias("path"))
-    return retrieve.valid_seeds(proposed, pages).select("qid", "path", F.col("pos").cast("long").alias("pos"))
-
-
 def seeds_validated(spark, sf_dir):
-    """Proposed seeds that are pages, each once, the first eight; of 20 suppliers only, as its SQL says."""
-    return _seeds(table(spark, sf_dir, "lineitem").where("l_suppkey <= 20"), parts(spark, sf_dir))
-
-
-def seeds_validated_all(spark, sf_dir):
-    """The same with every supplier as a question."""
-    return _seeds(table(spark, sf_dir, "lineitem"), parts(spark, sf_dir))
+    """Proposed seeds that are pages, each once, the first eight; every supplier is a question."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    proposed = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("qid"), F.row_number().over(w).alias("pos"), F.concat(F.lit("wiki/part-"), (F.col("l_partkey") * 2).cast("string")).alias("path"))
+    return retrieve.valid_seeds(proposed, parts(spark, sf_dir)).select("qid", "path", F.col("pos").cast("long").alias("pos"))
 
 
 def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,15 +195,6 @@ def blocked_sources(spark, sf_dir):
 
 
 def citer_union(spark, sf_dir):
-    """Old citers before new ones, each once, those still there; six old and five new at most, as its SQL says."""
-    c = citations(spark, sf_dir)
-    old = c.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("source")))).where("pos <= 6")
-    new = c.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("source"))).where("pos <= 5")
-    live = changed(spark, sf_dir).where("status <> 'deleted'").select(F.col("path").alias("source"))
-    return links.citer_union(old.select("page", "pos", "source"), new.select("page", "pos", "source"), live).select("page", F.array_join("citers", ",").alias("citers"))
-
-
-def citer_union_all(spark, sf_dir):
     """All citers: those recorded at the last build before those discovered now, each once, those still there."""
     c = citations(spark, sf_dir)
     old = c.join(recorded(spark, sf_dir).select(F.col("path").alias("source")).distinct(), "source", "left_semi")
@@ -319,21 +296,74 @@ def events_age(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", health.age_label(F.col("ts").cast("timestamp"), now).alias("age"))
 
 
+# --- inventories merged into pages -----------------------------------------------------------
+
+
+def nation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each nation, known by its key too, one for each region, and a numbered one beside a source's."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    kind, none = F.lit("entity"), F.array().cast("array<string>")
+    own = n.select(F.concat(F.lit("wiki/n-"), F.col("n_nationkey").cast("string")).alias("path"), F.initcap(F.lower("n_name")).alias("title"), kind.alias("kind"), F.array(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string"))).alias("aliases"))
+    own = own.union(r.select(F.concat(F.lit("wiki/r-"), F.col("r_regionkey").cast("string")), F.concat(F.lit("Region "), F.col("r_name")), kind, none))
+    more = spark.createDataFrame([("wiki/sources/low.md", "5-LOW", "source", []), ("wiki/low-10.md", "5-LOW-10", "concept", []), ("wiki/low-2.md", "5-LOW-2", "concept", [])], "path string, title string, kind string, aliases array<string>")
+    return own.union(more)
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer is a source: its nation by name or by key, with its segment as an alias; then an order's priority, which has no page."""
+    c, n, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "orders")
+    source, none = F.concat(F.lit("raw/c"), F.col("c_custkey").cast("string")).alias("source"), F.array().cast("array<string>")
+    by_name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), F.col("n_name"))).otherwise(F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")))
+    one = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(source, F.lit(0).alias("pos"), by_name.alias("title"), F.lit("entity").alias("kind"), F.array("c_mktsegment", F.lit(" ")).alias("aliases"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("summary"))
+    two = o.select(F.concat(F.lit("raw/c"), F.col("o_custkey").cast("string")).alias("source"), (F.col("o_orderkey") + 1).cast("int").alias("pos"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "F", "concept").otherwise("entity").alias("kind"), none.alias("aliases"), F.col("o_orderstatus").alias("summary"))
+    return one.union(two)
+
+
+def inventory_match(spark, sf_dir):
+    """The page that each item names: by title or alias, else by the name that a numbered page goes back to."""
+    pages = nation_pages(spark, sf_dir)
+    items = merge.ordered(mentions(spark, sf_dir))
+    held = pages.select(T.handle(F.col("title")).alias("handle")).distinct()
+    return items.join(merge.matched(items, pages.where("kind <> 'source'"), held), "key").select("source", F.col("pos").cast("long").alias("pos"), "path")
+
+
+def inventory_merge(spark, sf_dir):
+    """Pages to make and to write again, with what the items bring to each."""
+    made = merge.merge(nation_pages(spark, sf_dir), mentions(spark, sf_dir))
+    page = F.when(F.col("made").isNull(), F.col("page")).otherwise(F.concat(F.lit("new:"), F.col("made")))
+    return made.select(page.alias("page"), "kind", F.array_join("aliases", ",").alias("aliases"), "summary", F.size("citers").cast("long").alias("n_citers"), F.element_at("citers", 1).alias("first_citer"))
+
+
+MENTION_SQL = """
+np AS (SELECT 'wiki/n-' || n_nationkey AS path, lower(n_name) AS t, 'nation ' || n_nationkey AS al FROM nation),
+im AS (
+  SELECT 'raw/c' || c_custkey AS source, 0::BIGINT AS pos, CASE WHEN c_custkey % 2 = 0 THEN lower(n_name) ELSE 'nation ' || n_nationkey END AS h, c_mktsegment AS alias, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'Nation ' || n_nationkey END AS title, 'entity' AS kind, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS summary
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'raw/c' || o_custkey, o_orderkey + 1, lower(o_orderpriority), NULL, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'concept' ELSE 'entity' END, o_orderstatus FROM orders),
+mt AS (SELECT im.*, CASE WHEN h = '5-low' THEN 'wiki/low-2.md' ELSE np.path END AS path FROM im LEFT JOIN np ON h = np.t OR h = np.al),
+ow AS (SELECT alias, arg_min(path, (source, pos)) AS path FROM mt WHERE alias IS NOT NULL GROUP BY alias),
+of AS (
+  SELECT path, title AS a, source, pos, 0 AS k FROM mt WHERE h = '5-low'
+  UNION ALL SELECT mt.path, mt.alias, source, pos, 1 FROM mt JOIN ow ON ow.alias = mt.alias AND ow.path = mt.path),
+fo AS (SELECT path, a, min((source, pos, k)) AS o FROM of GROUP BY path, a)
+"""
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 
-def outcomes_of(spark: SparkSession, sf_dir: str, every: int = 9) -> DataFrame:
-    """A query for each source: documents by length are the ranking, those of good quality and an id that ``every`` divides are expected."""
+def outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each source: documents by length are the ranking, those of good quality are expected."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     by = d.groupBy("source").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.negative("n_chars").alias("o"), "doc_id"))), lambda x: x["doc_id"]).alias("ranked"),
-        F.collect_list(F.when((F.col("quality") == 1) & (F.col("doc_id") % every == 0), F.col("doc_id"))).alias("expected"),
+        F.collect_list(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("expected"),
     )
     return by.withColumn("seeded", F.col("source").endswith("1"))
 
 
 EVAL_SQL = """
-d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r, quality = 1 AND doc_id % 9 = 0 AS e FROM documents LEFT JOIN labels USING (doc_id)),
+d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r, quality = 1 AS e FROM documents LEFT JOIN labels USING (doc_id)),
 o AS (
   SELECT source, source LIKE '%1' AS seeded, count(*) FILTER (WHERE e) AS n,
     CASE WHEN count(*) FILTER (WHERE e) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE e AND r <= 5)::DOUBLE / count(*) FILTER (WHERE e) END AS recall5,
@@ -344,46 +374,18 @@ o AS (
 MEANS_SQL = "SELECT round(coalesce(avg(recall5), 0), 6) AS recall_at_5, round(coalesce(avg(recall10), 0), 6) AS recall_at_10, round(coalesce(avg(rr), 0), 6) AS mrr, round(coalesce(avg(recall5) FILTER (WHERE NOT seeded), 0), 6) AS ranking_recall_at_5, round(coalesce(avg(recall10) FILTER (WHERE NOT seeded), 0), 6) AS ranking_recall_at_10, round(coalesce(avg(rr) FILTER (WHERE NOT seeded), 0), 6) AS ranking_mrr, count(*) AS n, count(*) FILTER (WHERE NOT seeded) AS ranking_n FROM o"
 
 
-def _per_query(outcomes: DataFrame) -> DataFrame:
-    return evaluate.outcomes(outcomes).select("source", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "rr")])
-
-
-def _recall_mrr(outcomes: DataFrame) -> DataFrame:
-    out = evaluate.summary(evaluate.outcomes(outcomes))
-    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
-
-
-def _floors(outcomes: DataFrame) -> DataFrame:
-    measured = evaluate.summary(evaluate.outcomes(outcomes))
-    return evaluate.under_floors(measured, {"recall_at_5": 0.99, "recall_at_10": 0.0, "mrr": 0.95, "ranking_mrr": float("nan")}).select("metric", F.round("value", 6).alias("value"))
-
-
 def eval_per_query(spark, sf_dir):
-    return _per_query(outcomes_of(spark, sf_dir))
+    return evaluate.outcomes(outcomes_of(spark, sf_dir)).select("source", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "rr")])
 
 
 def eval_recall_mrr(spark, sf_dir):
-    return _recall_mrr(outcomes_of(spark, sf_dir))
+    out = evaluate.summary(evaluate.outcomes(outcomes_of(spark, sf_dir)))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
 def eval_floors(spark, sf_dir):
-    return _floors(outcomes_of(spark, sf_dir))
-
-
-# The same with every document of good quality expected.
-EVAL_ALL_SQL = EVAL_SQL.replace("quality = 1 AND doc_id % 9 = 0 AS e", "quality = 1 AS e")
-
-
-def eval_per_query_all(spark, sf_dir):
-    return _per_query(outcomes_of(spark, sf_dir, every=1))
-
-
-def eval_recall_mrr_all(spark, sf_dir):
-    return _recall_mrr(outcomes_of(spark, sf_dir, every=1))
-
-
-def eval_floors_all(spark, sf_dir):
-    return _floors(outcomes_of(spark, sf_dir, every=1))
+    measured = evaluate.summary(evaluate.outcomes(outcomes_of(spark, sf_dir)))
+    return evaluate.under_floors(measured, {"recall_at_5": 0.99, "recall_at_10": 0.0, "mrr": 0.95, "ranking_mrr": float("nan")}).select("metric", F.round("value", 6).alias("value"))
 
 
 # --- names -----------------------------------------------------------------------------------
@@ -424,17 +426,15 @@ LINE_SQL = "'- [[' || title || ']]' || CASE WHEN summary <> '' THEN ' — ' || t
 
 
 def eval_force_included(spark, sf_dir):
-    """Recall of the pages that questions name outright, with the named pages as the ranking."""
+    """How many pages each question names outright, and the first of them by path."""
     asked = retrieve.force_include(wiki(spark, sf_dir), spark.createDataFrame(QUESTIONS, "qid string, question string"))
     return asked.groupBy("qid").agg(F.count(F.lit(1)).alias("n_seeds"), F.min("path").alias("first"))
 
 
 QUERIES = [
     (lexical_score, f"WITH {SCORE_SQL} SELECT qid, path, score FROM lx WHERE score > 0"),
-    (mode_a_rank, f"WITH {SCORE_SQL}, r AS (SELECT lx.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM lx WHERE score > 0 OR (qid = 'k1' AND path = 'wiki/part-1') OR (qid = 'k2' AND path = 'wiki/part-2')) SELECT qid, rank, path, title, score FROM r WHERE rank <= 50 OR score = 0"),
-    (mode_a_rank_all, f"WITH {SCORE_SQL}, r AS (SELECT lx.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM lx WHERE score > 0 OR (qid = 'k1' AND path = 'wiki/part-1') OR (qid = 'k2' AND path = 'wiki/part-2')) SELECT qid, rank, path, title, score FROM r"),
-    (seeds_validated, "WITH p AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos, l_partkey * 2 AS k FROM lineitem WHERE l_suppkey <= 20), o AS (SELECT 's' || l_suppkey AS qid, 'wiki/part-' || k AS path, min(pos) AS pos FROM p WHERE k IN (SELECT p_partkey FROM part) GROUP BY ALL) SELECT qid, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS r FROM o) WHERE r <= 8"),
-    (seeds_validated_all, "WITH p AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos, l_partkey * 2 AS k FROM lineitem), o AS (SELECT 's' || l_suppkey AS qid, 'wiki/part-' || k AS path, min(pos) AS pos FROM p WHERE k IN (SELECT p_partkey FROM part) GROUP BY ALL) SELECT qid, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS r FROM o) WHERE r <= 8"),
+    (mode_a_rank, f"WITH {SCORE_SQL}, r AS (SELECT lx.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM lx WHERE score > 0 OR (qid = 'k1' AND path = 'wiki/part-1') OR (qid = 'k2' AND path = 'wiki/part-2')) SELECT qid, rank, path, title, score FROM r"),
+    (seeds_validated, "WITH p AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos, l_partkey * 2 AS k FROM lineitem), o AS (SELECT 's' || l_suppkey AS qid, 'wiki/part-' || k AS path, min(pos) AS pos FROM p WHERE k IN (SELECT p_partkey FROM part) GROUP BY ALL) SELECT qid, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS r FROM o) WHERE r <= 8"),
     (token_estimate, "SELECT doc_id, ceil((length(text) + length(regexp_replace(text, '[\\x00-\\x{FFFF}]', '', 'g'))) / 4.0)::BIGINT AS tokens, (length(text) + length(regexp_replace(text, '[\\x00-\\x{FFFF}]', '', 'g')))::BIGINT AS units FROM documents"),
     (pack_budget, f"WITH {COST_SQL} SELECT qid, rank, doc_id, cost, used::BIGINT AS used, used > 6000 AS truncated FROM dc WHERE n <= 12 AND (used <= 6000 OR n = 1)"),
     (pack_whole_only, f"WITH {COST_SQL} SELECT qid, rank, doc_id, cost, used::BIGINT AS used FROM dc WHERE used <= 700"),
@@ -447,8 +447,7 @@ QUERIES = [
     (rename_repoint, f"WITH {CHANGE_SQL}, {LONE_SQL}, {CITE_SQL} SELECT page, coalesce(new, source) AS source FROM ci LEFT JOIN ren ON source = old"),
     (next_manifest, f"WITH {CHANGE_SQL}, {LONE_SQL}, {CITE_SQL}, hl AS (SELECT DISTINCT source FROM ci WHERE page IN ('wiki/3', 'wiki/205')), v AS (SELECT path, CASE WHEN status IN ('new', 'modified') THEN CASE WHEN path IN (SELECT source FROM hl) THEN old_hash ELSE hash END WHEN status = 'unchanged' THEN hash WHEN path IN (SELECT source FROM hl) AND path NOT IN (SELECT old FROM ren) THEN 'cascade-pending' END AS hash FROM dd) SELECT path, hash FROM v WHERE hash IS NOT NULL"),
     (blocked_sources, f"WITH {CITE_SQL} SELECT source, string_agg(DISTINCT page, ',' ORDER BY page) AS pages FROM ci WHERE page IN ('wiki/3', 'wiki/205') GROUP BY source"),
-    (citer_union, f"WITH {CHANGE_SQL}, {CITE_SQL}, a AS (SELECT page, source, row_number() OVER (PARTITION BY page ORDER BY source DESC) AS x, row_number() OVER (PARTITION BY page ORDER BY source) AS y FROM ci), b AS (SELECT page, source, 0 AS g, x AS p FROM a WHERE x <= 6 UNION ALL SELECT page, source, 1, y FROM a WHERE y <= 5), c AS (SELECT page, source, min(g * 1000 + p) AS o FROM b WHERE source IN (SELECT path FROM dd WHERE status <> 'deleted') GROUP BY ALL) SELECT page, string_agg(source, ',' ORDER BY o) AS citers FROM c GROUP BY page"),
-    (citer_union_all, f"WITH {CHANGE_SQL}, {CITE_SQL}, b AS (SELECT page, source, 0 AS g, row_number() OVER (PARTITION BY page ORDER BY source DESC) AS p FROM ci WHERE source IN (SELECT path FROM rec) UNION ALL SELECT page, source, 1, row_number() OVER (PARTITION BY page ORDER BY source) FROM ci WHERE source IN (SELECT path FROM now)), c AS (SELECT page, source, min(g * 1000000000 + p) AS o FROM b WHERE source IN (SELECT path FROM dd WHERE status <> 'deleted') GROUP BY ALL) SELECT page, string_agg(source, ',' ORDER BY o) AS citers FROM c GROUP BY page"),
+    (citer_union, f"WITH {CHANGE_SQL}, {CITE_SQL}, b AS (SELECT page, source, 0 AS g, row_number() OVER (PARTITION BY page ORDER BY source DESC) AS p FROM ci WHERE source IN (SELECT path FROM rec) UNION ALL SELECT page, source, 1, row_number() OVER (PARTITION BY page ORDER BY source) FROM ci WHERE source IN (SELECT path FROM now)), c AS (SELECT page, source, min(g * 1000000000 + p) AS o FROM b WHERE source IN (SELECT path FROM dd WHERE status <> 'deleted') GROUP BY ALL) SELECT page, string_agg(source, ',' ORDER BY o) AS citers FROM c GROUP BY page"),
     (health_dangling, f"WITH {CHANGE_SQL}, {CITE_SQL} SELECT page, source FROM ci WHERE starts_with(source, 'raw/') AND source NOT IN (SELECT path FROM rec)"),
     (content_hash, "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents"),
     (repo_identity, "WITH f AS (SELECT source AS repo, 'docs/' || doc_id || '.txt' AS path, coalesce(text, '') AS t FROM documents), d AS (SELECT repo, path, sha256(length(path) || ':' || path || ':' || strlen(t) || ':' || t) AS h FROM f) SELECT repo, sha256(string_agg(h, chr(10) ORDER BY path)) AS identity FROM d GROUP BY repo"),
@@ -457,16 +456,15 @@ QUERIES = [
     (smell_fragment, f"WITH {LINES_SQL} SELECT doc, count(*)::BIGINT AS lines, CASE WHEN count(*) >= 20 THEN round(count(*) FILTER (WHERE NOT regexp_matches(line, '[.!?:;\"''”’)\\]]$')) / count(*)::DOUBLE, 6) END AS fragment_ratio FROM ln WHERE line <> '' GROUP BY doc"),
     (smell_headers, f"WITH {LINES_SQL}, n AS (SELECT doc, line, count(DISTINCT page) AS n FROM ln WHERE length(line) >= 4 GROUP BY ALL) SELECT doc, max(n) AS header_pages FROM n GROUP BY doc"),
     (smell_short, "SELECT source AS doc, sum(length(trim(coalesce(text, ''), ' \t\r' || chr(10) || chr(160))))::BIGINT AS chars, count(*) AS pages, sum(length(trim(coalesce(text, ''), ' \t\r' || chr(10) || chr(160)))) / count(*) < 200 AS short FROM documents GROUP BY source"),
-    (smell_reasons, None),
+    (smell_reasons, f"WITH {LINES_SQL}, fr AS (SELECT doc, CASE WHEN count(*) >= 20 THEN count(*) FILTER (WHERE NOT regexp_matches(line, '[.!?:;\"''”’)\\]]$')) / count(*)::DOUBLE END AS f FROM ln WHERE line <> '' GROUP BY doc), hn AS (SELECT doc, max(n) AS h FROM (SELECT doc, line, count(DISTINCT page) AS n FROM ln WHERE length(line) >= 4 GROUP BY ALL) GROUP BY doc), ch AS (SELECT source AS doc, sum(length(trim(coalesce(text, ''), ' \t\r' || chr(10) || chr(160)))) / count(*) < 200 AS short, count(*) AS p FROM documents GROUP BY source) SELECT doc, concat_ws('; ', CASE WHEN short THEN 'short output for ' || p || ' page' || CASE WHEN p = 1 THEN '' ELSE 's' END END, CASE WHEN h >= 3 THEN 'repeated line on ' || h || ' pages' END, CASE WHEN f > 0.6 THEN 'high sentence-fragment ratio (' || floor(f * 100 + 0.5)::BIGINT || '%)' END) AS reasons FROM ch LEFT JOIN hn USING (doc) LEFT JOIN fr USING (doc)"),
     (infer_types, INFER_SQL),
     (header_detect, "WITH c AS (SELECT p_partkey, [trim(p_name), trim(CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_brand ELSE '1e3' END), trim(p_type)] AS c FROM part) SELECT p_partkey, NOT list_contains(c, '') AND len(list_distinct(list_transform(c, lambda x: lower(x)))) = 3 AND len(list_filter(c, lambda x: regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'))) = 0 AS header FROM c"),
     (events_age, "WITH a AS (SELECT event_id, floor((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts)) / 86400000000.0)::BIGINT AS d FROM events) SELECT event_id, CASE WHEN d < 0 THEN 'future' WHEN d = 0 THEN 'today' WHEN d = 1 THEN '1 day' ELSE d || ' days' END AS age FROM a"),
+    (inventory_match, f"WITH {MENTION_SQL} SELECT source, pos, path FROM mt WHERE path IS NOT NULL"),
+    (inventory_merge, f"WITH {MENTION_SQL}, pg AS (SELECT coalesce(path, 'new:' || title) AS page, path IS NULL AS made, * FROM mt) SELECT page, CASE WHEN any_value(made) THEN arg_min(kind, (source, pos)) END AS kind, (SELECT coalesce(string_agg(a, ',' ORDER BY o), '') FROM fo WHERE fo.path = page) AS aliases, coalesce(arg_max(summary, (source, pos)) FILTER (WHERE summary <> ''), '') AS summary, count(DISTINCT source) AS n_citers, arg_min(source, (source, pos)) AS first_citer FROM pg GROUP BY page"),
     (eval_per_query, f"WITH {EVAL_SQL} SELECT source, round(recall5, 6) AS recall5, round(recall10, 6) AS recall10, round(rr, 6) AS rr FROM o"),
     (eval_recall_mrr, f"WITH {EVAL_SQL} {MEANS_SQL}"),
     (eval_floors, f"WITH {EVAL_SQL}, m AS ({MEANS_SQL}) SELECT 'recall_at_5' AS metric, recall_at_5 AS value FROM m WHERE recall_at_5 < 0.99 UNION ALL SELECT 'mrr', mrr FROM m WHERE mrr < 0.95 UNION ALL SELECT 'ranking_mrr', ranking_mrr FROM m"),
-    (eval_per_query_all, f"WITH {EVAL_ALL_SQL} SELECT source, round(recall5, 6) AS recall5, round(recall10, 6) AS recall10, round(rr, 6) AS rr FROM o"),
-    (eval_recall_mrr_all, f"WITH {EVAL_ALL_SQL} {MEANS_SQL}"),
-    (eval_floors_all, f"WITH {EVAL_ALL_SQL}, m AS ({MEANS_SQL}) SELECT 'recall_at_5' AS metric, recall_at_5 AS value FROM m WHERE recall_at_5 < 0.99 UNION ALL SELECT 'mrr', mrr FROM m WHERE mrr < 0.95 UNION ALL SELECT 'ranking_mrr', ranking_mrr FROM m"),
     (sanitize_title, "WITH t AS (SELECT page_id, nfc_normalize(' ._' || regexp_extract(html, '<title>([^<]*)</title>', 1) || ' #1?. ') AS t FROM pages), u AS (SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(t, '[\\[\\]#^|\\\\/:?*\"<>\\x00-\\x1f]', '', 'g'), '\\s+', ' ', 'g'), '^[_. ]+', '')), '[. ]+$', '') AS t FROM t) SELECT page_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title FROM u"),
     (title_stem, None),
     (slug, "WITH t AS (SELECT page_id, regexp_replace(regexp_replace(lower(nfc_normalize(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS t FROM pages), u AS (SELECT page_id, regexp_replace(t[1:60], '-+$', '') AS t FROM t) SELECT page_id, CASE WHEN t = '' THEN 'answer' ELSE t END AS slug FROM u"),

@@ -209,7 +209,13 @@ def ppr_topk(spark, sf_dir):
 def ppr_converged(spark, sf_dir):
     """To convergence: how many steps, and whether the change fell under the bound."""
     nodes, edges = term_graph(spark, sf_dir)
-    return ppr.run(nodes, edges, seeds_many(spark, sf_dir)).groupBy("qid", "iterations", "converged").agg(F.round(F.sum("score"), 6).alias("mass"), F.count(F.lit(1)).alias("n_nodes"))
+    return ppr.run(nodes, edges, seeds_many(spark, sf_dir)).groupBy("qid", F.col("iterations").cast("long").alias("iterations"), "converged").agg(F.round(F.sum("score"), 6).alias("mass"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+CONVERGED_SQL = f"""WITH RECURSIVE {TERMS}{walk_sql(SEEDS_MANY, SETTLED)},
+de AS (SELECT x.qid, x.i, sum(abs(x.score - y.score)) AS delta FROM v x JOIN v y ON y.qid = x.qid AND y.path = x.path AND y.i = x.i - 1 GROUP BY ALL),
+it AS (SELECT qid, coalesce(min(i) FILTER (WHERE delta < 1e-8), {SETTLED})::BIGINT AS iterations, bool_or(delta < 1e-8) AS converged FROM de GROUP BY qid)
+SELECT qid, iterations, converged, round(sum(score), 6) AS mass, count(*) AS n_nodes FROM it JOIN v USING (qid) WHERE v.i = iterations GROUP BY ALL"""
 
 
 def overlay_heat(spark, sf_dir):
@@ -225,10 +231,18 @@ def scrubber_frames(spark, sf_dir):
 
 
 def label_choice(spark, sf_dir):
-    """Ten labels: lit nodes by score, or by degree where nothing is lit."""
+    """Ten labels where nothing is lit: by degree."""
     nodes, _ = built(spark, sf_dir)
-    rank = F.row_number().over(Window.orderBy(F.desc("degree"), "path"))
-    return nodes.select("path", "degree").orderBy(F.desc("degree"), "path").limit(10).withColumn("rank", rank.cast("long"))
+    return retrieve.labels(nodes.select("path", "degree", F.lit(0.0).alias("score"), F.lit(False).alias("lit"))).select("path", "degree", F.col("rank").cast("long").alias("rank"))
+
+
+def label_choice_lit(spark, sf_dir):
+    """Ten labels where a walk has lit nodes: lit ones by score."""
+    nodes, edges = built(spark, sf_dir)
+    asked = retrieve.force_include(wiki(spark, sf_dir), spark.createDataFrame(QUESTIONS[:1], "qid string, question string"))
+    scores = _rounded(ppr.run(nodes, edges, asked, max_iter=STEPS, eps=0.0).select("path", "score"))
+    lit = nodes.join(scores, "path", "left").select("path", "degree", F.coalesce("score", F.lit(0.0)).alias("score"), (F.coalesce("score", F.lit(0.0)) > 0).alias("lit"))
+    return retrieve.labels(lit).select("path", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def node_radius(spark, sf_dir):
@@ -265,7 +279,8 @@ def force_include(spark, sf_dir):
     return retrieve.force_include(wiki(spark, sf_dir), spark.createDataFrame(QUESTIONS, "qid string, question string"))
 
 
-def _mode_b(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
+def mode_b_rank(spark, sf_dir, steps: int = SETTLED):
+    """Seeds named by a question, a walk from them over the page graph with as many steps as six decimals need to settle, the ranking, the pack."""
     w = wiki(spark, sf_dir)
     nodes, edges = built(spark, sf_dir)
     asked = retrieve.force_include(w, spark.createDataFrame(QUESTIONS, "qid string, question string"))
@@ -274,30 +289,19 @@ def _mode_b(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
     return retrieve.assemble(rank, w.select("path", F.concat_ws(" ", "title", "summary", "text").alias("text")), 12, 500).select("qid", "rank", "path", "kind", "score", "cost", "used", "truncated")
 
 
-def mode_b_rank(spark, sf_dir):
-    """Seeds named by a question, a walk from them over the page graph, the ranking, the pack."""
-    return _mode_b(spark, sf_dir, STEPS)
-
-
-def mode_b_rank_settled(spark, sf_dir):
-    """The same with as many steps as six decimals need to settle."""
-    return _mode_b(spark, sf_dir, SETTLED)
-
-
 QS = "(VALUES ('q1', 'What of the page en-1 and the fr-4?'), ('q2', 'de-2 or es-2 or en-2 or fr-2'), ('q3', 'nothing here')) q(qid, question)"
 FORCED = f"SELECT DISTINCT qid, path FROM {QS} JOIN cl ON name <> '' AND contains(nfc_normalize(lower(question)), nfc_normalize(lower(name)))"
 MODE_B_SQL = (
     f"WITH RECURSIVE {WIKI}, tn AS (SELECT path FROM pg), tw AS (SELECT sy.a, sy.b, 0.85::DOUBLE / dg.degree AS w FROM sy JOIN dg ON dg.path = sy.a)"
-    + walk_sql(FORCED, STEPS)
+    + walk_sql(FORCED, SETTLED)
     + f""",
-sc AS (SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}),
+sc AS (SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {SETTLED}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0),
 tx AS (SELECT path, kind, ceil(length(concat_ws(' ', title, summary, list_reduce(list_prepend('', list_transform(refs, lambda r: '[[' || r || '|go]]')), lambda x, y: CASE WHEN x = '' THEN y ELSE x || ' ' || y END))) / 4.0)::BIGINT AS cost FROM pg),
 pk AS (SELECT qid, rank, path, kind, score, cost, row_number() OVER w AS n, sum(cost) OVER w AS used FROM rk JOIN tx USING (path) WINDOW w AS (PARTITION BY qid ORDER BY rank))
 SELECT qid, rank, path, kind, score, cost, used::BIGINT AS used, used > 500 AS truncated FROM pk WHERE n <= 12 AND (used <= 500 OR n = 1)
 """
 )
-MODE_B_SETTLED_SQL = MODE_B_SQL.replace(walk_sql(FORCED, STEPS), walk_sql(FORCED, SETTLED)).replace(f"WHERE i = {STEPS})", f"WHERE i = {SETTLED})")
 
 QUERIES = [
     (link_extract, f"WITH {WIKI} SELECT path, pos, target FROM tgt"),
@@ -318,15 +322,15 @@ QUERIES = [
     (ppr_isolated_seed, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ALONE, STEPS)} SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}"),
     (ppr_snapshots, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ONE, STEPS)} SELECT qid, i::BIGINT AS iter, path, round(score, 6) AS score FROM v WHERE i > 0"),
     (ppr_topk, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_MANY, STEPS)}, r AS (SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM r WHERE score > 0) WHERE rank <= 12"),
-    (ppr_converged, None),
+    (ppr_converged, CONVERGED_SQL),
     (overlay_heat, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_MANY, STEPS)}, r AS (SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}), h AS (SELECT qid, r.path, se.path IS NOT NULL AS is_seed, score > 0 AND row_number() OVER (PARTITION BY qid ORDER BY score DESC, r.path) <= 12 AS in_topk, CASE WHEN score > 0 THEN round(score / max(score) OVER (PARTITION BY qid), 5) ELSE 0 END AS heat FROM r LEFT JOIN se USING (qid, path)) SELECT qid, path, is_seed, in_topk, heat, is_seed OR in_topk OR heat > 0 AS lit FROM h"),
     (scrubber_frames, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ONE, STEPS)}, r AS (SELECT i::BIGINT AS frame, path, round(score, 6) AS score FROM v WHERE i > 0) SELECT * FROM (SELECT frame, path, round(score / max(score) OVER (PARTITION BY frame), 5) AS heat, row_number() OVER (PARTITION BY frame ORDER BY score DESC, path) AS rank FROM r WHERE score > 0) WHERE rank <= 3"),
     (label_choice, f"WITH {WIKI} SELECT path, degree, row_number() OVER (ORDER BY degree DESC, path) AS rank FROM dg ORDER BY degree DESC, path LIMIT 10"),
+    (label_choice_lit, MODE_B_SQL[: MODE_B_SQL.index("sc AS (")].replace(walk_sql(FORCED, SETTLED), walk_sql(FORCED + " AND qid = 'q1'", STEPS)) + f"sc AS (SELECT path, round(score, 6) AS score FROM v WHERE i = {STEPS}) SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, path LIMIT 10"),
     (node_radius, f"WITH {WIKI} SELECT path, round(3.0::DOUBLE + 2.6::DOUBLE * ln(degree + 1), 6) AS radius FROM dg"),
     (trace_labels, f"WITH {WIKI}, fc AS (SELECT handle, path FROM (SELECT nfc_normalize(lower(title)) AS handle, path, row_number() OVER (PARTITION BY nfc_normalize(lower(title)) ORDER BY path) AS r FROM pg) WHERE r = 1 AND handle <> '') SELECT 't' || pg.path AS pos, ' ' || title || ' ' AS label, fc.path AS path FROM pg LEFT JOIN fc ON fc.handle = nfc_normalize(lower(title)) UNION ALL SELECT path, path, path FROM pg UNION ALL SELECT 'x' || path, 'gone ' || path, NULL FROM pg"),
     (filter_box, f"WITH {WIKI} SELECT path, title FROM pg WHERE contains(lower(title), 'th') OR contains(lower(path), 'th')"),
     (mention_graph, f"WITH {WIKI}, d0 AS (SELECT qid, path, 0 AS d FROM ({FORCED})), d1 AS (SELECT DISTINCT qid, sy.b AS path, 1 AS d FROM d0 JOIN sy ON sy.a = d0.path), d2 AS (SELECT DISTINCT qid, sy.b AS path, 2 AS d FROM d1 JOIN sy ON sy.a = d1.path) SELECT qid, path, min(d)::BIGINT AS distance FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY ALL"),
     (force_include, f"WITH {WIKI} {FORCED}"),
     (mode_b_rank, MODE_B_SQL),
-    (mode_b_rank_settled, MODE_B_SETTLED_SQL),
 ]

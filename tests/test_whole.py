@@ -29,7 +29,7 @@ def rows(spark, duck, name):
 
 
 def test_every_supplier_is_a_question(spark, duck):
-    got = rows(spark, duck, "seeds_validated_all")
+    got = rows(spark, duck, "seeds_validated")
     assert len({r.qid for r in got}) == duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey * 2 IN (SELECT p_partkey FROM part)").fetchone()[0] > 20
 
 
@@ -38,12 +38,12 @@ def test_no_citer_is_lost(spark, duck):
 
     live = q.changed(spark, SF).where("status <> 'deleted'").select("path")
     cited = q.citations(spark, SF).join(live, q.F.col("source") == live.path, "left_semi").distinct().groupBy("page").count().collect()
-    found = {r.page: len(r.citers.split(",")) for r in rows(spark, duck, "citer_union_all")}
+    found = {r.page: len(r.citers.split(",")) for r in rows(spark, duck, "citer_union")}
     assert found == {r.page: r["count"] for r in cited} and max(found.values()) > 11
 
 
 def test_every_page_that_scores_is_ranked(spark, duck):
-    got = rows(spark, duck, "mode_a_rank_all")
+    got = rows(spark, duck, "mode_a_rank")
     scored = duck.execute("SELECT count(*) FROM part WHERE contains(lower(p_brand), 'brand')").fetchone()[0]
     assert sum(r.qid == "k3" for r in got) == max(r.rank for r in got) == scored > 50
 
@@ -51,15 +51,15 @@ def test_every_page_that_scores_is_ranked(spark, duck):
 def test_every_good_document_is_expected(spark, duck):
     from inkmesh.plans import data_queries as q
 
-    expected = q.outcomes_of(spark, SF, every=1).select(q.F.sum(q.F.size("expected"))).first()[0]
+    expected = q.outcomes_of(spark, SF).select(q.F.sum(q.F.size("expected"))).first()[0]
     assert expected == duck.execute("SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1").fetchone()[0]
-    assert len(rows(spark, duck, "eval_per_query_all")) == 20
-    rows(spark, duck, "eval_recall_mrr_all"), rows(spark, duck, "eval_floors_all")
+    assert len(rows(spark, duck, "eval_per_query")) == 20
+    rows(spark, duck, "eval_recall_mrr"), rows(spark, duck, "eval_floors")
 
 
 def test_the_walk_has_settled(spark, duck):
     from inkmesh.plans import graph_queries as q
 
-    got = {(r.qid, r.path): r.score for r in rows(spark, duck, "mode_b_rank_settled")}
-    more = {(r.qid, r.path): r.score for r in q._mode_b(spark, SF, 2 * q.SETTLED).collect()}
+    got = {(r.qid, r.path): r.score for r in rows(spark, duck, "mode_b_rank")}
+    more = {(r.qid, r.path): r.score for r in q.mode_b_rank(spark, SF, 2 * q.SETTLED).collect()}
     assert got.keys() == more.keys() and all(abs(got[k] - more[k]) < 1.5e-6 for k in got)
