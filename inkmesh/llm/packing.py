@@ -40,15 +40,15 @@ from inkmesh.llm.wordhash import frugal
 
 LENGTH, END, OPEN = 2048, 0, 256
 GROUP = 100_000
-#: Words whose ids a worker process keeps, about 150 bytes each.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a task keeps, about 150 bytes each.
+KEPT_WORDS = 300_000
 #: Marks that may follow a word, and words of letters (lower-case but for those beyond ASCII) that need no normalizer: one form, one case.
 MARKS, LETTERS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "^[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: How a byte-level vocabulary spells the bytes that are no visible Latin-1 character: those from 256 on, in order.
 SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text whose words are looked up together.
-STEP = 16e6
+STEP = 4e6
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -73,8 +73,8 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         # For words of lower-case letters in the tokenizer's own spelling: to split and merge is all that is left.
-        self.spelt = Tokenizer.from_file(path)
-        self.spelt.normalizer, self.spelt.pre_tokenizer = None, WhitespaceSplit()
+        self.spelt = Tokenizer(self.tokenizer.model)
+        self.spelt.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -82,7 +82,7 @@ class Ids:
 
     @staticmethod
     def of_worker(path: str) -> Ids:
-        """That of this process: a worker that runs several tasks keeps its words."""
+        """That of this process: a worker that runs several tasks reads the tokenizer once."""
         kept = sys.modules.setdefault("_inkmesh_worker", types.ModuleType("_inkmesh_worker")).__dict__
         if ("ids", path) not in kept:
             kept["ids", path] = Ids(path)
@@ -233,6 +233,7 @@ def _packs(path: str, most: int):
                     first += size
             if done:
                 yield _table(done, False)
+        ids.forget()  # an idle worker's memory is missing elsewhere
         if left := packer.flush():
             yield _table(left, True)
 
