@@ -45,8 +45,8 @@ from inkmesh.llm.wordhash import frugal, hash_distinct, split_words
 
 HEAD, TAIL = 1 << 16, 1 << 16
 SIDE, WIDTH, HIDDEN = 2, 16, 15
-#: Words drawn against a word in training, and for the mean over others in scoring.
-DRAWN, SEEN = 128, 256
+#: Words drawn against a word in training, and for the mean over others in scoring: as many, since the mean is then like those that training has seen.
+DRAWN, SEEN = 128, 128
 SHARD, MOST_SHARDS = 1 << 22, 1 << 13
 BATCH, POOL, STEP = 8192, 1 << 18, 0.05
 #: Rows of a table that are averaged at a time, and how often a task meets a row before it goes to other shards.
