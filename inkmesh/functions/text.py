@@ -44,7 +44,12 @@ def _nfc(s: pd.Series) -> pd.Series:
 def handle(c: Column, nfc: bool = True) -> Column:
     """The spelling that names share. ``nfc=False`` stays in the JVM, for text known to be NFC."""
     plain = F.lower(trim(c))
-    return _nfc(plain) if nfc else plain
+    return nfc_of(plain) if nfc else plain
+
+
+def nfc_of(c: Column) -> Column:
+    """NFC. Only text with characters from U+0300 on may be other than that already, so only such goes to Python."""
+    return F.coalesce(_nfc(F.when(c.rlike("[^\\u0000-\\u02ff]"), c)), c)
 
 
 def utf16_length(c: Column) -> Column:
@@ -111,7 +116,7 @@ def normalize_path_py(path: str) -> str:
 
 def sanitize_title(c: Column, nfc: bool = True) -> Column:
     """A title a file can bear."""
-    t = F.regexp_replace(_nfc(c) if nfc else c, r'[\[\]#^|\\/:?*"<>\x00-\x1f]', "")
+    t = F.regexp_replace(nfc_of(c) if nfc else c, r'[\[\]#^|\\/:?*"<>\x00-\x1f]', "")
     t = F.regexp_replace(t, f"[{WHITE}]+", " ")
     t = F.regexp_replace(t, r"^[_. ]+", "")
     t = F.regexp_replace(trim(t), r"[. ]+$", "")
@@ -173,7 +178,7 @@ def unique_title_py(title: str, taken: set[str]) -> str:
 
 
 def slug(c: Column, nfc: bool = True) -> Column:
-    t = F.regexp_replace(F.lower(_nfc(c) if nfc else c), "[^a-z0-9]+", "-")
+    t = F.regexp_replace(F.lower(nfc_of(c) if nfc else c), "[^a-z0-9]+", "-")
     t = F.regexp_replace(t, "^-+|-+$", "")
     t = F.regexp_replace(F.substring(t, 1, SLUG_LIMIT), "-+$", "")
     return F.when(t == "", "answer").otherwise(t)

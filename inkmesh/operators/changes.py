@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.functions.text import is_under, utf16_order
+from inkmesh.functions.text import is_under, path_key
 
 PENDING = "cascade-pending"
 
@@ -32,14 +35,66 @@ def diff(found: DataFrame, manifest: DataFrame, skipped: DataFrame | None = None
     return out
 
 
+class _Free:
+    """Paths in order, of which the first from some place on that is still free is found by links that skip taken ones."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.paths, self.keys, self.link = paths, [path_key(p) for p in paths], list(range(len(paths) + 1))
+
+    def first(self, low: bytes = b"", high: bytes | None = None) -> str | None:
+        """The first free path with a key from ``low`` on and under ``high``."""
+        at = self._free(bisect_left(self.keys, low))
+        return self.paths[at] if at < len(self.paths) and (high is None or self.keys[at] < high) else None
+
+    def _free(self, at: int) -> int:
+        way = []
+        while self.link[at] != at:
+            way.append(at)
+            at = self.link[at]
+        for w in way:
+            self.link[w] = at
+        return at
+
+    def take(self, path: str) -> None:
+        at = bisect_left(self.keys, path_key(path))
+        self.link[at] = at + 1
+
+
+def _claims(olds: list[str], news: list[str]) -> list[tuple[str, str]]:
+    """Each old path in order takes the best new one that is free: in its folder (2), or below it (1), with its own name (1 more); of equals the first.
+
+    What one score asks for is a stretch of the new paths in order, of all or of those of
+    one folder or name, so a group costs little more than sorting it.
+    """
+    every, by_folder, by_name = _Free(news), {}, {}
+    for n in news:
+        folder, _, name = n.rpartition("/")
+        by_folder.setdefault(folder, []).append(n)
+        by_name.setdefault(name, []).append(n)
+    by_folder, by_name = ({k: _Free(v) for k, v in d.items()} for d in (by_folder, by_name))
+    nothing, out = _Free([]), []
+    for old in olds:
+        folder, _, name = old.rpartition("/")
+        near, same = by_folder.get(folder, nothing), by_name.get(name, nothing)
+        below = (path_key(folder + "/"), path_key(folder + "0")) if folder else (b"", None)  # "0" follows "/"
+        beside = path_key(old), path_key(old) + b"\0"
+        for found in ([near.first(*beside)], [near.first(), same.first(*below)], [every.first(*below), same.first()], [every.first()]):
+            best = min((f for f in found if f is not None), key=path_key, default=None)
+            if best is not None:
+                out.append((old, best))
+                every.take(best)
+                by_folder[best.rpartition("/")[0]].take(best)
+                by_name[best.rpartition("/")[2]].take(best)
+                break
+    return out
+
+
 def rename_pairs(changed: DataFrame) -> DataFrame:
     """``old, new``: deleted files met by new ones of the same content, greedily, each once.
 
     Old paths choose in path order, the best score first, then path order. Only files
-    of one content meet in a group.
+    of one content meet in a group, as paths alone.
     """
-    import pandas as pd
-
     gone = changed.where(F.col("status") == "deleted").select(F.col("path").alias("old"), F.col("old_hash").alias("hash"))
     come = changed.where(F.col("status") == "new").select(F.col("path").alias("new"), "hash")
     # A lone pair needs no choice and stays out of Python.
@@ -50,24 +105,8 @@ def rename_pairs(changed: DataFrame) -> DataFrame:
     pool = gone.select("hash", F.col("old").alias("path"), F.lit(True).alias("is_old")).union(come.select("hash", F.col("new"), F.lit(False))).join(many, "hash")
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = lambda s: s.encode("utf-16-be", "surrogatepass")
-        olds, news = (sorted(pdf.loc[pdf.is_old == flag, "path"], key=key) for flag in (True, False))
-        out = []
-
-        def folder(p: str) -> str:
-            return p.rpartition("/")[0]
-
-        def score(o: str, n: str) -> int:
-            a, b = folder(o), folder(n)
-            near = 2 if a == b else 1 if (a == "" and b != "") or b.startswith(a + "/") else 0
-            return near + (o.rpartition("/")[2] == n.rpartition("/")[2])
-
-        for o in olds:
-            if not news:
-                break
-            best = max(range(len(news)), key=lambda i: (score(o, news[i]), -i))  # noqa: B023
-            out.append((o, news.pop(best)))
-        return pd.DataFrame(out, columns=["old", "new"])
+        olds, news = ([path for _, path in sorted((path_key(p), p) for p in pdf.loc[pdf.is_old == flag, "path"])] for flag in (True, False))
+        return pd.DataFrame(_claims(olds, news), columns=["old", "new"])
 
     return lone.union(pool.groupBy("hash").applyInPandas(claim, "old string, new string"))
 
@@ -113,9 +152,3 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equal as bags: a write can be skipped."""
     b = b.select(*a.columns)
     return not a.exceptAll(b).union(b.exceptAll(a)).limit(1).count()
-
-
-def ordered(df: DataFrame, path: str = "path", group: str | None = None) -> DataFrame:
-    """Adds ``seq`` in path order of each group."""
-    w = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    return df.withColumn("seq", F.row_number().over(w.orderBy(utf16_order(F.col(path)))))

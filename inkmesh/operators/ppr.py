@@ -66,7 +66,10 @@ def _small(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float, m
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkmesh-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkmesh-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -90,8 +93,8 @@ def _large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float, m
     finished, steps = None, None
     for k in range(1, max_iter + 1):
         new = step(v, adjacency, p, alpha, deterministic)
-        if k % every == 0:
-            new = _cut(new)
+        # read three times below and by the next step: kept, and every few steps cut off from what it came from
+        new = _cut(new) if k % every == 0 else new.persist()
         both = new.alias("n").join(v.alias("o"), ["qid", "path"], "full_outer")
         change = both.groupBy("qid").agg(F.sum(F.abs(F.coalesce("n.score", F.lit(0.0)) - F.coalesce("o.score", F.lit(0.0)))).alias("change"))
         ended = _cut(change.where((F.col("change") < eps) | F.lit(k == max_iter)).select("qid", (F.col("change") < eps).alias("converged")))
@@ -107,6 +110,7 @@ def _large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float, m
             p = p.join(ended, "qid", "left_anti")
             if not new.limit(1).count():
                 break
+        v.unpersist()
         v = new
     questions = valid.select("qid").distinct()
     grid = questions.join(nodes.select("path").distinct())  # the result holds every node of every question

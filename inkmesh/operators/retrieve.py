@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,29 @@ from inkmesh.functions.text import handle, token_estimate, trim, truncate_tail,
 TOP_K, BUDGET, SEEDS, KEYWORDS = 12, 40_000, 8, 12
 
 
+#: Questions that meet all pages at a time.
+BLOCK = 1000
+
+
+def in_blocks(questions: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of ``meet(block)`` over blocks of about ``BLOCK`` questions, each sent to all executors."""
+    n = questions.count()
+    blocks = -(-n // BLOCK) or 1
+    place = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        part = meet(F.broadcast(questions.where(place == k) if blocks > 1 else questions))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def force_include(pages: DataFrame, questions: DataFrame, nfc: bool = True) -> DataFrame:
     """``qid, path``: pages of which the title or an alias is inside the question. No cap."""
     names = pages.select("path", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     names = names.select("path", handle(F.col("name"), nfc).alias("name")).where("name <> ''").distinct()
     asked = questions.select("qid", handle(F.col("question"), nfc).alias("q"))
-    # a name may stand anywhere in a question, so this is no equi-join; questions are few
-    return asked.join(names, F.contains(F.col("q"), F.col("name"))).select("qid", "path").distinct()
+    # a name may stand anywhere in a question, so this is no equi-join: names pass a block of questions at a time
+    return in_blocks(asked, lambda own: names.join(own, F.contains(F.col("q"), F.col("name"))).select("qid", "path")).distinct()
 
 
 def valid_seeds(proposed: DataFrame, pages: DataFrame, cap: int = SEEDS) -> DataFrame:
@@ -46,8 +64,8 @@ def lexical_scores(pages: DataFrame, keywords: DataFrame, nfc: bool = True) -> D
     own = own.withColumn("al", F.filter(F.transform("raw", lambda a: F.lower(trim(a))), lambda a: a != ""))
     words = keywords.select("qid", F.filter(F.transform("keywords", lambda k: F.lower(trim(k))), lambda k: k != "").alias("ks"))
     total = F.aggregate("ks", F.lit(0), lambda acc, k: acc + tier(k, F.col("t"), F.col("al"), F.col("s"), F.col("b")))
-    # every question scores every page, which is what the ranking asks for; questions are few
-    return own.join(words).select("qid", "path", "title", "kind", total.cast("long").alias("score"))
+    # every question scores every page, which is what the ranking asks for: pages pass a block of questions at a time
+    return in_blocks(words, lambda ws: own.crossJoin(ws).select("qid", "path", "title", "kind", total.cast("long").alias("score")))
 
 
 def ranked(scores: DataFrame, seeds: DataFrame | None = None, limit: int | None = None) -> DataFrame:
