@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from inkmesh.functions.text import handle, utf16_order
+from inkmesh.functions.text import fnv1a, handle, utf16_order
 from inkmesh.operators.links import first_claimants, targets
 
 MIN_NODES, MIN_RATIO = 20, 1.5
@@ -82,3 +86,23 @@ def same_topology(nodes_a: DataFrame, edges_a: DataFrame, nodes_b: DataFrame, ed
 
 def node_radius(degree: Column) -> Column:
     return F.lit(3.0) + F.lit(2.6) * F.log1p(degree)
+
+
+#: Fixed value: the radius of the disc on which a layout starts.
+SEED_RADIUS = 320.0
+
+
+@F.pandas_udf(LongType())
+def path_hash(path: pd.Series) -> pd.Series:
+    """FNV-1a of the UTF-16 units, 32 bits; a null path: null."""
+    return path.map(lambda p: None if p is None else fnv1a(p)).astype("Int64")
+
+
+def seed_position(path: Column) -> Column:
+    """``x, y`` where a layout puts a node at first, from its path alone: the hash's low half is the angle, its high half the share of the disc's area."""
+    def point(h: Column) -> Column:
+        angle = h.bitwiseAND(F.lit(0xFFFF).cast("long")) / F.lit(65536.0) * F.lit(2 * math.pi)
+        radius = F.sqrt(F.shiftright(h, 16) / F.lit(65536.0)) * F.lit(SEED_RADIUS)
+        return F.struct((F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))
+
+    return F.element_at(F.transform(F.array(path_hash(path)), point), 1)

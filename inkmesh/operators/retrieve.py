@@ -171,3 +171,17 @@ def labels(nodes: DataFrame, n: int = 10) -> DataFrame:
     by_score, any_lit = F.when(F.col("lit"), F.col("score")), F.max("lit").over(Window.partitionBy())
     kept = first.withColumn("any_lit", any_lit).where(~F.col("any_lit") | F.col("lit")).drop("any_lit")
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by_score), F.when(~F.col("lit"), F.negative("degree")), utf16_order(F.col("path")))))
+
+
+def stops(steps: DataFrame, final: DataFrame) -> DataFrame:
+    """``qid, stop, path, score, label``: what a slider over a walk can show: each step kept, and the end where the walk went on beyond them.
+
+    ``steps(qid, iter, path, score)``, ``final(qid, path, score, iterations)``.
+    """
+    ends = final.select("qid", "iterations").distinct().join(steps.groupBy("qid").agg(F.max("iter").alias("kept")), "qid")
+    total, kept = F.col("iterations").cast("string"), F.col("kept")
+    shown = steps.join(ends, "qid").select("qid", F.col("iter").alias("stop"), "path", "score", F.concat(F.lit("iteration "), F.col("iter").cast("string"), F.lit(" of "), total).alias("label"))
+    gap = F.concat(F.lit("final vector at iteration "), total, F.lit(" (iterations "), (kept + 1).cast("string"), F.lit("–"), (F.col("iterations") - 1).cast("string"), F.lit(" not retained)"))
+    last = F.when(F.col("iterations") == kept + 1, F.concat(F.lit("iteration "), total, F.lit(" of "), total)).otherwise(gap)
+    more = final.select("qid", "path", "score").join(ends.where("iterations > kept"), "qid").select("qid", (kept + 1).alias("stop"), "path", "score", last.alias("label"))
+    return shown.union(more)

@@ -249,6 +249,12 @@ def node_radius(spark, sf_dir):
     return built(spark, sf_dir)[0].select("path", F.round(graph.node_radius(F.col("degree")), 6).alias("radius"))
 
 
+def layout_seed(spark, sf_dir):
+    """Where a layout starts: a point for each node from its path."""
+    at = graph.seed_position(F.col("path"))
+    return built(spark, sf_dir)[0].select("path", at.alias("p")).select("path", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
 def trace_labels(spark, sf_dir):
     """Labels of a trace mapped back to nodes: paths, titles in another case, and what is gone."""
     nodes, _ = built(spark, sf_dir)
@@ -328,6 +334,7 @@ QUERIES = [
     (label_choice, f"WITH {WIKI} SELECT path, degree, row_number() OVER (ORDER BY degree DESC, path) AS rank FROM dg ORDER BY degree DESC, path LIMIT 10"),
     (label_choice_lit, MODE_B_SQL[: MODE_B_SQL.index("sc AS (")].replace(walk_sql(FORCED, SETTLED), walk_sql(FORCED + " AND qid = 'q1'", STEPS)) + f"sc AS (SELECT path, round(score, 6) AS score FROM v WHERE i = {STEPS}) SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, path LIMIT 10"),
     (node_radius, f"WITH {WIKI} SELECT path, round(3.0::DOUBLE + 2.6::DOUBLE * ln(degree + 1), 6) AS radius FROM dg"),
+    (layout_seed, f"WITH {WIKI}, h AS (SELECT path, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(path, ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296)::BIGINT AS h FROM pg), a AS (SELECT path, (h & 65535) / 65536.0::DOUBLE * 2 * pi() AS a, sqrt((h >> 16) / 65536.0::DOUBLE) * 320 AS r FROM h) SELECT path, round(cos(a) * r, 6) AS x, round(sin(a) * r, 6) AS y FROM a"),
     (trace_labels, f"WITH {WIKI}, fc AS (SELECT handle, path FROM (SELECT nfc_normalize(lower(title)) AS handle, path, row_number() OVER (PARTITION BY nfc_normalize(lower(title)) ORDER BY path) AS r FROM pg) WHERE r = 1 AND handle <> '') SELECT 't' || pg.path AS pos, ' ' || title || ' ' AS label, fc.path AS path FROM pg LEFT JOIN fc ON fc.handle = nfc_normalize(lower(title)) UNION ALL SELECT path, path, path FROM pg UNION ALL SELECT 'x' || path, 'gone ' || path, NULL FROM pg"),
     (filter_box, f"WITH {WIKI} SELECT path, title FROM pg WHERE contains(lower(title), 'th') OR contains(lower(path), 'th')"),
     (mention_graph, f"WITH {WIKI}, d0 AS (SELECT qid, path, 0 AS d FROM ({FORCED})), d1 AS (SELECT DISTINCT qid, sy.b AS path, 1 AS d FROM d0 JOIN sy ON sy.a = d0.path), d2 AS (SELECT DISTINCT qid, sy.b AS path, 2 AS d FROM d1 JOIN sy ON sy.a = d1.path) SELECT qid, path, min(d)::BIGINT AS distance FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY ALL"),

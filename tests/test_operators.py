@@ -89,3 +89,11 @@ def test_repository_as_one_source(spark):
     assert text.startswith("# r\n\n## README\n\n```\nr\n```\n\n") and "````python\na```\n````" in text and text.endswith("```\n") and "repo file omitted: big.md — file over 100KB" in text
     found = {r.path: r["format"] for r in formats.discover(df).collect()}
     assert found == {"raw/r": "repo", "raw/x.md": "md"}
+
+
+def test_stops_of_a_walk(spark):
+    steps = spark.createDataFrame([("q", i, "a", i / 10) for i in range(1, 4)] + [("r", 1, "a", 1.0)] + [("s", 1, "a", 1.0)], "qid string, iter int, path string, score double")
+    final = spark.createDataFrame([("q", "a", 0.9, 6), ("r", "a", 1.0, 1), ("s", "a", 0.5, 2)], "qid string, path string, score double, iterations int")
+    got = sorted((r.qid, r.stop, r.score, r.label) for r in retrieve.stops(steps, final).collect())
+    assert got[3] == ("q", 4, 0.9, "final vector at iteration 6 (iterations 4–5 not retained)") and got[0][3] == "iteration 1 of 6"
+    assert got[4:] == [("r", 1, 1.0, "iteration 1 of 1"), ("s", 1, 1.0, "iteration 1 of 2"), ("s", 2, 0.5, "iteration 2 of 2")]

@@ -39,7 +39,9 @@ def vault(spark, tmp_path):
 
 
 def test_build_ask_file_and_health(vault):
-    first = vault.compile()
+    told = []
+    first = vault.compile(progress=told.append)
+    assert [e["phase"] for e in told] == ["discovering", *["normalizing"] * 3, "inventory", "generating", "writing-index", "writing-manifest"] and not first.noop
     assert first.new == ["raw/a.md", "raw/b.txt", "raw/c.csv"] and not first.failed
     assert "raw/d.docx" in first.skipped
     church = vault.read("wiki/concepts/Church.md")
@@ -47,7 +49,7 @@ def test_build_ask_file_and_health(vault):
     assert frontmatter.parse(church).data["kind"] == "concept" and "# Church" not in church
     assert "derived-from" in vault.read("raw/c.md")
     again = vault.compile()
-    assert (again.new, again.modified, again.deleted, again.written, again.calls) == ([], [], [], [], 0)
+    assert (again.new, again.modified, again.deleted, again.written, again.calls) == ([], [], [], [], 0) and again.noop and again.unchanged == 3
 
     note = vault.ask("Who was Turing?")
     assert note == "answers/2026-03-01-0930 who-was-turing.md"
@@ -83,7 +85,7 @@ def test_a_renamed_source_takes_its_derivative_along(vault, tmp_path):
     (tmp_path / "raw/c.csv").rename(tmp_path / "raw/e.csv")
     done = vault.compile()
     assert done.renamed == [("raw/c.csv", "raw/e.csv")] and done.calls == 0
-    assert "[[raw/e.csv]]" in vault.read("raw/e.md") and vault.read("raw/c.md") is None
+    assert "derived-from: raw/e.csv\n" in vault.read("raw/e.md") and vault.read("raw/c.md") is None
     assert json.loads(vault.read("ingest-manifest.json"))["raw/e.csv"]["derivative"] == "raw/e.md"
     again = vault.compile()
     assert (again.new, again.modified, again.deleted, again.renamed, again.written) == ([], [], [], [], [])
@@ -126,11 +128,23 @@ def test_heads_byte_order_marks_and_other_bytes(vault, tmp_path):
     assert (again.new, again.modified, again.written) == ([], [], [])
 
 
-def test_a_derivative_that_is_lost_or_taken_is_made_again(vault, tmp_path):
+def test_a_derivative_whose_place_is_taken_is_not_written(vault, tmp_path):
     vault.compile()
-    (tmp_path / "raw/c.md").write_text("---\nderived-from: '[[raw/other.csv]]'\n---\nmine")
-    assert vault.compile().modified == ["raw/c.csv"]
-    assert "mine" in vault.read("raw/c.md") and "derived-from" in vault.read("raw/c.csv.md")
+    (tmp_path / "raw/c.md").write_text("---\nderived-from: raw/other.csv\n---\nmine")
+    out = vault.compile()
+    assert out.modified == ["raw/c.csv"] and "already taken by a derivative of raw/other.csv" in out.failed["raw/c.csv"] and "mine" in vault.read("raw/c.md")
+    (tmp_path / "raw/c.md").unlink()
+    assert vault.compile().modified == ["raw/c.csv"] and "derived-from: raw/c.csv\n" in vault.read("raw/c.md")
+
+
+def test_derivatives_of_sources_that_are_gone(vault, tmp_path):
+    (tmp_path / "raw/k.csv").write_text("id\n7\n")
+    vault.compile()
+    (tmp_path / "raw/c.csv").unlink()
+    (tmp_path / "raw/k.csv").unlink()
+    (tmp_path / "raw/k.md").write_text("my own")
+    out = vault.compile()
+    assert out.derivatives_removed == ["raw/c.md"] and "left raw/k.md alone" in out.reported["raw/k.csv"] and vault.read("raw/k.md").endswith("my own")
 
 
 def test_walks_and_their_steps(vault):
