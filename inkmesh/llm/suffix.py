@@ -48,7 +48,7 @@ from inkmesh.llm.wordhash import frugal, hash_distinct, mix, portions, runs, spl
 
 LENGTH, GRAM = 50, 8
 #: Suffixes of one gram that go to one task at least; beyond it, and an even share of all, they are dealt out by id.
-HEAP = 2_000
+HEAP = 500
 WINDOW = LENGTH - GRAM + 1  # grams of a run
 
 
@@ -312,7 +312,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     wanted = each.join(several, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "heaps")).alias("grams"))
     found = rows.join(wanted, "key").mapInArrow(frugal(_suffixes), SUFFIX)
     by_right = found.repartition("gram", "heap").sortWithinPartitions("gram", "heap", "suffix")
-    by_left = by_right.mapInArrow(frugal(_reaching), SUFFIX).sortWithinPartitions("gram", "heap", "before", "suffix", "id", "text", "at")
+    # dealt out again, though to the same tasks: what is left is little, and no task has two Python workers at a time
+    by_left = by_right.mapInArrow(frugal(_reaching), SUFFIX).repartition("gram", "heap").sortWithinPartitions("gram", "heap", "before", "suffix", "id", "text", "at")
     compared = durable(by_left.mapInArrow(frugal(_compare), "id bigint, text bigint, low int, high int, run binary, open boolean"))
     release(docs.sparkSession)
     # The first holder of a run: a run that very many hold is dealt to several tasks. Repeated rows give the same hits.
