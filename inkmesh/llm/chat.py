@@ -13,7 +13,8 @@ repeated turns. A conversation of invalid order is formatted all the same,
 ``valid`` is false and ``bad_turn`` is the place (from 0) of the first turn the
 machine does not allow, or the number of turns if it only ends too early. A null
 conversation id is a conversation. No rows: no conversations. Other columns
-are not read.
+are not read, whatever their names. A conversation's turns come to one task, since its
+text is one, so it has to fit there (2 GB); different conversations are spread by id.
 """
 
 from __future__ import annotations

@@ -86,6 +86,16 @@ def test_no_chats(spark):
     assert chat.format_chats(chats_of(spark, [])).count() == 0
 
 
+def test_chats_with_clashing_columns_and_long_texts(spark):
+    long = "</s>[INST] & é " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "a" * 500_000), (2, 0, "assistant", None)]
+    chats = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumns({c: F.lit(1) for c in ("t", "turns", "segments", "end", "formatted", "loss")})
+    out = {r.conv_id: r for r in chat.format_chats(chats).select("conv_id", "valid", "bad_turn", chat.read_turns(F.col("formatted")).alias("back"), F.length(chat.loss_text(F.col("segments"))).alias("n")).collect()}
+    assert [tuple(x) for x in out[1].back] == [("user", long), ("assistant", "a" * 500_000)] and out[1].n == 500_000 and out[1].valid
+    assert (out[2].valid, out[2].bad_turn, out[2].n) == (False, 0, 0)
+    assert chat.format_chats(chats.limit(0)).count() == 0
+
+
 # --- URLs ----------------------------------------------------------------------------------
 
 
