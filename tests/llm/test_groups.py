@@ -143,6 +143,26 @@ def test_passages_are_cut_out(docs_of, rng):
     assert suffix.cut(docs).columns == docs.columns and suffix.cut(docs_of([])).count() == 0
 
 
+def test_cut_keeps_rows_of_a_null_id_and_repeated_rows(docs_of, rng):
+    p = prose(rng, 60, 3000)
+    texts = [f"a {p}", f"b {p}", f"b {p}", f"c {p}", None]
+    out = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in suffix.cut(docs_of(texts, [1, 2, 2, None, None])).collect())
+    assert out == sorted([(1, texts[0]), (2, "b"), (2, "b"), (-1, texts[3]), (-1, "")])
+
+
+def test_a_passage_repeated_in_its_own_text(docs_of, rng):
+    p, q = prose(rng, 60, 3000), prose(rng, 55, 3000)
+    texts = [f"{p} x {p} y {p}", "z " * 130, f"{q} {q}", prose(rng, 200, 5000)]
+    got = {r.doc_id: r.text for r in suffix.cut(docs_of(texts)).collect()}
+    assert got == {0: f"{p} x  y", 1: ("z " * 50).strip(), 2: q, 3: texts[3]}
+
+
+def test_near_duplicates_of_very_long_texts(docs_of, rng):
+    a = prose(rng, 60_000, 50_000)
+    got = {r.doc_id: r.component_id for r in neardup.link(docs_of([a, edited(rng, a, 200), "short", prose(rng, 60_000, 50_000)])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 # --- benchmark passages --------------------------------------------------------------------
 
 

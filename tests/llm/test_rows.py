@@ -13,7 +13,7 @@ import pytest
 from conftest_llm import prose, words
 from pyspark.sql import functions as F
 
-from inkmesh.llm import chat, packing, quality, sharding, urls, warc
+from inkmesh.llm import chat, common, packing, quality, sharding, urls, warc
 
 ODD = [None, "", " \n\t", "a", "a b c a b c a b c", "É é 😀 \x0b x", "x\n\nx\nx \n" * 30, "# $ % & | < > *", "w " * 20_000]
 
@@ -179,6 +179,22 @@ def test_long_urls_of_one_template_are_mined(spark):
     assert ("p:u",) in [tuple(r.items) for r in found] and all(len(r.items) == 1 for r in found)
 
 
+def test_urls_with_clashing_columns_ties_and_great_length(spark):
+    rules = spark.createDataFrame([(1, ["p:a"], "p:a", 0.8, 0.1), (2, ["p:b"], "p:b", 0.8, 0.1), (3, ["p:a", "p:c"], "p:c", 0.9, 0.1)], "rule_id bigint, items array<string>, rarest string, confidence double, support double")
+    long = "http://x.io/" + "z/" * 100_000 + "b"
+    pages = spark.createDataFrame([(1, "http://x.io/a/b"), (2, "http://x.io/c/a"), (3, long), (None, "http://x.io/a"), (4, None)], "page_id bigint, url string").withColumns({c: F.lit("q") for c in ("tokens", "key", "mined", "host", "heap")})
+    got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(pages, rules, ()).collect()}
+    assert got == {1: ("block", "p:b"), 2: ("block", "p:a p:c"), 3: ("block", "p:b"), None: ("block", "p:a"), 4: ("allow", None)}
+
+
+def test_a_url_in_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "PIECE", 10)
+    pages = spark.createDataFrame([(i, "http://x.io/a" if i % 3 else f"http://x.io/{i}" if i else None) for i in range(300)], "page_id bigint, url string")
+    rules = spark.createDataFrame([(1, ["p:a"], "p:a", 0.8, 0.1)], "rule_id bigint, items array<string>, rarest string, confidence double, support double")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, rules, ()).collect()}
+    assert got == {i: "block" if i % 3 else "allow" for i in range(300)}
+
+
 def test_no_labels_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.io/x"), (None, None)], "page_id bigint, url string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
