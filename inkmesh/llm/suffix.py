@@ -48,7 +48,7 @@ from inkmesh.llm.wordhash import frugal, hash_distinct, mix, portions, runs, spl
 
 LENGTH, GRAM = 50, 8
 #: Suffixes of one gram that go to one task at least; beyond it, and an even share of all, they are dealt out by id.
-HEAP = 500
+HEAP = 200
 WINDOW = LENGTH - GRAM + 1  # grams of a run
 
 
