@@ -28,6 +28,9 @@ CONTRACT = {
     "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_suffix_dedup": "doc_id start_word n_words first_doc_id",
     "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op11_resample": "doc_id n_features weight score rank",
+    "op12_align": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_quality_votes": "doc_id held_out score predicted",
     "quality_ablations": "version without kept_docs gained total",
 }
 
