@@ -3,7 +3,7 @@
 Features. A text's words go without the marks at their end into ``BUCKETS`` by hash; so do
 these marks, the shape of each word (capitals, letters, digits, marks), and a few for the
 text: its length, its lines, how many words are distinct, how many follow themselves. A feature's weight is
-16 (1 + log2 of its count), times its inverse document frequency over all documents.
+16 (1 + log2 of its count), ``OF_TEXT`` for those of a text, times its inverse document frequency over all documents.
 
 Space. Labelled documents, ``MOST`` of each class at most, make a matrix whose leading right
 singular vectors (subspace iteration in numpy) map features to ``WIDTH`` numbers. This fit
@@ -46,6 +46,8 @@ FOLDS, THRESHOLD = 5, 0.3
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Whole numbers up to these stand for a map's entries and for the entries of a vector of length 1.
 MAP_SCALE, UNIT = 1 << 15, 1 << 11
+#: Weight of the features of a text as a whole.
+OF_TEXT = 255
 #: Documents whose cosines are taken at a time, and bytes of text whose features are.
 BLOCK, PORTION = 512, 4e6
 #: Kinds of features, so that the same string of two kinds is two features; the last are those of a text.
@@ -88,11 +90,14 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.unique(text << 32 | places)
         n_distinct = np.bincount(own >> 32, minlength=len(counts))
         again = np.bincount(text[1:][(text[1:] == text[:-1]) & (places[1:] == places[:-1])], minlength=len(counts))
-        n_lines = np.asarray(pc.count_substring(texts, "\n"), np.int64) + 1
+        of_text, n_lines = [], np.asarray(pc.count_substring(texts, "\n"), np.int64) + 1
         for kind, size in ((LENGTH, _steps(counts, 1)), (DISTINCT, _steps((n_distinct + 1) / (counts + 1), 3)), (LINES, _steps((counts + 1) / n_lines, 1)), (AGAIN, _steps((again + 0.02 * counts + 0.1) / (counts + 1), 1))):
-            keys.append(np.repeat(np.arange(len(counts)) << 16 | _bucket(size, kind), 8))
+            of_text.append(np.arange(len(counts)) << 16 | _bucket(size, kind))
         key, n = np.unique(np.concatenate(keys), return_counts=True)
         weight = np.minimum(np.rint(16 * (1 + np.log2(n))), 255).astype(np.uint8)
+        key, weight = np.concatenate([key, *of_text]), np.concatenate([weight, np.full(len(of_text) * len(counts), OF_TEXT, np.uint8)])
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], weight[order]
         bucket, ends = (key & 0xFFFF).astype("<u2"), np.searchsorted(key, (np.arange(len(counts)) + 1) << 16)
         begins = np.concatenate([[0], ends[:-1]])
         rows = [[x[b:e].tobytes() for b, e in zip(begins.tolist(), ends.tolist(), strict=True)] for x in (bucket, weight)]
