@@ -50,6 +50,8 @@ MAP_SCALE, UNIT = 1 << 15, 1 << 11
 OF_TEXT = 255
 #: Documents whose cosines are taken at a time, and bytes of text whose features are.
 BLOCK, PORTION = 512, 4e6
+#: Features that are mapped at a time, some 800 bytes each while they are.
+ENTRIES = 1 << 16
 #: Kinds of features, so that the same string of two kinds is two features; the last are those of a text.
 WORD, MARK, SHAPE, LENGTH, DISTINCT, LINES, AGAIN = (np.uint64(k) for k in range(1, 8))
 
@@ -160,7 +162,7 @@ def latent_map(rows: list[tuple[bytes, bytes]], idf: np.ndarray, width: int = WI
     value = weight * idf[bucket]
     value /= np.repeat(np.sqrt(np.maximum(np.add.reduceat(value**2, first), 1e-30)), sizes)
     right = np.random.default_rng(3).standard_normal((BUCKETS, width))
-    step = max(1, (1 << 21) // width)
+    step = ENTRIES
 
     def times(m: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), m.shape[1]))
@@ -193,8 +195,12 @@ def vectors(rows: list[tuple[bytes, bytes]], mapped: np.ndarray) -> np.ndarray:
     """Unit vectors of rows, as whole numbers up to ``UNIT`` in magnitude. Every sum is one of whole numbers under 2 to the 53, so exact."""
     bucket, weight, first = sparse(rows)
     out = np.zeros((len(rows), mapped.shape[1]))
-    if len(bucket):  # each row has the features of its length
-        out = np.add.reduceat(mapped[bucket].astype(np.float64) * weight[:, None], first, axis=0)
+    ends, i = np.append(first[1:], len(bucket)), 0
+    while i < len(rows):  # each row has the features of its length; a row has BUCKETS at most
+        j = max(i + 1, int(np.searchsorted(ends, first[i] + ENTRIES, "right")))
+        part = slice(first[i], ends[j - 1])
+        out[i:j] = np.add.reduceat(mapped[bucket[part]].astype(np.float64) * weight[part, None], first[i:j] - first[i], axis=0)
+        i = j
     most = np.abs(out).max(1, initial=0)
     whole = np.rint(out * ((1 << 20) / np.maximum(most, 1))[:, None])
     norm = np.sqrt((whole * whole).sum(1))
