@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def payload(text: str) -> str:
     flat = re.sub(r"\r\n?|[\n  ]", " ", text)
@@ -44,3 +47,9 @@ def truncated(sources: list[str] = ()) -> str:
 
 def link_outside(target: str) -> str:
     return marker("link outside retrieved set", target)
+
+
+def link_outside_column(target: Column) -> Column:
+    """The same as a column."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(target, r"\r\n?|[\n\u2028\u2029]", " "), "-(-+)>", "$1›"))
+    return F.concat(F.lit("<!-- link outside retrieved set: "), flat, F.lit(" -->"))

@@ -96,6 +96,12 @@ def is_under(path: Column, folder: Column) -> Column:
     return (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
 
 
+def folders_above(path: Column) -> Column:
+    """All that a path lies in, from the top of the vault (the empty string) to its own folder, which comes last."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
 def unrepresentable(path: Column) -> Column:
     """A path that a link could not name: line ends, a backslash, or white space at an end."""
     return path.rlike(r"[\n\r\u2028\u2029\\]") | (trim(path) != path)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmesh.functions.text import is_under, path_key
+from inkmesh.functions.text import folders_above, path_key, utf16_order
+from inkmesh.operators.shared import kept
 
 PENDING = "cascade-pending"
 
@@ -29,86 +28,123 @@ def diff(found: DataFrame, manifest: DataFrame, skipped: DataFrame | None = None
     )
     out = both.select("path", status.alias("status"), "hash", "old_hash")
     if skipped is not None:
-        s = skipped.select(F.col("path").alias("s")).distinct()
-        gone = out.where("status = 'deleted'").join(s, is_under(F.col("path"), F.col("s")), "left_anti")
-        out = out.where("status <> 'deleted'").unionByName(gone)
-    return out
-
-
-class _Free:
-    """Paths in order, of which the first from some place on that is still free is found by links that skip taken ones."""
-
-    def __init__(self, paths: list[str]) -> None:
-        self.paths, self.keys, self.link = paths, [path_key(p) for p in paths], list(range(len(paths) + 1))
-
-    def first(self, low: bytes = b"", high: bytes | None = None) -> str | None:
-        """The first free path with a key from ``low`` on and under ``high``."""
-        at = self._free(bisect_left(self.keys, low))
-        return self.paths[at] if at < len(self.paths) and (high is None or self.keys[at] < high) else None
-
-    def _free(self, at: int) -> int:
-        way = []
-        while self.link[at] != at:
-            way.append(at)
-            at = self.link[at]
-        for w in way:
-            self.link[w] = at
-        return at
-
-    def take(self, path: str) -> None:
-        at = bisect_left(self.keys, path_key(path))
-        self.link[at] = at + 1
-
-
-def _claims(olds: list[str], news: list[str]) -> list[tuple[str, str]]:
-    """Each old path in order takes the best new one that is free: in its folder (2), or below it (1), with its own name (1 more); of equals the first.
-
-    What one score asks for is a stretch of the new paths in order, of all or of those of
-    one folder or name, so a group costs little more than sorting it.
-    """
-    every, by_folder, by_name = _Free(news), {}, {}
-    for n in news:
-        folder, _, name = n.rpartition("/")
-        by_folder.setdefault(folder, []).append(n)
-        by_name.setdefault(name, []).append(n)
-    by_folder, by_name = ({k: _Free(v) for k, v in d.items()} for d in (by_folder, by_name))
-    nothing, out = _Free([]), []
-    for old in olds:
-        folder, _, name = old.rpartition("/")
-        near, same = by_folder.get(folder, nothing), by_name.get(name, nothing)
-        below = (path_key(folder + "/"), path_key(folder + "0")) if folder else (b"", None)  # "0" follows "/"
-        beside = path_key(old), path_key(old) + b"\0"
-        for found in ([near.first(*beside)], [near.first(), same.first(*below)], [every.first(*below), same.first()], [every.first()]):
-            best = min((f for f in found if f is not None), key=path_key, default=None)
-            if best is not None:
-                out.append((old, best))
-                every.take(best)
-                by_folder[best.rpartition("/")[0]].take(best)
-                by_name[best.rpartition("/")[2]].take(best)
-                break
+        # A path meets what is skipped by itself and by each folder that it lies in: equal keys, however many are skipped.
+        at = out.where("status = 'deleted'").select("path", F.explode(F.concat(folders_above(F.col("path")), F.array("path"))).alias("s"))
+        hidden = at.join(skipped.select(F.col("path").alias("s")).distinct(), "s", "left_semi").select("path").distinct()
+        out = out.join(hidden.withColumn("hidden", F.lit(True)), "path", "left").where("hidden IS NULL OR status <> 'deleted'").drop("hidden")
     return out
 
 
-def rename_pairs(changed: DataFrame) -> DataFrame:
-    """``old, new``: deleted files met by new ones of the same content, greedily, each once.
-
-    Old paths choose in path order, the best score first, then path order. Only files
-    of one content meet in a group, as paths alone.
+#: New paths of one content that choose at a time, so what one task holds has a bound.
+TURN = 20_000
+#: Pools of old paths: of a folder, of a name, a path itself, and all.
+FOLDER, NAME, PATH, ALL = "folder", "name", "path", "all"
+
+
+def _above(folder: str) -> list[str]:
+    """The folders that lie above a folder."""
+    parts = folder.split("/") if folder else []
+    return ["/".join(parts[:k]) for k in range(len(parts))]
+
+
+class _Pools:
+    """Old paths in order by pool. What is taken is passed over for good, and a pool is told from one that goes on beyond what is here."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.paths, self.cut, self.at, self.taken = {}, set(), {}, set()
+        for (kind, key), own in rows.groupby(["kind", "key"], sort=False):
+            own = own.sort_values("place")
+            self.paths[kind, key] = own.old.tolist()
+            if len(own) > own.wanted.iloc[0]:
+                self.cut.add((kind, key))
+
+    def first(self, kind: str, key: str) -> str | None:
+        """The first free path of a pool. Its last one, where the pool goes on, is not ours to give: ``LookupError``."""
+        own, at = self.paths.get((kind, key), ()), self.at.get((kind, key), 0)
+        while at < len(own) and own[at] in self.taken:
+            at += 1
+        self.at[kind, key] = at
+        if (kind, key) in self.cut and at >= len(own) - 1:
+            raise LookupError
+        return own[at] if at < len(own) else None
+
+    def best(self, new: str) -> str | None:
+        """In the folder of ``new``, or above it under its name; else above it or elsewhere under its name; else any. Of equals the first."""
+        folder, _, name = new.rpartition("/")
+        above = _above(folder)
+        for asked in (
+            [(FOLDER, folder), *((PATH, f"{f}/{name}" if f else name) for f in above)],
+            [*((FOLDER, f) for f in above), (NAME, name)],
+            [(ALL, "")],
+        ):
+            found = [p for p in (self.first(*a) for a in asked) if p is not None]
+            if found:
+                return min(found, key=path_key)
+        return None
+
+
+def _turn(news: pd.DataFrame, olds: pd.DataFrame) -> pd.DataFrame:
+    """Each new path in order takes the best old one that is free, up to one that may want what is not here."""
+    pools, out = _Pools(olds), []
+    for content, new in zip(news.hash, news.new, strict=True):
+        try:
+            old = pools.best(new)
+        except LookupError:
+            break
+        pools.taken.add(old)
+        out.append((content, new, old))
+    return pd.DataFrame(out, columns=["hash", "new", "old"])
+
+
+def rename_pairs(changed: DataFrame, turn: int = TURN) -> DataFrame:
+    """``old, new``: new files that have the content of a deleted one, each old path once.
+
+    New paths choose in path order: an old path in their folder, or above it under their name,
+    before one that is only above or only of their name, before any other; of equals the first.
+    A choice depends on all before it, so ``turn`` new paths of a content choose at a time, from as
+    many old ones of each pool that they may want as there are wishes for it. Where others took
+    these, the turn ends and the next begins there, so no task holds a whole group of equal files.
+    Rows without a content meet none.
     """
-    gone = changed.where(F.col("status") == "deleted").select(F.col("path").alias("old"), F.col("old_hash").alias("hash"))
-    come = changed.where(F.col("status") == "new").select(F.col("path").alias("new"), "hash")
+    is_new = F.col("status") == "new"
+    both = kept(changed.where(F.col("status").isin("new", "deleted")).select(F.when(is_new, F.col("hash")).otherwise(F.col("old_hash")).alias("hash"), "path", is_new.alias("is_new")).where("hash IS NOT NULL"))
+    sizes = both.groupBy("hash").agg(F.count(F.when(F.col("is_new"), 1)).alias("n_new"), F.count(F.when(~F.col("is_new"), 1)).alias("n_old")).where("n_new > 0 AND n_old > 0")
+    pool = kept(both.join(sizes.select("hash", ((F.col("n_old") == 1) & (F.col("n_new") == 1)).alias("lone")), "hash"))
     # A lone pair needs no choice and stays out of Python.
-    n_old, n_new = (d.groupBy("hash").agg(F.count(F.lit(1)).alias(n)) for d, n in ((gone, "n_old"), (come, "n_new")))
-    sizes = n_old.join(n_new, "hash").withColumn("lone", (F.col("n_old") == 1) & (F.col("n_new") == 1))
-    lone = gone.join(sizes.where("lone").select("hash"), "hash").join(come, "hash").select("old", "new")
-    many = sizes.where("NOT lone").select("hash")
-    pool = gone.select("hash", F.col("old").alias("path"), F.lit(True).alias("is_old")).union(come.select("hash", F.col("new"), F.lit(False))).join(many, "hash")
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        olds, news = ([path for _, path in sorted((path_key(p), p) for p in pdf.loc[pdf.is_old == flag, "path"])] for flag in (True, False))
-        return pd.DataFrame(_claims(olds, news), columns=["old", "new"])
-
-    return lone.union(pool.groupBy("hash").applyInPandas(claim, "old string, new string"))
+    of = lambda lone, new, name: pool.where((F.col("lone") == lone) & (F.col("is_new") == new)).select("hash", F.col("path").alias(name))
+    olds, news, left = of(False, False, "old"), of(False, True, "new"), pool.where("NOT lone AND is_new").count()
+    pairs = [of(True, False, "old").join(of(True, True, "new"), "hash").select("old", "new")]
+    while left:
+        in_order = Window.partitionBy("hash").orderBy(utf16_order(F.col("new")))
+        here = news.withColumn("at", F.row_number().over(in_order)).where(F.col("at") <= turn)
+        above, name = folders_above(F.col("new")), F.substring_index("new", "/", -1)
+        pool = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+        wishes = F.concat(
+            F.transform(above, lambda f: pool(FOLDER, f)),
+            F.transform(F.slice(above, 1, F.size(above) - 1), lambda f: pool(PATH, F.when(f == "", name).otherwise(F.concat(f, F.lit("/"), name)))),
+            F.array(pool(NAME, name), pool(ALL, F.lit(""))),
+        )
+        wanted = here.select("hash", F.inline(wishes)).groupBy("hash", "kind", "key").agg(F.count(F.lit(1)).cast("int").alias("wanted"))
+        folder = F.regexp_replace("old", "/?[^/]*$", "")
+        offers = olds.select("hash", "old", F.inline(F.array(pool(FOLDER, folder), pool(PATH, F.col("old")), pool(NAME, F.substring_index("old", "/", -1)), pool(ALL, F.lit("")))))
+        place = F.row_number().over(Window.partitionBy("hash", "kind", "key").orderBy(utf16_order(F.col("old"))))
+        # The bound by a number lets Spark drop what lies beyond it before it shuffles.
+        offers = offers.join(wanted, ["hash", "kind", "key"]).withColumn("place", place).where((F.col("place") <= turn + 1) & (F.col("place") <= F.col("wanted") + 1))
+
+        def chosen(own: pd.DataFrame, pools: pd.DataFrame) -> pd.DataFrame:
+            return _turn(own.sort_values("at"), pools)
+
+        done = kept(here.groupBy("hash").cogroup(offers.select(F.col("hash").alias("content"), "old", "kind", "key", "place", "wanted").groupBy("content")).applyInPandas(chosen, "hash string, new string, old string"))
+        pairs.append(done.where("old IS NOT NULL").select("old", "new"))
+        left -= done.count()
+        if left:  # more than a turn, or wishes beyond what was here
+            olds = kept(olds.join(done.select("hash", "old"), ["hash", "old"], "left_anti"))
+            news = kept(news.join(done.select("hash", "new"), ["hash", "new"], "left_anti").join(olds.select("hash").distinct(), "hash", "left_semi"))
+            left = news.count()
+    out = pairs[0]
+    for p in pairs[1:]:
+        out = out.union(p)
+    return out
 
 
 def cascade_scope(citations: DataFrame, changed: DataFrame, renames: DataFrame) -> DataFrame:

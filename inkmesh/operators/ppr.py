@@ -12,13 +12,12 @@ over ``(qid, path, score)``, and only rows with a score flow.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.operators.graph import symmetric
+from inkmesh.operators.shared import kept
 
 ALPHA, MAX_ITER, EPS, SMALL_EDGES, MAX_SNAPSHOTS = 0.85, 100, 1e-8, 200_000, 100
 SCORES = "qid string, path string, score double, iterations int, converged boolean"
@@ -63,16 +62,6 @@ def _small(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float, m
     return seeds.select("qid", "path").join(nodes.select("path").distinct(), "path", "left_semi").groupBy("qid").applyInPandas(of, STEPS if snapshots else SCORES)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines of the cluster share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkmesh-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def step(v: DataFrame, adjacency: DataFrame, p: DataFrame, alpha: float, deterministic: bool = False) -> DataFrame:
     """One step of all walks: ``v(qid, path, score)``, ``adjacency(a, b, degree of a)``, ``p(qid, path, p)``."""
     flow = v.where("score > 0").join(adjacency, F.col("path") == F.col("a")).select("qid", F.col("b").alias("path"), F.col("a").alias("from"), (F.lit(alpha) * F.col("score") / F.col("degree")).alias("x"))
@@ -86,24 +75,24 @@ def step(v: DataFrame, adjacency: DataFrame, p: DataFrame, alpha: float, determi
 def _large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float, max_iter: int, eps: float, snapshots: bool, deterministic: bool, every: int = 5) -> DataFrame:
     pairs = symmetric(edges)
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    adjacency = _cut(pairs.join(degree, "a"))
+    adjacency = kept(pairs.join(degree, "a"))
     valid = seeds.select("qid", "path").distinct().join(nodes.select("path").distinct(), "path", "left_semi")
-    p = _cut(valid.join(valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid").select("qid", "path", (1 / F.col("n")).alias("p")))
+    p = kept(valid.join(valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid").select("qid", "path", (1 / F.col("n")).alias("p")))
     v = p.select("qid", "path", F.col("p").alias("score"))
     finished, steps = None, None
     for k in range(1, max_iter + 1):
         new = step(v, adjacency, p, alpha, deterministic)
         # read three times below and by the next step: kept, and every few steps cut off from what it came from
-        new = _cut(new) if k % every == 0 else new.persist()
+        new = kept(new) if k % every == 0 else new.persist()
         both = new.alias("n").join(v.alias("o"), ["qid", "path"], "full_outer")
         change = both.groupBy("qid").agg(F.sum(F.abs(F.coalesce("n.score", F.lit(0.0)) - F.coalesce("o.score", F.lit(0.0)))).alias("change"))
-        ended = _cut(change.where((F.col("change") < eps) | F.lit(k == max_iter)).select("qid", (F.col("change") < eps).alias("converged")))
+        ended = kept(change.where((F.col("change") < eps) | F.lit(k == max_iter)).select("qid", (F.col("change") < eps).alias("converged")))
         if snapshots and k <= MAX_SNAPSHOTS:
-            new = _cut(new)
+            new = kept(new)
             part = new.select("qid", F.lit(k).alias("iter"), "path", "score")
             steps = part if steps is None else steps.union(part)
         if ended.limit(1).count():
-            new = _cut(new)
+            new = kept(new)
             done = new.join(ended, "qid").select("qid", "path", "score", F.lit(k).alias("iterations"), "converged")
             finished = done if finished is None else finished.union(done)
             new = new.join(ended, "qid", "left_anti")

@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import handle, token_estimate, trim, truncate_tail, utf16_order
+from inkmesh.operators.shared import kept, ranked_in_groups
+from inkmesh.operators.substrings import within
 
 TOP_K, BUDGET, SEEDS, KEYWORDS = 12, 40_000, 8, 12
 
 
-#: Questions that meet all pages at a time.
-BLOCK = 1000
-
-
-def in_blocks(questions: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The union of ``meet(block)`` over blocks of about ``BLOCK`` questions, each sent to all executors."""
-    n = questions.count()
-    blocks = -(-n // BLOCK) or 1
-    place = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    out = None
-    for k in range(blocks):
-        part = meet(F.broadcast(questions.where(place == k) if blocks > 1 else questions))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def force_include(pages: DataFrame, questions: DataFrame, nfc: bool = True) -> DataFrame:
     """``qid, path``: pages of which the title or an alias is inside the question. No cap."""
     names = pages.select("path", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    names = names.select("path", handle(F.col("name"), nfc).alias("name")).where("name <> ''").distinct()
-    asked = questions.select("qid", handle(F.col("question"), nfc).alias("q"))
-    # a name may stand anywhere in a question, so this is no equi-join: names pass a block of questions at a time
-    return in_blocks(asked, lambda own: names.join(own, F.contains(F.col("q"), F.col("name"))).select("qid", "path")).distinct()
+    names = names.select("path", handle(F.col("name"), nfc).alias("pattern")).where("pattern <> ''").distinct()
+    asked = questions.select("qid", handle(F.col("question"), nfc).alias("text"))
+    return within(names, asked, ["qid"]).join(names, "pattern").select("qid", "path").distinct()
 
 
 def valid_seeds(proposed: DataFrame, pages: DataFrame, cap: int = SEEDS) -> DataFrame:
@@ -44,53 +27,56 @@ def valid_seeds(proposed: DataFrame, pages: DataFrame, cap: int = SEEDS) -> Data
     return once.withColumn("r", rank).where(F.col("r") <= cap).select("qid", "pos", "path")
 
 
-def tier(keyword: Column, title: Column, aliases: Column, summary: Column, body: Column) -> Column:
-    """The best tier of a keyword, all handles: title 10, alias 8, within a name or around it 4, summary 2, body 1, else 0."""
-    names = F.concat(F.array(title), aliases)
-    around = F.exists(names, lambda n: (n != "") & (F.contains(n, keyword) | F.contains(keyword, n)))
-    return (
-        F.when(keyword == "", 0).when(title == keyword, 10).when(F.array_contains(aliases, keyword), 8).when(around, 4)
-        .when(F.contains(summary, keyword), 2).when(F.contains(body, keyword), 1).otherwise(0)
-    )
+#: What a keyword is worth, best first: as the title, as an alias, within a name or around it, in the summary, in the body.
+TITLE, ALIAS, AROUND, SUMMARY, BODY = 10, 8, 4, 2, 1
 
 
 def lexical_scores(pages: DataFrame, keywords: DataFrame, nfc: bool = True) -> DataFrame:
-    """``qid, path, title, kind, score``, for ``pages(path, title, kind, aliases, summary, body)`` and ``keywords(qid, keywords array)``.
+    """``qid, path, title, kind, score``, for ``pages(path, title, kind, aliases, summary, body)`` and ``keywords(qid, keywords array)``; pages of a score of 0 have no row.
 
-    Pages pass each question once; keywords of a question are an array inside its row.
+    Each distinct keyword has one worth on a page, the best of its tiers; a question sums them, as often
+    as it has the keyword. Tiers are lookups: by equal names, and by what is inside what.
     """
     low = lambda c: handle(F.coalesce(c, F.lit("")), nfc)
-    own = pages.select("path", "title", "kind", low(F.col("title")).alias("t"), low(F.col("summary")).alias("s"), low(F.col("body")).alias("b"), F.coalesce("aliases", F.array().cast("array<string>")).alias("raw"))
-    own = own.withColumn("al", F.filter(F.transform("raw", lambda a: F.lower(trim(a))), lambda a: a != ""))
-    words = keywords.select("qid", F.filter(F.transform("keywords", lambda k: F.lower(trim(k))), lambda k: k != "").alias("ks"))
-    total = F.aggregate("ks", F.lit(0), lambda acc, k: acc + tier(k, F.col("t"), F.col("al"), F.col("s"), F.col("b")))
-    # every question scores every page, which is what the ranking asks for: pages pass a block of questions at a time
-    return in_blocks(words, lambda ws: own.crossJoin(ws).select("qid", "path", "title", "kind", total.cast("long").alias("score")))
-
-
-def ranked(scores: DataFrame, seeds: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Adds ``rank``: by falling score, then path. Rows without a score go, but for ``seeds(qid, path)``.
-
-    With a ``limit``, each task keeps so many rows of a question before the shuffle.
+    own = kept(pages.select("path", "title", "kind", low(F.col("title")).alias("t"), low(F.col("summary")).alias("s"), low(F.col("body")).alias("b"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(trim(a))).alias("al")))
+    asked = keywords.select("qid", F.explode(F.transform("keywords", lambda k: F.lower(trim(k)))).alias("pattern")).where("pattern <> ''")
+    asked = kept(asked.groupBy("qid", "pattern").agg(F.count(F.lit(1)).alias("times")))
+    words = kept(asked.select("pattern").distinct())
+    name = lambda column, worth: own.select("path", column.alias("name"), F.lit(worth).alias("worth"))
+    names = name(F.col("t"), TITLE).union(name(F.explode("al"), ALIAS)).where("name <> ''").distinct()
+    distinct = names.select("name").distinct()
+    same = words.join(names, F.col("pattern") == F.col("name")).select("pattern", "path", "worth")
+    inside = within(words, distinct.select("name", F.col("name").alias("text")), ["name"]).select("pattern", "name")
+    outside = within(distinct.select(F.col("name").alias("pattern")), words.select(F.col("pattern").alias("word"), F.col("pattern").alias("text")), ["word"]).select(F.col("word").alias("pattern"), F.col("pattern").alias("name"))
+    around = inside.union(outside).join(names.select("name", "path"), "name").select("pattern", "path", F.lit(AROUND).alias("worth"))
+    texts = [within(words, own.select("path", F.col(c).alias("text")), ["path"]).select("pattern", "path", F.lit(worth).alias("worth")) for c, worth in (("s", SUMMARY), ("b", BODY))]
+    worth = same.union(around).union(texts[0]).union(texts[1]).groupBy("pattern", "path").agg(F.max("worth").alias("worth"))
+    score = asked.join(worth, "pattern").groupBy("qid", "path").agg(F.sum(F.col("worth") * F.col("times")).cast("long").alias("score"))
+    return score.join(own.select("path", "title", "kind"), "path").select("qid", "path", "title", "kind", "score")
+
+
+def ranked(scores: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds ``rank``: by falling score, then path, from 1 in each question.
+
+    All rows are ranked by one order of questions, scores and paths, in ranges, so no task holds a question;
+    with a ``limit``, each task keeps so many rows of a question before the shuffle.
     """
-    if seeds is not None:
-        marked = scores.join(seeds.select("qid", "path", F.lit(True).alias("seed")).distinct(), ["qid", "path"], "left")
-        scores = marked.where("score > 0 OR seed").drop("seed")
-    else:
-        scores = scores.where("score > 0")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), utf16_order(F.col("path"))))
-    out = scores.withColumn("rank", place)
-    out = out if limit is None else out.where(F.col("rank") <= limit)
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    order = [F.desc("score"), utf16_order(F.col("path"))]
+    if limit is None:
+        return ranked_in_groups(scores, ["qid"], order).withColumn("rank", F.col("rank").cast("long"))
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
 
 
 def mode_a(pages: DataFrame, keywords: DataFrame, seeds: DataFrame, nfc: bool = True) -> DataFrame:
-    return ranked(lexical_scores(pages, keywords, nfc), seeds)
+    """The lexical ranking: pages with a score, and those of ``seeds(qid, path)`` that have none, for questions with keywords or without."""
+    scores = lexical_scores(pages, keywords, nfc)
+    forced = seeds.select("qid", "path").distinct().join(keywords.select("qid").distinct(), "qid", "left_semi").join(scores.select("qid", "path"), ["qid", "path"], "left_anti")
+    return ranked(scores.unionByName(forced.join(pages.select("path", "title", "kind"), "path").withColumn("score", F.lit(0).cast("long"))))
 
 
 def mode_b(nodes: DataFrame, scores: DataFrame) -> DataFrame:
     """``scores(qid, path, score)`` of a walk, over all nodes with raw files."""
-    return ranked(scores.select("qid", "path", "score").join(nodes.select("path", "title", "kind"), "path").select("qid", "path", "title", "kind", "score"))
+    return ranked(scores.select("qid", "path", "score").where("score > 0").join(nodes.select("path", "title", "kind"), "path").select("qid", "path", "title", "kind", "score"))
 
 
 def pack(items: DataFrame, group: str, order: str, text: str, budget: int | Column = BUDGET, cap: int | Column | None = None, truncate_first: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions import text as T
 from inkmesh.operators import changes, dataset, evaluate, health, links, merge, retrieve, smell
+from inkmesh.operators.shared import ranked_in_groups
 from inkmesh.plans.graph_queries import FORCED, QUESTIONS, WIKI, table, wiki
 from inkmesh.sources import formats
 
@@ -172,6 +173,17 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CITE_SQL = "ci AS (SELECT 'raw/' || source || '/' || doc_id || '.txt' AS source, 'wiki/' || unnest([doc_id % 97, doc_id % 101 + 200]) AS page FROM documents)"
+#: The new paths of a content in order, each taking the best old one that none before it took.
+CHOICE_SQL = """
+ol AS (SELECT old_hash AS h, path AS old, regexp_replace(path, '/[^/]*$', '') AS od, regexp_extract(path, '[^/]*$') AS ob FROM dd WHERE status = 'deleted' AND old_hash IN (SELECT h FROM ln)),
+nw AS (SELECT hash AS h, path AS new, regexp_replace(path, '/[^/]*$', '') AS nd, regexp_extract(path, '[^/]*$') AS nb, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM dd WHERE status = 'new' AND hash IN (SELECT h FROM lo)),
+tk(h, k, taken, old, new) AS (
+  SELECT DISTINCT h, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM nw
+  UNION ALL
+  SELECT h, k, list_append(any_value(taken), arg_min(old, o)), arg_min(old, o), any_value(new) FROM (
+    SELECT nw.h, nw.k, tk.taken, ol.old, nw.new, (CASE WHEN ol.old IS NULL THEN '9' WHEN od = nd THEN 3 - 2 - (ob = nb)::INT WHEN starts_with(nd, od || '/') THEN 3 - 1 - (ob = nb)::INT ELSE 3 - (ob = nb)::INT END)::VARCHAR || coalesce(ol.old, '') AS o
+    FROM tk JOIN nw ON nw.h = tk.h AND nw.k = tk.k + 1 LEFT JOIN ol ON ol.h = tk.h AND NOT list_contains(tk.taken, ol.old)) GROUP BY h, k)
+"""
 LONE_SQL = "ren AS (SELECT o.path AS old, n.path AS new FROM dd o JOIN lo ON lo.h = o.old_hash AND lo.n = 1 JOIN ln ON ln.h = o.old_hash AND ln.n = 1 JOIN dd n ON n.hash = o.old_hash AND n.status = 'new' WHERE o.status = 'deleted')"
 
 
@@ -219,6 +231,56 @@ def repo_identity(spark, sf_dir):
     return formats.repo_identity(files)
 
 
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a repository for each source, in folders whose names differ in marks, beside files that are not read."""
+    d = table(spark, sf_dir, "documents")
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (by % len(names) + 1).cast("int"))
+    path = F.concat(F.lit("raw/"), "source", F.lit("/"), pick(FOLDERS, F.col("doc_id") * 7), pick(NAMES, F.col("doc_id")), F.col("doc_id").cast("string"), pick(ENDS, F.col("doc_id") * 3))
+    own = d.select(path.alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return own.unionByName(d.select(F.concat(F.lit("raw/"), "source", F.lit("/.git/HEAD")).alias("path"), F.encode(F.lit("x"), "UTF-8").alias("content")).distinct())
+
+
+FOLDERS = ("", "docs/", "src/", "src-gen/", "lib.v2/", "lib/", "src/a b/", "src/a/", "src-gen/(x)/", "docs/src/", "vendor/", "src/z/z/")
+NAMES = ("readme-", "f", "F-", "f.", "z")
+ENDS = (".md", ".py", ".c", ".txt")
+REPO_SQL = f"""
+rf AS (
+  SELECT source AS repo, {list(FOLDERS)}[doc_id * 7 % {len(FOLDERS)} + 1] AS dir, {list(NAMES)}[doc_id % {len(NAMES)} + 1] || doc_id || {list(ENDS)}[doc_id * 3 % {len(ENDS)} + 1] AS name, coalesce(text, '') AS t FROM documents),
+ro AS (
+  SELECT 'raw/' || repo AS repo, dir || name AS path, t, strlen(t) AS n,
+    row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN dir = '' AND starts_with(name, 'readme') THEN 0 WHEN starts_with(dir, 'docs/') THEN 1 ELSE 2 END, len(string_split(dir, '/')), string_split(dir, '/'), name) AS place
+  FROM rf WHERE NOT starts_with(dir, 'vendor/') AND (NOT name LIKE '%.txt' OR (dir = '' AND starts_with(name, 'readme'))))
+"""
+
+
+def repo_order(spark, sf_dir):
+    """The place of each file in the reading order of its repository."""
+    files = repository_files(spark, sf_dir)
+    own = formats.repo_files(files, formats.repo_roots(files))
+    return ranked_in_groups(own.select("repo", "path", "seq"), ["repo"], ["seq"], "place").select("repo", "path", F.col("place").cast("long").alias("place"))
+
+
+def repo_digest(spark, sf_dir):
+    """One identity for each repository, over its files in reading order."""
+    files = repository_files(spark, sf_dir)
+    return formats.repo_identity(formats.repo_files(files, formats.repo_roots(files)))
+
+
+def repo_caps(spark, sf_dir):
+    """Which files of a repository are left out: over 4,000 bytes, or where 30,000 are retained."""
+    files = repository_files(spark, sf_dir)
+    return formats.retained(formats.repo_files(files, formats.repo_roots(files)), 4000, 30_000)
+
+
+CAPS_SQL = f"""WITH RECURSIVE {REPO_SQL},
+cp(repo, k, total, path, omitted) AS (
+  SELECT DISTINCT repo, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM ro
+  UNION ALL
+  SELECT ro.repo, ro.place, total + CASE WHEN n > 4000 OR total + n > 30000 THEN 0 ELSE n END, ro.path, CASE WHEN n > 4000 THEN 'file over 100KB' WHEN total + n > 30000 THEN 'repo total over 1MB' END
+  FROM cp JOIN ro ON ro.repo = cp.repo AND ro.place = cp.k + 1)
+SELECT repo, path, omitted FROM cp WHERE k > 0"""
+
+
 def readable_path(spark, sf_dir):
     """Where a recorded source is read: its derivative, itself if it is text, else nowhere."""
     d = table(spark, sf_dir, "documents")
@@ -441,7 +503,7 @@ QUERIES = [
     (pack_truncated_text, None),
     (followup_pack, FOLLOW_SQL),
     (diff_four_rules, f"WITH {CHANGE_SQL} SELECT path, status, hash, old_hash FROM dd"),
-    (rename_pairs, None),
+    (rename_pairs, f"WITH RECURSIVE {CHANGE_SQL}, {CHOICE_SQL} SELECT old, new FROM tk WHERE old IS NOT NULL"),
     (rename_lone_pairs, f"WITH {CHANGE_SQL}, {LONE_SQL} SELECT old, new FROM ren"),
     (cascade_scope, f"WITH {CHANGE_SQL}, {LONE_SQL}, {CITE_SQL}, mv AS (SELECT old AS path FROM ren UNION ALL SELECT new FROM ren), tc AS (SELECT path FROM dd WHERE status = 'modified' OR (status = 'deleted' AND path NOT IN (SELECT path FROM mv))), lv AS (SELECT path FROM dd WHERE status <> 'deleted' UNION ALL SELECT path FROM mv) SELECT page, CASE WHEN bool_or(source IN (SELECT path FROM lv)) THEN 'regenerate' ELSE 'delete' END AS fate FROM ci GROUP BY page HAVING bool_or(source IN (SELECT path FROM tc))"),
     (rename_repoint, f"WITH {CHANGE_SQL}, {LONE_SQL}, {CITE_SQL} SELECT page, coalesce(new, source) AS source FROM ci LEFT JOIN ren ON source = old"),
@@ -451,6 +513,9 @@ QUERIES = [
     (health_dangling, f"WITH {CHANGE_SQL}, {CITE_SQL} SELECT page, source FROM ci WHERE starts_with(source, 'raw/') AND source NOT IN (SELECT path FROM rec)"),
     (content_hash, "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents"),
     (repo_identity, "WITH f AS (SELECT source AS repo, 'docs/' || doc_id || '.txt' AS path, coalesce(text, '') AS t FROM documents), d AS (SELECT repo, path, sha256(length(path) || ':' || path || ':' || strlen(t) || ':' || t) AS h FROM f) SELECT repo, sha256(string_agg(h, chr(10) ORDER BY path)) AS identity FROM d GROUP BY repo"),
+    (repo_order, f"WITH {REPO_SQL} SELECT repo, path, place FROM ro"),
+    (repo_digest, f"WITH {REPO_SQL} SELECT repo, sha256(string_agg(sha256(length(path) || ':' || path || ':' || n || ':' || t), chr(10) ORDER BY place)) AS identity FROM ro GROUP BY repo"),
+    (repo_caps, CAPS_SQL),
     (readable_path, "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'raw/' || doc_id || '.md' WHEN doc_id % 5 = 0 THEN 'raw/' || doc_id || '.md' WHEN doc_id % 5 = 1 THEN 'raw/' || doc_id || '.txt' END AS readable FROM documents"),
     (format_dispatch, "WITH p AS (SELECT doc_id, ['a.md', 'b.TXT', 'c.html', 'd.htm', 'e.pdf', 'f.csv', 'g.tsv', 'h.png', 'i.JPEG', 'j.docx', '.md', 'k.tar.gz'][doc_id % 12 + 1] AS path FROM documents) SELECT doc_id, path, CASE lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) WHEN '.md' THEN 'md' WHEN '.txt' THEN 'txt' WHEN '.html' THEN 'html' WHEN '.htm' THEN 'html' WHEN '.pdf' THEN 'pdf' WHEN '.csv' THEN 'dataset' WHEN '.tsv' THEN 'dataset' WHEN '.png' THEN 'image' WHEN '.jpeg' THEN 'image' END AS format FROM p"),
     (smell_fragment, f"WITH {LINES_SQL} SELECT doc, count(*)::BIGINT AS lines, CASE WHEN count(*) >= 20 THEN round(count(*) FILTER (WHERE NOT regexp_matches(line, '[.!?:;\"''”’)\\]]$')) / count(*)::DOUBLE, 6) END AS fragment_ratio FROM ln WHERE line <> '' GROUP BY doc"),

@@ -116,6 +116,56 @@ def part_supplier_degree(spark, sf_dir):
     return graph.degrees(nodes, edges)
 
 
+# --- links put in place -----------------------------------------------------------------------
+
+
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text``: links of each page without and with a display, then one to its title in capitals, to a source, to a place in itself, and a page of another name."""
+    w = wiki(spark, sf_dir)
+    named = F.when(F.col("title").rlike("^[A-Za-z]+$"), F.upper("title")).otherwise("x")
+    return w.select("path", F.concat(F.lit("see "), F.replace("text", F.lit("|go]]"), F.lit("]]")), F.lit(" and "), "text", F.lit(" [["), named, F.lit("]] [[raw/x.md]] [[#top]] end")).alias("text"))
+
+
+def link_rewrite(spark, sf_dir):
+    """Links by title or alias under the title of their page."""
+    return links.rewritten(written(spark, sf_dir), links.title_index(wiki(spark, sf_dir)))
+
+
+def answer_links(spark, sf_dir):
+    """Each page as an answer for which the pages of the next four numbers were retrieved: links elsewhere become text and a marker."""
+    w = wiki(spark, sf_dir)
+    number = F.substring_index("path", "/", -1).cast("long")
+    asked = w.select("path", F.explode(F.sequence(number, number + 3)).alias("n"))
+    found = asked.join(w.select(F.col("path").alias("page"), "title", number.alias("n")), "n").select("path", "page", "title")
+    return links.validated(written(spark, sf_dir), found, w)
+
+
+LINKED_SQL = """
+rf AS (SELECT path, unnest(refs) AS r, generate_subscripts(refs, 1) AS i FROM pg),
+nm AS (SELECT path, title, CASE WHEN regexp_full_match(title, '[A-Za-z]+') THEN upper(title) ELSE 'x' END AS named FROM pg)
+"""
+REWRITE_SQL = f"""WITH {WIKI}, {LINKED_SQL},
+a AS (
+  SELECT rf.path, i, CASE WHEN r = '' OR starts_with(r, 'raw/') OR regexp_matches(r, '[#^]') OR ti.title IS NULL OR ti.title = r THEN '[[' || r || ']]' ELSE '[[' || ti.title || '|' || r || ']]' END AS bare,
+    CASE WHEN r = '' OR starts_with(r, 'raw/') OR regexp_matches(r, '[#^]') OR ti.title IS NULL THEN '[[' || r || '|go]]' ELSE '[[' || ti.title || '|go]]' END AS shown
+  FROM rf LEFT JOIN ti ON ti.handle = nfc_normalize(lower(r))),
+b AS (SELECT path, string_agg(bare, ' ' ORDER BY i) AS bare, string_agg(shown, ' ' ORDER BY i) AS shown FROM a GROUP BY path)
+SELECT nm.path, 'see ' || coalesce(bare, '') || ' and ' || coalesce(shown, '') || ' [[' || CASE WHEN ti.title IS NULL OR ti.title = named THEN named ELSE ti.title || '|' || named END || ']] [[raw/x.md]] [[#top]] end' AS text
+FROM nm LEFT JOIN b USING (path) LEFT JOIN ti ON ti.handle = nfc_normalize(lower(named))"""
+ANSWER_SQL = f"""WITH {WIKI}, {LINKED_SQL},
+rt AS (SELECT p.path, q.path AS page, nfc_normalize(lower(q.title)) AS th FROM pg p JOIN pg q ON split_part(q.path, '/', 2)::BIGINT BETWEEN split_part(p.path, '/', 2)::BIGINT AND split_part(p.path, '/', 2)::BIGINT + 3),
+kn AS (SELECT path, th AS h FROM rt UNION SELECT path, page FROM rt),
+bt AS (SELECT nfc_normalize(lower(title)) AS th, max(path) AS page FROM pg GROUP BY 1),
+ix AS (SELECT handle AS h, bt.page FROM ti JOIN bt ON bt.th = nfc_normalize(lower(ti.title))),
+al AS (SELECT path, r, i FROM rf UNION ALL SELECT path, named, 0 FROM nm UNION ALL SELECT path, 'raw/x.md', -1 FROM nm),
+pt AS (SELECT path, i, r, nfc_normalize(lower(r)) AS h, nfc_normalize(lower(regexp_replace(r, '[#^].*$', ''))) AS ph FROM al),
+ok AS (
+  SELECT path, i, r, r = '' OR ph = '' OR EXISTS (SELECT 1 FROM kn WHERE kn.path = pt.path AND kn.h IN (pt.h, pt.ph)) OR EXISTS (SELECT 1 FROM ix JOIN rt ON rt.page = ix.page WHERE ix.h = pt.ph AND rt.path = pt.path) AS keep FROM pt),
+pc AS (SELECT path, i, CASE WHEN keep THEN '[[' || r || ']]' ELSE r || ' <!-- link outside retrieved set: ' || r || ' -->' END AS bare, CASE WHEN keep THEN '[[' || r || '|go]]' ELSE 'go <!-- link outside retrieved set: ' || r || ' -->' END AS shown FROM ok)
+SELECT path, 'see ' || coalesce(string_agg(bare, ' ' ORDER BY i) FILTER (WHERE i > 0), '') || ' and ' || coalesce(string_agg(shown, ' ' ORDER BY i) FILTER (WHERE i > 0), '') || ' ' || any_value(bare) FILTER (WHERE i = 0) || ' ' || any_value(bare) FILTER (WHERE i = -1) || ' [[#top]] end' AS text
+FROM pc GROUP BY path"""
+
+
 # --- walks over pages and the terms they link -----------------------------------------
 
 STEPS = 20
@@ -285,6 +335,39 @@ def force_include(spark, sf_dir):
     return retrieve.force_include(wiki(spark, sf_dir), spark.createDataFrame(QUESTIONS, "qid string, question string"))
 
 
+def asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``qid, question, keywords``: every turn of a user in ``conversations``, with its words of four letters or more."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
+    return turns.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.coalesce("text", F.lit("")).alias("question"), words.alias("keywords"))
+
+
+ASKED_SQL = "ask AS (SELECT conv_id || '-' || turn AS qid, coalesce(text, '') AS question FROM conversations WHERE role = 'user')"
+WORDS_SQL = """
+kw AS (SELECT qid, lower(w) AS kw, count(*) AS times FROM (SELECT qid, unnest(regexp_extract_all(question, '\\pL+')) AS w FROM ask) WHERE length(w) >= 4 GROUP BY ALL),
+nn AS (SELECT path, nfc_normalize(lower(title)) AS t, [x for x in [lower(alias1), lower(alias2)] if x <> ''] AS al, nfc_normalize(lower(summary)) AS s FROM pg),
+wo AS (SELECT kw, path, CASE WHEN t = kw THEN 10 WHEN list_contains(al, kw) THEN 8
+    WHEN (t <> '' AND (contains(t, kw) OR contains(kw, t))) OR len([x for x in al if contains(x, kw) OR contains(kw, x)]) > 0 THEN 4 WHEN contains(s, kw) THEN 2 ELSE 0 END AS worth FROM (SELECT DISTINCT kw FROM kw) JOIN nn ON true),
+lx AS (SELECT qid, path, sum(worth * times)::BIGINT AS score FROM kw JOIN wo USING (kw) WHERE worth > 0 GROUP BY ALL)
+"""
+
+
+def force_include_asked(spark, sf_dir):
+    """Pages that users name, in all their turns."""
+    return retrieve.force_include(wiki(spark, sf_dir), asked_questions(spark, sf_dir))
+
+
+def lexical_asked(spark, sf_dir):
+    """The lexical score of every page that a turn's words meet."""
+    return retrieve.lexical_scores(wiki(spark, sf_dir).withColumn("body", F.lit("")), asked_questions(spark, sf_dir)).select("qid", "path", "score")
+
+
+def mode_a_asked(spark, sf_dir):
+    """The ranking of all of these, pages that a turn names included."""
+    w, asked = wiki(spark, sf_dir).withColumn("body", F.lit("")), asked_questions(spark, sf_dir)
+    return retrieve.mode_a(w, asked.where(F.size("keywords") > 0), retrieve.force_include(w, asked)).select("qid", "path", "score", "rank")
+
+
 def mode_b_rank(spark, sf_dir, steps: int = SETTLED):
     """Seeds named by a question, a walk from them over the page graph with as many steps as six decimals need to settle, the ranking, the pack."""
     w = wiki(spark, sf_dir)
@@ -339,5 +422,10 @@ QUERIES = [
     (filter_box, f"WITH {WIKI} SELECT path, title FROM pg WHERE contains(lower(title), 'th') OR contains(lower(path), 'th')"),
     (mention_graph, f"WITH {WIKI}, d0 AS (SELECT qid, path, 0 AS d FROM ({FORCED})), d1 AS (SELECT DISTINCT qid, sy.b AS path, 1 AS d FROM d0 JOIN sy ON sy.a = d0.path), d2 AS (SELECT DISTINCT qid, sy.b AS path, 2 AS d FROM d1 JOIN sy ON sy.a = d1.path) SELECT qid, path, min(d)::BIGINT AS distance FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY ALL"),
     (force_include, f"WITH {WIKI} {FORCED}"),
+    (force_include_asked, f"WITH {WIKI}, {ASKED_SQL} SELECT DISTINCT qid, path FROM ask JOIN cl ON name <> '' AND contains(nfc_normalize(lower(question)), nfc_normalize(lower(name)))"),
+    (lexical_asked, f"WITH {WIKI}, {ASKED_SQL}, {WORDS_SQL} SELECT qid, path, score FROM lx"),
+    (mode_a_asked, f"WITH {WIKI}, {ASKED_SQL}, {WORDS_SQL}, fi AS (SELECT DISTINCT qid, path FROM ask JOIN cl ON name <> '' AND contains(nfc_normalize(lower(question)), nfc_normalize(lower(name))) WHERE qid IN (SELECT qid FROM kw)), al AS (SELECT qid, path, score FROM lx UNION ALL SELECT qid, path, 0 FROM fi WHERE NOT EXISTS (SELECT 1 FROM lx WHERE lx.qid = fi.qid AND lx.path = fi.path)) SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM al"),
+    (link_rewrite, REWRITE_SQL),
+    (answer_links, ANSWER_SQL),
     (mode_b_rank, MODE_B_SQL),
 ]

@@ -90,7 +90,7 @@ def test_answer_links():
     body = "[[A]] [[B|b]] [[Al]] [[A#h]] [[#here]] [[gone]]"
     got = blocks.validated_links(body, [("wiki/A.md", "A")], {"a": "wiki/A.md", "al": "wiki/A.md", "b": "wiki/B.md"})
     assert got == "[[A]] b <!-- link outside retrieved set: B --> [[Al]] [[A#h]] [[#here]] gone <!-- link outside retrieved set: gone -->"
-    assert blocks.post_pass("[[al]] [[al|x]] [[A]] [[no]]", {"al": "A", "a": "A"}) == "[[A|al]] [[A|x]] [[A]] [[no]]"
+    assert blocks.post_pass("[[al]] [[al|x]] [[A]] [[no]] [[a]] [[ A |]]", {"al": "A", "a": "A"}) == "[[A|al]] [[A|x]] [[A]] [[no]] [[A|a]] [[A|]]"
     assert blocks.clean_missing(["[]][X][[]", " a\nb ", "[[]]"]) == ["X", "a b"]
     assert blocks.forged_removed("a\n <!-- trace:start --> \nb <!-- trace:end --> c\n") == "a\nb <!-- trace:end --> c\n"
 
