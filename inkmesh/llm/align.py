@@ -5,7 +5,7 @@ joins across such a place, so each distinct stretch of a batch is encoded once,
 call, and its ids are gathered by place. Python returns ids and the bytes at which tokens end.
 
 All else is column expressions. Bytes at which tokens of both end (``array_intersect``) cut
-a text into groups. How many tokens end up to each cut comes from one sort of ends and cuts
+stretches into groups. How many tokens end up to each cut comes from one sort of ends and cuts
 together; ``sequence`` and ``slice`` make the groups, ``transform`` their links, all pairs of
 tokens in a group. Links of a text are counted by pair over all documents: frequent pairs,
 ``HEAD`` at most, are sent to every task, so no pair of a large share of the corpus is
@@ -41,11 +41,13 @@ BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are sent to every task: a pair and its count take some 50 bytes there.
 HEAD = 1 << 19
 #: Bytes of text whose stretches are looked up together, and stretches whose ids a task keeps.
-PORTION, KEPT = 8e6, 200_000
+PORTION, KEPT = 6e6, 250_000
+#: Stretches in one call for pieces, whose cost grows faster than its length.
+LINE = 256
 SPACE_PIECE = "▁"
 #: Characters up to this one are split alike by the fast and the plain encoder; stretches with others go to the plain one.
 FAMILIAR = "[^\\x00-\\x{24f}]"
-COLUMNS = "doc_id bigint, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+COLUMNS = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, stretch_ends array<int>, texts array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,places:array<int>>>"
 
 
 # --- tokens --------------------------------------------------------------------------------
@@ -130,47 +132,37 @@ class Tokens:
 
     def learn(self, new: list[str]) -> None:
         """``new``: stretches, all of which begin with a space."""
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
+        for i in range(0, len(new), 50_000):
+            self._learn(new[i : i + 50_000])
 
     def _learn(self, new: list[str]) -> None:
         texts = pa.array(new, pa.string())
         # What ends in white space would run into the space of the next stretch; what is of other scripts goes to the plain encoder.
-        alone = np.asarray(pc.or_(pc.match_substring_regex(texts, "\\s$"), pc.match_substring_regex(texts, FAMILIAR)))
-        lone, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
-        parts = [[None] * len(new), [None] * len(new)]
-        together = "".join(new[i] for i in rest.tolist())
-        ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)[rest])
-        for k, ids in enumerate((self.fast.encode_ordinary(together), self._pieces(together) if together else [])):
-            own = np.array(ids, np.int32)
-            to = np.searchsorted(np.cumsum((self.a, self.b)[k].sizes[own], dtype=np.int64), ends, "left") + 1
-            for i, x in zip(rest.tolist(), np.split(own, to[:-1]) if len(to) else [], strict=True):
-                parts[k][i] = x
-        own = [new[i] for i in lone.tolist()]
-        for i, e in zip(lone.tolist(), self.plain.encode_batch_fast(own, add_special_tokens=False), strict=True):
-            parts[0][i] = np.array(e.ids, np.int32)
-        for i, t in zip(lone.tolist(), own, strict=True):
-            parts[1][i] = np.array(self._pieces(t), np.int32)
+        alone = pc.or_(pc.match_substring_regex(texts, "\\s$"), pc.match_substring_regex(texts, FAMILIAR))
+        together, lone = texts.filter(pc.invert(alone)), texts.filter(alone).to_pylist()
+        line, length = "".join(together.to_pylist()), np.asarray(pc.binary_length(together), np.int64)
+        own = [e.ids for e in self.plain.encode_batch_fast(lone, add_special_tokens=False)], [self._pieces(t) for t in lone]
+        want = np.frombuffer((line + "".join(lone)).encode(), np.uint8)
+        length = np.concatenate([length, np.array([len(t.encode()) for t in lone], np.int64)])
         right = np.ones(len(new), bool)
-        want = np.frombuffer("".join(new).encode(), np.uint8)
-        length = np.asarray(pc.binary_length(texts), np.int64)
-        for k, spelling in enumerate((self.a, self.b)):
-            ids, sizes = np.concatenate(parts[k]), np.array([len(x) for x in parts[k]], np.int64)
-            per = spelling.sizes[ids].astype(np.int64)
-            to = np.cumsum(sizes)
-            total = np.concatenate([[0], np.cumsum(per)])
-            fits = total[to] - total[to - sizes] == length
-            # byte by byte, where the lengths agree
-            spelt, begin = spelling.of(ids), total[to - sizes]
-            here = np.flatnonzero(fits)
-            at = np.cumsum(length) - length
-            differs = gathered(spelt, begin[here], length[here]) != gathered(want, at[here], length[here])
+        lines = ["".join(new_line)[1:] for new_line in (together.slice(i, LINE).to_pylist() for i in range(0, len(together), LINE))]
+        pieces = self.pieces.encode([x for x in lines if x], num_threads=1) if all(lines) else [self._pieces(" " + x) for x in lines]
+        for k, (spelling, ids) in enumerate(zip((self.a, self.b), (self.fast.encode_ordinary(line), [i for x in pieces for i in x]), strict=True)):
+            ids = np.array(ids, np.int32)
+            to = np.searchsorted(np.cumsum(spelling.sizes[ids], dtype=np.int64), np.cumsum(length[: len(together)]), "left") + 1
+            sizes = np.concatenate([np.diff(to, prepend=0), np.array([len(x) for x in own[k]], np.int64)])
+            ids = np.concatenate([ids, np.array([i for x in own[k] for i in x], np.int32)])
+            total, to = np.concatenate([[0], np.cumsum(spelling.sizes[ids], dtype=np.int64)]), np.cumsum(sizes)
+            begin, at = total[to - sizes], np.cumsum(length) - length
+            fits = total[to] - begin == length
+            here = np.flatnonzero(fits)  # byte by byte, where the lengths agree
+            differs = gathered(spelling.of(ids), begin[here], length[here]) != gathered(want, at[here], length[here])
             fits[here] = np.add.reduceat(differs, np.cumsum(length[here]) - length[here]) == 0 if len(here) else True
             right &= fits
             self.ids[k] = np.concatenate([self.ids[k], ids])
             self.sizes[k] = np.concatenate([self.sizes[k], sizes])
         self.right = np.concatenate([self.right, right])
-        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        self.row.update(zip([*together.to_pylist(), *lone], range(len(self.row), len(self.row) + len(new)), strict=True))
 
 
 def cut_before(raw: np.ndarray) -> np.ndarray:
@@ -198,27 +190,33 @@ def _tokenised(bytes_file: str, pieces_file: str):  # noqa: ANN202
                 tokens.forget()
                 new = distinct
             tokens.learn(new)
-            row = np.fromiter(map(tokens.row.__getitem__, distinct), np.int64, len(distinct))[places]
+            row = np.fromiter(map(tokens.row.__getitem__, distinct), np.int64, len(distinct))
             first = np.searchsorted(starts, offsets[:-1])  # the first stretch of each text
-            good = (np.diff(offsets) > 1) & np.logical_and.reduceat(tokens.right[row], first)
-            row, n_stretches = row[np.repeat(good, np.diff(np.append(first, len(row))))], np.where(good, np.diff(np.append(first, len(row))), 0)
-            columns = [batch.column(0)]
+            n_stretches = np.diff(np.append(first, len(places)))
+            good = (np.diff(offsets) > 1) & np.logical_and.reduceat(tokens.right[row[places]], first)
+            places, n_stretches = places[np.repeat(good, n_stretches)], np.where(good, n_stretches, 0)
+            # Stretches of texts that have none of these are left out.
+            used, places = np.unique(places, return_inverse=True)
+            row, ends = row[used], np.concatenate([[0], np.cumsum(n_stretches)])
+            columns, counts = [], []
             for k, spelling in enumerate((tokens.a, tokens.b)):
                 size = tokens.sizes[k]
                 ids = gathered(tokens.ids[k], (np.cumsum(size) - size)[row], size[row])
-                n = np.concatenate([[0], np.cumsum(size[row])])[np.concatenate([[0], np.cumsum(n_stretches)])]  # tokens up to each text's end
-                total = np.concatenate([[0], np.cumsum(spelling.sizes[ids], dtype=np.int64)])
-                ends = (total[1:] - np.repeat(total[n[:-1]], np.diff(n))).astype(np.int32)
-                for values in (ids, ends):
-                    columns.append(pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(values)))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "a_ends", "b", "b_ends"])
+                stops = np.cumsum(spelling.sizes[ids], dtype=np.int64)
+                columns += [ids, stops.astype(np.int32)]
+                counts.append(np.diff(np.concatenate([[0], np.cumsum(size[row][places])])[ends]))
+            columns.append((stops[np.cumsum(size[row]) - 1] if len(row) else stops).astype(np.int32))
+            per_text = pa.StructArray.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int32)))], ["doc_id", "n_a", "n_b", "places"])
+            whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in (*columns, per_text)]
+            yield pa.RecordBatch.from_arrays(whole, ["a", "a_ends", "b", "b_ends", "stretch_ends", "texts"])
         tokens.forget()  # an idle worker's memory is missing elsewhere
 
     return run
 
 
 def tokenised(docs: DataFrame, bytes_file: str | None = None, pieces_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, a, a_ends, b, b_ends`` of each row: the ids of both tokenizers and the bytes at which they end, in order."""
+    """A row for each portion of texts: the ids of both tokenizers for its distinct stretches, one stretch after the other, the bytes at
+    which ids and stretches end, and ``texts``: ``doc_id``, how many ids it has, and its stretches by their place."""
     import public_tokenizers
 
     files = bytes_file or public_tokenizers.path(BYTES_FILE), pieces_file or public_tokenizers.path(PIECES_FILE)
@@ -230,31 +228,60 @@ def tokenised(docs: DataFrame, bytes_file: str | None = None, pieces_file: str |
 
 
 def ended(ends: Column, cuts: Column) -> Column:
-    """How many of ``ends`` are up to each of ``cuts``, which are among them; both ascend.
+    """0, and how many of ``ends`` are up to each of ``cuts``, which are among them; both ascend.
 
     Cuts sort behind the ends that they equal, so at the k-th cut stand k cuts and the wanted ends before it.
     """
-    both = F.array_sort(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda c: c * 2 + 1)))
-    marked = F.filter(F.transform(both, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
-    return F.transform(marked, lambda at, k: at - k)
+    both = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda c: c * 2 + 1)))
+    marked = F.filter(F.transform(both, lambda x, i: F.when(x.bitwiseAND(1) == 1, i)), lambda i: i.isNotNull())
+    return F.concat(F.array(F.lit(0)), F.transform(marked, lambda at, k: at - k))
+
+
+def stretch(values: Column, first: Column, n: Column) -> Column:
+    """``n`` of ``values`` from place ``first`` on, one at least."""
+    return F.transform(F.sequence(first, first + n - 1), lambda i: F.get(values, i))
+
+
+def counted_up(n: Column) -> Column:
+    """0, 1, ... up to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """``doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links``; ``links``: a number for each link, its A id times 2 to the 32 plus its B id."""
+    """``doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links`` of each text; ``links``: a number for each link, its A id times 2 to the 32 plus its B id.
+
+    Tokens of both end where a stretch ends, so groups are made for each distinct stretch of a portion, and a text's are those of its stretches, in order.
+    """
     cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    cut = cut.select("doc_id", "a", "b", ended(F.col("a_ends"), F.col("cuts")).alias("to_a"), ended(F.col("b_ends"), F.col("cuts")).alias("to_b"))
-    until = lambda c, k: F.when(k == 0, 0).otherwise(F.get(c, k - 1))
-    part = lambda ids, c, k: let(until(c, k), lambda s: F.slice(ids, s + 1, F.get(c, k) - s))
-    numbers = F.when(F.size("to_a") > 0, F.sequence(F.lit(0), F.size("to_a") - 1)).otherwise(F.array().cast("array<int>"))
-    grouped = cut.select("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.transform(numbers, lambda k: F.struct(part(F.col("a"), F.col("to_a"), k).alias("a"), part(F.col("b"), F.col("to_b"), k).alias("b"))).alias("groups"))
-    ids = lambda c: F.array_join(c.cast("array<string>"), ",")
-    text = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-    links = F.flatten(F.transform("groups", lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: F.shiftleft(x.cast("long"), 32) + y)))))
-    return grouped.select(
-        "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"),
-        F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links"),
-        F.when(F.size("groups") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"), links.alias("links"),
-    )
+    to = lambda ends, cuts: ended(F.col(ends), F.col(cuts))
+    cut = cut.select("a", "b", "texts", to("a_ends", "cuts").alias("to_a"), to("b_ends", "cuts").alias("to_b"), to("cuts", "stretch_ends").alias("to_group"))
+
+    def group(k: Column) -> Column:
+        """Group k; most have one token of either side, for which nothing is sliced."""
+        (a, from_a, n_a), (b, from_b, n_b) = ((F.col(x), F.get(to, k), F.get(to, k + 1) - F.get(to, k)) for x, to in (("a", F.col("to_a")), ("b", F.col("to_b"))))
+        link = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+        ids = lambda v: F.array_join(v.cast("array<string>"), ",")
+        of = lambda text, links: F.struct(text.alias("text"), links.alias("links"), F.lit(1).alias("n"))
+        one = of(F.concat(F.get(a, from_a).cast("string"), F.lit("|"), F.get(b, from_b).cast("string")), F.array(link(F.get(a, from_a), F.get(b, from_b))))
+        many = let(stretch(a, from_a, n_a), lambda x: let(stretch(b, from_b, n_b), lambda y: of(F.concat(ids(x), F.lit("|"), ids(y)), F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: link(i, j)))))))
+        return F.when((n_a == 1) & (n_b == 1), one).otherwise(many)
+
+    def of_stretch(groups: Column, k: Column) -> Column:
+        first, n = F.get("to_group", k), F.get("to_group", k + 1) - F.get("to_group", k)
+        several = let(stretch(groups, first, n), lambda own: F.struct(F.array_join(own["text"], ";").alias("text"), F.flatten(own["links"]).alias("links"), n.alias("n")))
+        return F.when(n == 1, F.get(groups, first)).otherwise(several)
+
+    groups = F.transform(counted_up(F.size("to_a") - 1), group)
+    stretches = let(groups, lambda g: F.transform(counted_up(F.size("to_group") - 1), lambda k: of_stretch(g, k)))
+
+    def of_text(own: Column, text: Column) -> Column:
+        links = F.flatten(F.transform(text["places"], lambda p: F.get(own, p)["links"]))
+        told = F.array_join(F.transform(text["places"], lambda p: F.get(own, p)["text"]), ";")
+        n = F.aggregate(text["places"], F.lit(0).cast("long"), lambda n, p: n + F.get(own, p)["n"])
+        return F.struct(text["doc_id"].alias("doc_id"), text["n_a"].alias("n_a"), text["n_b"].alias("n_b"), n.alias("n_groups"), F.when(F.size(text["places"]) > 0, F.sha2(told, 256)).otherwise("").alias("groups_sha256"), links.alias("links"))
+
+    each = cut.select(F.inline(let(stretches, lambda own: F.transform("texts", lambda text: of_text(own, text)))))
+    return each.withColumn("n_links", F.size("links").cast("long"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
