@@ -181,18 +181,43 @@ class Net:
         """With a column of ones for the bias of words."""
         return np.concatenate([np.tanh(x @ self.dense[:-1] + self.dense[-1]), np.ones((len(x), 1), np.float32)], 1)
 
+
+class Scorer:
+    """A net that gives a window the same bits wherever it stands in a batch.
+
+    A matrix product may sum in another order for other rows of a batch, by the machine's kernels. So what is
+    multiplied are whole numbers, multiples of 1/``GRID`` in magnitude bounded, whose sums are exact in any order.
+    """
+
+    #: 65 products of two numbers under 8, and 16 of one under 1 and one under 64, in units of 1 / GRID squared, stay under 2 to the 53.
+    GRID, MOST, MOST_OUT = float(1 << 20), 8.0, 64.0
+
+    def __init__(self, net: Net) -> None:
+        self.net = net
+        self.embed, self.dense, self.out = self._whole(net.embed, self.MOST), self._whole(net.dense, self.MOST), self._whole(net.out, self.MOST_OUT)
+        self.drawn, self.times = net.others(SEEN)
+        rows = net.out[self.drawn].astype(np.float64)
+        rows[:, HIDDEN] += np.log(self.times)
+        self.rest = np.ascontiguousarray(self._whole(rows, self.MOST_OUT).T)
+
+    def _whole(self, table: np.ndarray, most: float) -> np.ndarray:
+        return np.rint(np.clip(table.astype(np.float64), -most, most) * self.GRID)
+
     def log_probs(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log-probability of each word; ``around``: (n, 2 SIDE) context words. The mean over others is that over ``SEEN`` drawn words."""
-        hidden = self.hidden(self.embed.take(around, axis=0).reshape(len(around), -1))
-        drawn, times = self.others(SEEN)
-        rest = weighed(hidden, self.out[drawn], times)
-        place = np.searchsorted(drawn, word)
-        own = np.flatnonzero(drawn[np.minimum(place, len(drawn) - 1)] == word)
+        unit = self.GRID * self.GRID
+        x = self.embed.take(around, axis=0).reshape(len(around), -1)
+        hidden = np.rint(np.tanh((x @ self.dense[:-1] + self.dense[-1] * self.GRID) / unit) * self.GRID)
+        hidden = np.concatenate([hidden, np.full((len(x), 1), self.GRID)], 1)
+        rest = ((hidden @ self.rest) / unit).astype(np.float32)
+        np.exp(rest, out=rest)
+        place = np.searchsorted(self.drawn, word)
+        own = np.flatnonzero(self.drawn[np.minimum(place, len(self.drawn) - 1)] == word)
         rest[own, place[own]] = 0  # a word is not among the others
-        n = np.full(len(word), times.sum())
-        n[own] -= times[place[own]]
-        share = self.share[word]
-        score = np.einsum("ij,ij->i", hidden, self.out.take(word, axis=0)).astype(np.float64)
+        n = np.full(len(word), self.times.sum())
+        n[own] -= self.times[place[own]]
+        share = self.net.share[word]
+        score = np.einsum("ij,ij->i", hidden, self.out.take(word, axis=0)) / unit
         mean = np.where(n > 0, rest.sum(1) / np.maximum(n, 1), 1)
         return -np.log1p((1 - share) / share * mean * np.exp(-score))
 
@@ -353,14 +378,14 @@ def fit(encoded: DataFrame) -> Model:
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.net()
+        scorer = Scorer(model.net())
         for batch in batches:
             hashes, counts = _hashes(batch.column(1))
             around, own = windows(model.words.ids(hashes), counts, model.words.size)
             each = np.zeros(len(own) + 1)
             for i in range(0, len(own), BATCH):
                 w = own[i : i + BATCH]
-                each[i : i + len(w)] = net.log_probs(around[i : i + BATCH], w) + model.words.log_share[w]
+                each[i : i + len(w)] = scorer.log_probs(around[i : i + BATCH], w) + model.words.log_share[w]
             ends = np.cumsum(counts)
             total = np.where(counts > 0, np.add.reduceat(each, ends - counts), 0.0) if len(counts) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(total, pa.float64())], ["doc_id", "n_words", "log_prob"])
