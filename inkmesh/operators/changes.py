@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import folders_above, path_key, utf16_order
@@ -184,7 +184,13 @@ def next_manifest(manifest: DataFrame, changed: DataFrame, renames: DataFrame, b
     return rows.select("path", value.alias("hash")).where("hash IS NOT NULL")
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equal as bags: a write can be skipped."""
-    b = b.select(*a.columns)
-    return not a.exceptAll(b).union(b.exceptAll(a)).limit(1).count()
+#: What is counted of a build's changes: a number for each status.
+COUNTED = ("new", "modified", "unchanged", "deleted")
+
+
+def counted(changed: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``changed`` as it was written, and how many rows it has of each status, counted in the pass that writes it."""
+    seen = Observation()
+    marks = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in COUNTED]
+    out = kept(changed.observe(seen, *marks))
+    return out, {s: int(n) for s, n in seen.get.items()}

@@ -13,12 +13,26 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TYPES = (("integer", r"^[+-]?[0-9]+$"), ("number", NUMBER), ("boolean", r"(?i)^(true|false|yes|no)$"), ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"))
 
 
+def fits(value: Column) -> Column:
+    """A bit for each of ``TYPES`` that a cell fits, null for a blank one; an integer is a number too, the others exclude each other."""
+    bit = {name: 1 << k for k, (name, _) in enumerate(TYPES)}
+    mask = lambda name: bit[name] | (bit["number"] if name == "integer" else 0)
+
+    def of(v: Column) -> Column:
+        out = F.when(v == "", None)
+        for name, pattern in TYPES:
+            out = out.when(F.regexp_like(v, F.lit(pattern)), mask(name))
+        return out.otherwise(0)
+
+    return F.element_at(F.transform(F.array(trim(value)), of), 1)
+
+
 def inferred_type(value: Column) -> Column:
-    """An aggregate: the first type that all cells fit; ``empty`` without any, else ``string``."""
-    v = F.when(trim(value) != "", trim(value))
-    out = F.when(F.count(v) == 0, "empty")
-    for name, pattern in TYPES:
-        out = out.when(F.bool_and(F.regexp_like(v, F.lit(pattern))), name)
+    """An aggregate: the first type that all cells fit; ``empty`` without any, else ``string``. A cell is looked at once."""
+    every = F.bit_and(fits(value))
+    out = F.when(every.isNull(), "empty")
+    for k, (name, _) in enumerate(TYPES):
+        out = out.when(every.bitwiseAND(1 << k) != 0, name)
     return out.otherwise("string")
 
 

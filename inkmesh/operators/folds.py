@@ -25,16 +25,16 @@ def folded(rows: DataFrame, group: str, order: list[str | Column], start: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: Any = None
         state: Any = None
-        begun = False
+        begun, kind = False, []
 
         def out(found: dict[str, list] | None) -> Iterator[pa.RecordBatch]:
             if found and len(found[names[0]]):
                 n = len(found[names[0]])
-                yield pa.RecordBatch.from_pydict({group: [key] * n, **{c: found[c] for c in names}})
+                yield pa.RecordBatch.from_pydict({group: pa.array([key] * n, kind[0]), **{c: found[c] for c in names}})
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            at = 0
+            keys, at = batch.column(0).to_pylist(), 0
+            kind[:] = [batch.schema.field(0).type]
             while at < len(keys):
                 to = at
                 while to < len(keys) and keys[to] == keys[at]:
@@ -49,5 +49,4 @@ def folded(rows: DataFrame, group: str, order: list[str | Column], start: Callab
         if begun and end is not None:
             yield from out(end(state))
 
-    kind = rows.schema[group].dataType.simpleString()
-    return sorted_rows.mapInArrow(run, f"{group} {kind}, {schema}")
+    return sorted_rows.mapInArrow(run, f"{group} {rows.schema[group].dataType.simpleString()}, {schema}")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from inkmesh.functions.text import fnv1a, handle, utf16_order
+from inkmesh.functions.text import handle, utf16_order
+from inkmesh.operators.fingerprints import same_rows
 from inkmesh.operators.links import first_claimants, targets
 
 MIN_NODES, MIN_RATIO = 20, 1.5
@@ -77,25 +76,28 @@ def orphans(nodes: DataFrame) -> DataFrame:
 
 def same_topology(nodes_a: DataFrame, edges_a: DataFrame, nodes_b: DataFrame, edges_b: DataFrame) -> bool:
     """Equal node paths and equal edges."""
-
-    def differs(x: DataFrame, y: DataFrame) -> bool:
-        return bool(x.exceptAll(y).union(y.exceptAll(x)).limit(1).count())
-
-    return not differs(nodes_a.select("path"), nodes_b.select("path")) and not differs(edges_a.select("a", "b"), edges_b.select("a", "b"))
+    return same_rows(nodes_a.select("path"), nodes_b.select("path")) and same_rows(edges_a.select("a", "b"), edges_b.select("a", "b"))
 
 
 def node_radius(degree: Column) -> Column:
     return F.lit(3.0) + F.lit(2.6) * F.log1p(degree)
 
 
-#: Fixed value: the radius of the disc on which a layout starts.
+#: The radius of the disc on which a layout starts, and FNV-1a's start and factor for 32 bits.
 SEED_RADIUS = 320.0
+FNV_START, FNV_FACTOR = 0x811C9DC5, 0x01000193
 
 
-@F.pandas_udf(LongType())
-def path_hash(path: pd.Series) -> pd.Series:
+def path_hash(path: Column) -> Column:
     """FNV-1a of the UTF-16 units, 32 bits; a null path: null."""
-    return path.map(lambda p: None if p is None else fnv1a(p)).astype("Int64")
+    start, factor, low = (F.lit(x).cast("long") for x in (FNV_START, FNV_FACTOR, 0xFFFFFFFF))
+
+    def of(digits: Column) -> Column:
+        places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(4))).when(digits.isNotNull(), F.array().cast("array<int>"))
+        units = F.transform(places, lambda i: F.conv(F.substring(digits, i, F.lit(4)), 16, 10).cast("long"))
+        return F.aggregate(units, start, lambda h, u: (h.bitwiseXOR(u) * factor).bitwiseAND(low))
+
+    return F.element_at(F.transform(F.array(F.hex(F.encode(path, "UTF-16BE"))), of), 1)
 
 
 def seed_position(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions import text as T
-from inkmesh.operators import changes, dataset, evaluate, health, links, merge, retrieve, smell
+from inkmesh.operators import changes, dataset, evaluate, fingerprints, health, links, merge, retrieve, smell
 from inkmesh.operators.shared import ranked_in_groups
 from inkmesh.plans.graph_queries import FORCED, QUESTIONS, WIKI, table, wiki
 from inkmesh.sources import formats
@@ -152,6 +152,24 @@ def diff_four_rules(spark, sf_dir):
     return changed(spark, sf_dir)
 
 
+def change_counters(spark, sf_dir):
+    """How many files have each status, as counted while the difference was written."""
+    _, n = changes.counted(changed(spark, sf_dir))
+    return spark.createDataFrame(sorted(n.items()), "status string, n long")
+
+
+def manifest_equal(spark, sf_dir):
+    """For each folder whether the record equals what is there now, by fingerprints of both."""
+    now, was = (d.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "path", "hash") for d in (discovered(spark, sf_dir), recorded(spark, sf_dir)))
+    return fingerprints.same_groups(now, was, "folder", ["path", "hash"]).withColumnsRenamed({"n_a": "n_now", "n_b": "n_was"})
+
+
+def same_topology(spark, sf_dir):
+    """For each part whether its suppliers, and how often each, are the same without the seventh lines of orders."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey", "l_linenumber")
+    return fingerprints.same_groups(lines.drop("l_linenumber"), lines.where("l_linenumber < 7").drop("l_linenumber"), "part", ["l_suppkey"])
+
+
 def rename_pairs(spark, sf_dir):
     return changes.rename_pairs(changed(spark, sf_dir))
 
@@ -504,6 +522,9 @@ QUERIES = [
     (followup_pack, FOLLOW_SQL),
     (diff_four_rules, f"WITH {CHANGE_SQL} SELECT path, status, hash, old_hash FROM dd"),
     (rename_pairs, f"WITH RECURSIVE {CHANGE_SQL}, {CHOICE_SQL} SELECT old, new FROM tk WHERE old IS NOT NULL"),
+    (change_counters, f"WITH {CHANGE_SQL} SELECT status, count(dd.status)::BIGINT AS n FROM (VALUES ('new'), ('modified'), ('unchanged'), ('deleted')) s(status) LEFT JOIN dd USING (status) GROUP BY status"),
+    (manifest_equal, f"WITH {CHANGE_SQL}, o AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n_now, list((path, hash) ORDER BY path, hash) AS a FROM now GROUP BY 1), r AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n_was, list((path, hash) ORDER BY path, hash) AS b FROM rec GROUP BY 1) SELECT folder, coalesce(n_now, 0) AS n_now, coalesce(n_was, 0) AS n_was, coalesce(a = b, false) AS same FROM o FULL JOIN r USING (folder)"),
+    (same_topology, "WITH a AS (SELECT l_partkey AS part, count(*) AS n, list(l_suppkey ORDER BY l_suppkey) AS s FROM lineitem GROUP BY 1), b AS (SELECT l_partkey AS part, count(*) AS n, list(l_suppkey ORDER BY l_suppkey) AS s FROM lineitem WHERE l_linenumber < 7 GROUP BY 1) SELECT part, a.n AS n_a, coalesce(b.n, 0) AS n_b, coalesce(a.s = b.s, false) AS same FROM a LEFT JOIN b USING (part)"),
     (rename_lone_pairs, f"WITH {CHANGE_SQL}, {LONE_SQL} SELECT old, new FROM ren"),
     (cascade_scope, f"WITH {CHANGE_SQL}, {LONE_SQL}, {CITE_SQL}, mv AS (SELECT old AS path FROM ren UNION ALL SELECT new FROM ren), tc AS (SELECT path FROM dd WHERE status = 'modified' OR (status = 'deleted' AND path NOT IN (SELECT path FROM mv))), lv AS (SELECT path FROM dd WHERE status <> 'deleted' UNION ALL SELECT path FROM mv) SELECT page, CASE WHEN bool_or(source IN (SELECT path FROM lv)) THEN 'regenerate' ELSE 'delete' END AS fate FROM ci GROUP BY page HAVING bool_or(source IN (SELECT path FROM tc))"),
     (rename_repoint, f"WITH {CHANGE_SQL}, {LONE_SQL}, {CITE_SQL} SELECT page, coalesce(new, source) AS source FROM ci LEFT JOIN ren ON source = old"),

@@ -168,8 +168,7 @@ FROM pc GROUP BY path"""
 
 # --- walks over pages and the terms they link -----------------------------------------
 
-STEPS = 20
-#: The operator's most steps; 0.85 to this power is 9e-8.
+#: The operator's most steps; walks end before it where a step changes less than 1e-8 in all.
 SETTLED = 100
 
 
@@ -206,6 +205,15 @@ v(i, qid, path, score) AS (
 """
 
 
+def settled_sql(seeds: str) -> str:
+    """The walk to its end: ``it`` has the step at which it is, ``sc`` the scores there, to six decimals."""
+    return walk_sql(seeds, SETTLED) + f""",
+de AS (SELECT x.qid, x.i, sum(abs(x.score - y.score)) AS delta FROM v x JOIN v y ON y.qid = x.qid AND y.path = x.path AND y.i = x.i - 1 GROUP BY ALL),
+it AS (SELECT qid, coalesce(min(i) FILTER (WHERE delta < 1e-8), {SETTLED})::BIGINT AS iterations, bool_or(delta < 1e-8) AS converged FROM de GROUP BY qid),
+sc AS (SELECT qid, path, round(score, 6) AS score FROM v JOIN it USING (qid) WHERE v.i = iterations)
+"""
+
+
 SEEDS_ONE = "SELECT 'one' AS qid, 'wiki/1' AS path"
 SEEDS_MANY = "SELECT 'many' AS qid, path FROM pg WHERE kind = 'entity' UNION ALL SELECT 'pair', unnest(['wiki/2', 'wiki/5'])"
 SEEDS_ALONE = "SELECT 'alone' AS qid, 'raw/alone.md' AS path"
@@ -213,7 +221,7 @@ SEEDS_ALONE = "SELECT 'alone' AS qid, 'raw/alone.md' AS path"
 
 def walks(spark, sf_dir, seeds: DataFrame, **options) -> DataFrame:
     nodes, edges = term_graph(spark, sf_dir)
-    return ppr.run(nodes, edges, seeds, max_iter=STEPS, eps=0.0, **options)
+    return ppr.run(nodes, edges, seeds, **options)
 
 
 def seeds_one(spark, sf_dir):
@@ -262,10 +270,7 @@ def ppr_converged(spark, sf_dir):
     return ppr.run(nodes, edges, seeds_many(spark, sf_dir)).groupBy("qid", F.col("iterations").cast("long").alias("iterations"), "converged").agg(F.round(F.sum("score"), 6).alias("mass"), F.count(F.lit(1)).alias("n_nodes"))
 
 
-CONVERGED_SQL = f"""WITH RECURSIVE {TERMS}{walk_sql(SEEDS_MANY, SETTLED)},
-de AS (SELECT x.qid, x.i, sum(abs(x.score - y.score)) AS delta FROM v x JOIN v y ON y.qid = x.qid AND y.path = x.path AND y.i = x.i - 1 GROUP BY ALL),
-it AS (SELECT qid, coalesce(min(i) FILTER (WHERE delta < 1e-8), {SETTLED})::BIGINT AS iterations, bool_or(delta < 1e-8) AS converged FROM de GROUP BY qid)
-SELECT qid, iterations, converged, round(sum(score), 6) AS mass, count(*) AS n_nodes FROM it JOIN v USING (qid) WHERE v.i = iterations GROUP BY ALL"""
+CONVERGED_SQL = f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_MANY)} SELECT qid, iterations, converged, round(sum(score), 6) AS mass, count(*) AS n_nodes FROM it JOIN v USING (qid) WHERE v.i = iterations GROUP BY ALL"
 
 
 def overlay_heat(spark, sf_dir):
@@ -290,7 +295,7 @@ def label_choice_lit(spark, sf_dir):
     """Ten labels where a walk has lit nodes: lit ones by score."""
     nodes, edges = built(spark, sf_dir)
     asked = retrieve.force_include(wiki(spark, sf_dir), spark.createDataFrame(QUESTIONS[:1], "qid string, question string"))
-    scores = _rounded(ppr.run(nodes, edges, asked, max_iter=STEPS, eps=0.0).select("path", "score"))
+    scores = _rounded(ppr.run(nodes, edges, asked).select("path", "score"))
     lit = nodes.join(scores, "path", "left").select("path", "degree", F.coalesce("score", F.lit(0.0)).alias("score"), (F.coalesce("score", F.lit(0.0)) > 0).alias("lit"))
     return retrieve.labels(lit).select("path", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -405,17 +410,17 @@ QUERIES = [
     (health_orphans, f"WITH {WIKI} SELECT path, title FROM pg JOIN dg USING (path) WHERE degree = 0"),
     (health_counts, f"WITH {WIKI} SELECT kind, count(*) AS n FROM pg GROUP BY kind"),
     (part_supplier_degree, "WITH e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), s AS (SELECT a FROM e UNION ALL SELECT b FROM e), n AS (SELECT 'p' || p_partkey AS path FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier) SELECT path, count(s.a)::BIGINT AS degree FROM n LEFT JOIN s ON s.a = path GROUP BY path"),
-    (ppr_single_seed, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ONE, STEPS)} SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}"),
-    (ppr_multi_seed, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_MANY, STEPS)} SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}"),
-    (ppr_distributed, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ONE, STEPS)} SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}"),
-    (ppr_isolated_seed, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ALONE, STEPS)} SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}"),
-    (ppr_snapshots, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ONE, STEPS)} SELECT qid, i::BIGINT AS iter, path, round(score, 6) AS score FROM v WHERE i > 0"),
-    (ppr_topk, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_MANY, STEPS)}, r AS (SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM r WHERE score > 0) WHERE rank <= 12"),
+    (ppr_single_seed, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_ONE)} SELECT qid, path, score FROM sc"),
+    (ppr_multi_seed, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_MANY)} SELECT qid, path, score FROM sc"),
+    (ppr_distributed, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_ONE)} SELECT qid, path, score FROM sc"),
+    (ppr_isolated_seed, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_ALONE)} SELECT qid, path, score FROM sc"),
+    (ppr_snapshots, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_ONE)} SELECT qid, i::BIGINT AS iter, path, round(score, 6) AS score FROM v JOIN it USING (qid) WHERE i BETWEEN 1 AND iterations"),
+    (ppr_topk, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_MANY)}, r AS (SELECT qid, path, score FROM sc) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM r WHERE score > 0) WHERE rank <= 12"),
     (ppr_converged, CONVERGED_SQL),
-    (overlay_heat, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_MANY, STEPS)}, r AS (SELECT qid, path, round(score, 6) AS score FROM v WHERE i = {STEPS}), h AS (SELECT qid, r.path, se.path IS NOT NULL AS is_seed, score > 0 AND row_number() OVER (PARTITION BY qid ORDER BY score DESC, r.path) <= 12 AS in_topk, CASE WHEN score > 0 THEN round(score / max(score) OVER (PARTITION BY qid), 5) ELSE 0 END AS heat FROM r LEFT JOIN se USING (qid, path)) SELECT qid, path, is_seed, in_topk, heat, is_seed OR in_topk OR heat > 0 AS lit FROM h"),
-    (scrubber_frames, f"WITH RECURSIVE {TERMS}{walk_sql(SEEDS_ONE, STEPS)}, r AS (SELECT i::BIGINT AS frame, path, round(score, 6) AS score FROM v WHERE i > 0) SELECT * FROM (SELECT frame, path, round(score / max(score) OVER (PARTITION BY frame), 5) AS heat, row_number() OVER (PARTITION BY frame ORDER BY score DESC, path) AS rank FROM r WHERE score > 0) WHERE rank <= 3"),
+    (overlay_heat, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_MANY)}, r AS (SELECT qid, path, score FROM sc), h AS (SELECT qid, r.path, se.path IS NOT NULL AS is_seed, score > 0 AND row_number() OVER (PARTITION BY qid ORDER BY score DESC, r.path) <= 12 AS in_topk, CASE WHEN score > 0 THEN round(score / max(score) OVER (PARTITION BY qid), 5) ELSE 0 END AS heat FROM r LEFT JOIN se USING (qid, path)) SELECT qid, path, is_seed, in_topk, heat, is_seed OR in_topk OR heat > 0 AS lit FROM h"),
+    (scrubber_frames, f"WITH RECURSIVE {TERMS}{settled_sql(SEEDS_ONE)}, r AS (SELECT i::BIGINT AS frame, path, round(score, 6) AS score FROM v JOIN it USING (qid) WHERE i BETWEEN 1 AND iterations) SELECT * FROM (SELECT frame, path, round(score / max(score) OVER (PARTITION BY frame), 5) AS heat, row_number() OVER (PARTITION BY frame ORDER BY score DESC, path) AS rank FROM r WHERE score > 0) WHERE rank <= 3"),
     (label_choice, f"WITH {WIKI} SELECT path, degree, row_number() OVER (ORDER BY degree DESC, path) AS rank FROM dg ORDER BY degree DESC, path LIMIT 10"),
-    (label_choice_lit, MODE_B_SQL[: MODE_B_SQL.index("sc AS (")].replace(walk_sql(FORCED, SETTLED), walk_sql(FORCED + " AND qid = 'q1'", STEPS)) + f"sc AS (SELECT path, round(score, 6) AS score FROM v WHERE i = {STEPS}) SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, path LIMIT 10"),
+    (label_choice_lit, MODE_B_SQL[: MODE_B_SQL.index(",\nsc AS (")].replace(walk_sql(FORCED, SETTLED), settled_sql(FORCED + " AND qid = 'q1'")) + " SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, path LIMIT 10"),
     (node_radius, f"WITH {WIKI} SELECT path, round(3.0::DOUBLE + 2.6::DOUBLE * ln(degree + 1), 6) AS radius FROM dg"),
     (layout_seed, f"WITH {WIKI}, h AS (SELECT path, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(path, ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296)::BIGINT AS h FROM pg), a AS (SELECT path, (h & 65535) / 65536.0::DOUBLE * 2 * pi() AS a, sqrt((h >> 16) / 65536.0::DOUBLE) * 320 AS r FROM h) SELECT path, round(cos(a) * r, 6) AS x, round(sin(a) * r, 6) AS y FROM a"),
     (trace_labels, f"WITH {WIKI}, fc AS (SELECT handle, path FROM (SELECT nfc_normalize(lower(title)) AS handle, path, row_number() OVER (PARTITION BY nfc_normalize(lower(title)) ORDER BY path) AS r FROM pg) WHERE r = 1 AND handle <> '') SELECT 't' || pg.path AS pos, ' ' || title || ' ' AS label, fc.path AS path FROM pg LEFT JOIN fc ON fc.handle = nfc_normalize(lower(title)) UNION ALL SELECT path, path, path FROM pg UNION ALL SELECT 'x' || path, 'gone ' || path, NULL FROM pg"),

@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from inkmesh.operators import changes, graph, links, retrieve
+from inkmesh.operators import fingerprints, graph, links, retrieve
 from inkmesh.plans import evaluation
 from inkmesh.plans.provider import CallError, Provider, call_all, inventory_of, seeds_of
 from inkmesh.plans.settings import Settings
@@ -51,7 +51,7 @@ def test_columns_over_files(spark, tmp_path):
     assert json.loads(manifest.render(m)) == {"a": {"hash": "i", "derivative": "d"}, "b": {"hash": "h"}}
     assert manifest.load(spark, str(tmp_path / "none.json")).count() == 0
     manifest.save_table(m, str(tmp_path / "m"))
-    assert changes.same_rows(spark.read.parquet(str(tmp_path / "m")), m) and not changes.same_rows(m, m.limit(1))
+    assert fingerprints.same_rows(spark.read.parquet(str(tmp_path / "m")), m) and not fingerprints.same_rows(m, m.limit(1))
 
 
 def test_evaluation_of_both_rankings(spark):
