@@ -86,13 +86,13 @@ def _large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float, m
         new = kept(new) if k % every == 0 else new.persist()
         both = new.alias("n").join(v.alias("o"), ["qid", "path"], "full_outer")
         change = both.groupBy("qid").agg(F.sum(F.abs(F.coalesce("n.score", F.lit(0.0)) - F.coalesce("o.score", F.lit(0.0)))).alias("change"))
-        ended = kept(change.where((F.col("change") < eps) | F.lit(k == max_iter)).select("qid", (F.col("change") < eps).alias("converged")))
+        ended = change.where((F.col("change") < eps) | F.lit(k == max_iter)).select("qid", (F.col("change") < eps).alias("converged"))
         if snapshots and k <= MAX_SNAPSHOTS:
             new = kept(new)
             part = new.select("qid", F.lit(k).alias("iter"), "path", "score")
             steps = part if steps is None else steps.union(part)
-        if ended.limit(1).count():
-            new = kept(new)
+        if ended.limit(1).count():  # kept only where a walk has ended: a job a step otherwise
+            ended, new = kept(ended), kept(new)
             done = new.join(ended, "qid").select("qid", "path", "score", F.lit(k).alias("iterations"), "converged")
             finished = done if finished is None else finished.union(done)
             new = new.join(ended, "qid", "left_anti")
