@@ -40,8 +40,8 @@ from inkmesh.llm.wordhash import frugal, portions
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are sent to every task: a pair and its count take some 50 bytes there.
 HEAD = 1 << 19
-#: Bytes of text whose stretches are looked up together, and stretches whose ids a task keeps.
-PORTION, KEPT = 2e6, 250_000
+#: Bytes of text whose stretches are looked up together (arrays of more are large objects to the JVM), and stretches whose ids a task keeps.
+PORTION, KEPT = 3e5, 250_000
 #: Stretches in one call for pieces, whose cost grows faster than its length.
 LINE = 256
 SPACE_PIECE = "▁"
