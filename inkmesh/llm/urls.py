@@ -8,9 +8,12 @@ rule inside it is as sure. Before, tokens that too few bad URLs hold go, and tho
 no good URL holds become rules of one token, as no longer rule can be surer.
 
 FP-growth lists every combination, which is a power of 2 of the tokens that are left of
-a URL. Where some URL has more than ``WIDE`` of them, the same rules are found level by
-level instead: sets grow by a token at a time, and only by tokens that let further good
-URLs go, as no other can make a set surer, nor any set that contains it.
+a URL, so it takes the URLs that have ``WIDE`` of them at most. What the wider ones add is
+found level by level: sets grow by a token at a time, and only by tokens that let further
+good URLs go, as no other can make a set surer, nor any set that contains it. A combination
+that enough bad URLs hold is held by its share of the narrow ones or of the wide ones at
+least, so each side lists what its share of the support asks for, and all of it is counted
+over both.
 
 The rules match by an inverted index: each is filed under its rarest token, so a
 URL only meets rules whose rarest token it has, and is then held against all
@@ -95,8 +98,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     single = durable(each.groupBy("token").agg(F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good")).where(F.col("n_bad") >= least))
     mixed = each.join(single.where("n_good > 0").select("token"), "token")
     left = durable(mixed.groupBy("id", "bad", "good").agg(F.sort_array(F.collect_list("token")).alias("items")))
-    widest = left.agg(F.max(F.size("items"))).first()[0] or 0
-    several = _listed(left, single, least) if widest <= wide else _grown(left, least)
+    several = _several(left, single, least, wide)
     ones = single.select(F.array("token").alias("items"), "n_bad", "n_good")
     found = ones.union(several).select("items", (F.col("n_bad") / (F.col("n_bad") + F.col("n_good"))).alias("confidence"), (F.col("n_bad") / F.lit(max(n, 1))).alias("support")).where(F.col("confidence") >= min_confidence)
     rules = durable(_filed(found, single))
@@ -114,31 +116,54 @@ def _filed(sets: DataFrame, single: DataFrame) -> DataFrame:
     return numbered.join(rarest, "rule_id")
 
 
-def _listed(sets: DataFrame, single: DataFrame, least: int) -> DataFrame:
-    """``items, n_bad, n_good`` of the combinations of two tokens and more that ``least`` bad URLs hold, by FP-growth."""
+def _several(sets: DataFrame, single: DataFrame, least: int, wide: int) -> DataFrame:
+    """``items, n_bad, n_good`` of the combinations of two tokens and more that ``least`` bad URLs hold; some that a shorter one makes idle are left out."""
+    is_wide = F.size("items") > wide
+    n_narrow, n_wide = sets.agg(*[F.coalesce(F.sum(F.when(side, F.col("bad"))), F.lit(0)) for side in (~is_wide, is_wide)]).first()
+    if n_narrow + n_wide < least:
+        return sets.select("items", F.col("bad").alias("n_bad"), F.col("good").alias("n_good")).limit(0)
+    # a set below its share on both sides is below ``least``
+    share = [max(-(-least * n // (n_narrow + n_wide)), 1) for n in (n_narrow, n_wide)]
+    narrow = _listed(sets.where(~is_wide), share[0])
+    if not n_wide:
+        return _counted(narrow, sets, single).where(F.col("n_bad") >= least)
+    grown = durable(_grown(sets.withColumn("wide", F.when(is_wide, F.col("bad")).otherwise(0)), least, share[1]))
+    others = _counted(narrow.join(grown.select("items"), "items", "left_anti"), sets, single)
+    return grown.union(others.where(F.col("n_bad") >= least))
+
+
+def _listed(sets: DataFrame, least: int) -> DataFrame:
+    """``items`` of the combinations of two tokens and more that ``least`` bad URLs hold, by FP-growth."""
     baskets = durable(sets.where("bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("bad").cast("int"))).alias("_")).select("items"))
     n = baskets.count()
-    if not n:
-        return sets.sparkSession.createDataFrame([], "items array<string>, n_bad bigint, n_good bigint")
-    frequent = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(baskets).freqItemsets if least <= n else baskets.select("items", F.lit(0).alias("freq")).limit(0)
-    frequent = durable(_filed(frequent.where(F.size("items") > 1).select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("n_bad")), single))
-    good = sets.where("good > 0").select(F.struct("id", "good").alias("key"), F.col("items").alias("tokens"))
-    held = _contained(frequent.withColumn("confidence", F.lit(0.0)), good).groupBy("rule_id").agg(F.sum("key.good").alias("n_good"))
-    return frequent.join(held, "rule_id", "left").select("items", "n_bad", F.coalesce("n_good", F.lit(0)).alias("n_good"))
-
-
-def _grown(sets: DataFrame, least: int) -> DataFrame:
-    """The same, but for sets that a shorter one inside makes idle: from tokens, a token more at a time, from two sets that differ in their last."""
-    counts = [F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good")]
-    holders = sets.select("id", "bad", "good", F.array().cast("array<string>").alias("rest"), F.explode("items").alias("last"))
-    level = durable(holders.groupBy("rest", "last").agg(*counts))
+    if n < least:
+        return baskets.limit(0)
+    frequent = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(baskets).freqItemsets
+    return frequent.where(F.size("items") > 1).select(F.sort_array("items").alias("items"))
+
+
+def _counted(found: DataFrame, sets: DataFrame, single: DataFrame) -> DataFrame:
+    """``found(items)`` with the bad and good URLs that hold them, through the index."""
+    filed = durable(_filed(found, single))
+    held = _contained(filed.withColumn("confidence", F.lit(0.0)), sets.select(F.struct("id", "bad", "good").alias("key"), F.col("items").alias("tokens")))
+    counts = held.groupBy("rule_id").agg(F.sum("key.bad").alias("n_bad"), F.sum("key.good").alias("n_good"))
+    return filed.join(counts, "rule_id").select("items", "n_bad", "n_good")
+
+
+def _grown(sets: DataFrame, least: int, least_wide: int) -> DataFrame:
+    """``items, n_bad, n_good`` of those that ``least_wide`` wide bad URLs hold too, but for sets that a shorter one inside makes idle: from tokens, a token more at a time, from two sets that differ in their last."""
+    counts = [F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good"), F.sum("wide").alias("n_wide")]
+    holders = sets.select("id", "bad", "good", "wide", F.array().cast("array<string>").alias("rest"), F.explode("items").alias("last"))
+    level = durable(holders.groupBy("rest", "last").agg(*counts).where(F.col("n_wide") >= least_wide))
     out = level.limit(0)
     while True:
         # what no good URL has is sure already
         held = durable(holders.join(level.where("n_good > 0").select("rest", "last", "n_good"), ["rest", "last"]))
         a, b = held.alias("a"), held.select("id", "rest", F.col("last").alias("next"), F.col("n_good").alias("next_good")).alias("b")
-        holders = a.join(b, ["id", "rest"]).where(F.col("last") < F.col("next")).select("id", "bad", "good", F.array_append("rest", F.col("last")).alias("rest"), F.col("next").alias("last"), F.least("n_good", "next_good").alias("before"))
-        level = durable(holders.groupBy("rest", "last").agg(*counts, F.min("before").alias("before")).where((F.col("n_bad") >= least) & (F.col("n_good") < F.col("before"))).drop("before"))
+        longer = a.join(b, ["id", "rest"]).where(F.col("last") < F.col("next"))
+        holders = longer.select("id", "bad", "good", "wide", F.array_append("rest", F.col("last")).alias("rest"), F.col("next").alias("last"), F.least("n_good", "next_good").alias("before"))
+        enough = (F.col("n_bad") >= least) & (F.col("n_wide") >= least_wide) & (F.col("n_good") < F.col("before"))
+        level = durable(holders.groupBy("rest", "last").agg(*counts, F.min("before").alias("before")).where(enough).drop("before"))
         if not level.limit(1).count():
             return out.select(F.array_append("rest", F.col("last")).alias("items"), "n_bad", "n_good")
         holders, out = holders.drop("before"), out.union(level)

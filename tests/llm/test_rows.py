@@ -138,9 +138,9 @@ def test_mined_rules_against_a_count(spark, rng):
     assert got == {i: "block" if any(set(r.items) <= tokens[u] for r in found) else "allow" for i, u in pages.collect()}
 
 
-@pytest.mark.parametrize("wide", [0, urls.WIDE])
+@pytest.mark.parametrize("wide", [0, 3, urls.WIDE])
 def test_all_rules_over_the_thresholds_are_found(spark, wide):
-    """Every combination of tokens is counted; those as sure as none inside them are the rules, by FP-growth and level by level."""
+    """Every combination of tokens is counted; those as sure as none inside them are the rules, by FP-growth, level by level, and by both."""
     r = random.Random(wide)
     rows = []
     for _ in range(500):
@@ -179,6 +179,22 @@ def test_long_urls_of_one_template_are_mined(spark):
     assert ("p:u",) in [tuple(r.items) for r in found] and all(len(r.items) == 1 for r in found)
 
 
+def test_one_wide_url_leaves_the_others_to_fp_growth(spark, monkeypatch):
+    """Combinations of narrow URLs, of wide ones, and such as only both together hold often enough."""
+    seen = []
+    listed = urls._listed
+    monkeypatch.setattr(urls, "_listed", lambda sets, least: seen.append(sets.count()) or listed(sets, least))
+    long = "/".join(f"l{chr(97 + i)}" for i in range(16))
+    rows = [(u, bad) for u, bad, n in [
+        ("http://a.io/b", True, 30), ("http://a.io/c", False, 40), ("http://d.io/b", False, 40),
+        (f"http://e.io/{long}?f=1", True, 6), ("http://e.io/x?f=1", True, 6), ("http://e.io/y", False, 20), ("http://g.io/y?f=1", False, 20),
+        (f"http://z.io/{long}", False, 30),
+    ] for _ in range(n)]
+    found = {tuple(r.items): r.support for r in urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert seen and seen[0] > 1
+    assert found == {("h:a", "p:b"): pytest.approx(30 / 192), ("h:e", "q:f"): pytest.approx(12 / 192)}
+
+
 def test_urls_with_clashing_columns_ties_and_great_length(spark):
     rules = spark.createDataFrame([(1, ["p:a"], "p:a", 0.8, 0.1), (2, ["p:b"], "p:b", 0.8, 0.1), (3, ["p:a", "p:c"], "p:c", 0.9, 0.1)], "rule_id bigint, items array<string>, rarest string, confidence double, support double")
     long = "http://x.io/" + "z/" * 100_000 + "b"
