@@ -6,10 +6,14 @@ first word of their ``<title>``) and their root-relative ``href``s are links.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.operators import graph, health, links, ppr, retrieve
+from inkmesh.operators.kept_graph import KeptGraph
+from inkmesh.operators.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +112,27 @@ def health_counts(spark, sf_dir):
     return health.counts(wiki(spark, sf_dir))
 
 
+def graph_kept(spark, sf_dir):
+    """Edges, and how many links make each, of a kept graph after a change: of seven pages one loses its first link, one has another title, one goes, one comes."""
+    w = wiki(spark, sf_dir).withColumn("turn", F.substring_index("path", "/", -1).cast("long") % 7)
+    kept = KeptGraph(spark, f"{shared_folder(spark)}/graph-kept-{uuid.uuid4().hex}", buckets=16)
+    kept.update(w.where("turn <> 5"))
+    text = F.when(F.col("turn") == 1, F.regexp_replace("text", r"^\[\[[^\]]*\]\] ?", "")).otherwise(F.col("text"))
+    title = F.when(F.col("turn") == 2, F.concat("title", F.lit("2"))).otherwise(F.col("title"))
+    kept.update(w.where("turn IN (1, 2, 5)").withColumns({"text": text, "title": title}), w.where("turn = 3"))
+    return kept.edges()
+
+
+#: The same of the state after the change, built anew.
+KEPT_SQL = f"""WITH {WIKI},
+st AS (SELECT *, substr(path, 6)::BIGINT % 7 AS turn FROM pg),
+nw AS (SELECT path, CASE turn WHEN 2 THEN title || '2' ELSE title END AS title, alias1, alias2, CASE turn WHEN 1 THEN refs[2:] ELSE refs END AS refs FROM st WHERE turn <> 3),
+ln AS (SELECT DISTINCT path, nfc_normalize(lower(target)) AS handle FROM (SELECT path, unnest(refs) AS target FROM nw) WHERE target <> '' AND NOT regexp_matches(target, '[#^]')),
+nm AS (SELECT path, title AS name, 0 AS pos FROM nw UNION ALL SELECT path, alias1, 1 FROM nw UNION ALL SELECT path, alias2, 2 FROM nw),
+ow AS (SELECT handle, path FROM (SELECT nfc_normalize(lower(name)) AS handle, path, row_number() OVER (PARTITION BY nfc_normalize(lower(name)) ORDER BY path, pos) AS r FROM nm) WHERE r = 1 AND handle <> '')
+SELECT least(ln.path, ow.path) AS a, greatest(ln.path, ow.path) AS b, count(*)::BIGINT AS n FROM ln JOIN ow USING (handle) WHERE ln.path <> ow.path GROUP BY ALL"""
+
+
 def part_supplier_degree(spark, sf_dir):
     """Degrees over distinct part-supplier pairs: the largest graph of the tables."""
     pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("x"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("y"))
@@ -407,6 +432,7 @@ QUERIES = [
     (graph_edges_distinct, f"WITH {WIKI} SELECT a, b FROM ed"),
     (graph_nodes, f"WITH {WIKI} SELECT path, title, kind, degree, summary FROM pg JOIN dg USING (path)"),
     (graph_mode, f"WITH {WIKI} SELECT (SELECT count(*) FROM pg) AS nodes, (SELECT count(*) FROM ed) AS edges, CASE WHEN (SELECT count(*) FROM pg) >= 20 AND (SELECT count(*) FROM ed) >= 1.5 * (SELECT count(*) FROM pg) THEN 'B' ELSE 'A' END AS mode"),
+    (graph_kept, KEPT_SQL),
     (health_orphans, f"WITH {WIKI} SELECT path, title FROM pg JOIN dg USING (path) WHERE degree = 0"),
     (health_counts, f"WITH {WIKI} SELECT kind, count(*) AS n FROM pg GROUP BY kind"),
     (part_supplier_degree, "WITH e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), s AS (SELECT a FROM e UNION ALL SELECT b FROM e), n AS (SELECT 'p' || p_partkey AS path FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier) SELECT path, count(s.a)::BIGINT AS degree FROM n LEFT JOIN s ON s.a = path GROUP BY path"),
