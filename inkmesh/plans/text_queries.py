@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from inkmesh.functions.blocks import Trace, citation_entries, parse_trace, trace_lines, with_block
 from inkmesh.functions.frontmatter import ensure, parse, render
+from inkmesh.operators.shared import shared_folder
 from inkmesh.plans.graph_queries import WIKI, table, wiki
 from inkmesh.sources import delimited, html
 
@@ -59,6 +62,16 @@ def delimited_parse(spark, sf_dir):
     return files.select(F.explode(delimited.parse_rows("text", F.lit(","))).alias("r")).select(F.col("r")[0].alias("key"), F.col("r")[1].alias("segment"), F.col("r")[2].alias("name"))
 
 
+def delimited_files(spark, sf_dir):
+    """Documents written as delimited files, line ends inside quotes, and read back in many tasks."""
+    d = table(spark, sf_dir, "documents")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit(',\n""\n"'))
+    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    d.select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted, F.concat(F.coalesce("lang", F.lit("")), F.lit(' "x')))).write.text(path)
+    field = lambda k: F.get("fields", F.lit(k))
+    return delimited.read(spark, path).select(field(0).alias("key"), field(1).alias("text"), field(2).alias("lang"), F.size("fields").cast("long").alias("n_fields"))
+
+
 def html_to_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.markdown("html").alias("markdown"))
 
@@ -68,5 +81,6 @@ QUERIES = [
     (frontmatter_parse, f"WITH {WIKI} SELECT path, kind, summary, '2024-01-02' AS updated, 'body' AS body FROM pg"),
     (trace_roundtrip, f"WITH {WIKI} SELECT path, CASE WHEN length(title) % 2 = 1 THEN 'B' ELSE 'A' END AS mode, title AS seed, length(summary) % 2 = 0 AS round2, title || ', x' AS first, 0.0625::DOUBLE AS score FROM pg"),
     (delimited_parse, "SELECT c_custkey::VARCHAR AS key, replace(c_mktsegment, 'I', '\"') || ',' || chr(10) AS segment, c_name AS name FROM customer"),
+    (delimited_files, "SELECT doc_id::VARCHAR AS key, coalesce(text, '') || ',' || chr(10) || '\"' || chr(10) AS text, coalesce(lang, '') || ' \"x' AS lang, 3::BIGINT AS n_fields FROM documents"),
     (html_to_markdown, None),
 ]
