@@ -78,3 +78,22 @@ def test_order_of_input_does_not_matter(spark):
     one, _ = scores(spark, nodes, edges, ["a", "d"])
     two, _ = scores(spark, nodes[::-1], [(b, a) for a, b in edges[::-1]], ["d", "a"])
     assert one == two
+
+
+def test_a_step_sends_nothing_through_the_driver(spark):
+    v = spark.createDataFrame([("q", 0, 1.0)], "qid string, id long, score double")
+    adjacency = spark.createDataFrame([(0, 1, 1), (1, 0, 1)], "a long, b long, degree long")
+    new = ppr.step(v, adjacency, v.withColumnRenamed("score", "p"), 0.5, 2)
+    assert {(r.id, r.score, r.old) for r in new.collect()} == {(0, 0.5, 1.0), (1, 0.5, 0.0)}
+    assert "Broadcast" not in new._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("deterministic", [False, True])
+def test_both_paths_agree_on_questions_that_end_at_different_steps(spark, deterministic):
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "path string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("f", "g")], "a string, b string")
+    seeds = spark.createDataFrame([("x", "a"), ("y", "e"), ("z", "f"), ("z", "g"), ("w", "gone")], "qid string, path string")
+    for snapshots in (False, True):
+        small, large = (sorted(map(tuple, ppr.run(nodes, edges, seeds, snapshots=snapshots, deterministic=deterministic, small_edges=n).collect())) for n in (ppr.SMALL_EDGES, 0))
+        assert [[x for x in r if not isinstance(x, float)] for r in small] == [[x for x in r if not isinstance(x, float)] for r in large] and len({r[-2] for r in small}) > 1
+        assert [x for r in small for x in r if isinstance(x, float)] == pytest.approx([x for r in large for x in r if isinstance(x, float)], abs=1e-12)
