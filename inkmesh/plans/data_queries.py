@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions import text as T
 from inkmesh.operators import changes, dataset, evaluate, fingerprints, health, links, merge, retrieve, smell
-from inkmesh.operators.shared import ranked_in_groups
+from inkmesh.operators.shared import dealt, ranked_in_groups
 from inkmesh.plans.graph_queries import FORCED, QUESTIONS, WIKI, table, wiki
 from inkmesh.sources import formats
 
@@ -48,7 +48,9 @@ def mode_a_rank(spark, sf_dir):
 def seeds_validated(spark, sf_dir):
     """Proposed seeds that are pages, each once, the first eight; every supplier is a question."""
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    proposed = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("qid"), F.row_number().over(w).alias("pos"), F.concat(F.lit("wiki/part-"), (F.col("l_partkey") * 2).cast("string")).alias("path"))
+    items = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_suppkey")
+    placed = items.withColumn("pos", F.row_number().over(w))  # keys alone are sorted, names made after it
+    proposed = placed.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("qid"), "pos", F.concat(F.lit("wiki/part-"), (F.col("l_partkey") * 2).cast("string")).alias("path"))
     return retrieve.valid_seeds(proposed, parts(spark, sf_dir)).select("qid", "path", F.col("pos").cast("long").alias("pos"))
 
 

@@ -97,3 +97,21 @@ def test_stops_of_a_walk(spark):
     got = sorted((r.qid, r.stop, r.score, r.label) for r in retrieve.stops(steps, final).collect())
     assert got[3] == ("q", 4, 0.9, "final vector at iteration 6 (iterations 4–5 not retained)") and got[0][3] == "iteration 1 of 6"
     assert got[4:] == [("r", 1, 1.0, "iteration 1 of 1"), ("s", 1, 1.0, "iteration 1 of 2"), ("s", 2, 0.5, "iteration 2 of 2")]
+
+
+def test_tasks_follow_the_rows(spark):
+    from inkmesh.operators.shared import dealt
+
+    df = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    parts = dealt(df, "k", rows=20).select("k", F.spark_partition_id().alias("p"))
+    assert parts.rdd.getNumPartitions() == 50 and parts.distinct().count() == 100 and parts.count() == 1000
+
+
+def test_a_seed_search_is_dealt_by_its_rows(spark, monkeypatch):
+    from inkmesh.operators import shared
+
+    monkeypatch.setattr(shared.dealt, "__kwdefaults__", {"rows": 10})
+    proposed = spark.createDataFrame([(f"q{i % 3}", i, f"p{i % 50}") for i in range(400)], "qid string, pos int, path string")
+    got = retrieve.valid_seeds(proposed, spark.createDataFrame([(f"p{i}",) for i in range(0, 50, 2)], "path string"), 4)
+    assert "40), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.qid, r.pos, r.path) for r in got.collect()) == sorted((f"q{q}", i, f"p{i % 50}") for q in range(3) for i in [i for i in range(400) if i % 3 == q and i % 2 == 0][:4])
