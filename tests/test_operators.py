@@ -115,3 +115,10 @@ def test_a_seed_search_is_dealt_by_its_rows(spark, monkeypatch):
     got = retrieve.valid_seeds(proposed, spark.createDataFrame([(f"p{i}",) for i in range(0, 50, 2)], "path string"), 4)
     assert "40), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.qid, r.pos, r.path) for r in got.collect()) == sorted((f"q{q}", i, f"p{i % 50}") for q in range(3) for i in [i for i in range(400) if i % 3 == q and i % 2 == 0][:4])
+
+
+def test_texts_join_by_a_shuffle(spark):
+    rank = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b")], "qid string, rank int, path string")
+    got = retrieve.assemble(rank, spark.createDataFrame([("a", "x"), ("b", "y")], "path string, text string"))
+    assert sorted((r.path, r.text) for r in got.collect()) == [("a", "x"), ("b", "y")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
