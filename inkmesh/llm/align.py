@@ -2,12 +2,11 @@
 
 Tokenising. A text is cut before spaces that follow a letter or mark; neither tokenizer
 joins across such a place, so each distinct stretch of a batch is encoded once, many in one
-call, and its ids are gathered by place. Python returns ids and the bytes at which tokens end.
+call, and its ids are gathered by place.
 
-All else is column expressions. Bytes at which tokens of both end (``array_intersect``) cut
-stretches into groups. How many tokens end up to each cut comes from one sort of ends and cuts
-together; ``sequence`` and ``slice`` make the groups, ``transform`` their links, all pairs of
-tokens in a group. Links of a text are counted by pair over all documents: frequent pairs,
+Bytes at which tokens of both end cut stretches into groups, whose links are all pairs of
+tokens in a group; numpy makes them for all distinct stretches of a portion at once, where
+the ids are. Spark counts the links of a text by pair over all documents: frequent pairs,
 ``HEAD`` at most, are sent to every task, so no pair of a large share of the corpus is
 shuffled; the others, each in few documents, meet their counts by a join.
 
@@ -20,6 +19,7 @@ than id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import sys
@@ -30,24 +30,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import durable, let, release, shared_folder, table
+from inkmesh.llm.common import durable, release, shared_folder, table
 from inkmesh.llm.wordhash import frugal, portions
 
 #: Files of the tokenizers: byte-level BPE, and pieces with byte fallback.
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are sent to every task: a pair and its count take some 50 bytes there.
 HEAD = 1 << 19
-#: Bytes of text whose stretches are looked up together (arrays of more are large objects to the JVM), and stretches whose ids a task keeps.
-PORTION, KEPT = 3e5, 250_000
+#: Bytes of text whose stretches are looked up together, and stretches whose ids a task keeps.
+PORTION, KEPT = 2e6, 250_000
 #: Stretches in one call for pieces, whose cost grows faster than its length.
 LINE = 256
 SPACE_PIECE = "▁"
 #: Characters up to this one are split alike by the fast and the plain encoder; stretches with others go to the plain one.
 FAMILIAR = "[^\\x00-\\x{24f}]"
-COLUMNS = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, stretch_ends array<int>, texts array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,places:array<int>>>"
+COLUMNS = ["a", "a_ends", "b", "b_ends", "stretch_ends", "texts"]
 
 
 # --- tokens --------------------------------------------------------------------------------
@@ -110,6 +110,7 @@ class Tokens:
             raise ValueError("a piece goes on beyond a space, so texts can't be cut there")
         self.b = Spelling([piece_bytes(p) for p in every])
         self.blank = self.pieces.piece_to_id(SPACE_PIECE)
+        self.told = Spelling([f"{i}{after}".encode() for i in range(max(len(self.a.sizes), len(self.b.sizes))) for after in ",|;"])
         self.forget()
 
     @staticmethod
@@ -174,6 +175,9 @@ def cut_before(raw: np.ndarray) -> np.ndarray:
 
 
 def _tokenised(bytes_file: str, pieces_file: str):  # noqa: ANN202
+    """A row for each portion of texts: the ids of both tokenizers for its distinct stretches, one stretch after the other, the bytes at
+    which ids and stretches end, and ``texts``: ``doc_id``, how many ids it has, and its stretches by their place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens.of_worker(bytes_file, pieces_file)
         for batch in portions(batches, 1, PORTION):
@@ -208,80 +212,81 @@ def _tokenised(bytes_file: str, pieces_file: str):  # noqa: ANN202
             columns.append((stops[np.cumsum(size[row]) - 1] if len(row) else stops).astype(np.int32))
             per_text = pa.StructArray.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int32)))], ["doc_id", "n_a", "n_b", "places"])
             whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in (*columns, per_text)]
-            yield pa.RecordBatch.from_arrays(whole, ["a", "a_ends", "b", "b_ends", "stretch_ends", "texts"])
+            yield pa.RecordBatch.from_arrays(whole, COLUMNS)
         tokens.forget()  # an idle worker's memory is missing elsewhere
 
     return run
 
 
-def tokenised(docs: DataFrame, bytes_file: str | None = None, pieces_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each portion of texts: the ids of both tokenizers for its distinct stretches, one stretch after the other, the bytes at
-    which ids and stretches end, and ``texts``: ``doc_id``, how many ids it has, and its stretches by their place."""
-    import public_tokenizers
+# --- groups and links ------------------------------------------------------------------------
 
-    files = bytes_file or public_tokenizers.path(BYTES_FILE), pieces_file or public_tokenizers.path(PIECES_FILE)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(frugal(_tokenised(*files)), COLUMNS)
+GROUPS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links array<bigint>"
+#: What follows an id in the text of a group: another of its side, the other side, the next group.
+COMMA, BAR, SEMICOLON = range(3)
 
 
-# --- groups and links: column expressions -----------------------------------------------------
+def from_zero(sizes: np.ndarray) -> np.ndarray:
+    """0, and the sum of ``sizes`` up to each."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
-def ended(ends: Column, cuts: Column) -> Column:
-    """0, and how many of ``ends`` are up to each of ``cuts``, which are among them; both ascend.
+def grouped(portion: pa.RecordBatch, told: Spelling) -> pa.RecordBatch:
+    """Rows of ``GROUPS`` for the texts of a portion, a row of ``COLUMNS``.
 
-    Cuts sort behind the ends that they equal, so at the k-th cut stand k cuts and the wanted ends before it.
+    Tokens of both end where a stretch ends, so groups are made for each distinct stretch, and a text's are those of its stretches, in order.
     """
-    both = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda c: c * 2 + 1)))
-    marked = F.filter(F.transform(both, lambda x, i: F.when(x.bitwiseAND(1) == 1, i)), lambda i: i.isNotNull())
-    return F.concat(F.array(F.lit(0)), F.transform(marked, lambda at, k: at - k))
-
-
-def stretch(values: Column, first: Column, n: Column) -> Column:
-    """``n`` of ``values`` from place ``first`` on, one at least."""
-    return F.transform(F.sequence(first, first + n - 1), lambda i: F.get(values, i))
-
+    a, a_ends, b, b_ends, stops = (np.asarray(portion.column(k).flatten()) for k in range(5))
+    texts = portion.column(5).flatten()
+    ends_b = np.zeros(int(stops[-1]) + 1 if len(stops) else 1, bool)
+    ends_b[b_ends] = True
+    cuts = a_ends[ends_b[a_ends]]
+    cuts = cuts[np.diff(cuts, prepend=np.int32(-1)) != 0]
+    to_a, to_b, to_group = (np.searchsorted(ends, at, "right") for ends, at in ((a_ends, cuts), (b_ends, cuts), (cuts, stops)))
+    n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+    first_a, first_b, every = to_a - n_a, to_b - n_b, np.arange(len(cuts))
+    # all pairs of a group
+    pairs = n_a * n_b
+    group = np.repeat(every, pairs)
+    x, y = np.divmod(np.arange(len(group)) - np.repeat(np.cumsum(pairs) - pairs, pairs), n_b[group])
+    links = (a[first_a[group] + x].astype(np.int64) << 32) + b[first_b[group] + y]
+    own_links = from_zero(pairs)[np.concatenate([[0], to_group])]
+    # ids of a group, its A side first, each with what follows it
+    codes = np.empty(len(a) + len(b), np.int64)
+    at_a, at_b = np.arange(len(a)) + np.repeat(first_b, n_a), np.arange(len(b)) + np.repeat(to_a, n_b)
+    codes[at_a], codes[at_b] = a.astype(np.int64) * 3 + COMMA, b.astype(np.int64) * 3 + COMMA
+    codes[at_a[to_a - 1]] += BAR
+    codes[at_b[to_b - 1]] += SEMICOLON
+    own_told = from_zero(told.sizes[codes])[np.concatenate([[0], (to_a + to_b)[to_group - 1]])]
+    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(own_told.tobytes()), pa.py_buffer(told.of(codes).tobytes())])
+
+    places = np.asarray(texts.field("places").flatten())
+    ends = from_zero(np.asarray(texts.field("places").value_lengths()))
+    n_links = np.diff(own_links)[places]
+    links, link_ends = gathered(links, own_links[places], n_links), from_zero(n_links)[ends]
+    n_groups = np.diff(from_zero(np.diff(to_group, prepend=0)[places])[ends])
+    whole = memoryview(spelt.take(pa.array(places)).buffers()[2] or b"")
+    bounds = from_zero(np.diff(own_told)[places])[ends].tolist()
+    digests = [hashlib.sha256(whole[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(bounds, bounds[1:], strict=False)]
+    columns = [*(texts.field(c) for c in ("doc_id", "n_a", "n_b")), pa.array(n_groups), pa.array(np.diff(link_ends)), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(link_ends.astype(np.int32)), pa.array(links))]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in GROUPS.split(", ")])
+
+
+def _aligned(bytes_file: str, pieces_file: str):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = Tokens.of_worker(bytes_file, pieces_file).told
+        for portion in _tokenised(bytes_file, pieces_file)(batches):
+            yield grouped(portion, told)
 
-def counted_up(n: Column) -> Column:
-    """0, 1, ... up to n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return run
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """``doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links`` of each text; ``links``: a number for each link, its A id times 2 to the 32 plus its B id.
+def aligned(docs: DataFrame, bytes_file: str | None = None, pieces_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``GROUPS`` of each text; ``links``: a number for each link, its A id times 2 to the 32 plus its B id."""
+    import public_tokenizers
 
-    Tokens of both end where a stretch ends, so groups are made for each distinct stretch of a portion, and a text's are those of its stretches, in order.
-    """
-    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    to = lambda ends, cuts: ended(F.col(ends), F.col(cuts))
-    cut = cut.select("a", "b", "texts", to("a_ends", "cuts").alias("to_a"), to("b_ends", "cuts").alias("to_b"), to("cuts", "stretch_ends").alias("to_group"))
-
-    def group(k: Column) -> Column:
-        """Group k; most have one token of either side, for which nothing is sliced."""
-        (a, from_a, n_a), (b, from_b, n_b) = ((F.col(x), F.get(to, k), F.get(to, k + 1) - F.get(to, k)) for x, to in (("a", F.col("to_a")), ("b", F.col("to_b"))))
-        link = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
-        ids = lambda v: F.array_join(v.cast("array<string>"), ",")
-        of = lambda text, links: F.struct(text.alias("text"), links.alias("links"), F.lit(1).alias("n"))
-        one = of(F.concat(F.get(a, from_a).cast("string"), F.lit("|"), F.get(b, from_b).cast("string")), F.array(link(F.get(a, from_a), F.get(b, from_b))))
-        many = let(stretch(a, from_a, n_a), lambda x: let(stretch(b, from_b, n_b), lambda y: of(F.concat(ids(x), F.lit("|"), ids(y)), F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: link(i, j)))))))
-        return F.when((n_a == 1) & (n_b == 1), one).otherwise(many)
-
-    def of_stretch(groups: Column, k: Column) -> Column:
-        first, n = F.get("to_group", k), F.get("to_group", k + 1) - F.get("to_group", k)
-        several = let(stretch(groups, first, n), lambda own: F.struct(F.array_join(own["text"], ";").alias("text"), F.flatten(own["links"]).alias("links"), n.alias("n")))
-        return F.when(n == 1, F.get(groups, first)).otherwise(several)
-
-    groups = F.transform(counted_up(F.size("to_a") - 1), group)
-    stretches = let(groups, lambda g: F.transform(counted_up(F.size("to_group") - 1), lambda k: of_stretch(g, k)))
-
-    def of_text(own: Column, text: Column) -> Column:
-        links = F.flatten(F.transform(text["places"], lambda p: F.get(own, p)["links"]))
-        told = F.array_join(F.transform(text["places"], lambda p: F.get(own, p)["text"]), ";")
-        n = F.aggregate(text["places"], F.lit(0).cast("long"), lambda n, p: n + F.get(own, p)["n"])
-        return F.struct(text["doc_id"].alias("doc_id"), text["n_a"].alias("n_a"), text["n_b"].alias("n_b"), n.alias("n_groups"), F.when(F.size(text["places"]) > 0, F.sha2(told, 256)).otherwise("").alias("groups_sha256"), links.alias("links"))
-
-    each = cut.select(F.inline(let(stretches, lambda own: F.transform("texts", lambda text: of_text(own, text)))))
-    return each.withColumn("n_links", F.size("links").cast("long"))
+    files = bytes_file or public_tokenizers.path(BYTES_FILE), pieces_file or public_tokenizers.path(PIECES_FILE)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(frugal(_aligned(*files)), GROUPS)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -309,7 +314,7 @@ def align(docs: DataFrame, bytes_file: str | None = None, pieces_file: str | Non
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
     release(spark)
-    numbered = aligned(tokenised(docs, bytes_file, pieces_file)).withColumn("row", F.monotonically_increasing_id())
+    numbered = aligned(docs, bytes_file, pieces_file).withColumn("row", F.monotonically_increasing_id())
     numbered.write.option("compression", "zstd").parquet(path)  # read twice
     rows = spark.read.parquet(path)
     counts = durable(pair_counts(rows))
