@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import SIMILARITY_PERCENT, components, dealt_join, durable, table
+from inkmesh.llm.common import SIMILARITY_PERCENT, components, dealt_join, durable, narrow, table
 from inkmesh.llm.wordhash import frugal, mix, portions, shingle_sets
 
 BINS, BANDS = 128, 32
@@ -131,11 +131,11 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(sizes, pa.int64()), pa.array(inside, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["centre", "node", "component", "linked", "n", "inside", "outside"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose full sets are linked; ``sets(node, shingles)``. A centre of very many pairs is dealt out."""
+def confirm(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """The ``pairs(a, b)`` of nodes whose full sets are linked, and their number; ``sets(node, shingles)``. A centre of very many pairs is dealt out."""
     both = dealt_join(durable(pairs), sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"], ["b"])
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return durable(both.select("a", "b", "x", "y").mapInArrow(frugal(_confirmed), f"a {NODE}, b {NODE}"))
+    return narrow(durable(both.select("a", "b", "x", "y").mapInArrow(frugal(_confirmed), f"a {NODE}, b {NODE}")))
 
 
 def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -217,19 +217,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = durable(hashed.dropDuplicates(["doc_id", "node"]).select("node", "shingles"))
     # the best centre of each node, then the other stars, as far as they join components
     best = shared.where("node <> centre").groupBy("node").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre"))
-    edges = confirm(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets)
+    edges, _ = confirm(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets)
     label = components(docs.sparkSession, edges)
     stars = durable(labelled(shared.select("node", "centre", "key"), label))
     hubs = stars.where("node = centre").select("key", F.col("component").alias("hub"))
     other = stars.where("node <> centre").join(hubs, "key").where("component <> hub").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     other = other.join(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
-    more = confirm(other, sets)
-    if more.limit(1).count():
+    more, n = confirm(other, sets)
+    if n:
         edges = edges.union(more)
         label = components(docs.sparkSession, edges)
         stars = durable(labelled(shared.select("node", "centre", "key"), label))
-    more = confirm(open_pairs(stars, label, sets), sets)
-    if more.limit(1).count():
+    more, n = confirm(open_pairs(stars, label, sets), sets)
+    if n:
         label = components(docs.sparkSession, edges.union(more))
     groups = groups.select(*prints, node.alias("node"))
     found = groups.join(label.withColumnRenamed("id", "node"), "node", "left").select(*prints, F.coalesce("component.id", "node.id").alias("component_id"))
