@@ -40,3 +40,10 @@ def test_rounds_over_edges_in_many_partitions_run_few_tasks_and_collections(spar
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds]
     assert sum(s.numCompletedTasks >= 64 for s in stages if s) == 1  # the count of the edges as they came
     assert 1 <= len(freed) <= 3  # one before the first step, one in ROUNDS after
+
+
+def test_sizes_that_spark_plans_with_do_not_grow_with_the_rounds(spark):
+    edges = spark.range(200).selectExpr("id AS a", "id + 1 AS b").join(spark.range(200).toDF("a"), "a")  # a join: the product of two sizes
+    found = components(spark, edges)
+    assert found.count() == 201 and found.where("component = 0").count() == 201
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20
