@@ -44,3 +44,16 @@ def test_no_pages_and_no_questions(spark, asked):
     pages, questions, _, _ = asked
     for p, q in ((pages.limit(0), questions), (pages, questions.limit(0)), (pages, questions.where("qid = 'none'"))):
         assert retrieve.lexical_scores(p, q).count() == retrieve.mode_a(p, q, questions=q).count() == 0
+
+
+def test_ranks_of_blocks(spark, small, asked):
+    pages, questions, want, forced = asked
+    seeds = spark.createDataFrame([("q1", "wiki/3.md"), ("q2", "gone"), ("unasked", "wiki/1.md"), ("none", "wiki/30.md")], "qid string, path string")
+    for ranks, also in ((retrieve.mode_a(pages, questions, questions=questions), forced), (retrieve.mode_a(pages, questions, seeds), {("q1", "wiki/3.md"), ("none", "wiki/30.md")})):
+        ordered = {}
+        for (i, path), v in want.items():
+            if v or (i, path) in also:
+                ordered.setdefault(i, []).append((-v, path))
+        assert {(x.qid, x["rank"]): (-x.score, x.path) for x in ranks.collect()} == {(i, k): v for i, vs in ordered.items() for k, v in enumerate(sorted(vs), 1)}
+        assert ranks.columns == ["qid", "path", "title", "kind", "score", "rank"]
+        assert not any(x in after_the_last_join(ranks) for x in ("Aggregate", "Repartition", "Sort", "Window"))
