@@ -57,3 +57,13 @@ def test_ranks_of_blocks(spark, small, asked):
         assert {(x.qid, x["rank"]): (-x.score, x.path) for x in ranks.collect()} == {(i, k): v for i, vs in ordered.items() for k, v in enumerate(sorted(vs), 1)}
         assert ranks.columns == ["qid", "path", "title", "kind", "score", "rank"]
         assert not any(x in after_the_last_join(ranks) for x in ("Aggregate", "Repartition", "Sort", "Window"))
+
+
+def test_sides_are_not_repeated_for_each_row(spark, monkeypatch):
+    """A name of many pages in many questions: tasks, and so the copies of each side, don't grow with its rows."""
+    monkeypatch.setattr(retrieve, "MADE", 2)
+    pages = spark.createDataFrame([(f"p{i}", "the", [f"a{i}x"]) for i in range(60)], "path string, title string, aliases array<string>")
+    asked = spark.createDataFrame([(f"q{i}", f"of the a{i}x") for i in range(50)], "qid string, question string")
+    found = retrieve.force_include(pages, asked)
+    assert found.count() == found.distinct().count() == 3000
+    assert found.rdd.getNumPartitions() <= 5 * 5
